@@ -7,7 +7,7 @@ toxic if one of its features occurs in toxic training documents far more often t
 weights and transitions are then fitted by likelihood, with forward-backward marginals.
 
 A document's score is a logistic function, fitted on the training documents, of its largest marginal and
-of the sum of marginals; the offending words' code-point offsets come with it.
+of the sum of marginals, as such and per word; the offending words' code-point offsets come with it.
 
 Defined cases: null and empty texts have no word and get the score of a text without any toxic word;
 without training rows, or with one label only, every score is the share of toxic training rows (0 if
@@ -114,7 +114,7 @@ class Field:
     weights: np.ndarray
     bias: float
     transitions: np.ndarray
-    link: np.ndarray  # of the document's score: constant, largest marginal, log of the sum
+    link: np.ndarray  # of the document's score: constant, largest marginal, logs of the sum and of its share
 
     def tag(self, tagged: Tagged) -> np.ndarray:
         if not len(tagged.words.start):
@@ -132,12 +132,13 @@ def _summary(tagged: Tagged, marginal: np.ndarray) -> np.ndarray:
     most, total = np.zeros(n), np.zeros(n)
     np.maximum.at(most, tagged.words.doc, marginal)
     np.add.at(total, tagged.words.doc, marginal)
-    return np.stack([np.ones(n), most, np.log1p(total)], 1)
+    share = 1000 * total / np.maximum(tagged.words.counts(), 1)
+    return np.stack([np.ones(n), most, np.log1p(total), np.log1p(share)], 1)
 
 
 def _flat(rate: float) -> Field:
     odds = np.log(max(rate, 1e-12) / max(1 - rate, 1e-12))
-    return Field(np.zeros(1 << BITS), -40.0, np.zeros((2, 2)), np.array([odds, 0.0, 0.0]))
+    return Field(np.zeros(1 << BITS), -40.0, np.zeros((2, 2)), np.array([odds, 0.0, 0.0, 0.0]))
 
 
 def word_labels(tagged: Tagged, toxic: np.ndarray) -> np.ndarray:
@@ -163,7 +164,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Field:
     held = np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).reshape(2, 2).astype(float)
     flat, owner = tagged.features.reshape(-1), np.repeat(np.arange(len(y)), tagged.features.shape[1])
     rate = max(y.mean(), 1e-6)
-    model = Field(np.zeros(1 << BITS), float(np.log(rate / (1 - rate))), np.zeros((2, 2)), np.zeros(3))
+    model = Field(np.zeros(1 << BITS), float(np.log(rate / (1 - rate))), np.zeros((2, 2)), np.zeros(4))
     squares, square_t = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6)
     for _ in range(rounds):
         emit = model.weights[tagged.features].sum(1) + model.bias
@@ -179,7 +180,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Field:
     for _ in range(25):  # Newton's method; documents of both labels count alike
         p = 1 / (1 + np.exp(-np.clip(x @ model.link, -40, 40)))
         weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (toxic == 0).sum())
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(4)
         model.link = model.link + np.linalg.solve(hessian, x.T @ (weight * (toxic - p)) - 1e-4 * model.link)
     return model
 
