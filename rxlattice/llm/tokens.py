@@ -15,10 +15,11 @@ import numpy as np
 
 END_ID = 2
 #: Chunks that a worker remembers; beyond it the table starts anew.
-MEMO = 400_000
+MEMO = 600_000
 
 _CHUNK = re.compile(r"[^ \t-\r]+")
-_PLAIN = re.compile(r"[A-Za-z]+[.,!]")
+#: ASCII letters, then other ASCII marks but apostrophes: the vocabulary's rules split them just so.
+_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -33,25 +34,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.memo = memo, {}
+        self.limit, self.memo, self.parts = memo, {}, {}
+
+    def _part(self, text: str) -> bytes:
+        """Ids of lower-case ASCII letters, or of a run of ASCII marks, straight from the model."""
+        if text not in self.parts:
+            self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        return self.parts[text]
 
     def _learn(self, chunks: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        self.memo.update((c, tuple(e.ids)) for c, e in zip(chunks, found))
+        rest = []
+        for c in chunks:
+            if m := _PLAIN.fullmatch(c):
+                self.memo[c] = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+            else:
+                rest.append(c)
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        self.memo.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, found))
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, without an end id."""
-        memo = self.memo
-        for text in texts:
-            chunks = [p for c in _CHUNK.findall(text or "") for p in ((c[:-1], c[-1]) if _PLAIN.fullmatch(c) else (c,))]
-            if len(memo) > self.limit:
-                memo.clear()
-            if new := [c for c in dict.fromkeys(chunks) if c not in memo]:
-                self._learn(new)
-            ids: list[int] = []
-            for c in chunks:
-                ids += memo[c]
-            yield np.array(ids, np.uint32)
+        chunked = [_CHUNK.findall(text or "") for text in texts]
+        if len(self.memo) + len(self.parts) > self.limit:
+            self.memo.clear()
+            self.parts.clear()
+        for first in range(0, len(chunked), 64):
+            some = chunked[first : first + 64]
+            if new := set().union(*some).difference(self.memo):
+                self._learn(sorted(new))
+            for chunks in some:
+                yield np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
