@@ -8,9 +8,11 @@ all allowed chunk errors. Two sets at the least similarity to be linked (0.85) s
 in about 5e7 pairs. Sets found by a shared key are compared in full, so no wrong link gets in.
 
 Texts with equal sets form a class; only its smallest doc_id is looked up. Classes with a key in common
-are first compared with the key's smallest class (rounds of one leader each), and what is linked is put
-into components. Only keys that still hold more than one component go on, and only their pairs across
-components are compared, so a large group of near copies costs a pass over its members, not its pairs.
+are first compared with one leader each, and what is linked is put into components. Only keys that still
+hold more than one component go on. Shingles that lie in one component only bound what a class can share
+with another one, which settles most classes without a comparison; the rest meets a leader of another
+component, then all classes of other components that the bounds allow. So a large group of near copies
+costs a pass over its members, not over its pairs.
 
 Defined cases: texts that are null, empty or blank have an empty set and stay alone; a null doc_id is
 dropped from linking and keeps a null component; rows with one doc_id count as one
@@ -35,8 +37,6 @@ from .text import Words, chunks, mix, shingle_sets
 SYMBOLS, CHUNK, BITS, DISTANCE = 32, 4, 16, 15
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Rounds in which a class is compared with one leader of each of its keys.
-LEADER_ROUNDS = 2
 
 _A = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(101, 101 + SYMBOLS, dtype=np.uint64))
@@ -105,6 +105,54 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return checked.where("linked").select("a", "b")
 
 
+def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, class_id, component) of the keys whose classes lie in more than one component."""
+    owned = shared.select("key", "class_id").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
+    owned = materialize(owned.select("key", "class_id", F.coalesce("component", "class_id").alias("component")), "owned")
+    keys = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+    return materialize(owned.join(keys, "key"), "open")
+
+
+def _possible(n: F.Column, common: F.Column, m: F.Column, also: F.Column, percent: int) -> F.Column:
+    """Whether two sets of n and m shingles, `common` and `also` of them not their own, could be linked."""
+    most = F.least(common, also)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _limits(still: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(class_id, n, common) of open classes that some other component could be linked with.
+
+    A shingle that no other component has can't be shared across components. `common` counts the others;
+    a class of too few drops out: at most it equals a set of just those. This is exact, and it settles
+    heavily edited copies without comparing them with anything.
+    """
+    members = still.select(F.col("class_id").alias("doc_id"), "component").distinct()
+    rows = materialize(texts.join(members, "doc_id").select("doc_id", "component", "text").mapInArrow(_explode, "class_id long, component long, shingle long"), "shingles")
+    wide = rows.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("shingle", F.lit(1).alias("wide"))
+    seen = rows.join(wide, "shingle", "left")
+    counts = seen.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.count("wide").alias("common"))
+    return counts.where(100 * F.col("common") >= percent * F.col("n"))
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, comps = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
+        for first, texts in chunks(batch["text"].to_pylist()):
+            docs, hashes = shingle_sets(Words(texts))
+            at = first + docs
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(comps[at]), pa.array(hashes.view(np.int64))], names=["class_id", "component", "shingle"])
+
+
+def _close(met: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) that could be linked and whose signatures lie within the distance."""
+    pairs = met.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
+    left = sig.select(F.col("class_id").alias("a"), F.col("symbols").alias("sa"), "n", "common")
+    right = sig.select(F.col("class_id").alias("b"), F.col("symbols").alias("sb"), F.col("n").alias("m"), F.col("common").alias("also"))
+    got = pairs.join(left, "a").join(right, "b").where(_possible(F.col("n"), F.col("common"), F.col("m"), F.col("also"), percent))
+    apart = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda x: x["sa"] != x["sb"]))
+    return got.where(apart <= DISTANCE).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the group), kept, class_id, class_size.
 
@@ -133,26 +181,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     tried = materialize(best, "tried")
     edges = materialize(confirm(tried, texts, percent), "edges")
-    for turn in range(1, LEADER_ROUNDS + 1):
-        comps = components(edges)
-        owned = shared.select("key", "class_id").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-        owned = materialize(owned, "owned")
-        heads = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min_by("class_id", "component").alias("l1"), F.max_by("class_id", "component").alias("l2")).where("c1 < c2")
-        across = owned.join(heads, "key")
-        if turn < LEADER_ROUNDS:
-            # Each class meets the leader of another component of the key.
-            meet = across.select("class_id", F.when(F.col("component") != F.col("c1"), F.col("l1")).otherwise(F.col("l2")).alias("other"))
-        else:
-            open_rows = across.select("key", "class_id", "component")
-            others = open_rows.select("key", F.col("class_id").alias("other"), F.col("component").alias("c"))
-            meet = open_rows.join(others, "key").where("class_id < other and component <> c").select("class_id", "other")
-        meet = meet.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
-        sig = symbols.select(F.col("class_id").alias("a"), F.col("symbols").alias("sa"))
-        meet = meet.join(tried, ["a", "b"], "left_anti").join(sig, "a").join(sig.withColumnRenamed("a", "b").withColumnRenamed("sa", "sb"), "b")
-        close = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda x: x["sa"] != x["sb"])) <= DISTANCE
-        new = materialize(meet.where(close).select("a", "b"), "pairs")
-        edges = materialize(edges.unionByName(confirm(new, texts, percent)), "edges")
-        tried = tried.unionByName(new)
+    still = _open(shared, components(edges))
+    limits = materialize(_limits(still, texts, percent), "limits")
+    sig = symbols.join(limits, "class_id").select("class_id", "symbols", "n", "common")
+
+    # Each class meets the leader of another component of each of its keys.
+    heads = still.groupBy("key").agg(F.min("component").alias("c1"), F.min_by("class_id", "component").alias("l1"), F.max_by("class_id", "component").alias("l2"))
+    met = still.join(heads, "key").select("class_id", F.when(F.col("component") != F.col("c1"), F.col("l1")).otherwise(F.col("l2")).alias("other")).distinct()
+    new = materialize(_close(met, sig, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    edges = materialize(edges.unionByName(confirm(new, texts, percent)), "edges")
+    tried = tried.unionByName(new)
+
+    # What is still open meets all classes of other components that it could be linked with.
+    rows = _open(shared, components(edges)).join(limits, "class_id")
+    others = rows.select("key", F.col("class_id").alias("other"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("common").alias("also"))
+    apart = (F.col("class_id") < F.col("other")) & (F.col("component") != F.col("c"))
+    met = rows.join(others, "key").where(apart & _possible(F.col("n"), F.col("common"), F.col("m"), F.col("also"), percent)).select("class_id", "other").distinct()
+    new = materialize(_close(met, sig, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    edges = materialize(edges.unionByName(confirm(new, texts, percent)), "edges")
     comps = components(edges)
     classes = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id")).drop("component")
     found = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
