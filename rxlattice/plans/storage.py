@@ -1 +1,131 @@
-"""Queries."""
+"""Queries for sources, sinks, streams and trained models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ml
+from ..operators import sampling as sp
+from ..sources import files
+from ..streaming import jobs
+from .binding import RX, demographics, rx, table
+from .registry import query
+
+WITH = f"WITH {RX}"
+
+
+@query("table_profile", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(min(l_shipdate)::DATE AS VARCHAR) AS first_day, CAST(max(l_shipdate)::DATE AS VARCHAR) AS last_day, count(DISTINCT l_partkey) AS n_keys FROM lineitem")
+def _(spark, sf):
+    return files.table_profile(table(spark, sf, "lineitem"), "l_shipdate", "l_partkey")
+
+
+@query("coverage", "SELECT strftime(l_shipdate, '%Y%m') AS month, CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT l_shipdate::DATE) AS n_days FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.date_format("l_shipdate", "yyyyMM").alias("month")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.to_date("l_shipdate")).alias("n_days"))
+
+
+@query("missing_days", "SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(DATE '1995-01-01' + CAST(i AS INT) AS DATE) AS d FROM range(2600) r(i)) WHERE d NOT IN (SELECT l_shipdate::DATE FROM lineitem)")
+def _(spark, sf):
+    return files.missing_days(table(spark, sf, "lineitem"), "l_shipdate", "1995-01-01", "2002-02-12").select(F.col("day").cast("string").alias("day"))
+
+
+@query("dated_scan", "SELECT event_id, user_id, event_type, CAST(ts::DATE AS VARCHAR) AS dt FROM events WHERE ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'")
+def _(spark, sf):
+    path = jobs.folder(spark, "dated")
+    files.write_dated(table(spark, sf, "events"), path, "ts")
+    pruned = spark.read.parquet(path).where("dt between date '2024-01-10' and date '2024-01-16'")
+    return pruned.select("event_id", "user_id", "event_type", F.col("dt").cast("string").alias("dt"))
+
+
+@query("subset_extract", f"{WITH} SELECT patient_id, drug_id, CAST(count(*) AS BIGINT) AS n FROM rx WHERE start_date <= DATE '1999-06-30' AND end_date >= DATE '1999-06-01' AND patient_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1, 2")
+def _(spark, sf):
+    ids = demographics(spark, sf).where("region < 5")
+    return files.subset(rx(spark, sf), "1999-06-01", "1999-06-30", ids).groupBy("patient_id", "drug_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- streams over the event log; their static twins are monitoring queries
+
+
+def event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return files.stream_table(spark, sf, "events", schema).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("disagree", F.col("event_id") * 7 % 10 < 3)
+
+
+@query("stream_recent", "SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+def _(spark, sf):
+    return jobs.run(jobs.recent(event_stream(spark, sf), "click").select("event_id", "user_id"), "recent").select("event_id", "user_id")
+
+
+@query("stream_daily", "SELECT CAST(ts::DATE AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS n, avg(CAST((event_id * 7) % 10 < 3 AS DOUBLE)) AS disagree_rate FROM events GROUP BY 1")
+def _(spark, sf):
+    return jobs.run(jobs.windows(event_stream(spark, sf), "1 day"), "daily", "complete").select(F.col("start").cast("date").cast("string").alias("day"), "n", "disagree_rate")
+
+
+@query("stream_dedup", "SELECT count(DISTINCT event_id) AS n FROM events")
+def _(spark, sf):
+    return jobs.run(jobs.without_repeats(event_stream(spark, sf), ["event_id"]).select("event_id"), "dedup").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_features", "SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(max(ts)::DATE AS VARCHAR) AS day FROM events GROUP BY 1")
+def _(spark, sf):
+    return jobs.upsert_features(event_stream(spark, sf)).select("user_id", "n", F.col("last_ts").cast("date").cast("string").alias("day"))
+
+
+@query("stream_active", "WITH l AS (SELECT user_id, max(ts) AS m FROM events GROUP BY 1) SELECT user_id, CAST(count(*) AS BIGINT) AS n_seen, CAST(count(*) FILTER (floor(epoch(ts)) + 86400 * (1 + event_id % 5) > epoch(m)) AS BIGINT) AS n_active FROM events JOIN l USING (user_id) GROUP BY 1")
+def _(spark, sf):
+    log = event_stream(spark, sf).select("user_id", "ts", (F.unix_timestamp("ts") + 86400 * (1 + F.col("event_id") % 5)).alias("ends_at"))
+    return jobs.run(jobs.active_state(log), "active", "update").select("user_id", "n_seen", "n_active")
+
+
+# ---- models
+
+
+def _patients(spark, sf):
+    r = rx(spark, sf)
+    label = r.groupBy("patient_id").agg((F.countDistinct("institution_id") >= 33).cast("int").alias("label"), F.countDistinct("drug_id").alias("drugs"), F.avg("total_days").alias("days"), F.count(F.lit(1)).alias("lines"))
+    return sp.split(label, "label", "patient_id"), ml.code_lists(r.select("patient_id", "class_no"), "class_no")
+
+
+@query("train_linear")
+def _(spark, sf):
+    label, codes = _patients(spark, sf)
+    data = label.join(codes, "patient_id").cache()
+    model = ml.linear_model().fit(data.where("split = 'train'"))
+    scored = ml.score(model, data.where("split <> 'train'"))
+    from ..operators.metrics import pr_auc, roc_auc
+
+    s = scored.withColumnRenamed("label", "y").select("patient_id", "y", "score")
+    return roc_auc(s).crossJoin(pr_auc(s)).select("roc_auc", "pr_auc", "best_f1", "best_threshold")
+
+
+@query("train_trees")
+def _(spark, sf):
+    label, _ = _patients(spark, sf)
+    columns = ["drugs", "days", "lines"]
+    model = ml.tree_model(columns).fit(label.where("split = 'train'"))
+    return ml.importances(model, label, columns)
+
+
+@query("batch_score")
+def _(spark, sf):
+    label, codes = _patients(spark, sf)
+    data = label.join(codes, "patient_id")
+    return ml.score(ml.linear_model().fit(data.where("split = 'train'")), data)
+
+
+@query("pair_dataset")
+def _(spark, sf):
+    """Positives (severe pairs) and five negatives each, by hash order, with an 80/10/10 split."""
+    from ..operators.knowledge import pair_dedup
+    from .knowledge import pairs
+
+    rated = pair_dedup(pairs(spark, sf)).where("id_lo <> id_hi")
+    pos = rated.where("rank >= 3").select("id_lo", "id_hi", F.lit(1).alias("label"))
+    ids = rated.select(F.explode(F.array("id_lo", "id_hi")).alias("id")).distinct()
+    # Negatives: for each positive five partners picked by hash from the ids' range, known pairs taken out.
+    top = ids.agg(F.max("id").alias("top"))
+    tries = pos.crossJoin(F.broadcast(top)).select("id_lo", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "id_hi", "top")
+    other = F.pmod(F.xxhash64("id_lo", "id_hi", "k"), F.col("top") + 1)
+    neg = tries.select(F.least("id_lo", other).alias("id_lo"), F.greatest("id_lo", other).alias("id_hi"), F.lit(0).alias("label")).where("id_lo <> id_hi").distinct().join(rated, ["id_lo", "id_hi"], "left_anti")
+    share = F.pmod(F.xxhash64("id_lo", "id_hi"), F.lit(10))
+    return pos.unionByName(neg).withColumn("split", F.when(share < 8, "train").when(share == 8, "val").otherwise("test"))
