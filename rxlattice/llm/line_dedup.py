@@ -8,7 +8,8 @@ Windows are told apart by a 64-bit hash, and a position is only cut where its wi
 Defined cases: texts that are null, blank or have fewer than three lines with words stay as they are;
 lines without words are in no window and stay; rows with a null doc_id stay as they are; rows that repeat
 one doc_id and text are the same occurrence, so a repetition by them removes nothing; an empty table
-gives an empty result; all columns pass through, n_lines and n_removed are added.
+gives an empty result; all columns pass through, n_lines and n_removed are added (columns with
+those names, or named again, give way).
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ def _windows(width: int):
 def _cut(schema: pa.Schema, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, again = batch["text"].to_pylist(), batch["again"].to_pylist()
+            rows, again = dict(zip((f.name for f in batch["row"].type), batch["row"].flatten())), batch["again"].to_pylist()
+            texts = rows["text"].to_pylist()
             n_lines, n_removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for first, data in chunks(texts):
                 docs, position, hashes, per = line_windows(data, width)
@@ -85,7 +87,7 @@ def _cut(schema: pa.Schema, width: int):
                     if gone:
                         texts[first + i] = "\n".join(kept)
                         n_removed[first + i] = len(gone)
-            columns = {c: batch[c] for c in schema.names if c in batch.schema.names} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines), "n_removed": pa.array(n_removed)}
+            columns = rows | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines), "n_removed": pa.array(n_removed)}
             yield pa.RecordBatch.from_arrays([columns[c].cast(t) for c, t in zip(schema.names, schema.types)], schema=schema)
 
     return run
@@ -103,5 +105,6 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     again = later.distinct().groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("pos", "hash")).alias("again"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "again")]
     schema = T.StructType([docs.schema[c] if c != "text" else T.StructField("text", T.StringType()) for c in own] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    joined = docs.select(*own).join(again, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    # The rows travel as one struct, so that no column of theirs can clash with those of the join.
+    joined = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*(F.col(c).cast(schema[c].dataType).alias(c) for c in own)).alias("row")).join(again, "_doc", "left").select("row", "again")
     return joined.mapInArrow(_cut(to_arrow_schema(schema), width), schema)
