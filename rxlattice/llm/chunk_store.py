@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shared_dir, tune
-from .text import mix
+from .common import drop, materialize, shared_dir, tune
+from .text import chunks, mix
 from .tokens import END_ID, crc32, encoder, vocabulary
 
 #: Chunk lengths in ids: least, usual (a power of two) and greatest; ids that the rolling hash sees.
@@ -74,18 +74,24 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    values = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        rolled[k:] += values[: n - k] * np.uint64(pow(int(_ROLL), k, 1 << 64))
-    marks = np.flatnonzero((mix(rolled) & np.uint64(USUAL - 1)) == 0) + 1
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of the last WINDOW ids asks for a cut.
+
+    The window is doubled step by step. It may reach back into a document before, but only where a chunk
+    would be too short to be cut, as WINDOW is less than LEAST.
+    """
+    rolled, width = mix(ids.astype(np.uint64) + np.uint64(1)), 1
+    while width < WINDOW:
+        wider = rolled.copy()
+        wider[width:] += rolled[:-width] * np.uint64(pow(int(_ROLL), width, 1 << 64))
+        rolled, width = wider, 2 * width
+    return np.flatnonzero((mix(rolled) & np.uint64(USUAL - 1)) == 0) + 1
+
+
+def cuts(n: int, wanted: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids, from the cuts that its rolling hash asks for."""
     ends, at = [], 0
-    for mark in [*marks.tolist(), n]:
+    for mark in [*wanted, n]:
         while mark - at > MOST:
             at += MOST
             ends.append(at)
@@ -97,25 +103,30 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 def _stage(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_chunk
         seen: set[bytes] = set()
         for batch in batches:
-            rows = []
-            for uid, doc_id, ids in zip(batch["uid"].to_pylist(), batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist())):
-                ids = np.append(ids, np.uint32(END_ID))
-                ends = cuts(ids)
-                narrow = ids.astype("<u2")
-                payloads = [narrow[a:b].tobytes() for a, b in zip([0, *ends], ends)]
-                leaves = [address(p) for p in payloads]
-                fresh = []
-                for leaf, payload in zip(leaves, payloads):
-                    if leaf not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(leaf)
-                        fresh.append({"address": leaf, "payload": payload})
-                rows.append((uid, doc_id, len(ids), leaves, np.diff([0, *ends]).tolist(), merkle_root(leaves), fresh))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STAGED_ARROW.types)], schema=_STAGED_ARROW) if rows else pa.RecordBatch.from_pylist([], _STAGED_ARROW)
+            uids, doc_ids = batch["uid"].to_pylist(), batch["doc_id"].to_pylist()
+            for first, texts in chunks(batch["text"].to_pylist()):
+                ids, lengths = encode(texts, END_ID)
+                narrow, wanted = ids.astype("<u2"), marks(ids)
+                stops = np.cumsum(lengths)
+                edges = np.searchsorted(wanted, np.concatenate(([0], stops)), side="right")
+                rows = []
+                for i, (n, stop) in enumerate(zip(lengths.tolist(), stops.tolist())):
+                    start = stop - n
+                    ends = cuts(n, (wanted[edges[i] : edges[i + 1]] - start).tolist())
+                    payloads = [narrow[start + a : start + b].tobytes() for a, b in zip([0, *ends], ends)]
+                    leaves = [address(p) for p in payloads]
+                    fresh = []
+                    for leaf, payload in zip(leaves, payloads):
+                        if leaf not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(leaf)
+                            fresh.append({"address": leaf, "payload": payload})
+                    rows.append((uids[first + i], doc_ids[first + i], n, leaves, np.diff([0, *ends]).tolist(), merkle_root(leaves), fresh))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STAGED_ARROW.types)], schema=_STAGED_ARROW)
 
     return run
 
@@ -147,6 +158,7 @@ def write_store(docs: DataFrame, vocab: str | None = None) -> Store:
         .select(F.spark_partition_id().alias("part"), "uid", "doc_id", "n_tokens", "addresses", "lengths", "root")
         .write.option("compression", "zstd").parquet(f"{store.path}/recipes")
     )
+    drop(staged)
     return store
 
 
@@ -160,16 +172,29 @@ def _times(a: int, b: np.ndarray) -> np.ndarray:
     return out
 
 
+_SHIFTS: list[np.ndarray] = []
+
+
+def _shift(bit: int) -> np.ndarray:
+    """4 x 256 table: what each byte of a crc turns into when 2**bit zero bytes follow."""
+    while len(_SHIFTS) <= bit:
+        power = 1 << 23  # x to the 8: one byte
+        for _ in range(len(_SHIFTS)):
+            power = int(_times(power, np.array([power], np.uint64))[0])
+        _SHIFTS.append(np.stack([_times(power, np.arange(256, dtype=np.uint64) << np.uint64(8 * k)) for k in range(4)]))
+    return _SHIFTS[bit]
+
+
 def crc_shifted(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     """What each crc32 adds to the crc32 of a longer stream that has `zeros` bytes after it."""
-    out, left = crc.astype(np.uint64), zeros.astype(np.uint64)
-    power = 1 << 23  # x to the 8: one byte
-    while left.any():
-        odd = (left & np.uint64(1)).astype(bool)
-        if odd.any():
-            out[odd] = _times(power, out[odd])
-        left >>= np.uint64(1)
-        power = int(_times(power, np.array([power], np.uint64))[0])
+    out, left = crc.astype(np.uint64), zeros.astype(np.int64)
+    for bit in range(int(left.max()).bit_length() if len(left) else 0):
+        odd = np.flatnonzero(left >> bit & 1)
+        old, table = out[odd], _shift(bit)
+        new = table[0][(old & np.uint64(255)).astype(np.int64)]
+        for k in (1, 2, 3):
+            new = new ^ table[k][(old >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)]
+        out[odd] = new
     return out
 
 

@@ -73,7 +73,7 @@ class SumOfSquares:
             self.open.setdefault(level + length, []).append(window)
 
     def finish(self) -> None:
-        """Fill the fullest open windows from the emptiest ones; cut the last at powers of two."""
+        """Lay the open windows' pieces in a row and cut it into whole windows, the rest at powers of two."""
         left = [(level, w) for level, ws in sorted(self.open.items()) for w in ws]
         self.open.clear()
         self.count[:] = 0
@@ -112,8 +112,8 @@ def _pack(path: str, size: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW) if rows else pa.RecordBatch.from_pylist([], _ARROW)
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist())):
-                packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist(), END_ID)):
+                packer.add(doc_id, ids)
             yield done()
         packer.finish()
         yield done()

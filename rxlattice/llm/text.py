@@ -16,6 +16,8 @@ SHINGLE = 5
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_MARK = np.isin(np.arange(256), [ord(c) for c in ".,!?;:"])
+_LETTER = np.isin(np.arange(256) | 32, np.arange(ord("a"), ord("z") + 1)) & (np.arange(256) < 128)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,9 +50,12 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tu
 
 
 class Words:
-    """The words of a few texts: `start`/`end` byte offsets in `data`, `doc` index, `hash`."""
+    """The words of a few texts: `start`/`end` byte offsets in `data`, `doc` index, `hash`.
 
-    def __init__(self, texts: Sequence[bytes], lower: bool = True):
+    With `marks`, one of .,!?;: that ends a word after an ASCII letter is a word of its own.
+    """
+
+    def __init__(self, texts: Sequence[bytes], lower: bool = True, marks: bool = False):
         self.n = len(texts)
         raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         lens = np.fromiter(map(len, texts), np.int64, self.n)
@@ -59,6 +64,10 @@ class Words:
         blank = _BLANK[raw]
         edge = np.flatnonzero(np.diff(blank, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
+        if marks and len(self.end):
+            ends = np.flatnonzero(_MARK[raw[self.end - 1]] & _LETTER[raw[self.end - 2]] & (self.end - self.start > 1))
+            at = self.end[ends] - 1
+            self.start, self.end = np.insert(self.start, ends + 1, at), np.insert(self.end, ends, at)
         self.doc = np.searchsorted(self.doc_at, self.start, side="right") - 1
         self.hash = span_hash(self.data, self.start, self.end)
 
