@@ -135,7 +135,7 @@ def robust_unscale(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataF
 def feature_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sample variance of each column and Pearson's r of each pair, long, from one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)), *(F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
+    row = df.agg(*(F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)), *(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
     facts = [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.col(f"v{i}").alias("value")) for i, c in enumerate(columns)]
     facts += [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("value")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*facts)))

@@ -40,7 +40,7 @@ def split(df: DataFrame, label: str, id_: str, shares: tuple[float, ...] = (0.7,
     out, at = None, 0.0
     for share, name in zip(shares[:-1], names):
         at += share
-        inside = F.col("_n") <= F.floor(F.lit(at) * F.col("_all"))
+        inside = F.col("_n") <= F.floor(F.lit(at) * F.col("_all") + 1e-9)
         out = F.when(inside, name) if out is None else out.when(inside, name)
     return ranked.withColumn("split", out.otherwise(names[-1])).drop("_n", "_all")
 

@@ -214,7 +214,7 @@ def _(spark, sf):
     return sp.stratified(table(spark, sf, "labels"), ["quality", "toxic"], 100, "doc_id").select("doc_id", "quality", "toxic")
 
 
-@query("split_stratified", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_IDHASH}, doc_id) AS n, count(*) OVER (PARTITION BY quality) AS a FROM labels) SELECT doc_id, quality, CASE WHEN n <= floor(0.7::DOUBLE * a) THEN 'train' WHEN n <= floor((0.7::DOUBLE + 0.15::DOUBLE) * a) THEN 'val' ELSE 'test' END AS split FROM r")
+@query("split_stratified", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_IDHASH}, doc_id) AS n, count(*) OVER (PARTITION BY quality) AS a FROM labels) SELECT doc_id, quality, CASE WHEN n <= floor(0.7::DOUBLE * a + 1e-9) THEN 'train' WHEN n <= floor((0.7::DOUBLE + 0.15::DOUBLE) * a + 1e-9) THEN 'val' ELSE 'test' END AS split FROM r")
 def _(spark, sf):
     return sp.split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
