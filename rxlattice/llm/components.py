@@ -16,11 +16,9 @@ def components(edges: DataFrame, kind: str = "labels") -> DataFrame:
     """
     both = materialize(edges.select("a", "b").where("a <> b").unionByName(edges.selectExpr("b as a", "a as b").where("a <> b")).distinct(), kind)
     labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component"))
-    labels = materialize(labels, kind)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("component"))
-        lower = materialize(lower, kind)
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = materialize(lower.join(jump, "component").select("node", "was", F.least("component", "further").alias("component")), kind)
         labels = moved.select("node", "component")

@@ -106,17 +106,22 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, class_id, component) of the keys whose classes lie in more than one component."""
-    owned = shared.select("key", "class_id").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    owned = materialize(owned.select("key", "class_id", F.coalesce("component", "class_id").alias("component")), "owned")
+    """(key, slot, class_id, component) of the keys whose classes lie in more than one component."""
+    owned = shared.select("key", "slot", "class_id").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
+    owned = owned.select("key", "slot", "class_id", F.coalesce("component", "class_id").alias("component"))
     keys = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
     return materialize(owned.join(keys, "key"), "open")
 
 
-def _possible(n: F.Column, common: F.Column, m: F.Column, also: F.Column, percent: int) -> F.Column:
-    """Whether two sets of n and m shingles, `common` and `also` of them not their own, could be linked."""
-    most = F.least(common, also)
-    return 100 * most >= percent * (n + m - most)
+def _possible(percent: int) -> F.Column:
+    """Whether two sets of n_a and n_b shingles, common_a and common_b of them not their own, could be linked."""
+    most = F.least("common_a", "common_b")
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
+def _close() -> F.Column:
+    """Whether two signatures lie within the distance."""
+    return F.size(F.filter(F.arrays_zip("symbols_a", "symbols_b"), lambda x: x["symbols_a"] != x["symbols_b"])) <= DISTANCE
 
 
 def _limits(still: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -143,16 +148,6 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(comps[at]), pa.array(hashes.view(np.int64))], names=["class_id", "component", "shingle"])
 
 
-def _close(met: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) that could be linked and whose signatures lie within the distance."""
-    pairs = met.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
-    left = sig.select(F.col("class_id").alias("a"), F.col("symbols").alias("sa"), "n", "common")
-    right = sig.select(F.col("class_id").alias("b"), F.col("symbols").alias("sb"), F.col("n").alias("m"), F.col("common").alias("also"))
-    got = pairs.join(left, "a").join(right, "b").where(_possible(F.col("n"), F.col("common"), F.col("m"), F.col("also"), percent))
-    apart = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda x: x["sa"] != x["sb"]))
-    return got.where(apart <= DISTANCE).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the group), kept, class_id, class_size.
 
@@ -168,7 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = filled.groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_size"))
     classes = materialize(classes, "classes")
     symbols = filled.join(classes, F.col("doc_id") == F.col("class_id")).where(filled.set_id == classes.set_id).select("class_id", "symbols").dropDuplicates(["class_id"])
-    keyed = materialize(symbols.select("class_id", F.explode(_keys()).alias("key")), "keys")
+    keyed = materialize(symbols.select("class_id", F.posexplode(_keys()).alias("slot", "key")), "keys")
     # A key of one class links nothing.
     leaders = keyed.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high")
     shared = materialize(keyed.join(leaders, "key"), "shared")
@@ -185,20 +180,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     limits = materialize(_limits(still, texts, percent), "limits")
     sig = symbols.join(limits, "class_id").select("class_id", "symbols", "n", "common")
 
-    # Each class meets the leader of another component of each of its keys.
-    heads = still.groupBy("key").agg(F.min("component").alias("c1"), F.min_by("class_id", "component").alias("l1"), F.max_by("class_id", "component").alias("l2"))
-    met = still.join(heads, "key").select("class_id", F.when(F.col("component") != F.col("c1"), F.col("l1")).otherwise(F.col("l2")).alias("other")).distinct()
-    new = materialize(_close(met, sig, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    # Each class meets the hub of each of its keys: the class with the greatest share of common shingles.
+    rated = still.join(limits, "class_id")
+    hub = F.max_by(F.struct("class_id", "component"), F.struct(F.col("common") / F.col("n"), -F.col("class_id")))
+    met = rated.join(rated.groupBy("key").agg(hub.alias("hub")), "key").where("component <> hub.component").select("class_id", F.col("hub.class_id").alias("other")).distinct()
+    pairs = met.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
+    left, right = sig.select(*(F.col(c).alias(f"{c}_a") for c in sig.columns)), sig.select(*(F.col(c).alias(f"{c}_b") for c in sig.columns))
+    pairs = pairs.join(left, F.col("a") == F.col("class_id_a")).join(right, F.col("b") == F.col("class_id_b")).where(_possible(percent) & _close())
+    new = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
     edges = materialize(edges.unionByName(confirm(new, texts, percent)), "edges")
     tried = tried.unionByName(new)
 
-    # What is still open meets all classes of other components that it could be linked with.
-    rows = _open(shared, components(edges)).join(limits, "class_id")
-    others = rows.select("key", F.col("class_id").alias("other"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("common").alias("also"))
-    apart = (F.col("class_id") < F.col("other")) & (F.col("component") != F.col("c"))
-    met = rows.join(others, "key").where(apart & _possible(F.col("n"), F.col("common"), F.col("m"), F.col("also"), percent)).select("class_id", "other").distinct()
-    new = materialize(_close(met, sig, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    edges = materialize(edges.unionByName(confirm(new, texts, percent)), "edges")
+    # What is still open meets all classes of other components that it could be linked with, each pair
+    # under the first key that it shares.
+    rows = _open(shared, components(edges)).join(sig.withColumn("keys", _keys()), "class_id")
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "ab")
+    apart = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("component_a") != F.col("component_b"))
+    earlier = F.exists(F.arrays_zip(F.slice("keys_a", F.lit(1), F.col("slot_a")), F.slice("keys_b", F.lit(1), F.col("slot_a"))), lambda x: x["0"] == x["1"])
+    met = left.join(right, (left.key == right.key) & apart & _possible(percent) & _close() & ~earlier)
+    new = met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    edges = materialize(edges.unionByName(confirm(materialize(new, "pairs"), texts, percent)), "edges")
     comps = components(edges)
     classes = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id")).drop("component")
     found = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
