@@ -132,3 +132,15 @@ def pseudonym(c: Column, salt: str) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Per cent to 4 places, 0 of nothing."""
     return F.when(whole == 0, 0.0).otherwise(F.round(part / whole * 100, 4))
+
+
+def strict_days(c: Column) -> Column:
+    """Days of supply: blank and 0 count as 1, a trailing .0 goes, any other text raises."""
+    t = F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), r"\.0+$", "")
+    return F.when(t.isin("", "0"), 1).when(t.rlike(r"^[0-9]+$"), t.try_cast("int")).otherwise(F.raise_error(F.concat(F.lit("not a number of days: "), t)).cast("int"))
+
+
+def repaired_components(parts: Column, parsed: Column, known: Column) -> Column:
+    """Components parsed anew are taken only if they map to a strict superset of the known ids."""
+    old, new = F.array_intersect(parts, known), F.array_intersect(parsed, known)
+    return F.when((F.size(F.array_except(old, new)) == 0) & (F.size(new) > F.size(old)), parsed).otherwise(parts)
