@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .near_dedup import signatures
+from .text import Words, chunks, shingle_sets
+
+
+def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The rows but for near copies of earlier ones, which would make their rare words look typical.
+
+    Texts count as copies if they share one of four pairs of MinHash symbols; for a training sample that
+    will do.
+    """
+    seen: set[tuple[int, int, int]] = set()
+    kept = []
+    for first, texts in chunks([t for t, _ in rows]):
+        docs, hashes = shingle_sets(Words(texts))
+        filled = set(docs.tolist())
+        for i, symbols in enumerate(signatures(docs, hashes, len(texts)).tolist()):
+            keys = {(k, symbols[k], symbols[k + 1]) for k in (0, 2, 4, 6)} if i in filled else set()
+            if not keys & seen:
+                kept.append(rows[first + i])
+            seen |= keys
+    return kept
+
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: Column, most: dict[int, int]) -> list:
     """Rows (text, label) of at most `most[v]` labelled documents for each label value v.
 
     The rows of least hash of their doc_id are taken, so the sample is fixed and its size has a bound;
-    only their ids are joined to the texts, as a broadcast of that bound.
+    only their ids are joined to the texts, as a broadcast of that bound. Near copies are taken out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = None
@@ -22,4 +44,4 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: Column, most: dic
     seen: dict[int, tuple[str, int]] = {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or "")):
         seen.setdefault(r["doc_id"], (r["text"] or "", r["label"]))
-    return list(seen.values())
+    return without_copies(list(seen.values()))

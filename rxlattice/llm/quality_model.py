@@ -62,12 +62,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out_val.append(np.sqrt(count / (size[owner] + 1)))
     per = np.maximum(words.counts(), 1)
     same = np.bincount(words.doc[1:][(words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=n) / per
-    pairs = np.unique(words.hash ^ mix(words.doc.astype(np.uint64)))
     whose = np.zeros(n)
     if len(words.hash):
         _, first = np.unique(words.hash ^ mix(words.doc.astype(np.uint64)), return_index=True)
         whose = np.bincount(words.doc[first], minlength=n) / per
-    del pairs
     for slot, value in enumerate((same, 1 - whose, 1 / np.sqrt(per))):
         out_doc.append(np.arange(n))
         out_key.append(np.full(n, (1 << BITS) + slot))
@@ -104,8 +102,8 @@ def fit(rows: list[tuple[str, int]], grades: int, steps: int = STEPS, l2: float
     docs, keys, values = [], [], []
     for first, texts in chunks([t for t, _ in rows]):
         d, k, v = features(texts)
-        docs.append(d + first)
-        keys.append(k)
+        docs.append((d + first).astype(np.int32))
+        keys.append(k.astype(np.int32))
         values.append(v)
     doc, key, value = np.concatenate(docs), np.concatenate(keys), np.concatenate(values)
     n = len(y)

@@ -31,8 +31,9 @@ from .text import Words, chunks, mix, span_hash
 BITS, CHAIN, PREFIXES, ROUNDS = 18, 64, (3, 4, 5, 6), 30
 #: Labelled training documents of each label that the fit may use.
 MOST = {0: 3000, 1: 1500}
-#: A feature marks a toxic word if it is in so many toxic documents and so much likelier in them (log).
-LEAST_DOCS, LEAST_ODDS = 3, 3.0
+#: A feature marks a toxic word if it is in so many toxic documents (and such a share of them) and so much
+#: likelier in them (log).
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 3.0
 PREDICT = 0.7
 SCHEMA = "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
@@ -73,6 +74,11 @@ class Tagged:
         self.head = np.flatnonzero(fresh)
         self.length = np.diff(np.append(self.head, n))
 
+    def slim(self) -> Tagged:
+        """Without the bytes: what training needs."""
+        self.words.data = self.words.data[:0]
+        return self
+
 
 def _soft(a: np.ndarray | float, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a, b)
@@ -141,42 +147,52 @@ def _flat(rate: float) -> Field:
     return Field(np.zeros(1 << BITS), -40.0, np.zeros((2, 2)), np.array([odds, 0.0, 0.0, 0.0]))
 
 
-def word_labels(tagged: Tagged, toxic: np.ndarray) -> np.ndarray:
+def word_labels(parts: list[Tagged], toxic: list[np.ndarray]) -> list[np.ndarray]:
     """1 for the words of toxic documents that have a feature typical of such documents."""
-    seen = np.unique((tagged.features.astype(np.int64) * tagged.words.n + tagged.words.doc[:, None]).reshape(-1))
-    feature, doc = seen // tagged.words.n, seen % tagged.words.n
-    inside = np.bincount(feature[toxic[doc] == 1], minlength=1 << BITS)
-    outside = np.bincount(feature[toxic[doc] == 0], minlength=1 << BITS)
-    odds = np.log((inside + 0.5) / (toxic.sum() + 1)) - np.log((outside + 0.5) / ((toxic == 0).sum() + 1))
-    typical = (odds >= LEAST_ODDS) & (inside >= LEAST_DOCS)
-    return (typical[tagged.features].any(1) & (toxic[tagged.words.doc] == 1)).astype(float)
+    inside, outside = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for tagged, bad in zip(parts, toxic):
+        seen = np.unique((tagged.features.astype(np.int64) * tagged.words.n + tagged.words.doc[:, None]).reshape(-1))
+        feature, doc = seen // tagged.words.n, seen % tagged.words.n
+        inside += np.bincount(feature[bad[doc] == 1], minlength=1 << BITS)
+        outside += np.bincount(feature[bad[doc] == 0], minlength=1 << BITS)
+    n_bad, n_all = sum(int(b.sum()) for b in toxic), sum(map(len, toxic))
+    odds = np.log((inside + 0.5) / (n_bad + 1)) - np.log((outside + 0.5) / (n_all - n_bad + 1))
+    typical = (odds >= LEAST_ODDS) & (inside >= max(LEAST_DOCS, LEAST_SHARE * n_bad))
+    return [(typical[t.features].any(1) & (b[t.words.doc] == 1)).astype(float) for t, b in zip(parts, toxic)]
 
 
 def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Field:
-    toxic = np.array([label for _, label in rows], np.int64)
-    if not len(rows) or toxic.min() == toxic.max():
-        return _flat(float(toxic.mean()) if len(rows) else 0.0)
-    tagged = Tagged([t.encode() for t, _ in rows])
-    y = word_labels(tagged, toxic)
-    inner = np.ones(len(y), bool)
-    inner[tagged.head] = False
-    at = np.flatnonzero(inner)
-    held = np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).reshape(2, 2).astype(float)
-    flat, owner = tagged.features.reshape(-1), np.repeat(np.arange(len(y)), tagged.features.shape[1])
-    rate = max(y.mean(), 1e-6)
+    """Fit on labelled texts, worked on in chunks so that memory follows the words, not their bytes."""
+    labels = np.array([label for _, label in rows], np.int64)
+    if not len(rows) or labels.min() == labels.max():
+        return _flat(float(labels.mean()) if len(rows) else 0.0)
+    parts, toxic = [], []
+    for first, texts in chunks([t for t, _ in rows]):
+        parts.append(Tagged(texts).slim())
+        toxic.append(labels[first : first + len(texts)])
+    ys = word_labels(parts, toxic)
+    held = np.zeros((2, 2))
+    for tagged, y in zip(parts, ys):
+        inner = np.ones(len(y), bool)
+        inner[tagged.head] = False
+        at = np.flatnonzero(inner)
+        held += np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).reshape(2, 2)
+    rate = max(sum(y.sum() for y in ys) / max(sum(map(len, ys)), 1), 1e-6)
     model = Field(np.zeros(1 << BITS), float(np.log(rate / (1 - rate))), np.zeros((2, 2)), np.zeros(4))
     squares, square_t = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        emit = model.weights[tagged.features].sum(1) + model.bias
-        marginal, pairs, _ = forward_backward(emit, tagged.head, tagged.length, model.transitions)
-        slope = y - marginal
-        grad = np.bincount(flat, slope[owner], minlength=1 << BITS) - 0.01 * model.weights
+        grad, step = -0.01 * model.weights, held.copy()
+        for tagged, y in zip(parts, ys):
+            emit = model.weights[tagged.features].sum(1) + model.bias
+            marginal, pairs, _ = forward_backward(emit, tagged.head, tagged.length, model.transitions)
+            for column in tagged.features.T:
+                grad += np.bincount(column, y - marginal, minlength=1 << BITS)
+            step -= pairs
         squares += grad * grad
         model.weights += 1.0 * grad / np.sqrt(squares)
-        step = held - pairs
         square_t += step * step
         model.transitions += 0.3 * step / np.sqrt(square_t)
-    x = _summary(tagged, model.tag(tagged))
+    x, toxic = np.concatenate([_summary(t, model.tag(t)) for t in parts]), labels
     for _ in range(25):  # Newton's method; documents of both labels count alike
         p = 1 / (1 + np.exp(-np.clip(x @ model.link, -40, 40)))
         weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (toxic == 0).sum())
