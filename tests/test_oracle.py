@@ -1,8 +1,11 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
 import os
+from numbers import Number
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from rxlattice.plans import registry
@@ -14,7 +17,7 @@ SQL = registry.oracle_sql()
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple("null" if v is None or v != v else repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return list(frame.columns), sorted(tuple("null" if pd.isna(v) else str(bool(v)) if isinstance(v, (bool, np.bool_)) else repr(round(float(v), 6) + 0.0) if isinstance(v, Number) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
