@@ -60,7 +60,7 @@ def pr_auc(df: DataFrame) -> DataFrame:
     tp0, fp0 = F.col("tp") - F.col("n_pos"), F.col("fp") - F.col("n_neg")
     before = F.when(tp0 + fp0 == 0, 1.0).otherwise(tp0 / (tp0 + fp0))
     now = F.col("tp") / (F.col("tp") + F.col("fp"))
-    area = (F.col("n_pos") / F.col("pos")) * (before + now) / 2
+    area = _ratio(F.col("n_pos"), F.col("pos")) * (before + now) / 2
     f1 = _ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos"))
     return c.select(area.alias("area"), f1.alias("f1"), "score").agg(F.sum("area").alias("pr_auc"), F.max("f1").alias("best_f1"), F.max_by("score", F.struct("f1", "score")).alias("best_threshold"))
 

@@ -82,7 +82,9 @@ def _(spark, sf):
 
 def _patients(spark, sf):
     r = rx(spark, sf)
-    label = r.groupBy("patient_id").agg((F.countDistinct("institution_id") >= 33).cast("int").alias("label"), F.countDistinct("drug_id").alias("drugs"), F.avg("total_days").alias("days"), F.count(F.lit(1)).alias("lines"))
+    counts = r.groupBy("patient_id").agg(F.countDistinct("institution_id").alias("places"), F.countDistinct("drug_id").alias("drugs"), F.avg("total_days").alias("days"), F.count(F.lit(1)).alias("lines"))
+    middle = counts.agg(F.avg("places").alias("middle"))
+    label = counts.crossJoin(F.broadcast(middle)).select("patient_id", (F.col("places") > F.col("middle")).cast("int").alias("label"), "drugs", "days", "lines")
     return sp.split(label, "label", "patient_id"), ml.code_lists(r.select("patient_id", "class_no"), "class_no")
 
 
