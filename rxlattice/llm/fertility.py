@@ -1,12 +1,17 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary with byte fallback splits each word; a text's characters per token, share of byte
-tokens and entropy of its tokens (bits) say how far it is from language that the vocabulary knows. Every
-script has its own bands; a text outside a band is rejected. The base rules (words, repeated words) come
-first.
+tokens and entropy of its tokens (bits) say how far it is from language that the vocabulary knows. A text
+outside a band is rejected. The base rules (words, repeated words) come first.
+
+The bands come from the corpus: one aggregate takes the quartiles of all texts that pass the base rules, per
+script, language and size (entropy grows with a text's length), per script and language, and per script. A
+text is held against the finest of these groups that has `LEAST_TEXTS` texts. A band reaches from the median
+`BELOW` and `ABOVE` deviations, each side by its own quartile; the share of byte tokens is bounded above only,
+as fewer of them are never worse. The fixed limits per script hold always, and alone where groups are small.
 
 Defined cases: a null, empty or blank text has no word, fails the base rule and has 0 for all measures;
-the script of a text without letters is `other`; repeated rows are measured alike; an empty table gives
+the script of a text without letters is `other`; a null or missing lang is the language ''; repeated rows are measured alike; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -19,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 from .text import Words, chunks, combine
 from .tokens import vocabulary
 
 #: Words whose pieces a worker remembers; beyond it the table starts anew.
 MEMO = 400_000
-#: Per script: least and greatest characters per token, greatest share of byte tokens, least entropy.
+#: Fixed limits per script: least and greatest characters per token, greatest share of byte tokens, least entropy.
 BANDS = {
     "latin": (1.3, 7.0, 0.10, 4.0),
     "cyrillic": (1.0, 6.0, 0.30, 4.0),
@@ -34,10 +39,19 @@ BANDS = {
     "other": (0.3, 7.0, 0.90, 3.0),
 }
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: A band's reach in deviations below and above the median; texts that a group needs for bands of its own.
+BELOW, ABOVE, LEAST_TEXTS = 3.5, 4.5, 50
+#: Least deviation of each measure, so that texts of one kind don't reject each other for a trifle.
+LEAST_DEVIATION = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.05}
+#: Quartile to standard deviation of a normal distribution.
+_NORMAL = 0.6745
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_token double, byte_share double, entropy double"
 _TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
-_ARROW = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in SCHEMA.split(", ")])
+_MEASURED = SCHEMA + ", lang string"
+_ARROW = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _MEASURED.split(", ")])
+#: Columns of the bands' groups, finest first.
+_LEVELS = (("script", "lang", "size"), ("script", "lang"), ("script",))
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -150,6 +164,37 @@ def measure(texts: list[bytes], pieces: Pieces) -> dict[str, np.ndarray | list]:
     return out
 
 
+def corpus_bands(measured: DataFrame) -> DataFrame:
+    """level, script, lang, size and per measure its least and greatest value, of groups of LEAST_TEXTS texts.
+
+    Values are rounded, so the exact quartiles are taken of counts of few values and don't depend on partitions.
+    """
+    of = [F.struct(F.lit(i).alias("level"), *(F.col(c) if c in level else F.lit(None).alias(c) for c in _LEVELS[0])) for i, level in enumerate(_LEVELS)]
+    rows = measured.where("not base_failed").select(F.explode(F.array(*of)).alias("of"), *LEAST_DEVIATION)
+    quartiles = [F.percentile(F.round(m, 3), [0.25, 0.5, 0.75]).alias(m) for m in LEAST_DEVIATION]
+    groups = rows.groupBy("of").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= LEAST_TEXTS)
+
+    def edge(m: str, reach: float, quarter: int) -> F.Column:
+        deviation = F.greatest(F.abs(F.col(m)[quarter] - F.col(m)[1]) / _NORMAL, F.lit(LEAST_DEVIATION[m]))
+        return F.col(m)[1] + reach * deviation
+
+    edges = [e for m in LEAST_DEVIATION for e in (edge(m, -BELOW, 0).alias(f"low_{m}"), edge(m, ABOVE, 2).alias(f"high_{m}"))]
+    return groups.select("of.*", *edges)
+
+
+def keep_inside(measured: DataFrame, bands: DataFrame) -> DataFrame:
+    """`kept` also asks for the measures to lie in the bands of the finest group known of each text."""
+    limits = [f"{side}_{m}" for m in LEAST_DEVIATION for side in ("low", "high")]
+    for i, level in enumerate(_LEVELS):
+        near = bands.where(F.col("level") == i).select(*level, F.struct(*limits).alias(f"band{i}"))
+        measured = measured.join(F.broadcast(near), list(level), "left")
+    band = F.coalesce(*(f"band{i}" for i in range(len(_LEVELS))))
+    inside = F.col("byte_share") <= band["high_byte_share"]
+    for m in ("chars_per_token", "entropy"):
+        inside &= F.col(m).between(band[f"low_{m}"], band[f"high_{m}"])
+    return measured.withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True)))
+
+
 def apply_rules(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     """One row per document: base counts, base_failed, kept, script and the three measures."""
     tune(docs.sparkSession)
@@ -160,8 +205,10 @@ def apply_rules(docs: DataFrame, vocab: str | None = None) -> DataFrame:
         for batch in batches:
             for first, texts in chunks(batch["text"].to_pylist()):
                 got = measure(texts, pieces)
-                got["doc_id"] = batch["doc_id"].slice(first, len(texts))
+                got["doc_id"], got["lang"] = (batch[c].slice(first, len(texts)) for c in ("doc_id", "lang"))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := got[k], pa.Array) else pa.array(c, t) for k, t in zip(_ARROW.names, _ARROW.types)], schema=_ARROW)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    measured = materialize(rows.mapInArrow(run, _MEASURED), "fertility").withColumn("size", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
+    return keep_inside(measured, corpus_bands(measured)).select(*_ARROW.names[:-1])

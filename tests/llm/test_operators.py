@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -318,6 +319,25 @@ def test_fertility_bands_reject_byte_soup(spark):
     assert good.kept and not bad.base_failed and bad.byte_share > 0.5 and not bad.kept
 
 
+def test_fertility_bands_of_the_corpus_reject_labelled_bad_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = fertility.apply_rules(docs).where("not base_failed").join(labels, "doc_id").collect()
+    bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1]
+    assert len(bad) >= 10 and sum(bad) < 0.5 * len(bad) and sum(good) > 0.97 * len(good)
+
+
+def test_fertility_bands_differ_by_language(spark):
+    rng = random.Random(5)
+    texts = [prose(200, rng) for _ in range(120)]
+    other = [" ".join(w.upper() for w in t.split()) for t in texts]
+    rows = [(i, t, "aa") for i, t in enumerate(texts)] + [(200 + i, t, "bb") for i, t in enumerate(other)] + [(999, other[0], "aa"), (1000, texts[0], "bb")]
+    kept = {r.doc_id: r.kept for r in fertility.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept.pop(999) and not kept.pop(1000) and sum(kept.values()) > 0.95 * len(kept)
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     emit, a = rng.normal(size=9), rng.normal(size=(2, 2))
