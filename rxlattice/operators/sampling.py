@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +93,43 @@ def dense_index(counts: DataFrame, code: str, reserved: int = 1) -> DataFrame:
     return counts.withColumn("_in", inside).join(F.broadcast(per.withColumn("_before", before)), "n").select(code, "n", (F.col("_before") + F.col("_in") - 1 + reserved).cast("long").alias("idx"))
 
 
+def negative_pairs(pos: DataFrame, known: DataFrame, per: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`per` unknown pairs (id_lo, id_hi) for each positive one, all distinct, by hash order.
+
+    Both ends of a positive draw partners from the ids of `known`: hash buckets of about eight ids at first, and
+    buckets four times as large in each further round for those that fell short, to all ids in the end. Positives
+    whose ends have no unknown partner left take pairs of other ids in the same way. There are fewer only where no
+    unknown pair of ids is left.
+    """
+    ids = save(known.select(F.explode(F.array("id_lo", "id_hi")).alias("id")).distinct())
+    most = max(1, ids.count() // 8)
+    buckets, own_ends, owner = most, True, ["own_lo", "own_hi"]
+    short = pos.select(F.col("id_lo").alias("own_lo"), F.col("id_hi").alias("own_hi"), F.lit(per).alias("wanted"))
+    parts: list[DataFrame] = []
+    turn = 0
+    while True:
+        partners = ids.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+        if own_ends:
+            ends = short.select("*", F.explode(F.array(*owner)).alias("end"))
+        else:
+            ends = short.withColumn("bucket", F.pmod(F.xxhash64(*owner, F.lit(turn)), F.lit(buckets))).join(partners.withColumnRenamed("id", "end"), "bucket").drop("bucket")
+        drawn = ends.withColumn("bucket", F.pmod(F.xxhash64(*owner, "end", F.lit(turn)), F.lit(buckets)))
+        met = drawn.join(partners, "bucket").where("end <> id").select(*owner, "wanted", F.least("end", "id").alias("id_lo"), F.greatest("end", "id").alias("id_hi"))
+        for seen in (known, *parts):
+            met = met.join(seen.select("id_lo", "id_hi"), ["id_lo", "id_hi"], "left_anti")
+        # A pair goes to one of the positives that drew it, and each of these takes what it wants.
+        first = met.groupBy("id_lo", "id_hi").agg(F.min(F.struct(F.xxhash64(*owner, "id_lo", "id_hi").alias("h"), *owner, "wanted")).alias("o"))
+        place = F.row_number().over(Window.partitionBy(*owner).orderBy("h", "id_lo", "id_hi"))
+        got = save(first.select("id_lo", "id_hi", "o.*").withColumn("place", place).where("place <= wanted").select("id_lo", "id_hi", *owner))
+        added = got.groupBy(*owner).agg(F.count(F.lit(1)).alias("n"))
+        short = save(short.join(added, owner, "left").select(*owner, (F.col("wanted") - F.coalesce("n", F.lit(0))).cast("int").alias("wanted")).where("wanted > 0"))
+        parts.append(got)
+        exhausted = buckets == 1 and got.isEmpty()
+        if short.isEmpty() or (exhausted and not own_ends):
+            return reduce(DataFrame.unionByName, parts).select("id_lo", "id_hi")
+        buckets, own_ends, turn = most if exhausted else max(1, buckets // 4), own_ends and not exhausted, turn + 1
+
+
 def multihot(events: DataFrame, vocab: DataFrame, code: str, id_: str = "patient_id") -> DataFrame:
     """Distinct (id, idx) of events; codes outside the vocabulary are index 0."""
     return events.join(vocab.select(code, "idx"), code, "left").select(id_, F.coalesce("idx", F.lit(0)).cast("long").alias("idx")).distinct()

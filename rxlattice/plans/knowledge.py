@@ -18,13 +18,19 @@ _RANK = "CASE severity WHEN 'Contraindicated' THEN 4 WHEN 'Major' THEN 3 WHEN 'M
 _NAME = "CASE r WHEN 4 THEN 'Contraindicated' WHEN 3 THEN 'Major' WHEN 2 THEN 'Moderate' WHEN 1 THEN 'Minor' END"
 
 
-def pairs(spark, sf):
+def pairs(spark, sf, n_ids=300):
+    a, b = (f"{c} % {n_ids}" if n_ids else c for c in ("l_partkey", "l_suppkey"))
     return table(spark, sf, "lineitem").selectExpr(
-        "l_partkey % 300 as a_id", "l_suppkey % 300 as b_id", "concat('Drug ', l_partkey % 300) as a_name", "concat('DRUG ', l_suppkey % 300) as b_name",
+        f"{a} as a_id", f"{b} as b_id", f"concat('Drug ', {a}) as a_name", f"concat('DRUG ', {b}) as b_name",
         "case l_linenumber % 6 when 0 then 'Contraindicated' when 1 then 'Major' when 2 then 'Moderate' when 3 then 'Minor' when 4 then 'odd' end as severity", "l_linestatus as src",
     )
 
 
+def full_pairs(spark, sf):
+    """The pairs with all ids, not reduced to 300, so that they don't fill up as the input grows."""
+    return pairs(spark, sf, None)
+
+
 @query("pair_dedup", f"WITH {PAIRS}, m AS (SELECT least(a_id, b_id) AS id_lo, greatest(a_id, b_id) AS id_hi, max({_RANK}) AS r FROM pairs GROUP BY 1, 2) SELECT id_lo, id_hi, r AS rank, {_NAME} AS severity FROM m")
 def _(spark, sf):
     return kn.pair_dedup(pairs(spark, sf))

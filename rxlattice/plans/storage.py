@@ -119,15 +119,16 @@ def _(spark, sf):
 def _(spark, sf):
     """Positives (severe pairs) and five negatives each, by hash order, with an 80/10/10 split."""
     from ..operators.knowledge import pair_dedup
-    from .knowledge import pairs
-
-    rated = pair_dedup(pairs(spark, sf)).where("id_lo <> id_hi")
-    pos = rated.where("rank >= 3").select("id_lo", "id_hi", F.lit(1).alias("label"))
-    ids = rated.select(F.explode(F.array("id_lo", "id_hi")).alias("id")).distinct()
-    # Negatives: for each positive five partners picked by hash from the ids' range, known pairs taken out.
-    top = ids.agg(F.max("id").alias("top"))
-    tries = pos.crossJoin(F.broadcast(top)).select("id_lo", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "id_hi", "top")
-    other = F.pmod(F.xxhash64("id_lo", "id_hi", "k"), F.col("top") + 1)
-    neg = tries.select(F.least("id_lo", other).alias("id_lo"), F.greatest("id_lo", other).alias("id_hi"), F.lit(0).alias("label")).where("id_lo <> id_hi").distinct().join(rated, ["id_lo", "id_hi"], "left_anti")
+    from .knowledge import full_pairs
+
+    def save(df):
+        path = jobs.folder(spark, "pairs")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rated = save(pair_dedup(full_pairs(spark, sf)).where("id_lo <> id_hi").select("id_lo", "id_hi", "rank"))
+    pos = rated.where("rank >= 3").select("id_lo", "id_hi")
+    neg = sp.negative_pairs(pos, rated, 5, save)
     share = F.pmod(F.xxhash64("id_lo", "id_hi"), F.lit(10))
-    return pos.unionByName(neg).withColumn("split", F.when(share < 8, "train").when(share == 8, "val").otherwise("test"))
+    both = pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
+    return both.withColumn("split", F.when(share < 8, "train").when(share == 8, "val").otherwise("test"))
