@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import age_band, atc_level, risk_code
+from ..functions.normalize import age_band, atc_level, components, risk_code
 from ..operators import features as ft
 from ..operators import intervals as iv
 from ..operators import knowledge as kn
@@ -218,14 +218,15 @@ def _(spark, sf):
     return rated.where("rank >= 3").select("patient_id", "drug_a", "drug_b", "severity")
 
 
-def patient_features(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per patient and 90-day bucket: counts, pairs inside the bucket by severity, flags, age.
+def safety_features(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per patient and 90-day bucket: counts, pairs inside the bucket by severity, flags, age, QT drugs.
 
     Every part groups by the same two keys, so one exchange of the lines serves the aggregates.
     """
     r = rx(spark, sf).withColumn("bucket", bucket())
     base = r.groupBy(*KEYS).agg(
         F.countDistinct("drug_id").alias("drug_count"), F.countDistinct("institution_id").alias("institution_count"), F.count(F.lit(1)).alias("n_lines"), F.min("start_date").alias("window_start"), F.max("end_date").alias("window_end"),
+        F.countDistinct(F.when(ft.in_group(F.col("product_name"), F.col("atc_code"), ([], ru.GROUPS["qt_prolonging"])), F.col("drug_id"))).alias("qt_drugs"),
         *(F.bool_or(ft.in_group(F.col("product_name"), F.col("atc_code"), g)).alias(n) for n, g in (("high_risk", ft.HIGH_RISK), ("renal_risk", ft.RENAL_RISK), ("hepatic_risk", ft.HEPATIC_RISK))),
     )
     dup = ft.duplicate_counts(r, KEYS, "drug_id", "dup_same_ingredient")
@@ -233,8 +234,13 @@ def patient_features(spark: SparkSession, sf: str) -> DataFrame:
     pairs = occ.select("patient_id.patient_id", "patient_id.bucket", "drug_a", "drug_b").distinct()
     rated = kn.pairs_with_severity(pairs, interaction_id("drug_a"), interaction_id("drug_b"), kn.severity_lookup(interactions(spark)))
     counts = severity_counts(rated, KEYS)
-    got = base.join(dup, KEYS).join(counts, KEYS, "left").join(demographics(spark, sf).select("patient_id", "age"), "patient_id", "left")
-    return got.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ddi_contraindicated", "ddi_major", "ddi_moderate", "ddi_minor")}).withColumn("triple_whammy", F.lit(False))
+    whammy = ft.triple_whammy(r.select(*KEYS, F.explode(components(F.col("product_name"))).alias("component")), KEYS).select(*KEYS, "triple_whammy")
+    got = base.join(dup, KEYS).join(counts, KEYS, "left").join(whammy, KEYS, "left").join(demographics(spark, sf).select("patient_id", "age"), "patient_id", "left")
+    return got.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ddi_contraindicated", "ddi_major", "ddi_moderate", "ddi_minor")}).withColumn("triple_whammy", F.coalesce("triple_whammy", F.lit(False)))
+
+
+def patient_features(spark: SparkSession, sf: str) -> DataFrame:
+    return safety_features(spark, sf).drop("qt_drugs")
 
 
 def _in(col: str, words: list[str], how: str) -> str:
@@ -306,7 +312,7 @@ def _(spark, sf):
 @query("safety_net_grade", _FEATURES + """ SELECT CASE WHEN ddi_contraindicated >= 1 OR ddi_major >= 3 OR (drug_count >= 10 AND high_risk) OR (coalesce(age, -1) >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk)) THEN 'Red'
   WHEN ddi_major >= 1 OR ddi_moderate >= 2 THEN 'Yellow' WHEN ddi_minor > 0 OR drug_count >= 5 THEN 'Green' ELSE 'Normal' END AS safety_grade, CAST(count(*) AS BIGINT) AS n FROM feats GROUP BY 1""")
 def _(spark, sf):
-    return ru.safety_net_grade(patient_features(spark, sf).withColumn("qt_drugs", F.lit(0))).groupBy("safety_grade").agg(F.count(F.lit(1)).alias("n"))
+    return ru.safety_net_grade(safety_features(spark, sf)).groupBy("safety_grade").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fuse_levels", _FEATURES + _LEVEL + """, f AS (SELECT patient_id, bucket, risk_level AS rule_level, CASE WHEN (patient_id * 7 + bucket * 13) % 100 >= 70 THEN 'Red' WHEN (patient_id * 7 + bucket * 13) % 100 >= 40 THEN 'Yellow' WHEN (patient_id * 7 + bucket * 13) % 100 >= 20 THEN 'Green' ELSE 'Normal' END AS model_level,
