@@ -421,6 +421,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert p.ids_crc32 == crc32(want[p.doc_id][p.start : p.start + p.length])
 
 
+def test_pipeline_takes_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(404)]
+    texts = [" ".join(words)]
+    for n in (8, 10, 12, 20):  # each change far from others spoils five of 400 shingles
+        changed = list(words)
+        for k in range(n):
+            changed[10 + k * 19] = f"x{n}-{k}"
+        texts.append(" ".join(changed))
+    sets = [shingle_set(t) for t in texts]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert any(0.80 <= j < 0.85 for j in alike) and any(j < 0.75 for j in alike)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    roots, _ = brute_components(texts, 80)
+    assert kept == {i for i, r in enumerate(roots) if r == i}
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
