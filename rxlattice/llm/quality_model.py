@@ -5,8 +5,10 @@ thresholds (the first, then logs of the gaps, so the order holds by construction
 hashed shares of byte trigrams and of four-grams of character kinds, over the whole text, with shares of
 repeated words and lines. The model gives the expected grade and the tail probability P(grade >= 1).
 
-Defined cases: null and empty texts have no feature and get the score 0; without labelled rows, or with
-one grade only, the model is flat and selects everything; repeated rows are scored alike; other columns
+No feature looks beyond its own text, so a text's score is the same, bit by bit, in whatever batch it stands.
+
+Defined cases: null, empty and blank texts have no feature and get the score 0; without labelled rows, or
+with one grade only, the model is flat and selects everything; repeated rows are scored alike; other columns
 are ignored.
 """
 
@@ -45,6 +47,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, raw = len(texts), words.data
     size = np.diff(np.append(words.doc_at, len(raw))) - 1
     doc = np.repeat(np.arange(n), size + 1)
+    per = words.counts()
     out_doc, out_key, out_val = [], [], []
     for codes, width, salt in ((raw.astype(np.uint64), 3, 11), (_KIND[np.frombuffer(b" ".join(texts) + b" ", np.uint8)], 4, 12)):
         m = len(codes) - width + 1
@@ -53,22 +56,21 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key = np.zeros(m, np.uint64)
         for k in range(width):
             key = key * np.uint64(257) + codes[k : k + m]
-        own = doc[:m]
-        bucket = (mix(key + np.uint64(salt << 56)) >> np.uint64(64 - BITS)).astype(np.int64)
-        full, count = np.unique(own * (1 << BITS) + bucket, return_counts=True)
+        own = np.flatnonzero((doc[:m] == doc[width - 1 :]) & (per[doc[:m]] > 0))
+        bucket = (mix(key[own] + np.uint64(salt << 56)) >> np.uint64(64 - BITS)).astype(np.int64)
+        full, count = np.unique(doc[own] * (1 << BITS) + bucket, return_counts=True)
         owner = full >> BITS
         out_doc.append(owner)
         out_key.append(full & ((1 << BITS) - 1))
         out_val.append(np.sqrt(count / (size[owner] + 1)))
-    per = np.maximum(words.counts(), 1)
-    same = np.bincount(words.doc[1:][(words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=n) / per
-    whose = np.zeros(n)
-    if len(words.hash):
-        _, first = np.unique(words.hash ^ mix(words.doc.astype(np.uint64)), return_index=True)
-        whose = np.bincount(words.doc[first], minlength=n) / per
-    for slot, value in enumerate((same, 1 - whose, 1 / np.sqrt(per))):
-        out_doc.append(np.arange(n))
-        out_key.append(np.full(n, (1 << BITS) + slot))
+    some = np.flatnonzero(per)
+    same = np.bincount(words.doc[1:][(words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=n)
+    order = np.lexsort((words.hash, words.doc))
+    again = (words.hash[order][1:] == words.hash[order][:-1]) & (words.doc[order][1:] == words.doc[order][:-1])
+    known = np.bincount(words.doc[order][1:][again], minlength=n)
+    for slot, value in enumerate((same[some] / per[some], known[some] / per[some], 1 / np.sqrt(per[some]))):
+        out_doc.append(some)
+        out_key.append(np.full(len(some), (1 << BITS) + slot))
         out_val.append(value)
     return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_val)
 
@@ -106,33 +108,40 @@ def fit(rows: list[tuple[str, int]], grades: int, steps: int = STEPS, l2: float
         keys.append(k.astype(np.int32))
         values.append(v)
     doc, key, value = np.concatenate(docs), np.concatenate(keys), np.concatenate(values)
-    n = len(y)
     share = np.bincount(y, minlength=grades)
     weight = 1 / np.maximum(share, 1)[y] / (share > 0).sum()
-    w = np.zeros(_WIDTH)
     below = np.cumsum(np.where(share > 0, 1 / (share > 0).sum(), 0))[:-1].clip(0.02, 0.98)
     base = np.log(below / (1 - below))
-    t = np.concatenate((base[:1], np.log(np.maximum(np.diff(base), 0.05))))
-    params, m1, m2 = np.concatenate((w, t)), np.zeros(_WIDTH + len(t)), np.zeros(_WIDTH + len(t))
+    params = np.concatenate((np.zeros(_WIDTH), base[:1], np.log(np.maximum(np.diff(base), 0.05))))
+    m1, m2 = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
-        w, gaps = params[:_WIDTH], np.exp(params[_WIDTH + 1 :])
-        theta = params[_WIDTH] + np.concatenate(([0], np.cumsum(gaps)))
-        s = np.bincount(doc, w[key] * value, minlength=n)
-        up = np.where(y < grades - 1, _logistic(theta[np.minimum(y, grades - 2)] - s), 1.0)
-        low = np.where(y > 0, _logistic(theta[np.maximum(y, 1) - 1] - s), 0.0)
-        p = np.maximum(up - low, 1e-9)
-        du, dl = up * (1 - up), low * (1 - low)
-        ds = weight * (du - dl) / p  # of the negative log likelihood
-        g_theta = np.zeros(grades - 1)
-        np.add.at(g_theta, np.minimum(y, grades - 2), -weight * np.where(y < grades - 1, du / p, 0))
-        np.add.at(g_theta, np.maximum(y, 1) - 1, weight * np.where(y > 0, dl / p, 0))
-        tail = np.cumsum(g_theta[::-1])[::-1]
-        grad = np.concatenate((np.bincount(key, ds[doc] * value, minlength=_WIDTH) + l2 * w, tail[:1], tail[1:] * gaps))
+        grad = gradient(params, (doc, key, value), y, weight, l2)
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         params = params - 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    gaps = np.exp(params[_WIDTH + 1 :])
-    return Ordinal(params[:_WIDTH], params[_WIDTH] + np.concatenate(([0], np.cumsum(gaps))))
+    return Ordinal(params[:_WIDTH], _thresholds(params))
+
+
+def _thresholds(params: np.ndarray) -> np.ndarray:
+    """The first threshold and the gaps, which are stored as logs, added up."""
+    return params[_WIDTH] + np.concatenate(([0], np.cumsum(np.exp(params[_WIDTH + 1 :]))))
+
+
+def gradient(params: np.ndarray, x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, l2: float) -> np.ndarray:
+    """Of sum(-weight * log P(grade = y)) + l2 / 2 * |weights|^2, by weights, first threshold and logs of gaps."""
+    (doc, key, value), theta = x, _thresholds(params)
+    w, top = params[:_WIDTH], len(theta)
+    s = np.bincount(doc, w[key] * value, minlength=len(y))
+    up = np.where(y < top, _logistic(theta[np.minimum(y, top - 1)] - s), 1.0)
+    low = np.where(y > 0, _logistic(theta[np.maximum(y, 1) - 1] - s), 0.0)
+    p = np.maximum(up - low, 1e-9)
+    du, dl = up * (1 - up), low * (1 - low)
+    by_score = weight * (du - dl) / p
+    by_theta = np.zeros(top)
+    np.add.at(by_theta, np.minimum(y, top - 1), -weight * np.where(y < top, du / p, 0))
+    np.add.at(by_theta, np.maximum(y, 1) - 1, weight * np.where(y > 0, dl / p, 0))
+    tail = np.cumsum(by_theta[::-1])[::-1]
+    return np.concatenate((np.bincount(key, by_score[doc] * value, minlength=_WIDTH) + l2 * w, tail[:1], tail[1:] * np.exp(params[_WIDTH + 1 :])))
 
 
 def grade_column() -> F.Column:

@@ -395,6 +395,53 @@ def test_quality_orders_grades(spark):
     assert picked == {i for i, (_, g) in enumerate(test) if g > 0}
 
 
+def test_quality_scores_do_not_depend_on_neighbours(spark):
+    rng = random.Random(11)
+    texts = ["", "ok", "a", "\n", "a b", "the the", *ODD, *(prose(rng.randint(1, 300), rng) for _ in range(60)), "é", "  x"]
+    model = quality_model.Ordinal(np.random.default_rng(2).normal(size=quality_model._WIDTH), np.array([-0.5, 0.5]))
+    data = [t.encode() for t in texts]
+    alone = [float(model.score([t])[0]) for t in data]
+    assert model.score(data).tolist() == alone and model.score(data[::-1]).tolist() == alone[::-1]
+    assert alone[0] == alone[3] == 0 and len(set(alone)) > 60
+    docs = frame(spark, texts)
+    for n in (1, 7):
+        got = sorted(quality_model.score(docs.repartition(n), model).collect())
+        want = [float((1 - model.cumulative(np.array([s]))).sum()) for s in alone]
+        assert [r.expected_grade for r in got] == want
+
+
+def test_quality_gradient_against_the_likelihood():
+    rng, width = np.random.default_rng(3), quality_model._WIDTH
+    texts = [prose(30).encode() for _ in range(12)]
+    x = quality_model.features(texts)
+    y, weight = np.arange(12) % 3, rng.random(12)
+    params = np.concatenate((rng.normal(size=width) * 0.3, [-0.4], [0.2]))
+
+    def loss(params):
+        w, theta = params[:width], [params[width], params[width] + math.exp(params[width + 1])]
+        total = 0.05 * float(w @ w) / 2
+        for i in range(12):
+            s = sum(w[k] * v for d, k, v in zip(*x) if d == i)
+            below = [0.0, *(1 / (1 + math.exp(s - t)) for t in theta), 1.0]
+            total -= weight[i] * math.log(below[y[i] + 1] - below[y[i]])
+        return total
+
+    got = quality_model.gradient(params, x, y, weight, 0.05)
+    for k in [*rng.choice(x[1], 5), width, width + 1]:
+        step = np.zeros(len(params))
+        step[k] = 1e-5
+        assert got[k] == pytest.approx((loss(params + step) - loss(params - step)) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_training_rows_go_only_for_near_copies():
+    from rxlattice.llm.labelled import without_copies
+
+    base = prose(200, lines=False)
+    half = " ".join(base.split()[:100] + prose(100, lines=False).split())
+    rows = [(base, 1), (base, 1), (edited(base, 0.005), 1), (half, 1), (prose(200), 0), ("", 0), ("", 0)]
+    assert without_copies(rows) == [rows[k] for k in (0, 3, 4, 5, 6)]
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
