@@ -111,6 +111,37 @@ def test_packing_is_whole_and_tight(spark):
         assert at == 4096 or at < 4096 and at & (at - 1) == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 30, 300, 3000])
+def test_most_ids_are_placed_by_the_rule_at_every_task_size(n):
+    rng = random.Random(n)
+    packer, ids = packing.SumOfSquares(), np.arange(20_000, dtype=np.uint32)
+    sizes = [min(int(rng.lognormvariate(6.3, 1)) + 1, 20_000) for _ in range(n)]
+    for k, size in enumerate(sizes):
+        packer.add(k, ids[:size])
+    packer.finish()
+    fills = [sum(len(p[2]) for p in w) for w in packer.full]
+    assert all(f == 4096 or f & (f - 1) == 0 for f in fills) and sum(f < 4096 for f in fills) <= 12
+    moved = sum(len(p[2]) for w in packer.full for p in w if p[4])
+    assert moved <= max(0.03 * sum(sizes), 4096)
+    laid = defaultdict(list)
+    for doc, start, part, total, _ in (p for w in packer.full for p in w):
+        assert part[0] == start and total == sizes[doc]
+        laid[doc].append((start, len(part)))
+    for doc, size in enumerate(sizes):
+        at = 0
+        for start, length in sorted(laid[doc]):
+            assert start == at
+            at += length
+        assert at == size
+
+
+def test_equal_levels_take_the_fuller_window():
+    packer = packing.SumOfSquares(16)
+    for k, size in enumerate((4, 7)):
+        packer.add(k, np.arange(size, dtype=np.uint32))
+    assert packer.level(2) == 7  # levels 4 and 7 give one sum of squares
+
+
 def test_level_choice_is_the_least_sum_of_squares():
     rng = random.Random(3)
     packer = packing.SumOfSquares(32)
