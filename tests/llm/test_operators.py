@@ -137,8 +137,7 @@ def test_most_ids_are_placed_by_the_rule_at_every_task_size(n):
 
 def test_equal_levels_take_the_fuller_window():
     packer = packing.SumOfSquares(16)
-    for k, size in enumerate((4, 7)):
-        packer.add(k, np.arange(size, dtype=np.uint32))
+    packer.count[[4, 7]] = 1
     assert packer.level(2) == 7  # levels 4 and 7 give one sum of squares
 
 
