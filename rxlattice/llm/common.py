@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 400
+#: A key is hot if it holds more than one in so many rows; so there are never more hot keys than that.
+HOT_SHARE = 2_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -24,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder that the driver and all executors see, below spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is taken.
+    Only where that setting is missing and the master is local (tests) a temporary folder is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rxlattice-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -47,3 +52,19 @@ def drop(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of `rows` with `keyed`, which has one row per key and counts in `n` how many rows have it.
+
+    Hot keys, of which there are at most HOT_SHARE by arithmetic, are met by a broadcast, so that their rows
+    stay where they are; all other keys hold few rows each and are met by a shuffle. Both inputs are read more
+    than once and should be tables.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT_SHARE > total
+    hot = keyed.where(is_hot)
+    if total < HOT_SHARE or hot.isEmpty():
+        return rows.join(keyed, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~is_hot), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

@@ -284,14 +284,64 @@ def test_secrets_against_brute_force(spark):
         assert r.n_live + r.n_example + r.n_shared == len([s for s in r.spans.split(",") if s])
 
 
-def test_ownership_separates_examples(spark):
-    copied, own = "aB3dE6gH9jK2mN5pQ8sT1", "zY8xW7vU6tS5rQ4pO3nM2"
-    rows = [(i, f"k {copied}", "en", f"s{i}") for i in range(6)] + [(10, f"k {own}", "en", "s1"), (11, f"k {own}", "en", "s1")]
-    got = {r.doc_id: (r.n_owned, r.n_live, r.n_example) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[i] == (0, 0, 0) for i in range(6)) and got[10] == got[11] == (1, 1, 0)
-    base = [(i, f"token={copied}", "en", f"s{i}") for i in range(6)] + [(10, f"token={own}", "en", "s1")]
-    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan(spark.createDataFrame(base, "doc_id long, text string, lang string, source string")).collect()}
-    assert got[0] == (0, 1) and got[10] == (1, 0)
+OWNED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+
+
+def brute_scan(rows):
+    """Per row (spans, frequencies, n_owned, n_live, n_example, n_shared) of (text, lang, source)."""
+    found = []
+    for text, lang, source in rows:
+        text, own = text or "", (source or "", f"{source or ''}/{lang or ''}")
+        hits = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        hits += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        hits += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        hits += [(m.start(), 3, m.end(), m[0]) for m in OWNED.finditer(text) if all(re.search(k, m[0]) for k in ("[0-9]", "[A-Z]", "[a-z]"))]
+        found.append((own, hits))
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for own, hits in found:
+        for h in hits:
+            owners[h[3]].add(own[0])
+            repositories[h[3]].add(own[1])
+    out = []
+    for _, hits in found:
+        base, kept, kinds = [h for h in hits if h[1] < 3], [], Counter()
+        for h in sorted(hits):
+            o, r, spread = len(owners[h[3]]), len(repositories[h[3]]), len(set(h[3]))
+            example, live = o >= 3 and r >= 5, o == 1 and r <= 2 and spread >= 8
+            if h[1] == 3 and (example or spread < 8 or any(b[0] < h[2] and h[0] < b[2] for b in base)):
+                continue
+            kept.append((f"{secrets.KINDS[h[1]]}:{h[0]}:{h[2]}", f"{o}/{r}"))
+            kinds["owned"] += h[1] == 3
+            kinds["live" if live else "example" if example else "shared"] += 1
+        out.append((",".join(k for k, _ in kept), ",".join(f for _, f in kept), kinds["owned"], kinds["live"], kinds["example"], kinds["shared"]))
+    return out
+
+
+def test_ownership_against_brute_force(spark, monkeypatch):
+    from rxlattice.llm import common
+
+    rng = random.Random(12)
+    letters = "abcdefABCDEF0123456789xyzXYZ"
+    keys = ["".join(rng.choices(letters, k=rng.randint(20, 40))) for _ in range(12)] + ["aA1" * 8, "token", "0123456789abcdef" * 2, "AKIA" + "Q1W2E3R4" * 2]
+    rows = []
+    for i in range(300):
+        words = [rng.choice(("word", "é", "😀", "x=", "token=", "secret: ", "api_key='")) + (keys[min(int(rng.expovariate(0.4)), 15)] if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 25))]
+        rows.append((" ".join(words), rng.choice(("en", "de", None)), rng.choice(("s1", "s2", "s3", "s4", None))))
+    rows += [(f"k {keys[11]}x", "en", "s9")] + [(f"k {keys[10]}y", lang, "s8") for lang in ("en", "de", "fr", "es")] + [(f"token={'q' * 9}{'1 aB2cD3eF4gH5iJ6kL7mN8 ' * 3000}", "en", "s1")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(5)
+    want = brute_scan(rows)
+    assert all(any(w[k] for w in want) for k in range(2, 6))
+    for share in (2_000, 20):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = sorted(secrets.scan(docs).collect())
+        assert [(r.spans, r.frequencies, r.n_owned, r.n_live, r.n_example, r.n_shared) for r in got] == want
+
+
+def test_no_secret_is_written(spark):
+    key = "zY8xW7vU6tS5rQ4pO3nM2"
+    docs = spark.createDataFrame([(1, f"token={key} {key}", "en", "s1")], "doc_id long, text string, lang string, source string")
+    for table in (found := secrets.candidates(docs), secrets.spans(found)):
+        assert key not in repr(table.collect())
 
 
 # ---- language model, fertility, classifiers
