@@ -54,17 +54,18 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str) -> DataFrame:
     """Inner join of `rows` with `keyed`, which has one row per key and counts in `n` how many rows have it.
 
     Hot keys, of which there are at most HOT_SHARE by arithmetic, are met by a broadcast, so that their rows
     stay where they are; all other keys hold few rows each and are met by a shuffle. Both inputs are read more
     than once and should be tables.
     """
+    key = [key] if isinstance(key, str) else key
     total = keyed.agg(F.sum(n)).first()[0] or 0
     is_hot = F.col(n) * HOT_SHARE > total
     hot = keyed.where(is_hot)
     if total < HOT_SHARE or hot.isEmpty():
         return rows.join(keyed, key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~is_hot), key)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(keyed.where(~is_hot), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)

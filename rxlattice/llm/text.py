@@ -78,14 +78,14 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each non-empty byte span (ascending, disjoint)."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
+    """64-bit hash of each non-empty byte span (ascending, disjoint); another odd `base` gives another hash."""
     if not len(start):
         return np.empty(0, np.uint64)
     length = end - start
     take = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
     place = take - np.repeat(start, length)
-    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(length.max()), _BASE))), dtype=np.uint64)
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(length.max()), base))), dtype=np.uint64)
     values = (data[take].astype(np.uint64) + np.uint64(1)) * powers[place]
     heads = np.concatenate(([0], np.cumsum(length)[:-1]))
     return mix(np.add.reduceat(values, heads) + length.astype(np.uint64))
