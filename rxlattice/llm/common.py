@@ -46,12 +46,13 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a materialised table that isn't read any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that aren't read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str) -> DataFrame:
@@ -69,3 +70,20 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str) ->
         return rows.join(keyed, key)
     cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(keyed.where(~is_hot), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def join_salted(rows: DataFrame, keyed: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join of `rows` with `keyed`, which has one wide row per key, too wide to be broadcast.
+
+    The rows of a hot key are dealt over salts by their column `spread`, and its row of `keyed` is copied to
+    each salt: at most 2 * HOT_SHARE copies in all. `rows` is read more than once and should be a table.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    hot = counts.where(F.col("_n") * HOT_SHARE > total).select(key, F.ceil(F.col("_n") * HOT_SHARE / F.lit(float(max(total, 1)))).cast("int").alias("_salts"))
+    if total < HOT_SHARE or hot.isEmpty():
+        return rows.join(keyed, key)
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    right = keyed.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -16,9 +16,11 @@ component, then all classes of other components that the bounds allow. So a larg
 costs a pass over its members, not over its pairs.
 
 Defined cases: texts that are null, empty or blank have an empty set and stay alone; a null doc_id is
-dropped from linking and keeps a null component; rows with one doc_id count as one
-document, whose text for comparing is any of theirs; an empty table
+dropped from linking and keeps a null component; rows with one doc_id count as one document, whose text for comparing is that of least hash; an empty table
 gives an empty result; other columns are ignored.
+
+Keys and leaders that a large share of all classes has are met by broadcast or by salted copies. The tables
+of the steps between are deleted as soon as nothing reads them.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import drop, join_hot, join_salted, materialize, tune
 from .components import components
 from .text import Words, chunks, mix, shingle_sets
 
@@ -42,7 +44,7 @@ PERCENT = 85
 _A = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(101, 101 + SYMBOLS, dtype=np.uint64))
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("symbols", pa.list_(pa.int32()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("symbols", pa.list_(pa.int32()))])
 
 
 def signatures(docs: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -67,7 +69,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [hashlib.blake2b(hashes[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if size[i] else None for i in range(n)]
             symbols = signatures(docs, hashes, n).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * SYMBOLS + 1, SYMBOLS, dtype=np.int32)), pa.array(symbols))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + n], pa.int64()), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), lists], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + n], pa.int64()), batch["text_id"].slice(first, n), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), lists], schema=_SIGNED)
 
 
 def _keys() -> F.Column:
@@ -100,8 +102,8 @@ def _compare(percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Which of the pairs (a, b) of doc_ids are linked, by their full shingle sets."""
-    got = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    got = got.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
+    lefts, rights = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(side)) for k, side in (("a", "left"), ("b", "right")))
+    got = join_salted(pairs, lefts, "a", "b").join(rights, "b")
     checked = got.select("a", "b", "left", "right").mapInArrow(_compare(percent), "a long, b long, linked boolean")
     return checked.where("linked").select("a", "b")
 
@@ -109,9 +111,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
 def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, slot, class_id, component) of the keys whose classes lie in more than one component."""
     owned = shared.select("key", "slot", "class_id").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    owned = owned.select("key", "slot", "class_id", F.coalesce("component", "class_id").alias("component"))
-    keys = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    return materialize(owned.join(keys, "key"), "open")
+    owned = materialize(owned.select("key", "slot", "class_id", F.coalesce("component", "class_id").alias("component")), "owned")
+    keys = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "n")
+    keys = materialize(keys, "openkeys")
+    found = materialize(join_hot(owned, keys, "key", "n").drop("n"), "open")
+    drop(owned, keys)
+    return found
 
 
 def _possible(percent: int) -> F.Column:
@@ -137,7 +142,9 @@ def _limits(still: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     wide = rows.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("shingle", F.lit(1).alias("wide"))
     seen = rows.join(wide, "shingle", "left")
     counts = seen.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.count("wide").alias("common"))
-    return counts.where(100 * F.col("common") >= percent * F.col("n"))
+    found = materialize(counts.where(100 * F.col("common") >= percent * F.col("n")), "limits")
+    drop(rows)
+    return found
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,56 +165,89 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         raise ValueError("the signatures are laid out for similarities of 0.8 or more")
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, symbols array<int>"), "signatures")
+    hashed = rows.withColumn("text_id", F.xxhash64("text"))
+    signed = materialize(hashed.mapInArrow(_sign, "doc_id long, text_id long, n_shingles long, set_id binary, symbols array<int>"), "signatures")
 
-    filled = signed.where("n_shingles > 0 and doc_id is not null")
+    filled = one_text(signed).where("n_shingles > 0")
     classes = filled.groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_size"))
     classes = materialize(classes, "classes")
     symbols = filled.join(classes, F.col("doc_id") == F.col("class_id")).where(filled.set_id == classes.set_id).select("class_id", "symbols").dropDuplicates(["class_id"])
     keyed = materialize(symbols.select("class_id", F.posexplode(_keys()).alias("slot", "key")), "keys")
     # A key of one class links nothing.
-    leaders = keyed.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high")
-    shared = materialize(keyed.join(leaders, "key"), "shared")
+    leaders = materialize(keyed.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high"), "leaders")
+    shared = materialize(join_hot(keyed, leaders, "key", "n").drop("n"), "shared")
+    drop(keyed, leaders)
 
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
-    texts = materialize(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = materialize(hashed.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "text_id").alias("text")), "texts")
 
     # The leader that a class shares most keys with is the likeliest to be linked.
     pairs = shared.where("class_id > low").groupBy(F.col("low").alias("a"), F.col("class_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     tried = materialize(best, "tried")
     edges = materialize(confirm(tried, texts, percent), "edges")
-    still = _open(shared, components(edges))
-    limits = materialize(_limits(still, texts, percent), "limits")
-    sig = symbols.join(limits, "class_id").select("class_id", "symbols", "n", "common")
+    comps = components(edges)
+    still = _open(shared, comps)
+    drop(comps)
+    limits = _limits(still, texts, percent)
+    sig = materialize(symbols.join(limits, "class_id").select("class_id", "symbols", "n", "common"), "bounded")
 
     # Each class meets the hub of each of its keys: the class with the greatest share of common shingles.
-    rated = still.join(limits, "class_id")
+    rated = materialize(still.join(limits, "class_id"), "rated")
     hub = F.max_by(F.struct("class_id", "component"), F.struct(F.col("common") / F.col("n"), -F.col("class_id")))
-    met = rated.join(rated.groupBy("key").agg(hub.alias("hub")), "key").where("component <> hub.component").select("class_id", F.col("hub.class_id").alias("other")).distinct()
+    hubs = materialize(rated.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n_key")), "hubs")
+    met = join_hot(rated, hubs, "key", "n_key").where("component <> hub.component").select("class_id", F.col("hub.class_id").alias("other")).distinct()
     pairs = met.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
     left, right = sig.select(*(F.col(c).alias(f"{c}_a") for c in sig.columns)), sig.select(*(F.col(c).alias(f"{c}_b") for c in sig.columns))
     pairs = pairs.join(left, F.col("a") == F.col("class_id_a")).join(right, F.col("b") == F.col("class_id_b")).where(_possible(percent) & _close())
     new = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    edges = materialize(edges.unionByName(confirm(new, texts, percent)), "edges")
-    tried = tried.unionByName(new)
+    more = materialize(confirm(new, texts, percent), "edges")
+    linked = edges.unionByName(more)
+    drop(still, limits, rated, hubs)
 
     # What is still open meets all classes of other components that it could be linked with, each pair
     # under the first key that it shares.
-    rows = _open(shared, components(edges)).join(sig.withColumn("keys", _keys()), "class_id")
+    comps = components(linked)
+    still = _open(shared, comps)
+    drop(comps)
+    rows = still.join(sig.withColumn("keys", _keys()), "class_id")
     left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "ab")
     apart = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("component_a") != F.col("component_b"))
     earlier = F.exists(F.arrays_zip(F.slice("keys_a", F.lit(1), F.col("slot_a")), F.slice("keys_b", F.lit(1), F.col("slot_a"))), lambda x: x["0"] == x["1"])
     met = left.join(right, (left.key == right.key) & apart & _possible(percent) & _close() & ~earlier)
-    new = met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    edges = materialize(edges.unionByName(confirm(materialize(new, "pairs"), texts, percent)), "edges")
-    comps = components(edges)
+    last = materialize(met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).join(tried.unionByName(new), ["a", "b"], "left_anti"), "pairs")
+    most = materialize(confirm(last, texts, percent), "edges")
+    comps = components(linked.unionByName(most))
+    drop(still, sig, shared, texts, tried, edges, new, more, last, most)
+
     classes = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id")).drop("component")
-    found = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+    found = one_set(signed).join(classes, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
+def _mixed(signed: DataFrame) -> DataFrame:
+    """(doc_id, own) of the doc_ids whose rows have different texts; own: set and text of least hash."""
+    own = F.min(F.struct("text_id", "set_id", "n_shingles")).alias("own")
+    found = signed.where("doc_id is not null").groupBy("doc_id").agg(own, F.max("text_id").alias("most"))
+    return found.where("own.text_id < most").select("doc_id", "own")
+
+
+def one_text(signed: DataFrame) -> DataFrame:
+    """The rows with a doc_id, but of rows that repeat one with different texts those of the least hash only."""
+    rows, mixed = signed.where("doc_id is not null"), _mixed(signed)
+    return rows if mixed.isEmpty() else rows.join(mixed, "doc_id", "left").where("own is null or text_id = own.text_id").drop("own")
+
+
+def one_set(signed: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_id of every row; rows that repeat a doc_id have the set of that least hash."""
+    rows, mixed = signed.select("doc_id", "n_shingles", "set_id"), _mixed(signed)
+    if mixed.isEmpty():
+        return rows
+    both = rows.join(mixed, "doc_id", "left")
+    return both.select("doc_id", *(F.when(F.col("own").isNull(), F.col(c)).otherwise(F.col(f"own.{c}")).alias(c) for c in ("n_shingles", "set_id")))
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` but for near copies: of each group the smallest doc_id stays.
 

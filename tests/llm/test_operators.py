@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 from rxlattice.llm import chunk_store, decontaminate, fertility, language_model, line_dedup, near_dedup, packing, quality_model, secrets, toxicity
+from rxlattice.llm.components import components
 from rxlattice.llm.text import Words, chunks, shingle_sets
 from rxlattice.llm.tokens import Encoder, crc32, vocabulary
 
@@ -195,13 +196,49 @@ def test_near_duplicates_against_brute_force(spark):
         assert (got[i].component_id, got[i].n_shingles, got[i].kept) == (want[i], sizes[i], want[i] == i)
 
 
-def test_many_edited_copies(spark):
+@pytest.mark.parametrize("share", [2_000, 4])
+def test_many_edited_copies(spark, monkeypatch, share):
+    from rxlattice.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", share)  # with 4, hot keys and leaders go the ways of their own
     base = prose(150)
     texts = [base] + [edited(base, RNG.random() * 0.06) for _ in range(200)]
     want, _ = brute_components(texts)
     assert [r.component_id for r in sorted(near_dedup.near_duplicates(frame(spark, texts)).collect())] == want
 
 
+def test_rows_that_repeat_a_doc_id_are_one_document(spark):
+    a, b, c = (prose(60, lines=False) for _ in range(3))
+    rows = [(5, a), (5, b), (2, a), (3, b), (4, c), (4, c), (6, c), (7, ""), (7, None)]
+    seen = set()
+    for k in range(3):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(k + 1)
+        got = near_dedup.near_duplicates(docs).collect()
+        assert len(got) == len(rows) and len({r.component_id for r in got if r.doc_id == 5}) == 1
+        assert {(r.doc_id, r.component_id) for r in got if r.doc_id in (4, 6, 7)} == {(4, 4), (6, 4), (7, 7)}
+        seen.add(tuple(sorted((r.doc_id, r.component_id) for r in got)))
+    assert len(seen) == 1 and (5, 2) in next(iter(seen)) or (5, 3) in next(iter(seen))
+
+
+def test_hot_joins_give_the_rows_of_plain_ones(spark, monkeypatch):
+    from rxlattice.llm import common
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(min(int(rng.expovariate(0.3)), 9), i) for i in range(500)], "k long, i long")
+    keyed = rows.groupBy("k").agg({"i": "count"}).withColumnRenamed("count(i)", "n").where("k <> 3")
+    want = sorted(map(tuple, rows.join(keyed, "k").select("k", "i", "n").collect()))
+    for share in (2_000, 20, 3):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        for got in (common.join_hot(rows, keyed, "k", "n"), common.join_salted(rows, keyed, "k", "i")):
+            assert sorted(map(tuple, got.select("k", "i", "n").collect())) == want
+
+
+def test_components_of_stars_and_chains(spark):
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(59, 200), (300, 301)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(60)}, 200: 0, **{i: 100 for i in range(100, 131)}, 300: 300, 301: 300}
+
+
 def test_keys_cover_the_distance():
     """Signatures with up to DISTANCE differing symbols agree in three symbols of some chunk."""
     rng = np.random.default_rng(1)
