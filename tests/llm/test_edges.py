@@ -83,8 +83,14 @@ def test_stages_keep_columns(spark, tmp_path):
     items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in (ROWS, []):
         docs = spark.createDataFrame(rows, DOCS)
+        wide = docs.drop("n_chars").select("*", *(F.lit("x").alias(c) for c in CLASH))
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, str(tmp_path))
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+            before, columns = docs, wide.columns
+            docs, wide = stage(spark, docs, str(tmp_path)), stage(spark, wide, str(tmp_path))
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and wide.columns == columns, name
+            assert docs.schema == before.schema
+            plain = ["doc_id", "text", "lang", "source"]
+            assert sorted(map(repr, docs.select(plain).collect())) == sorted(map(repr, wide.select(plain).collect())), name
+            assert all(r[c] == "x" for r in wide.collect() for c in CLASH)
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert bool(pieces) == bool(rows)
