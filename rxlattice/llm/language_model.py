@@ -10,8 +10,9 @@ of raw little-endian arrays, in shards of about equal size:
 
 Counting takes two passes over the corpus: words, then pairs by number. Every task counts its own rows
 first and sends each shard a sorted, packed block; a shard's task merges its blocks and writes its arrays
-under a new name, renamed when whole, so a lost executor costs a task. The driver sees one short row for
-each shard. Discounts come from all counts of counts. Scoring looks a batch's distinct pairs up at once.
+under a new name, renamed when whole, so a lost executor costs a task. There is a shard for each `SHARD_BYTES`
+of text, so what a task merges stays the same however large the corpus is. Counts take the narrowest type
+that holds them, up to 64 bits. The driver sees one short row for each shard. Discounts come from all counts of counts. Scoring looks a batch's distinct pairs up at once.
 
 Defined cases: a null text is empty and has the end token only; without training rows every word has the
 same probability; null doc_ids are scored, and train as the remainder of no number; repeated rows count
@@ -20,6 +21,8 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import mmap
+import sys
 import tempfile
 import uuid
 import zlib
@@ -39,6 +42,8 @@ from .text import Words, chunks, mix
 END, START = (mix(np.array([k], np.uint64))[0] for k in (0xE0D, 0x57A27))
 #: Pairs that a task counts before it sends them on.
 HELD = 6_000_000
+#: Bytes of text for which the model gets a shard.
+SHARD_BYTES = 64_000_000
 _STATS = ("count", "before", "after", "once", "twice", "more")
 
 SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -73,12 +78,19 @@ def load(uri: str, kind: str) -> np.ndarray:
     if not info.size:
         return np.empty(0, kind)
     if isinstance(fs, pa.fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
+        return _mapped(path, kind)
     with tempfile.NamedTemporaryFile() as copy, fs.open_input_stream(path) as source:
         while block := source.read(1 << 24):
             copy.write(block)
         copy.flush()
-        return np.memmap(copy.name, kind, "r")
+        return _mapped(copy.name, kind)
+
+
+def _mapped(path: str, kind: str) -> np.ndarray:
+    """The file's array, memory-mapped. The mapping holds no file open, so there may be any number of shards."""
+    with open(path, "rb") as f:
+        options = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **options), kind)
 
 
 # ---- packed blocks: sorted keys with counts
@@ -95,6 +107,25 @@ def _spread(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
 
+def _narrow(count: np.ndarray) -> np.ndarray:
+    """The counts as the narrowest unsigned type that holds them all."""
+    return count.astype(np.min_scalar_type(int(count.max()) if count.size else 0))
+
+
+def _spread_counts(data: bytes, n: int, columns: int = 1) -> np.ndarray:
+    """int64 counts of n keys, `columns` of each, whatever their packed type."""
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    width = len(raw) // (n * columns)
+    got = np.ascontiguousarray(raw.reshape(width * columns, -1).T).reshape(-1).view(f"<u{width}").astype(np.int64)
+    return got if columns == 1 else got.reshape(n, columns)
+
+
+def _unpacked(rows: pd.DataFrame, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and summed counts of a shard's blocks."""
+    keys = [_spread(k, np.uint64) for k in rows["keys"]]
+    return _merge(keys, [_spread_counts(c, len(k), columns) for c, k in zip(rows["counts"], keys)])
+
+
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts (rows of `counts` if they have several)."""
     key, count = np.concatenate(keys), np.concatenate(counts)
@@ -113,7 +144,7 @@ _BLOCK_DDL = "shard int, keys binary, counts binary"
 def _blocks(key: np.ndarray, count: np.ndarray, shard: np.ndarray, n: int) -> pa.RecordBatch:
     order = np.argsort(shard, kind="stable")
     at = np.searchsorted(shard[order], np.arange(n + 1))
-    rows = [(s, _squeeze(key[o]), _squeeze(count[o])) for s in range(n) if len(o := order[at[s] : at[s + 1]])]
+    rows = [(s, _squeeze(key[o]), _squeeze(_narrow(count[o]))) for s in range(n) if len(o := order[at[s] : at[s + 1]])]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK) if rows else pa.RecordBatch.from_pylist([], _BLOCK)
 
 
@@ -193,7 +224,8 @@ class Model:
                 known = self.array("pairs", s, "<u8")
                 if len(known):
                     at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
-                    out[mine] = np.where(known[at] == keys[mine], self.array("counts", s, "<u4")[at], 0)
+                    raw = self.array("counts", s, "u1")
+                    out[mine] = np.where(known[at] == keys[mine], raw.view(f"<u{len(raw) // len(known)}")[at], 0)
         return out
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -251,15 +283,16 @@ def _flush(keys: list, counts: list, shard_of, n: int) -> pa.RecordBatch:
     key, count = _merge(keys, counts)
     keys.clear()
     counts.clear()
-    return _blocks(key, count.astype(np.uint32), shard_of(key, n), n)
+    return _blocks(key, count, shard_of(key, n), n)
 
 
 def train(docs: DataFrame, shards: int | None = None) -> Model:
-    """Count all rows of `docs` into a new model. The number of shards follows the shuffle partitions."""
+    """Count all rows of `docs` into a new model. The number of shards follows the bytes of text."""
     spark = tune(docs.sparkSession)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    uri = shared_dir(spark, "lm")
     texts = _texts(docs).select("text")
+    size = 0 if shards else texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    uri = shared_dir(spark, "lm")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -278,7 +311,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
             yield _flush(keys, counts, _by_hash, n)
 
     def merge_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words, count = _merge([_spread(k, np.uint64) for k in rows["keys"]], [_spread(c, np.uint32).astype(np.int64) for c in rows["counts"]])
+        words, count = _unpacked(rows)
         save(f"{uri}/words-{key[0]}", words)
         save(f"{uri}/only-{key[0]}", count)
         return _report(key[0], [len(words), int(count.sum()), int((count > 0).sum())])
@@ -313,16 +346,16 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
 
     def merge_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Write the shard's pairs; pass on, for each word shard, what its words get from them."""
-        pair, count = _merge([_spread(k, np.uint64) for k in rows["keys"]], [_spread(c, np.uint32).astype(np.int64) for c in rows["counts"]])
+        pair, count = _unpacked(rows)
         save(f"{uri}/pairs-{key[0]}", pair)
-        save(f"{uri}/counts-{key[0]}", count.astype(np.uint32))
+        save(f"{uri}/counts-{key[0]}", _narrow(count))
         a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         kind = np.minimum(count, 3)
         after = np.stack([np.zeros(len(a), np.int64), count, kind == 1, kind == 2, kind == 3], 1).astype(np.int64)
         before = np.zeros((len(b), 5), np.int64)
         before[:, 0] = 1
         number, stats = _merge([a, b], [after, before])
-        out = _blocks(number.astype(np.uint64), stats.astype(np.uint32), np.searchsorted(model.starts, number, side="right") - 1, n).to_pandas()
+        out = _blocks(number.astype(np.uint64), stats, np.searchsorted(model.starts, number, side="right") - 1, n).to_pandas()
         out["numbers"] = None
         return pd.concat([out, pd.DataFrame({"shard": [-1], "keys": [b""], "counts": [b""], "numbers": [[*_counts_of_counts(count), len(pair)]]})])
 
@@ -331,7 +364,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     def merge_stats(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return _report(-1, np.array(rows["numbers"].tolist(), np.int64).sum(0).tolist())
-        number, stats = _merge([_spread(k, np.uint64) for k in rows["keys"]], [np.ascontiguousarray(_spread_rows(c)) for c in rows["counts"]])
+        number, stats = _unpacked(rows, 5)
         out = np.zeros((sizes[key[0]][0], len(_STATS)), np.int64)
         out[:, 0] = load(f"{uri}/only-{key[0]}", "<i8")
         out[number.astype(np.int64) - model.starts[key[0]], 1:] = stats
@@ -353,11 +386,6 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     return model
 
 
-def _spread_rows(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(20, -1).T).view(np.uint32).astype(np.int64)
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity of every text."""
     spark = tune(docs.sparkSession)

@@ -417,6 +417,26 @@ def test_language_model_against_brute_force(spark):
         assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)))
 
 
+def test_counts_beyond_32_bits():
+    key, big = np.array([3, 7, 9], np.uint64), np.array([5, 2**33, 1])
+    blocks = language_model._blocks(key, big, np.array([0, 0, 1]), 2).to_pandas()
+    for shard, want in ((0, {3: 10, 7: 2**34}), (1, {9: 2})):
+        rows = blocks[blocks["shard"] == shard]
+        assert dict(zip(*map(np.ndarray.tolist, language_model._unpacked(rows.loc[rows.index.repeat(2)])))) == want
+    rows = language_model._blocks(key, np.stack([big, big * 0], 1), np.zeros(3, np.int64), 1).to_pandas()
+    assert language_model._unpacked(rows, 2)[1].tolist() == [[5, 0], [2**33, 0], [1, 0]]
+
+
+def test_shards_follow_the_size_of_the_corpus(spark, monkeypatch):
+    docs = frame(spark, [prose(50) for _ in range(40)])
+    few = language_model.train(docs)
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 200)
+    many = language_model.train(docs)
+    assert many.shards > 4 * few.shards
+    a, b = ({r.doc_id: (r.n_known, r.base_score, r.score) for r in language_model.score(docs, m).collect()} for m in (few, many))
+    assert a == {k: (n, pytest.approx(x), pytest.approx(y)) for k, (n, x, y) in b.items()}
+
+
 def test_fertility_base_against_brute_force(spark):
     texts = [prose(80), "a b c a b c a b c", "x # $ < |> x", "l1 a\nl1 a\n\n\nl1 a \nl2", "é日 ü", "", None, " \n ", prose(60) * 4]
     for r in fertility.apply_rules(frame(spark, texts)).collect():
