@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Salt and hydrate words that end an ingredient name.
-SALTS = (
-    "hydrochloride hcl sodium potassium magnesium calcium zinc aluminum aluminium sulfate sulphate acetate tartrate maleate "
-    "fumarate succinate citrate gluconate mesylate mesilate tosylate besylate bromide phosphate carbonate bicarbonate lactate "
-    "monohydrate dihydrate trihydrate hemihydrate sesquihydrate tetrahydrate pentahydrate hexahydrate anhydrous anhydrate hydrate "
-    "monosodium disodium hemisulfate hemifumarate strontium ammonium chloride monohydrochloride dihydrochloride tromethamine "
-    "trifenatate propionate valerate dipropionate pivalate dimethylsulfoxide decanoate enanthate undecylenate"
-).split()
+SALTS = [
+    "hydrochloride", "hcl", "sodium", "potassium", "magnesium", "calcium", "zinc", "aluminum", "aluminium", "sulfate",
+    "sulphate", "acetate", "tartrate", "maleate", "fumarate", "succinate", "citrate", "gluconate", "mesylate", "mesilate",
+    "tosylate", "besylate", "bromide", "phosphate", "carbonate", "bicarbonate", "lactate", "monohydrate", "dihydrate", "trihydrate",
+    "hemihydrate", "sesquihydrate", "tetrahydrate", "pentahydrate", "hexahydrate", "anhydrous", "anhydrate", "hydrate", "monosodium", "disodium",
+    "hemisulfate", "hemifumarate", "strontium", "ammonium", "chloride", "monohydrochloride", "dihydrochloride", "tromethamine", "trifenatate", "propionate",
+    "valerate", "dipropionate", "pivalate", "dimethylsulfoxide", "decanoate", "enanthate", "undecylenate",
+]
 _SALT = r"(?i)\s+(?:" + "|".join(SALTS) + r")$"
+# What ends a name as a dose, and what names the base of a salt.
 _DOSE = r"(?i)\s+\d[\d.,]*\s*(?:mg|g|ml|mcg|%|iu|unit|u|mmol|meq|ug|μg|μ)[^,]*$"
 _AS = r"(?i)\(as\s+([a-z][a-z\s\-]+?)(?:\s+[\d(].*?)?\)"
 

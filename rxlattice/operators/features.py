@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.normalize import atc_level
 
 # Ingredient keywords and ATC prefixes of the risk groups.
-HIGH_RISK = ("warfarin methotrexate lithium digoxin amiodarone phenytoin cyclosporine tacrolimus sirolimus theophylline insulin clozapine carbamazepine valproate phenobarbital".split(), "B01AA03 L01BA01 N05AN01 C01AA05 C01BD01 N03AB02 L04AD01 L04AD02 L04AA18 R03DA04".split())
-RENAL_RISK = ("ibuprofen naproxen diclofenac celecoxib ketorolac indomethacin meloxicam piroxicam gentamicin tobramycin amikacin vancomycin lithium cisplatin acyclovir tenofovir cyclosporine tacrolimus".split(), "M01A N05AN01 J01GB L04AD".split())
-HEPATIC_RISK = ("methotrexate valproate valproic isoniazid amiodarone phenytoin carbamazepine ketoconazole itraconazole acetaminophen paracetamol".split(), "L01BA01 N03AG01 J04AC01 C01BD01 N03AB02".split())
-K_SPARING = "spironolactone eplerenone amiloride triamterene canrenone finerenone".split()
-NSAID = "ibuprofen dexibuprofen naproxen diclofenac aceclofenac celecoxib etoricoxib meloxicam lornoxicam piroxicam tenoxicam ketoprofen dexketoprofen loxoprofen zaltoprofen flurbiprofen etodolac nabumetone sulindac indomethacin mefenamic talniflumate morniflumate nimesulide ketorolac pelubiprofen polmacoxib fenbufen".split()
+HIGH_RISK = (
+    ["warfarin", "methotrexate", "lithium", "digoxin", "amiodarone", "phenytoin", "cyclosporine", "tacrolimus", "sirolimus", "theophylline", "insulin", "clozapine", "carbamazepine", "valproate", "phenobarbital"],
+    ["B01AA03", "L01BA01", "N05AN01", "C01AA05", "C01BD01", "N03AB02", "L04AD01", "L04AD02", "L04AA18", "R03DA04"],
+)
+RENAL_RISK = (
+    ["ibuprofen", "naproxen", "diclofenac", "celecoxib", "ketorolac", "indomethacin", "meloxicam", "piroxicam", "gentamicin", "tobramycin", "amikacin", "vancomycin", "lithium", "cisplatin", "acyclovir", "tenofovir", "cyclosporine", "tacrolimus"],
+    ["M01A", "N05AN01", "J01GB", "L04AD"],
+)
+HEPATIC_RISK = (
+    ["methotrexate", "valproate", "valproic", "isoniazid", "amiodarone", "phenytoin", "carbamazepine", "ketoconazole", "itraconazole", "acetaminophen", "paracetamol"],
+    ["L01BA01", "N03AG01", "J04AC01", "C01BD01", "N03AB02"],
+)
+K_SPARING = ["spironolactone", "eplerenone", "amiloride", "triamterene", "canrenone", "finerenone"]
+NSAID = [
+    "ibuprofen", "dexibuprofen", "naproxen", "diclofenac", "aceclofenac", "celecoxib", "etoricoxib", "meloxicam", "lornoxicam", "piroxicam", "tenoxicam", "ketoprofen", "dexketoprofen", "loxoprofen",
+    "zaltoprofen", "flurbiprofen", "etodolac", "nabumetone", "sulindac", "indomethacin", "mefenamic", "talniflumate", "morniflumate", "nimesulide", "ketorolac", "pelubiprofen", "polmacoxib", "fenbufen",
+]
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -39,6 +51,12 @@ def risk_flags(rx: DataFrame, keys: list[str]) -> DataFrame:
     return rx.groupBy(*keys).agg(*(F.bool_or(in_group(name, atc, g)).alias(n) for n, g in (("high_risk", HIGH_RISK), ("renal_risk", RENAL_RISK), ("hepatic_risk", HEPATIC_RISK))))
 
 
+def component_flags(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The risk flags by components' names alone (column component), for sources without product names or codes."""
+    c = F.lower("component")
+    return parts.groupBy(*keys).agg(*(F.bool_or(contains_any(c, g[0])).alias(n) for n, g in (("high_risk", HIGH_RISK), ("renal_risk", RENAL_RISK), ("hepatic_risk", HEPATIC_RISK))))
+
+
 def whammy_classes(component: Column) -> tuple[Column, Column, Column]:
     """(ACE inhibitor or ARB, potassium-sparing diuretic, NSAID) by the component's name."""
     c = F.lower(component)

@@ -14,10 +14,11 @@ BROADCAST_ROWS = 2_000_000
 SYNONYMS = {
     "diphenylhydantoin": "phenytoin", "sodium valproate": "valproic acid", "valproate semisodium": "valproic acid", "valproate": "valproic acid",
     "divalproex": "valproic acid", "levothyroxine sodium": "levothyroxine", "thyroxine": "levothyroxine", "acetylsalicylic acid": "aspirin",
-    "salicylic acid acetyl": "aspirin", "paracetamol": "acetaminophen", "metamizole": "dipyrone", "thiamine": "vitamin b1", "pyridoxine": "vitamin b6",
+    "salicylic acid acetyl": "aspirin", "paracetamol": "acetaminophen", "metamizole": "dipyrone",
+    "methylprednisolone sodium succinate": "methylprednisolone", "prednisolone sodium phosphate": "prednisolone", "dexamethasone sodium phosphate": "dexamethasone", "thiamine": "vitamin b1", "pyridoxine": "vitamin b6",
     "cobalamin": "vitamin b12", "cyanocobalamin": "vitamin b12", "ergocalciferol": "vitamin d2", "cholecalciferol": "vitamin d3", "retinol": "vitamin a",
     "tocopherol": "vitamin e", "phytomenadione": "phytonadione", "glyceryl trinitrate": "nitroglycerin", "salbutamol": "albuterol", "frusemide": "furosemide",
-    "ciclosporin": "cyclosporine", "glibenclamide": "glyburide", "bendroflumethiazide": "bendrofluazide", "co-amoxiclav": "amoxicillin", "sultamicillin": "ampicillin",
+    "ciclosporin": "cyclosporine", "nifedipine retard": "nifedipine", "glibenclamide": "glyburide", "bendroflumethiazide": "bendrofluazide", "co-amoxiclav": "amoxicillin", "sultamicillin": "ampicillin",
 }
 
 
@@ -37,7 +38,7 @@ def severity(r: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows; the count stops one row above the bound."""
+    """`df` marked for broadcast if it has at most `rows` rows; the count, a job of its own, stops one row above."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

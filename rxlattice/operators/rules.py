@@ -63,50 +63,190 @@ def safety_net_grade(c: DataFrame) -> DataFrame:
     return c.withColumn("safety_grade", out)
 
 
-#: Rule table: name, groups of which one each must be present, least drugs of the first group, severity.
+# Drug groups as (name keywords, ATC prefixes).
+GROUPS = {
+    "warfarin": (["warfarin", "coumadin", "jantoven"], ["B01AA03"]),
+    "doac": (["rivaroxaban", "apixaban", "dabigatran", "edoxaban", "betrixaban"], ["B01AF01", "B01AF02", "B01AE07", "B01AF03", "B01AF04"]),
+    "anticoagulants_all": (
+        ["warfarin", "coumadin", "rivaroxaban", "apixaban", "dabigatran", "edoxaban", "betrixaban", "acenocoumarol", "phenprocoumon", "heparin", "enoxaparin", "fondaparinux"],
+        ["B01AA", "B01AB", "B01AE", "B01AF"],
+    ),
+    "nsaids": (
+        ["ibuprofen", "naproxen", "diclofenac", "celecoxib", "ketoprofen", "indomethacin", "meloxicam", "piroxicam", "ketorolac", "aspirin", "acetylsalicylic"],
+        ["M01AA", "M01AB", "M01AC", "M01AE", "M01AG", "M01AH", "N02BA01"],
+    ),
+    "clopidogrel": (["clopidogrel", "plavix"], ["B01AC04"]),
+    "antiplatelet_p2y12": (["clopidogrel", "prasugrel", "ticagrelor", "ticlopidine"], ["B01AC04", "B01AC22", "B01AC24", "B01AC05"]),
+    "ppi_cyp2c19": (["omeprazole", "esomeprazole", "lansoprazole", "pantoprazole", "rabeprazole"], ["A02BC01", "A02BC05", "A02BC03", "A02BC02", "A02BC04"]),
+    "acei": (["enalapril", "lisinopril", "ramipril", "captopril", "perindopril", "quinapril", "fosinopril", "benazepril", "trandolapril", "moexipril"], ["C09AA"]),
+    "arb": (["losartan", "valsartan", "irbesartan", "candesartan", "olmesartan", "telmisartan", "azilsartan", "fimasartan"], ["C09CA"]),
+    "k_sparing_diuretics": (
+        ["spironolactone", "eplerenone", "amiloride", "triamterene", "finerenone", "canrenone", "canrenoate"],
+        ["C03DA01", "C03DA02", "C03DA03", "C03DA04", "C03DA05", "C03DB01", "C03DB02"],
+    ),
+    "digoxin": (["digoxin", "digitoxin", "lanoxin"], ["C01AA05", "C01AA04"]),
+    "amiodarone": (["amiodarone", "cordarone"], ["C01BD01"]),
+    "verapamil": (["verapamil", "calan", "isoptin"], ["C08DA01"]),
+    "methotrexate": (["methotrexate", "mtx"], ["L01BA01", "L04AX03"]),
+    "trimethoprim_smx": (["trimethoprim", "sulfamethoxazole", "co-trimoxazole", "bactrim", "septra", "cotrimoxazole"], ["J01EA01", "J01EC01", "J01EE01"]),
+    "ssri": (
+        ["fluoxetine", "sertraline", "paroxetine", "fluvoxamine", "citalopram", "escitalopram", "vilazodone", "vortioxetine"],
+        ["N06AB04", "N06AB06", "N06AB05", "N06AB08", "N06AB10", "N06AB09"],
+    ),
+    "maoi": (
+        ["phenelzine", "tranylcypromine", "isocarboxazid", "selegiline", "rasagiline", "safinamide", "moclobemide", "linezolid", "methylene blue"],
+        ["N06AF01", "N06AF02", "N06AF03", "N06AG02", "N02AX", "J01XX08"],
+    ),
+    "triptan": (
+        ["sumatriptan", "rizatriptan", "zolmitriptan", "naratriptan", "frovatriptan", "almotriptan", "eletriptan"],
+        ["N02CC01", "N02CC02", "N02CC03", "N02CC04", "N02CC05", "N02CC06", "N02CC07"],
+    ),
+    "lithium": (["lithium", "lithobid", "eskalith"], ["N05AN01"]),
+    "loop_thiazide_diuretics": (
+        ["furosemide", "torsemide", "bumetanide", "hydrochlorothiazide", "chlorthalidone", "indapamide", "metolazone"],
+        ["C03CA01", "C03CA04", "C03CB01", "C03AA03", "C03BA11", "C03BA51", "C03BA08"],
+    ),
+    "qt_prolonging": (
+        [
+            "amiodarone", "sotalol", "quinidine", "disopyramide", "haloperidol", "chlorpromazine", "thioridazine", "quetiapine", "ziprasidone", "ondansetron", "azithromycin", "clarithromycin",
+            "erythromycin", "ciprofloxacin", "moxifloxacin", "levofloxacin", "methadone", "domperidone", "hydroxychloroquine", "chloroquine",
+        ],
+        ["C01BD", "C01BA", "N05A", "N05AH", "A04AA", "J01FA", "J01MA", "N07BC02"],
+    ),
+    "statin": (
+        ["atorvastatin", "simvastatin", "rosuvastatin", "pravastatin", "lovastatin", "fluvastatin", "pitavastatin", "cerivastatin"],
+        ["C10AA01", "C10AA02", "C10AA07", "C10AA03", "C10AA02", "C10AA04"],
+    ),
+    "macrolide_strong": (["clarithromycin", "erythromycin", "telithromycin"], ["J01FA09", "J01FA01", "J01FA15"]),
+}
+
+# Rules as (id, name, groups of which one each must be present, least drugs of the first, severity).
 RULES = [
-    ("TOP01", [["anticoagulants"], ["nsaids"]], 1, "Major"),
-    ("TOP02", [["clopidogrel"], ["ppi_cyp2c19"]], 1, "Moderate"),
-    ("TOP03", [["acei", "arb"], ["k_sparing"], ["nsaids"]], 1, "Major"),
-    ("TOP04", [["digoxin"], ["amiodarone", "verapamil"]], 1, "Major"),
-    ("TOP05", [["methotrexate"], ["trimethoprim"]], 1, "Contraindicated"),
-    ("TOP06", [["ssri"], ["maoi"]], 1, "Contraindicated"),
-    ("TOP07", [["ssri"], ["triptan"]], 1, "Major"),
-    ("TOP08", [["lithium"], ["nsaids", "loop_thiazide"]], 1, "Major"),
-    ("TOP09", [["qt_prolonging"]], 3, "Major"),
-    ("TOP10", [["statin"], ["macrolide"]], 1, "Major"),
+    ("TOP01", "Anticoagulant_NSAIDs", [["anticoagulants_all"], ["nsaids"]], 1, "Major"),
+    ("TOP02", "Clopidogrel_PPI_CYP2C19", [["clopidogrel"], ["ppi_cyp2c19"]], 1, "Moderate"),
+    ("TOP03", "Triple_Whammy", [["acei", "arb"], ["k_sparing_diuretics"], ["nsaids"]], 1, "Major"),
+    ("TOP04", "Digoxin_Amiodarone_Verapamil", [["digoxin"], ["amiodarone", "verapamil"]], 1, "Major"),
+    ("TOP05", "Methotrexate_Trimethoprim", [["methotrexate"], ["trimethoprim_smx"]], 1, "Contraindicated"),
+    ("TOP06", "SSRI_MAOi_SerotoninSyndrome", [["ssri"], ["maoi"]], 1, "Contraindicated"),
+    ("TOP07", "SSRI_Triptan_SerotoninSyndrome", [["ssri"], ["triptan"]], 1, "Major"),
+    ("TOP08", "Lithium_NSAIDs_Diuretics", [["lithium"], ["nsaids", "loop_thiazide_diuretics"]], 1, "Major"),
+    ("TOP09", "QT_Prolongation_Multiple", [["qt_prolonging"]], 3, "Major"),
+    ("TOP10", "Statin_Macrolide_Rhabdomyolysis", [["statin"], ["macrolide_strong"]], 1, "Major"),
 ]
 
-#: ATC prefixes of drug groups.
-GROUPS = {
-    "anticoagulants": ["B01AA", "B01AE", "B01AF"], "nsaids": ["M01A"], "clopidogrel": ["B01AC04"], "ppi_cyp2c19": ["A02BC01", "A02BC05"], "acei": ["C09A"],
-    "arb": ["C09C"], "k_sparing": ["C03D"], "digoxin": ["C01AA05"], "amiodarone": ["C01BD01"], "verapamil": ["C08DA01"], "methotrexate": ["L01BA01"],
-    "trimethoprim": ["J01EA01", "J01EE01"], "ssri": ["N06AB"], "maoi": ["N06AF", "N06AG"], "triptan": ["N02CC"], "lithium": ["N05AN01"],
-    "loop_thiazide": ["C03A", "C03C"], "qt_prolonging": ["C01BA", "C01BD", "J01MA", "N05AD"], "statin": ["C10AA"], "macrolide": ["J01FA09", "J01FA01", "J01FA15"],
-}
+#: Further groups of the patterns of several drugs, as (name keywords, ATC prefixes).
+PATTERN_GROUPS = GROUPS | {
+    "antiplatelets": (["aspirin", "clopidogrel", "prasugrel", "ticagrelor"], ["B01AC"]),
+    "antipsychotics": ([], ["N05A"]),
+    "macrolides": ([], ["J01FA"]),
+    "quinolones": ([], ["J01M"]),
+    "insulins_sulfonylureas": (["insulin", "glimepiride", "gliclazide", "glipizide", "glyburide"], ["A10A", "A10BB"]),
+    "beta_blockers": ([], ["C07"]),
+    "simvastatin": (["simvastatin"], ["C10AA01"]),
+    "clarithromycin": (["clarithromycin"], ["J01FA09"]),
+    "opioids": ([], ["N02A"]),
+    "benzodiazepines": ([], ["N05BA", "N05CD"]),
+    "antihistamines": ([], ["R06A"]),
+    "antibiotics": ([], ["J01"]),
+}
+
+# The twelve patterns of three (P2: two) groups each.
+PATTERNS = [
+    ("P1", "Triple Whammy", [["acei"], ["k_sparing_diuretics"], ["nsaids"]], 1, "Major"),
+    ("P2", "Serotonin Syndrome A", [["ssri"], ["maoi"]], 1, "Major"),
+    ("P3", "Serotonin Syndrome B", [["ssri"], ["triptan"], ["maoi"]], 1, "Major"),
+    ("P4", "Bleeding Triad", [["warfarin"], ["antiplatelets"], ["nsaids"]], 1, "Major"),
+    ("P5", "QT Triple", [["antipsychotics"], ["macrolides"], ["quinolones"]], 1, "Major"),
+    ("P6", "Digoxin Toxicity", [["digoxin"], ["amiodarone"], ["verapamil"]], 1, "Major"),
+    ("P7", "MTX Toxicity", [["methotrexate"], ["trimethoprim_smx"], ["nsaids"]], 1, "Major"),
+    ("P8", "Lithium Toxicity", [["lithium"], ["nsaids"], ["loop_thiazide_diuretics"]], 1, "Major"),
+    ("P9", "Hypoglycemia Mask", [["insulins_sulfonylureas"], ["beta_blockers"], ["acei"]], 1, "Major"),
+    ("P10", "Statin Toxicity", [["simvastatin"], ["amiodarone"], ["clarithromycin"]], 1, "Major"),
+    ("P11", "CNS Depression", [["opioids"], ["benzodiazepines"], ["antihistamines"]], 1, "Major"),
+    ("P12", "Anticoagulation Cascade", [["warfarin"], ["antibiotics"], ["nsaids"]], 1, "Major"),
+]
 
 
-def group_table(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
-    """Drug groups as rows (grp, prefix): a fixed small table."""
-    return spark.createDataFrame([(g, p) for g, ps in groups.items() for p in ps], "grp string, prefix string")
+Groups = dict[str, tuple[list[str], list[str]]]
 
 
-def memberships(drugs: DataFrame, groups: DataFrame, code: str = "atc_code") -> DataFrame:
-    """Each drug row with each group one of whose prefixes its code starts with."""
-    return drugs.join(F.broadcast(groups), F.col(code).startswith(F.col("prefix"))).drop("prefix").distinct()
+def group_table(spark: SparkSession, groups: Groups) -> DataFrame:
+    """Drug groups as rows (grp, keyword, prefix), one of the two null: a fixed small table."""
+    rows = [(g, w, None) for g, (words, _) in groups.items() for w in words] + [(g, None, p) for g, (_, prefixes) in groups.items() for p in prefixes]
+    return spark.createDataFrame(rows, "grp string, keyword string, prefix string")
 
 
-def apply_rules(members: DataFrame, rules: list[tuple[str, list[list[str]], int, str]], keys: list[str], drug: str = "drug_id") -> DataFrame:
-    """Rules that hold for each key, from (keys, drug, grp) rows: one row per key and rule.
+def memberships(drugs: DataFrame, groups: DataFrame, code: str = "atc_code", name: str | None = None) -> DataFrame:
+    """Each drug row with each group that it is in, by a keyword in its name or a prefix of its code."""
+    hit = F.col(code).startswith(F.col("prefix"))
+    if name:
+        hit = F.coalesce(hit, F.lit(False)) | F.coalesce(F.lower(name).contains(F.col("keyword")), F.lit(False))
+    return drugs.join(F.broadcast(groups), hit).drop("keyword", "prefix").distinct()
+
+
+def apply_rules(members: DataFrame, rules: list[tuple[str, str, list[list[str]], int, str]], keys: list[str], drug: str = "drug_id") -> DataFrame:
+    """Rules that hold for each key, from (keys, drug, grp) rows: keys, rule, name, severity.
 
     A rule's clauses are met by one of their groups each; the counts come from one aggregate over the
     joined rule table, so new rules are new rows.
     """
     spark = members.sparkSession
-    rows = [(name, k, g, least if k == 0 else 1, len(clauses), severity) for name, clauses, least, severity in rules for k, clause in enumerate(clauses) for g in clause]
-    ruled = F.broadcast(spark.createDataFrame(rows, "rule string, clause int, grp string, least int, n_clauses int, severity string"))
-    met = members.join(ruled, "grp").groupBy(*keys, "rule", "severity", "n_clauses", "clause", "least").agg(F.countDistinct(drug).alias("n")).where("n >= least")
-    return met.groupBy(*keys, "rule", "severity", "n_clauses").agg(F.count(F.lit(1)).alias("met")).where("met = n_clauses").select(*keys, "rule", "severity")
+    rows = [(rule, name, k, g, least if k == 0 else 1, len(clauses), severity) for rule, name, clauses, least, severity in rules for k, clause in enumerate(clauses) for g in clause]
+    ruled = F.broadcast(spark.createDataFrame(rows, "rule string, name string, clause int, grp string, least int, n_clauses int, severity string"))
+    found = ["rule", "name", "severity", "n_clauses"]
+    met = members.select(*keys, drug, "grp").join(ruled, "grp").groupBy(*keys, *found, "clause", "least").agg(F.countDistinct(drug).alias("n")).where("n >= least")
+    return met.groupBy(*keys, *found).agg(F.count(F.lit(1)).alias("met")).where("met = n_clauses").select(*keys, "rule", "name", "severity")
+
+
+#: What each safety grade asks for, in words.
+GRADE_TEXT = {"Red": "high risk: act now", "Yellow": "medium risk: monitor monthly", "Green": "low risk: inform quarterly", "Normal": "normal"}
+
+
+def assess(members: DataFrame, pairs: DataFrame, keys: list[str], rules: list = RULES, drug: str = "drug_id") -> DataFrame:
+    """Rules and rated pairs of each key together, before grading.
+
+    members: (keys, drug, grp) rows. pairs: (keys, drug_a, drug_b, severity) rows of the interaction matrix; a pair
+    that is named twice counts once, with its higher severity. Result: keys, counts by severity (rules count too),
+    triple_whammy, qt_drugs, triggered_rules.
+    """
+    from .knowledge import SEVERITIES, rank, severity
+
+    hits = apply_rules(members, rules, keys, drug)
+    best = pairs.groupBy(*keys, F.least("drug_a", "drug_b").alias("lo"), F.greatest("drug_a", "drug_b").alias("hi")).agg(F.max(rank(F.col("severity"))).alias("rank"))
+    both = hits.select(*keys, F.concat_ws(": ", "rule", "name").alias("rule"), "severity").unionByName(best.where("rank > 0").select(*keys, F.lit(None).cast("string").alias("rule"), severity(F.col("rank")).alias("severity")))
+    found = both.groupBy(*keys).agg(
+        *(F.count_if(F.col("severity") == s).alias(f"ddi_{s.lower()}") for s in reversed(SEVERITIES)),
+        F.array_sort(F.collect_set("rule")).alias("triggered_rules"),
+        F.bool_or(F.coalesce(F.col("rule").startswith("TOP03"), F.lit(False))).alias("triple_whammy"),
+    )
+    qt = members.where("grp = 'qt_prolonging'").groupBy(*keys).agg(F.countDistinct(drug).alias("qt_drugs"))
+    return found.join(qt, keys, "full").withColumns({
+        **{f"ddi_{s.lower()}": F.coalesce(f"ddi_{s.lower()}", F.lit(0)) for s in SEVERITIES}, "qt_drugs": F.coalesce("qt_drugs", F.lit(0)),
+        "triple_whammy": F.coalesce("triple_whammy", F.lit(False)), "triggered_rules": F.coalesce("triggered_rules", F.array().cast("array<string>")),
+    })
+
+
+def explanation(c: DataFrame) -> Column:
+    """Grade and findings of an assessed row in words."""
+    grade = F.create_map(*(F.lit(x) for kv in GRADE_TEXT.items() for x in kv))[F.col("safety_grade")]
+
+    def counted(text: str, n: str) -> Column:
+        return F.when(F.col(n) > 0, F.concat(F.lit(f"{text} "), F.col(n).cast("string")))
+
+    qt = F.when(F.col("qt_drugs") >= 3, F.concat(F.lit("QT drugs "), F.col("qt_drugs").cast("string")))
+    return F.concat_ws("; ", grade, counted("contraindicated", "ddi_contraindicated"), counted("major", "ddi_major"), F.when(F.col("triple_whammy"), "triple whammy"), qt, F.nullif(F.concat_ws(", ", "triggered_rules"), F.lit("")))
+
+
+def subtype_level(label: Column) -> Column:
+    """Level of a second-stage label: subtypes are Yellow, levels are themselves, any other text is Normal."""
+    return F.when(label.startswith("Y_"), "Yellow").when(label.isin(*LEVELS), label).otherwise("Normal")
+
+
+def stage2_label(level: Column, subtype: Column) -> Column:
+    """Class of the second stage: a Yellow row's subtype, else its level; combinations that can't be raise."""
+    wrong = (level == "Red") | ((level == "Yellow") & subtype.isNull()) | ((level != "Yellow") & subtype.isNotNull()) | level.isNull()
+    bad = F.raise_error(F.concat(F.lit("no second-stage class: "), F.coalesce(level, F.lit("null")), F.lit(" / "), F.coalesce(subtype, F.lit("null")))).cast("string")
+    return F.when(wrong, bad).when(level == "Yellow", subtype).otherwise(level)
 
 
 # Classes in which duplicate therapy is accepted.

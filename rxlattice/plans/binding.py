@@ -5,12 +5,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Drugs share interaction ids: drug_id modulo this.
+from ..functions.normalize import components
+from ..operators import features as ft
+from ..operators import rules as ru
+
+#: Drugs share interaction ids: drug_id modulo this; every seventh drug is a combination with a second id.
 N_IDS = 50
 
+#: Medicines that drugs stand for, by drug_id modulo their number: product name, ATC code, components.
+MEDICINES = [
+    ("Warfarin sodium 2mg", "B01AA03", ["warfarin"]),
+    ("Ibuprofen 200mg", "M01AE01", ["ibuprofen"]),
+    ("Clopidogrel 75mg", "B01AC04", ["clopidogrel"]),
+    ("Omeprazole magnesium 20mg", "A02BC01", ["omeprazole"]),
+    ("Enalapril maleate 5mg", "C09AA02", ["enalapril"]),
+    ("Losartan potassium, hydrochlorothiazide", "C09DA01", ["losartan", "hydrochlorothiazide"]),
+    ("Spironolactone 25mg", "C03DA01", ["spironolactone"]),
+    ("Digoxin 0.25mg", "C01AA05", ["digoxin"]),
+    ("Amiodarone hydrochloride 200mg", "C01BD01", ["amiodarone"]),
+    ("Methotrexate 2.5mg", "L01BA01", ["methotrexate"]),
+    ("Trimethoprim, sulfamethoxazole", "J01EE01", ["trimethoprim", "sulfamethoxazole"]),
+    ("Sertraline hydrochloride 50mg", "N06AB06", ["sertraline"]),
+    ("Selegiline hydrochloride 5mg", "N04BD01", ["selegiline"]),
+    ("Sumatriptan succinate 50mg", "N02CC01", ["sumatriptan"]),
+    ("Lithium carbonate 300mg", "N05AN01", ["lithium"]),
+    ("Haloperidol 5mg", "N05AD01", ["haloperidol"]),
+    ("Levofloxacin hydrate 500mg", "J01MA12", ["levofloxacin"]),
+    ("Simvastatin 20mg", "C10AA01", ["simvastatin"]),
+    ("Clarithromycin 250mg", "J01FA09", ["clarithromycin"]),
+    ("Amlodipine besylate 5mg", "C08CA01", ["amlodipine"]),
+    ("Telmisartan, amlodipine (as amlodipine besylate 6.9mg)", "C09DB04", ["telmisartan", "amlodipine"]),
+    ("Naproxen sodium 550mg", "M01AE02", ["naproxen"]),
+    ("Insulin glargine", "A10AE04", ["insulin glargine"]),
+    ("Atenolol 50mg", "C07AB03", ["atenolol"]),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +74,59 @@ RX = """rx AS (
     substr('EKNRG', CAST(1 + l_partkey % 5 AS INT), 1) || lpad(CAST(l_suppkey % 100 AS string),2,'0') AS diag_code
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
+
+
+def medicines(spark: SparkSession) -> DataFrame:
+    """med, med_name, med_atc: the fixed list of MEDICINES."""
+    return spark.createDataFrame([(k, name, atc) for k, (name, atc, _) in enumerate(MEDICINES)], "med long, med_name string, med_atc string")
+
+
+def with_kinds(meds: DataFrame) -> DataFrame:
+    """Adds what a medicine is by its name and code: parts (components), risk flags, QT group, whammy classes."""
+    name, atc = F.col("med_name"), F.col("med_atc")
+    groups = {"high_risk": ft.HIGH_RISK, "renal_risk": ft.RENAL_RISK, "hepatic_risk": ft.HEPATIC_RISK, "qt": ru.GROUPS["qt_prolonging"]}
+    kinds = meds.withColumns({"parts": F.array_distinct(components(name)), **{n: ft.in_group(name, atc, g) for n, g in groups.items()}})
+
+    def some(k: int) -> Column:
+        return F.exists("parts", lambda part: ft.whammy_classes(part)[k])
+
+    return kinds.withColumns({n: some(k) for k, n in enumerate(("acei_arb", "k_sparing", "nsaid"))})
+
+
+def rx_meds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`rx` with the medicine of each line and its kinds. The list is a literal, so its broadcast is bounded."""
+    return rx(spark, sf_dir).join(F.broadcast(with_kinds(medicines(spark))), F.col("drug_id") % len(MEDICINES) == F.col("med"))
+
+
+def _text(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+#: `rx` with med_name, med_atc and the components that the medicine is known to have.
+MEDS = (
+    "meds(med, med_name, med_atc, comps) AS (VALUES " + ", ".join(f"({k}, '{n}', '{a}', {_text(c)})" for k, (n, a, c) in enumerate(MEDICINES)) + "), "
+    f"rxm AS (SELECT rx.*, med_name, med_atc, comps FROM rx JOIN meds ON drug_id % {len(MEDICINES)} = med)"
+)
+
+
+def interaction_ids(drug: str) -> Column:
+    """Ids of a drug in the interaction matrix; a combination has two."""
+    own = F.array((F.col(drug) % N_IDS).cast("long"))
+    return F.when(F.col(drug) % 7 == 0, F.concat(own, F.array(((F.col(drug) * 3 + 1) % N_IDS).cast("long")))).otherwise(own)
+
+
+def ids_sql(drug: str) -> str:
+    return f"CASE WHEN {drug} % 7 = 0 THEN [{drug} % {N_IDS}, ({drug} * 3 + 1) % {N_IDS}] ELSE [{drug} % {N_IDS}] END"
+
+
+def rated_sql(pairs: str, keys: str = "patient_id") -> str:
+    """CTE body: the distinct (keys, drug_a, drug_b) of `pairs` with the best rank over the ids of both sides."""
+    return (
+        f"SELECT {keys}, drug_a, drug_b, coalesce(max(kb.rank), 0) AS rank FROM (SELECT *, unnest(ids_b) AS ib FROM (SELECT *, unnest({ids_sql('drug_a')}) AS ia, {ids_sql('drug_b')} AS ids_b FROM {pairs})) p "
+        "LEFT JOIN kb ON id_lo = least(ia, ib) AND id_hi = greatest(ia, ib) GROUP BY ALL"
+    )
+
+
 #: 90-day buckets of the start date, the grain of features and risk.
 BUCKET = "CAST(floor(date_diff('day', DATE '1995-01-01', start_date) / 90.0) AS INT)"
 

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import age_band, atc_level, components, risk_code
+from ..functions.normalize import age_band, atc_level, risk_code, sex_value
 from ..operators import features as ft
 from ..operators import intervals as iv
 from ..operators import knowledge as kn
 from ..operators import rules as ru
-from .binding import BUCKET, DEMO, KB, N_IDS, OCC, RX, demographics, interactions, rx, table
+from .binding import BUCKET, DEMO, KB, MEDICINES, MEDS, N_IDS, OCC, RX, demographics, interaction_ids, interactions, medicines, rated_sql, rx, rx_meds, table
 from .registry import query
 
 WITH = f"WITH {RX}"
 WITH_OCC = f"WITH {RX}, {OCC}"
+WITH_MEDS = f"WITH {RX}, {MEDS}"
 KEYS = ["patient_id", "bucket"]
 
 
-def bucket() -> Column:
-    return F.floor(F.datediff("start_date", F.lit("1995-01-01").cast("date")) / 90).cast("int")
-
-
-def interaction_id(drug: str) -> Column:
-    return F.array((F.col(drug) % N_IDS).cast("long"))
+def bucket(day: str | Column = "start_date") -> Column:
+    return F.floor(F.datediff(day, F.lit("1995-01-01").cast("date")) / 90).cast("int")
 
 
 @query("scan_project", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
@@ -190,76 +187,141 @@ def _(spark, sf):
     return rx(spark, sf).groupBy(atc_level(F.col("atc_code"), 3).alias("atc3"), atc_level(F.col("atc_code"), 4).alias("atc4")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ddi_pairs", f"""{WITH_OCC}, {KB} SELECT p.patient_id, p.drug_a, p.drug_b, coalesce(rank, 0) AS rank, severity FROM (SELECT DISTINCT patient_id, drug_a, drug_b FROM occ) p
-  LEFT JOIN kb ON id_lo = least(drug_a % 50, drug_b % 50) AND id_hi = greatest(drug_a % 50, drug_b % 50)""")
-def _(spark, sf):
-    pairs = iv.overlap_pairs(iv.overlaps(rx(spark, sf))).select("patient_id", "drug_a", "drug_b")
-    return kn.pairs_with_severity(pairs, interaction_id("drug_a"), interaction_id("drug_b"), kn.severity_lookup(interactions(spark)))
+_SEVERITY = "CASE rank WHEN 4 THEN 'Contraindicated' WHEN 3 THEN 'Major' WHEN 2 THEN 'Moderate' WHEN 1 THEN 'Minor' END"
+_COUNTS = "CAST(count(*) FILTER (rank = 4) AS BIGINT) AS ddi_contraindicated, CAST(count(*) FILTER (rank = 3) AS BIGINT) AS ddi_major, CAST(count(*) FILTER (rank = 2) AS BIGINT) AS ddi_moderate, CAST(count(*) FILTER (rank = 1) AS BIGINT) AS ddi_minor"
+_RATED = f"{WITH_OCC}, {KB}, rated AS ({rated_sql('(SELECT DISTINCT patient_id, drug_a, drug_b FROM occ)')})"
 
 
-_COUNTS = "CAST(count(*) FILTER (severity = 'Contraindicated') AS BIGINT) AS ddi_contraindicated, CAST(count(*) FILTER (severity = 'Major') AS BIGINT) AS ddi_major, CAST(count(*) FILTER (severity = 'Moderate') AS BIGINT) AS ddi_moderate, CAST(count(*) FILTER (severity = 'Minor') AS BIGINT) AS ddi_minor"
+def rated_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each patient's pairs of drugs taken at once with the best severity over the ids of both sides."""
+    pairs = iv.overlap_pairs(iv.overlaps(rx(spark, sf))).select("patient_id", "drug_a", "drug_b")
+    return kn.pairs_with_severity(pairs, interaction_ids("drug_a"), interaction_ids("drug_b"), kn.severity_lookup(interactions(spark)))
 
 
 def severity_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(*(F.count_if(F.col("severity") == s).alias(f"ddi_{s.lower()}") for s in reversed(kn.SEVERITIES)))
 
 
-@query("ddi_counts", f"{WITH_OCC}, {KB}, p AS (SELECT DISTINCT patient_id, drug_a, drug_b FROM occ) SELECT patient_id, {_COUNTS} FROM p LEFT JOIN kb ON id_lo = least(drug_a % 50, drug_b % 50) AND id_hi = greatest(drug_a % 50, drug_b % 50) GROUP BY 1")
+@query("ddi_pairs", f"{_RATED} SELECT patient_id, drug_a, drug_b, rank, {_SEVERITY} AS severity FROM rated")
 def _(spark, sf):
-    pairs = iv.overlap_pairs(iv.overlaps(rx(spark, sf))).select("patient_id", "drug_a", "drug_b")
-    rated = kn.pairs_with_severity(pairs, interaction_id("drug_a"), interaction_id("drug_b"), kn.severity_lookup(interactions(spark)))
-    return severity_counts(rated, ["patient_id"])
+    return rated_pairs(spark, sf)
 
 
-@query("ddi_alerts", f"{WITH_OCC}, {KB} SELECT DISTINCT patient_id, drug_a, drug_b, severity FROM occ JOIN kb ON id_lo = least(drug_a % 50, drug_b % 50) AND id_hi = greatest(drug_a % 50, drug_b % 50) WHERE rank >= 3")
+@query("ddi_counts", f"{_RATED} SELECT patient_id, {_COUNTS} FROM rated GROUP BY 1")
 def _(spark, sf):
-    pairs = iv.overlap_pairs(iv.overlaps(rx(spark, sf))).select("patient_id", "drug_a", "drug_b")
-    rated = kn.pairs_with_severity(pairs, interaction_id("drug_a"), interaction_id("drug_b"), kn.severity_lookup(interactions(spark)))
-    return rated.where("rank >= 3").select("patient_id", "drug_a", "drug_b", "severity")
+    return severity_counts(rated_pairs(spark, sf), ["patient_id"])
+
+
+@query("ddi_alerts", f"{_RATED} SELECT patient_id, drug_a, drug_b, {_SEVERITY} AS severity FROM rated WHERE rank >= 3")
+def _(spark, sf):
+    return rated_pairs(spark, sf).where("rank >= 3").select("patient_id", "drug_a", "drug_b", "severity")
+
+
+#: Days that two drugs must be taken together.
+LEAST_OVERLAP = 7
+_LINE = ["drug_id", "institution_id", "start_date", "end_date", "class_no", "med_atc", "parts", "high_risk", "renal_risk", "hepatic_risk", "qt", "acei_arb", "k_sparing", "nsaid"]
+
+
+def _pairs_of(lines: str) -> Column:
+    """Distinct pairs of drugs in an array of lines that overlap long enough, the later start in the row's bucket."""
+
+    def partners(a: Column) -> Column:
+        def meets(b: Column) -> Column:
+            later = F.greatest(a["start_date"], b["start_date"])
+            days = F.datediff(F.least(a["end_date"], b["end_date"]), later) + 1
+            return (a["drug_id"] < b["drug_id"]) & (days >= LEAST_OVERLAP) & (bucket(later) == F.col("bucket"))
+
+        return F.transform(F.filter(lines, meets), lambda b: F.struct(a["drug_id"].alias("drug_a"), b["drug_id"].alias("drug_b")))
+
+    return F.array_distinct(F.flatten(F.transform(lines, partners)))
+
+
+def _repeated(values: Column) -> Column:
+    """How many values of an array stand in it twice or more."""
+    return F.size(F.filter(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda w: w == v)) >= 2)).cast("long")
+
+
+def _prefixes(codes: Column, width: int) -> Column:
+    """The first characters of the codes that have so many."""
+    return F.transform(F.filter(codes, lambda c: F.length(c) >= width), lambda c: F.substring(c, 1, width))
+
+
+def _field(name: str) -> Column:
+    return F.transform("own", lambda line: line[name])
 
 
 def safety_features(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per patient and 90-day bucket: counts, pairs inside the bucket by severity, flags, age, QT drugs.
+    """One row per patient and 90-day bucket: counts, duplicates, rated pairs, flags, age and sex.
 
-    Every part groups by the same two keys, so one exchange of the lines serves the aggregates.
+    One exchange gathers the lines that touch a bucket; everything but the severities is then worked out inside
+    the row, and rating keeps the rows where they are. A group is what one person gets in three months. Each pair
+    counts in the bucket of its later start, so lines on both sides of an edge meet.
     """
-    r = rx(spark, sf).withColumn("bucket", bucket())
-    base = r.groupBy(*KEYS).agg(
-        F.countDistinct("drug_id").alias("drug_count"), F.countDistinct("institution_id").alias("institution_count"), F.count(F.lit(1)).alias("n_lines"), F.min("start_date").alias("window_start"), F.max("end_date").alias("window_end"),
-        F.countDistinct(F.when(ft.in_group(F.col("product_name"), F.col("atc_code"), ([], ru.GROUPS["qt_prolonging"])), F.col("drug_id"))).alias("qt_drugs"),
-        *(F.bool_or(ft.in_group(F.col("product_name"), F.col("atc_code"), g)).alias(n) for n, g in (("high_risk", ft.HIGH_RISK), ("renal_risk", ft.RENAL_RISK), ("hepatic_risk", ft.HEPATIC_RISK))),
-    )
-    dup = ft.duplicate_counts(r, KEYS, "drug_id", "dup_same_ingredient")
-    occ = iv.overlaps(r.withColumn("patient_id", F.struct("patient_id", "bucket")), 7)
-    pairs = occ.select("patient_id.patient_id", "patient_id.bucket", "drug_a", "drug_b").distinct()
-    rated = kn.pairs_with_severity(pairs, interaction_id("drug_a"), interaction_id("drug_b"), kn.severity_lookup(interactions(spark)))
-    counts = severity_counts(rated, KEYS)
-    whammy = ft.triple_whammy(r.select(*KEYS, F.explode(components(F.col("product_name"))).alias("component")), KEYS).select(*KEYS, "triple_whammy")
-    got = base.join(dup, KEYS).join(counts, KEYS, "left").join(whammy, KEYS, "left").join(demographics(spark, sf).select("patient_id", "age"), "patient_id", "left")
-    return got.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ddi_contraindicated", "ddi_major", "ddi_moderate", "ddi_minor")}).withColumn("triple_whammy", F.coalesce("triple_whammy", F.lit(False)))
+    touched = F.explode(F.sequence(bucket("start_date"), bucket("end_date")))
+    each = rx_meds(spark, sf).select("patient_id", touched.alias("bucket"), F.struct(*_LINE).alias("line"))
+    rows = each.groupBy(*KEYS).agg(F.collect_list("line").alias("lines"))
+    rows = rows.withColumn("own", F.filter("lines", lambda line: bucket(line["start_date"]) == F.col("bucket"))).where(F.size("own") > 0)
+    # A line whose medicine has no known component counts by its drug id.
+    rows = rows.withColumn("named", F.flatten(F.transform("own", lambda line: F.when(F.size(line["parts"]) > 0, line["parts"]).otherwise(F.array(line["drug_id"].cast("string"))))))
+    rows = rows.withColumn("window_start", F.array_min(_field("start_date"))).withColumn("window_end", F.least(F.array_max(_field("end_date")), F.date_add("window_start", 89)))
+    classes = F.filter(_field("class_no"), lambda c: c.isNotNull())
+    atcs = F.filter(_field("med_atc"), lambda c: c.isNotNull())
+    facts = [
+        F.size(F.array_distinct("named")).cast("long").alias("drug_count"),
+        F.size(F.array_distinct(F.filter(_field("institution_id"), lambda i: i.isNotNull()))).cast("long").alias("institution_count"),
+        F.size("own").cast("long").alias("n_lines"),
+        "window_start", "window_end",
+        F.size(F.filter("own", lambda line: (line["start_date"] <= F.col("window_end")) & (F.col("window_end") <= line["end_date"]))).cast("long").alias("drug_count_7d"),
+        *(F.array_max(_field(n)).alias(n) for n in ("high_risk", "renal_risk", "hepatic_risk")),
+        F.size(F.array_distinct(F.transform(F.filter("own", lambda line: line["qt"]), lambda line: line["drug_id"]))).cast("long").alias("qt_drugs"),
+        _repeated(F.col("named")).alias("dup_same_ingredient"),
+        _repeated(classes).alias("dup_class"),
+        *(_repeated(_prefixes(atcs, w)).alias(f"dup_atc{k}") for k, w in ((5, 7), (4, 5), (3, 4))),
+        (F.array_max(_field("acei_arb")) & F.array_max(_field("k_sparing")) & F.array_max(_field("nsaid"))).alias("triple_whammy"),
+    ]
+    rows = rows.select(*KEYS, *facts, _pairs_of("lines").alias("pairs"))
+    names = [c for c in rows.columns if c not in (*KEYS, "pairs")]
+    pairs = rows.select(*KEYS, F.struct(*names).alias("facts"), F.explode_outer("pairs").alias("pair")).select(*KEYS, "facts", "pair.*")
+    rated = kn.pairs_with_severity(pairs, interaction_ids("drug_a"), interaction_ids("drug_b"), kn.severity_lookup(interactions(spark)))
+    counts = severity_counts(rated, [*KEYS, "facts"]).select(*KEYS, "facts.*", *(f"ddi_{s.lower()}" for s in kn.SEVERITIES))
+    people = demographics(spark, sf).select("patient_id", "age", sex_value(F.col("sex_type")).alias("sex"))
+    return counts.join(people, "patient_id", "left")
 
 
 def patient_features(spark: SparkSession, sf: str) -> DataFrame:
-    return safety_features(spark, sf).drop("qt_drugs")
+    return safety_features(spark, sf)
 
 
 def _in(col: str, words: list[str], how: str) -> str:
     return " OR ".join(f"{col} LIKE '{'%' if how == 'has' else ''}{w}%'" for w in words)
 
 
+def _is(group: tuple[list[str], list[str]]) -> str:
+    return f"({_in('lower(med_name)', group[0], 'has')} OR {_in('med_atc', group[1], 'starts')})"
+
+
 def _flag(name: str, group: tuple[list[str], list[str]]) -> str:
-    return f"bool_or({_in('lower(product_name)', group[0], 'has')} OR {_in('atc_code', group[1], 'starts')}) AS {name}"
+    return f"bool_or({_is(group)}) AS {name}"
 
 
-_FEATURES = f"""WITH {RX}, {KB}, {DEMO}, r AS (SELECT *, {BUCKET} AS bucket FROM rx),
-base AS (SELECT patient_id, bucket, count(DISTINCT drug_id) AS drug_count, count(DISTINCT institution_id) AS institution_count, CAST(count(*) AS BIGINT) AS n_lines, min(start_date) AS window_start, max(end_date) AS window_end,
-  {_flag("high_risk", ft.HIGH_RISK)}, {_flag("renal_risk", ft.RENAL_RISK)}, {_flag("hepatic_risk", ft.HEPATIC_RISK)} FROM r GROUP BY 1, 2),
-dup AS (SELECT patient_id, bucket, CAST(count(*) FILTER (n >= 2) AS BIGINT) AS dup_same_ingredient FROM (SELECT patient_id, bucket, drug_id, count(*) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
-pairs AS (SELECT DISTINCT a.patient_id, a.bucket, a.drug_id AS drug_a, b.drug_id AS drug_b FROM r a JOIN r b ON a.patient_id = b.patient_id AND a.bucket = b.bucket AND a.drug_id < b.drug_id
-  AND date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1 >= 7),
-counts AS (SELECT patient_id, bucket, {_COUNTS} FROM pairs JOIN kb ON id_lo = least(drug_a % 50, drug_b % 50) AND id_hi = greatest(drug_a % 50, drug_b % 50) GROUP BY 1, 2),
-feats AS (SELECT base.*, dup_same_ingredient, coalesce(ddi_contraindicated, 0) AS ddi_contraindicated, coalesce(ddi_major, 0) AS ddi_major, coalesce(ddi_moderate, 0) AS ddi_moderate, coalesce(ddi_minor, 0) AS ddi_minor, age, false AS triple_whammy
-  FROM base JOIN dup USING (patient_id, bucket) LEFT JOIN counts USING (patient_id, bucket) LEFT JOIN demo USING (patient_id))"""
+_WHAMMY = f"""bool_or(regexp_matches(c, 'pril(\\s|$)') OR c LIKE '%sartan%') AS acei_arb, bool_or({_in("c", ft.K_SPARING, "has")}) AS k_sparing, bool_or({_in("c", ft.NSAID, "has")}) AS nsaid"""
+
+
+_FEATURES = f"""WITH {RX}, {MEDS}, {KB}, {DEMO}, r AS (SELECT *, {BUCKET} AS bucket FROM rxm),
+base AS (SELECT patient_id, bucket, count(DISTINCT institution_id) AS institution_count, CAST(count(*) AS BIGINT) AS n_lines, min(start_date) AS window_start, least(max(end_date), min(start_date) + 89) AS window_end,
+  {_flag("high_risk", ft.HIGH_RISK)}, {_flag("renal_risk", ft.RENAL_RISK)}, {_flag("hepatic_risk", ft.HEPATIC_RISK)}, count(DISTINCT CASE WHEN {_is(ru.GROUPS["qt_prolonging"])} THEN drug_id END) AS qt_drugs FROM r GROUP BY 1, 2),
+at_end AS (SELECT patient_id, bucket, CAST(count(*) FILTER (start_date <= window_end AND window_end <= end_date) AS BIGINT) AS drug_count_7d FROM r JOIN base USING (patient_id, bucket) GROUP BY 1, 2),
+named AS (SELECT patient_id, bucket, unnest(comps) AS c FROM r),
+comp AS (SELECT patient_id, bucket, CAST(count(*) AS BIGINT) AS drug_count, CAST(count(*) FILTER (n >= 2) AS BIGINT) AS dup_same_ingredient FROM (SELECT patient_id, bucket, c, count(*) AS n FROM named GROUP BY 1, 2, 3) GROUP BY 1, 2),
+whammy AS (SELECT patient_id, bucket, {_WHAMMY} FROM named GROUP BY 1, 2),
+dup AS (SELECT patient_id, bucket, CAST(count(*) FILTER (k = 'class' AND n >= 2) AS BIGINT) AS dup_class, CAST(count(*) FILTER (k = 'a5' AND n >= 2) AS BIGINT) AS dup_atc5, CAST(count(*) FILTER (k = 'a4' AND n >= 2) AS BIGINT) AS dup_atc4, CAST(count(*) FILTER (k = 'a3' AND n >= 2) AS BIGINT) AS dup_atc3
+  FROM (SELECT patient_id, bucket, k, v, count(*) AS n FROM (SELECT patient_id, bucket, 'class' AS k, class_no AS v FROM r UNION ALL SELECT patient_id, bucket, 'a5', med_atc FROM r UNION ALL SELECT patient_id, bucket, 'a4', substr(med_atc, 1, 5) FROM r UNION ALL SELECT patient_id, bucket, 'a3', substr(med_atc, 1, 4) FROM r) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT a.patient_id, CAST(floor(date_diff('day', DATE '1995-01-01', greatest(a.start_date, b.start_date)) / 90.0) AS INT) AS bucket, a.drug_id AS drug_a, b.drug_id AS drug_b FROM rx a JOIN rx b ON a.patient_id = b.patient_id AND a.drug_id < b.drug_id
+  AND date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1 >= {LEAST_OVERLAP}),
+rated AS ({rated_sql("pairs", "patient_id, bucket")}), counts AS (SELECT patient_id, bucket, {_COUNTS} FROM rated GROUP BY 1, 2),
+feats AS (SELECT base.*, drug_count_7d, drug_count, dup_same_ingredient, dup_class, dup_atc5, dup_atc4, dup_atc3, coalesce(ddi_contraindicated, 0) AS ddi_contraindicated, coalesce(ddi_major, 0) AS ddi_major, coalesce(ddi_moderate, 0) AS ddi_moderate, coalesce(ddi_minor, 0) AS ddi_minor,
+  acei_arb AND k_sparing AND nsaid AS triple_whammy, age, CASE sex_type WHEN '1' THEN 1.0::DOUBLE WHEN '2' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS sex
+  FROM base JOIN at_end USING (patient_id, bucket) JOIN comp USING (patient_id, bucket) JOIN whammy USING (patient_id, bucket) JOIN dup USING (patient_id, bucket) LEFT JOIN counts USING (patient_id, bucket) LEFT JOIN demo USING (patient_id))"""
 
 _LEVEL = """, g AS (SELECT *, triple_whammy OR (drug_count >= 10 AND high_risk) OR (coalesce(age, -1) >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk)) AS severe,
   CAST(ddi_moderate >= 2 AS INT) + CAST(dup_same_ingredient >= 1 AS INT) + CAST(institution_count >= 3 AS INT) AS dims FROM feats),
@@ -282,7 +344,7 @@ def _(spark, sf):
 
 @query("risk_rules", _FEATURES + _LEVEL + """ SELECT patient_id, bucket, concat_ws(',', CASE WHEN risk_level = 'Yellow' AND ddi_major >= 1 THEN 'DDI_MAJOR' END, CASE WHEN risk_level = 'Yellow' AND ddi_moderate >= 2 THEN 'DDI_MOD' END, CASE WHEN risk_level = 'Yellow' AND dup_same_ingredient >= 1 THEN 'DUP' END,
   CASE WHEN risk_level = 'Yellow' AND institution_count >= 3 THEN 'FRAG' END, CASE WHEN risk_level = 'Red' THEN 'RED_CONTRAINDICATED' END, CASE WHEN risk_level = 'Yellow' AND drug_count >= 10 AND high_risk THEN 'SEV_10DRUG_HIGHRISK' END,
-  CASE WHEN risk_level = 'Yellow' AND age >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk) THEN 'SEV_ELDERLY_ORGAN' END) AS triggers FROM typed WHERE risk_level IN ('Red', 'Yellow')""")
+  CASE WHEN risk_level = 'Yellow' AND age >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk) THEN 'SEV_ELDERLY_ORGAN' END, CASE WHEN risk_level = 'Yellow' AND triple_whammy THEN 'SEV_TRIPLE_WHAMMY' END) AS triggers FROM typed WHERE risk_level IN ('Red', 'Yellow')""")
 def _(spark, sf):
     return graded(spark, sf).where("risk_level in ('Red', 'Yellow')").select("patient_id", "bucket", F.concat_ws(",", "risk_reasons").alias("triggers"))
 
@@ -309,7 +371,7 @@ def _(spark, sf):
     return g.groupBy(risk_code(F.col("risk_level")).alias("risk_code"), (F.col("risk_level") == "Red").cast("int").alias("is_red"), F.col("risk_level").isin("Red", "Yellow").cast("int").alias("is_risk")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("safety_net_grade", _FEATURES + """ SELECT CASE WHEN ddi_contraindicated >= 1 OR ddi_major >= 3 OR (drug_count >= 10 AND high_risk) OR (coalesce(age, -1) >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk)) THEN 'Red'
+@query("safety_net_grade", _FEATURES + """ SELECT CASE WHEN ddi_contraindicated >= 1 OR ddi_major >= 3 OR triple_whammy OR qt_drugs >= 3 OR (drug_count >= 10 AND high_risk) OR (coalesce(age, -1) >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk)) THEN 'Red'
   WHEN ddi_major >= 1 OR ddi_moderate >= 2 THEN 'Yellow' WHEN ddi_minor > 0 OR drug_count >= 5 THEN 'Green' ELSE 'Normal' END AS safety_grade, CAST(count(*) AS BIGINT) AS n FROM feats GROUP BY 1""")
 def _(spark, sf):
     return ru.safety_net_grade(safety_features(spark, sf)).groupBy("safety_grade").agg(F.count(F.lit(1)).alias("n"))
@@ -346,16 +408,19 @@ def _(spark, sf):
     return g.select("patient_id", "bucket", "risk_level", reasons.alias("reasons"))
 
 
-@query("risk_flags", f"{WITH} SELECT patient_id, {_flag('high_risk', ft.HIGH_RISK)}, {_flag('renal_risk', ft.RENAL_RISK)}, {_flag('hepatic_risk', ft.HEPATIC_RISK)} FROM rx GROUP BY 1")
+@query("risk_flags", f"{WITH_MEDS} SELECT patient_id, {_flag('high_risk', ft.HIGH_RISK)}, {_flag('renal_risk', ft.RENAL_RISK)}, {_flag('hepatic_risk', ft.HEPATIC_RISK)} FROM rxm GROUP BY 1")
 def _(spark, sf):
-    return ft.risk_flags(rx(spark, sf), ["patient_id"])
+    return ft.risk_flags(rx_meds(spark, sf).select("patient_id", F.col("med_name").alias("product_name"), F.col("med_atc").alias("atc_code")), ["patient_id"])
 
 
-@query("triple_whammy", f"""{WITH}, c AS (SELECT patient_id, unnest(string_split(lower(product_name), ' ')) AS c FROM rx) SELECT patient_id, bool_or(regexp_matches(c, 'pril(\\s|$)') OR c LIKE '%sartan%') AS acei_arb, bool_or({_in("c", ft.K_SPARING, "has")}) AS k_sparing, bool_or({_in("c", ft.NSAID, "has")}) AS nsaid,
-  bool_or(regexp_matches(c, 'pril(\\s|$)') OR c LIKE '%sartan%') AND bool_or({_in("c", ft.K_SPARING, "has")}) AND bool_or({_in("c", ft.NSAID, "has")}) AS triple_whammy FROM c GROUP BY 1""")
+@query("component_risk_flags", f"""{WITH_MEDS}, c AS (SELECT patient_id, {BUCKET} AS bucket, unnest(comps) AS c FROM rxm) SELECT patient_id, bucket, bool_or({_in("c", ft.HIGH_RISK[0], "has")}) AS high_risk, bool_or({_in("c", ft.RENAL_RISK[0], "has")}) AS renal_risk, bool_or({_in("c", ft.HEPATIC_RISK[0], "has")}) AS hepatic_risk FROM c GROUP BY 1, 2""")
 def _(spark, sf):
-    parts = rx(spark, sf).select("patient_id", F.explode(F.split(F.lower("product_name"), " ")).alias("component"))
-    return ft.triple_whammy(parts, ["patient_id"])
+    return ft.component_flags(rx_meds(spark, sf).select("patient_id", bucket().alias("bucket"), F.explode("parts").alias("component")), KEYS)
+
+
+@query("triple_whammy", f"{WITH_MEDS}, c AS (SELECT patient_id, {BUCKET} AS bucket, unnest(comps) AS c FROM rxm), t AS (SELECT patient_id, bucket, {_WHAMMY} FROM c GROUP BY 1, 2) SELECT *, acei_arb AND k_sparing AND nsaid AS triple_whammy FROM t")
+def _(spark, sf):
+    return ft.triple_whammy(rx_meds(spark, sf).select("patient_id", bucket().alias("bucket"), F.explode("parts").alias("component")), KEYS)
 
 
 @query("duplicate_levels", f"""{WITH}, c AS (SELECT patient_id, atc_code, count(*) AS n FROM rx GROUP BY 1, 2), p AS (SELECT a.patient_id, a.atc_code AS atc_a, b.atc_code AS atc_b FROM c a JOIN c b ON a.patient_id = b.patient_id AND a.atc_code < b.atc_code AND substr(a.atc_code, 1, 4) = substr(b.atc_code, 1, 4)
@@ -366,37 +431,91 @@ def _(spark, sf):
     return ru.duplicate_levels(rx(spark, sf), ["patient_id"])
 
 
-#: Groups and rules over the bound codes, which start with the capitals of part types.
-_GROUPS = {"econ": ["E"], "large": ["L"], "medium": ["M"], "promo": ["P"], "small": ["S"], "standard": ["S0", "S1"]}
-_RULES = [("R1", [["econ"], ["large"]], 1, "Major"), ("R2", [["medium", "promo"], ["small"]], 1, "Moderate"), ("R3", [["promo"]], 3, "Major"), ("R4", [["econ"], ["large"], ["medium"]], 1, "Contraindicated")]
-_HAS = "count(DISTINCT CASE WHEN atc_code LIKE '{}%' THEN drug_id END)"
+def _groups_sql(groups: ru.Groups) -> str:
+    """CTE: the medicines' groups."""
+    rows = " UNION ALL ".join(f"SELECT med, '{g}' AS grp FROM meds WHERE {' OR '.join(x for x in (_in('lower(med_name)', words, 'has'), _in('med_atc', prefixes, 'starts')) if x)}" for g, (words, prefixes) in groups.items())
+    return f"grps AS ({rows}), members AS (SELECT DISTINCT patient_id, {BUCKET} AS bucket, drug_id, grp FROM rxm JOIN grps ON drug_id % {len(MEDICINES)} = med)"
+
+
+def _rules_sql(rules: list) -> str:
+    """Rules that hold for each patient and bucket, written out rule by rule."""
+
+    def clause(groups: list[str], least: int) -> str:
+        return f"count(DISTINCT CASE WHEN grp IN ({', '.join(repr(g) for g in groups)}) THEN drug_id END) >= {least}"
 
+    return " UNION ALL ".join(
+        f"SELECT patient_id, bucket, '{rule}' AS rule, '{name}' AS name, '{severity}' AS severity FROM members GROUP BY 1, 2 HAVING {' AND '.join(clause(g, least if k == 0 else 1) for k, g in enumerate(clauses))}"
+        for rule, name, clauses, least, severity in rules
+    )
 
-@query("safety_net_rules", f"""{WITH}, c AS (SELECT patient_id, {", ".join(f"{_HAS.format(p)} AS {p}" for p in "ELMPS")} FROM rx GROUP BY 1)
-  SELECT patient_id, 'R1' AS rule, 'Major' AS severity FROM c WHERE E >= 1 AND L >= 1 UNION ALL SELECT patient_id, 'R2', 'Moderate' FROM c WHERE (M >= 1 OR P >= 1) AND S >= 1
-  UNION ALL SELECT patient_id, 'R3', 'Major' FROM c WHERE P >= 3 UNION ALL SELECT patient_id, 'R4', 'Contraindicated' FROM c WHERE E >= 1 AND L >= 1 AND M >= 1""")
+
+def members(spark: SparkSession, sf: str, groups: ru.Groups) -> DataFrame:
+    """Drugs of each patient and bucket with their groups. Groups are found once per medicine."""
+    kinds = ru.memberships(medicines(spark), ru.group_table(spark, groups), "med_atc", "med_name").select("med", "grp")
+    taken = rx(spark, sf).select("patient_id", bucket().alias("bucket"), "drug_id").distinct()
+    return taken.join(F.broadcast(kinds), F.col("drug_id") % len(MEDICINES) == F.col("med")).drop("med")
+
+
+@query("safety_net_rules", f"{WITH_MEDS}, {_groups_sql(ru.GROUPS)} {_rules_sql(ru.RULES)}")
 def _(spark, sf):
-    members = ru.memberships(rx(spark, sf).select("patient_id", "drug_id", "atc_code"), ru.group_table(spark, _GROUPS))
-    return ru.apply_rules(members, _RULES, ["patient_id"])
+    return ru.apply_rules(members(spark, sf, ru.GROUPS), ru.RULES, KEYS)
 
 
-@query("composite_patterns", f"""{WITH}, {"m AS (SELECT patient_id, bool_or(atc_code LIKE 'E%') AS e, bool_or(atc_code LIKE 'L%') AS l, bool_or(atc_code LIKE 'M%') AS m, bool_or(atc_code LIKE 'P%') AS p, bool_or(atc_code LIKE 'S%') AS s FROM rx GROUP BY 1)"}
-  SELECT patient_id, 'E+L+M' AS rule FROM m WHERE e AND l AND m UNION ALL SELECT patient_id, 'E+P+S' FROM m WHERE e AND p AND s UNION ALL SELECT patient_id, 'all' FROM m WHERE e AND l AND m AND p AND s""")
+@query("composite_patterns", f"{WITH_MEDS}, {_groups_sql(ru.PATTERN_GROUPS)} {_rules_sql(ru.PATTERNS)}")
 def _(spark, sf):
-    rules = [("E+L+M", [["econ"], ["large"], ["medium"]], 1, "x"), ("E+P+S", [["econ"], ["promo"], ["small"]], 1, "x"), ("all", [["econ"], ["large"], ["medium"], ["promo"], ["small"]], 1, "x")]
-    members = ru.memberships(rx(spark, sf).select("patient_id", "drug_id", "atc_code"), ru.group_table(spark, _GROUPS))
-    return ru.apply_rules(members, rules, ["patient_id"]).select("patient_id", "rule")
+    return ru.apply_rules(members(spark, sf, ru.PATTERN_GROUPS), ru.PATTERNS, KEYS)
 
 
-@query("drug_groups", f"""{WITH} SELECT g, count(DISTINCT drug_id) AS n_drugs, CAST(count(*) AS BIGINT) AS n_lines FROM rx JOIN (VALUES ('econ', 'E'), ('large', 'L'), ('medium', 'M'), ('promo', 'P'), ('small', 'S'), ('standard', 'S0'), ('standard', 'S1')) v(g, p) ON starts_with(atc_code, p) GROUP BY 1""")
+_ASSESSED = f"""{WITH_MEDS}, {KB}, {DEMO}, {_groups_sql(ru.GROUPS)}, hits AS ({_rules_sql(ru.RULES)}),
+  taken AS (SELECT patient_id, {BUCKET} AS bucket, drug_id, any_value(med_name) AS med_name, any_value(med_atc) AS med_atc, any_value(comps) AS comps FROM rxm GROUP BY 1, 2, 3),
+  drugs AS (SELECT patient_id, bucket, CAST(count(DISTINCT c) AS BIGINT) AS drug_count FROM (SELECT patient_id, bucket, unnest(comps) AS c FROM taken) GROUP BY 1, 2),
+  kinds AS (SELECT patient_id, bucket, bool_or({_in("lower(med_name)", ft.HIGH_RISK[0], "has")}) AS high_risk, {_flag("renal_risk", ft.RENAL_RISK)}, {_flag("hepatic_risk", ft.HEPATIC_RISK)}, count(DISTINCT CASE WHEN {_is(ru.GROUPS["qt_prolonging"])} THEN drug_id END) AS qt_drugs FROM taken GROUP BY 1, 2),
+  rated AS ({rated_sql("(SELECT a.patient_id, a.bucket, a.drug_id AS drug_a, b.drug_id AS drug_b FROM taken a JOIN taken b ON a.patient_id = b.patient_id AND a.bucket = b.bucket AND a.drug_id < b.drug_id)", "patient_id, bucket")}),
+  found AS (SELECT patient_id, bucket, NULL AS rule, rank FROM rated WHERE rank > 0 UNION ALL SELECT patient_id, bucket, rule || ': ' || name, CASE severity WHEN 'Contraindicated' THEN 4 WHEN 'Major' THEN 3 ELSE 2 END FROM hits),
+  n AS (SELECT patient_id, bucket, {_COUNTS}, coalesce(bool_or(rule LIKE 'TOP03%'), false) AS triple_whammy, coalesce(string_agg(rule, ', ' ORDER BY rule), '') AS rules FROM found GROUP BY 1, 2),
+  a AS (SELECT patient_id, bucket, drug_count, high_risk, renal_risk, hepatic_risk, qt_drugs, coalesce(ddi_contraindicated, 0) AS ddi_contraindicated, coalesce(ddi_major, 0) AS ddi_major, coalesce(ddi_moderate, 0) AS ddi_moderate, coalesce(ddi_minor, 0) AS ddi_minor, coalesce(triple_whammy, false) AS triple_whammy, coalesce(rules, '') AS rules, age
+    FROM drugs JOIN kinds USING (patient_id, bucket) LEFT JOIN n USING (patient_id, bucket) LEFT JOIN demo USING (patient_id)),
+  g AS (SELECT *, CASE WHEN ddi_contraindicated >= 1 OR ddi_major >= 3 OR triple_whammy OR qt_drugs >= 3 OR (drug_count >= 10 AND high_risk) OR (coalesce(age, -1) >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk)) THEN 'Red'
+    WHEN ddi_major >= 1 OR ddi_moderate >= 2 THEN 'Yellow' WHEN ddi_minor > 0 OR drug_count >= 5 THEN 'Green' ELSE 'Normal' END AS safety_grade FROM a)
+  SELECT patient_id, bucket, safety_grade, ddi_contraindicated, ddi_major, ddi_moderate, ddi_minor, triple_whammy, qt_drugs, rules,
+    concat_ws('; ', CASE safety_grade WHEN 'Red' THEN 'high risk: act now' WHEN 'Yellow' THEN 'medium risk: monitor monthly' WHEN 'Green' THEN 'low risk: inform quarterly' ELSE 'normal' END, CASE WHEN ddi_contraindicated > 0 THEN 'contraindicated ' || ddi_contraindicated END,
+      CASE WHEN ddi_major > 0 THEN 'major ' || ddi_major END, CASE WHEN triple_whammy THEN 'triple whammy' END, CASE WHEN qt_drugs >= 3 THEN 'QT drugs ' || qt_drugs END, nullif(rules, '')) AS explanation FROM g"""
+
+
+@query("safety_net_assessment", _ASSESSED)
 def _(spark, sf):
-    lines = rx(spark, sf).groupBy("drug_id", "atc_code").agg(F.count(F.lit(1)).alias("n"))
-    return ru.memberships(lines, ru.group_table(spark, _GROUPS)).groupBy(F.col("grp").alias("g")).agg(F.countDistinct("drug_id").alias("n_drugs"), F.sum("n").alias("n_lines"))
+    """The drug list of each patient and bucket: rules, rated pairs of all its drugs, grade and explanation."""
+    taken = rx_meds(spark, sf).groupBy("patient_id", bucket().alias("bucket"), "drug_id").agg(F.any_value("med_name").alias("med_name"), *(F.any_value(c).alias(c) for c in ("parts", "renal_risk", "hepatic_risk", "qt")))
+    a, b = taken.select(*KEYS, F.col("drug_id").alias("drug_a")), taken.select(*KEYS, F.col("drug_id").alias("drug_b"))
+    rated = kn.pairs_with_severity(a.join(b, KEYS).where("drug_a < drug_b"), interaction_ids("drug_a"), interaction_ids("drug_b"), kn.severity_lookup(interactions(spark)))
+    found = ru.assess(members(spark, sf, ru.GROUPS), rated, KEYS)
+    keyword = ft.contains_any(F.lower("med_name"), ft.HIGH_RISK[0])
+    drugs = taken.groupBy(*KEYS).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("parts")))).cast("long").alias("drug_count"),
+        F.bool_or(keyword).alias("high_risk"), *(F.bool_or(c).alias(c) for c in ("renal_risk", "hepatic_risk")),
+    )
+    people = demographics(spark, sf).select("patient_id", "age")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("ddi_contraindicated", "ddi_major", "ddi_moderate", "ddi_minor", "qt_drugs")}
+    whole = drugs.join(found, KEYS, "left").withColumns(counts | {"triple_whammy": F.coalesce("triple_whammy", F.lit(False)), "triggered_rules": F.coalesce("triggered_rules", F.array().cast("array<string>"))})
+    graded = ru.safety_net_grade(whole.join(people, "patient_id", "left"))
+    return graded.select(*KEYS, "safety_grade", *counts, "triple_whammy", F.concat_ws(", ", "triggered_rules").alias("rules"), ru.explanation(graded).alias("explanation"))
+
+
+@query("drug_groups", f"{WITH_MEDS}, {_groups_sql(ru.GROUPS)} SELECT grp AS g, count(DISTINCT drug_id) AS n_drugs, CAST(count(*) AS BIGINT) AS n_lines FROM rxm JOIN grps ON drug_id % {len(MEDICINES)} = grps.med GROUP BY 1")
+def _(spark, sf):
+    lines = rx(spark, sf).groupBy("drug_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = ru.memberships(medicines(spark), ru.group_table(spark, ru.GROUPS), "med_atc", "med_name").select("med", "grp")
+    return lines.join(F.broadcast(kinds), F.col("drug_id") % len(MEDICINES) == F.col("med")).groupBy(F.col("grp").alias("g")).agg(F.countDistinct("drug_id").alias("n_drugs"), F.sum("n").alias("n_lines"))
+
+
+_OTC = ru.GROUPS["anticoagulants_all"], ru.GROUPS["lithium"]
 
 
-@query("otc_flag", f"{WITH} SELECT patient_id, bool_or(atc_code LIKE 'E0%' OR product_name LIKE '%lithium%') AS otc_warning FROM rx GROUP BY 1")
+@query("otc_flag", f"{WITH_MEDS} SELECT patient_id, {BUCKET} AS bucket, bool_or({_is(_OTC[0])} OR {_is(_OTC[1])}) AS otc_warning FROM rxm GROUP BY 1, 2")
 def _(spark, sf):
-    return rx(spark, sf).groupBy("patient_id").agg(F.bool_or(F.col("atc_code").startswith("E0") | F.col("product_name").contains("lithium")).alias("otc_warning"))
+    """Patients on an anticoagulant or lithium get a warning about over-the-counter painkillers."""
+    warned = [ft.in_group(F.col("med_name"), F.col("med_atc"), g) for g in _OTC]
+    return rx_meds(spark, sf).groupBy("patient_id", bucket().alias("bucket")).agg(F.bool_or(warned[0] | warned[1]).alias("otc_warning"))
 
 
 @query("temporal_features", f"""{WITH}, t AS (SELECT *, date_diff('day', min(start_date) OVER (PARTITION BY patient_id), start_date) > 44 AS late FROM rx), d AS (SELECT patient_id, drug_id, bool_or(NOT late) AS e, bool_or(late) AS l FROM t GROUP BY 1, 2),

@@ -79,6 +79,29 @@ def test_rule_table(spark):
     assert got == {(1, "TOP01"), (2, "TOP03")}
 
 
+PLANTED = {
+    "TOP01": ["Xarelto (rivaroxaban)", "aspirin 100"], "TOP02": ["Plavix", "esomeprazole"], "TOP03": ["valsartan", "Amiloride", "ketorolac"], "TOP04": ["digitoxin", "Isoptin"], "TOP05": ["MTX", "bactrim"],
+    "TOP06": ["citalopram", "linezolid"], "TOP07": ["paroxetine", "rizatriptan"], "TOP08": ["lithobid", "indapamide"], "TOP09": ["sotalol", "methadone", "ondansetron"], "TOP10": ["lovastatin", "telithromycin"],
+}
+
+
+def test_each_rule_fires_by_name_and_not_without_one_of_its_drugs(spark):
+    rows = [(f"{rule}-{gone}", k, name) for rule, names in PLANTED.items() for gone in ("all", *range(len(names))) for k, name in enumerate(names) if k != gone]
+    drugs = spark.createDataFrame([(*r, None) for r in rows], "patient_id string, drug_id long, name string, atc_code string")
+    members = ru.memberships(drugs, ru.group_table(spark, ru.GROUPS), name="name")
+    got = {(r.patient_id, r.rule) for r in ru.apply_rules(members, ru.RULES, ["patient_id"]).collect()}
+    assert got == {(f"{rule}-all", rule) for rule in PLANTED}
+
+
+def test_second_stage_classes(spark):
+    rows = spark.createDataFrame([("Yellow", "Y_DUP"), ("Green", None), ("Normal", None)], "l string, s string")
+    assert [r.c for r in rows.select(ru.stage2_label(F.col("l"), F.col("s")).alias("c")).collect()] == ["Y_DUP", "Green", "Normal"]
+    assert [r.c for r in spark.createDataFrame([("Y_DUP",), ("Green",), ("odd",)], "c string").select(ru.subtype_level(F.col("c")).alias("c")).collect()] == ["Yellow", "Green", "Normal"]
+    for bad in (("Red", None), ("Yellow", None), ("Green", "Y_DUP")):
+        with pytest.raises(Exception, match="no second-stage class"):
+            spark.createDataFrame([bad], "l string, s string").select(ru.stage2_label(F.col("l"), F.col("s"))).collect()
+
+
 def test_triple_whammy(spark):
     parts = spark.createDataFrame([(1, "perindopril erbumine"), (1, "spironolactone"), (1, "ibuprofen"), (2, "prilocaine"), (2, "spironolactone"), (2, "ibuprofen")], "patient_id long, component string")
     assert {r.patient_id: r.triple_whammy for r in ft.triple_whammy(parts, ["patient_id"]).collect()} == {1: True, 2: False}

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from rxlattice.operators import rules as ru
-from rxlattice.plans import claims
+from rxlattice.plans import binding, claims
 
 
 def test_triple_whammy_and_qt_drugs_reach_the_grades(spark, monkeypatch):
@@ -16,11 +16,11 @@ def test_triple_whammy_and_qt_drugs_reach_the_grades(spark, monkeypatch):
         5: [("losartan", "X"), ("eplerenone", "X"), ("celecoxib", "X")],
     }
     # Ids of one residue have no interaction with each other, so only the drugs' kinds grade.
-    rows = [(p, 7, p, k, 50 * (10 * p + k), day, 3, day + dt.timedelta(2), name, atc) for p, found in drugs.items() for k, (name, atc) in enumerate(found)]
-    schema = "patient_id long, institution_id long, bill_no long, line_no int, drug_id long, start_date date, total_days int, end_date date, product_name string, atc_code string, class_no string"
+    rows = [(p, 7, p, k, 350 * (10 * p + k) + 1, day, 3, day + dt.timedelta(2), name, atc) for p, found in drugs.items() for k, (name, atc) in enumerate(found)]
+    schema = "patient_id long, institution_id long, bill_no long, line_no int, drug_id long, start_date date, total_days int, end_date date, med_name string, med_atc string, class_no string"
     lines = spark.createDataFrame([(*r, "c") for r in rows], schema)
-    monkeypatch.setattr(claims, "rx", lambda s, sf: lines)
-    monkeypatch.setattr(claims, "demographics", lambda s, sf: spark.createDataFrame([(p, 40) for p in drugs], "patient_id long, age int"))
+    monkeypatch.setattr(claims, "rx_meds", lambda s, sf: binding.with_kinds(lines))
+    monkeypatch.setattr(claims, "demographics", lambda s, sf: spark.createDataFrame([(p, 40, "1") for p in drugs], "patient_id long, age int, sex_type string"))
     got = {r.patient_id: r for r in claims.safety_features(spark, "").collect()}
     assert {p: (r.triple_whammy, r.qt_drugs) for p, r in got.items()} == {1: (True, 0), 2: (False, 0), 3: (False, 3), 4: (False, 2), 5: (True, 0)}
     graded = {r.patient_id: (r.risk_level, r.yellow_subtype) for r in claims.graded(spark, "").collect()}
