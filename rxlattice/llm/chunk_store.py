@@ -109,6 +109,8 @@ def _stage(path: str):
             uids, doc_ids = batch["uid"].to_pylist(), batch["doc_id"].to_pylist()
             for first, texts in chunks(batch["text"].to_pylist()):
                 ids, lengths = encode(texts, END_ID)
+                if ids.max(initial=0) >= 1 << 16:
+                    raise ValueError(f"id {ids.max()} doesn't fit two bytes: the store takes vocabularies of up to 65,536 ids")
                 narrow, wanted = ids.astype("<u2"), marks(ids)
                 stops = np.cumsum(lengths)
                 edges = np.searchsorted(wanted, np.concatenate(([0], stops)), side="right")

@@ -21,10 +21,6 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import mmap
-import sys
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,10 +28,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import exists, load, save
 from .common import shared_dir, tune
 from .text import Words, chunks, mix
 
@@ -54,45 +50,6 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-# ---- arrays in the shared folder
-
-
-def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri)
-
-
-def save(uri: str, array: np.ndarray) -> None:
-    """Write under a name of its own, then rename: readers see the whole array or none."""
-    fs, path = _place(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        out.write(np.ascontiguousarray(array).tobytes())
-    fs.move(part, path)
-
-
-def load(uri: str, kind: str) -> np.ndarray:
-    """The array, memory-mapped. From a store that can't be mapped it is first copied; the copy has no name."""
-    fs, path = _place(uri)
-    info = fs.get_file_info(path)
-    if not info.size:
-        return np.empty(0, kind)
-    if isinstance(fs, pa.fs.LocalFileSystem):
-        return _mapped(path, kind)
-    with tempfile.NamedTemporaryFile() as copy, fs.open_input_stream(path) as source:
-        while block := source.read(1 << 24):
-            copy.write(block)
-        copy.flush()
-        return _mapped(copy.name, kind)
-
-
-def _mapped(path: str, kind: str) -> np.ndarray:
-    """The file's array, memory-mapped. The mapping holds no file open, so there may be any number of shards."""
-    with open(path, "rb") as f:
-        options = {"trackfd": False} if sys.version_info >= (3, 13) else {}
-        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **options), kind)
-
-
 # ---- packed blocks: sorted keys with counts
 
 
@@ -374,8 +331,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
 
     reports = blocks.groupBy("shard").applyInPandas(merge_stats, "shard int, numbers array<long>").collect()
     for s in range(n):
-        fs, path = _place(f"{uri}/pairs-{s}")
-        if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
+        if not exists(f"{uri}/pairs-{s}"):
             save(f"{uri}/pairs-{s}", np.empty(0, np.uint64))
             save(f"{uri}/counts-{s}", np.empty(0, np.uint32))
     high = next((r["numbers"] for r in reports if r["shard"] < 0), [0] * 5)

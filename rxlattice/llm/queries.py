@@ -92,10 +92,13 @@ LEFT JOIN contents c ON c.doc_id = d.doc_id LEFT JOIN classes k ON k.content = c
 )
 
 _CONTAINED = (
-    "WITH " + _SHINGLES.format(name="d", key="doc_id", table="documents") + "," + _SHINGLES.format(name="b", key="item_id", table="benchmark") + r"""
+    "WITH " + _SHINGLES.format(name="d", key="doc_id", table="documents") + "," + _SHINGLES.format(name="b", key="item_id", table="benchmark") + r""",
+short AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS s FROM b_words WHERE len(w) BETWEEN 1 AND 4),
+runs AS (SELECT DISTINCT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d_words, (SELECT DISTINCT n FROM short)))
 SELECT d.doc_id, b.item_id, z.n AS n_item_shingles, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / z.n AS containment
-FROM b_sets b JOIN d_sets d ON d.s = b.s JOIN b_sizes z ON z.item_id = b.item_id
-GROUP BY d.doc_id, b.item_id, z.n HAVING 100 * count(*) >= 80 * z.n"""
+FROM b_sets b JOIN d_sets d ON d.s = b.s JOIN b_sizes z ON z.item_id = b.item_id WHERE b.item_id NOT IN (SELECT item_id FROM short)
+GROUP BY d.doc_id, b.item_id, z.n HAVING 100 * count(*) >= 80 * z.n
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0::DOUBLE FROM runs JOIN short USING (n, s)"""
 )
 
 _LINES = r"""

@@ -1,6 +1,6 @@
 """Toxic spans by a linear-chain conditional random field over the words of each sentence.
 
-Chains are sentences of at most `CHAIN` words. A word's state features are its letters, their prefixes of
+Chains are whole sentences, however long. A word's state features are its letters, their prefixes of
 3 to 6 and their last three, hashed; two states (0 clean, 1 toxic) and a 2 x 2 transition matrix make the
 chain. Documents have one label each, so training words get theirs first: a word of a toxic document is
 toxic if one of its features occurs in toxic training documents far more often than in others. Word
@@ -16,6 +16,7 @@ none); repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,9 @@ from .common import tune
 from .labelled import training_sample
 from .text import Words, chunks, mix, span_hash
 
-BITS, CHAIN, PREFIXES, ROUNDS = 18, 64, (3, 4, 5, 6), 30
+BITS, PREFIXES, ROUNDS = 18, (3, 4, 5, 6), 30
+#: Chains of more words are walked one by one, word by word; shorter ones side by side.
+LONG = 400
 #: Labelled training documents of each label that the fit may use.
 MOST = {0: 3000, 1: 1500}
 #: A feature marks a toxic word if it is in so many toxic documents (and such a share of them) and so much
@@ -69,8 +72,6 @@ class Tagged:
         if n:
             broken = np.concatenate(([0], np.cumsum(w.data == 0x0A)))
             fresh[1:] = (w.doc[1:] != w.doc[:-1]) | _STOP[w.data[w.end[:-1] - 1]] | (broken[w.start[1:]] > broken[w.end[:-1]])
-            head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-            fresh |= (np.arange(n) - head) % CHAIN == 0
         self.head = np.flatnonzero(fresh)
         self.length = np.diff(np.append(self.head, n))
 
@@ -84,6 +85,22 @@ def _soft(a: np.ndarray | float, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a, b)
 
 
+def _walk(emit: list[float], first: float, a: list[list[float]], back: bool) -> list[float]:
+    """Messages along one chain: `first` at its start, then forward (or backward) from word to word."""
+
+    def soft(x: float, y: float) -> float:
+        return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+    out = [first]
+    for e in emit:
+        x = out[-1]
+        if back:
+            out.append(soft(a[1][0], a[1][1] + e + x) - soft(a[0][0], a[0][1] + e + x))
+        else:
+            out.append(e + soft(a[0][1], x + a[1][1]) - soft(a[0][0], x + a[1][0]))
+    return out
+
+
 def forward_backward(emit: np.ndarray, head: np.ndarray, length: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginal of state 1 for each word, summed pair marginals (2 x 2), and log odds passed on.
 
@@ -92,6 +109,14 @@ def forward_backward(emit: np.ndarray, head: np.ndarray, length: np.ndarray, a:
     order = np.argsort(-length, kind="stable")
     head, length = head[order], length[order]
     alpha, beta = emit.copy(), np.zeros_like(emit)
+    n_long, steps = int((length > LONG).sum()), a.tolist()
+    for h, n in zip(head[:n_long].tolist(), length[:n_long].tolist()):
+        own = emit[h : h + n].tolist()
+        alpha[h : h + n] = _walk(own[1:], own[0], steps, False)
+        beta[h : h + n] = _walk(own[:0:-1], 0.0, steps, True)[::-1]
+    inner = np.ones(len(emit), bool)
+    inner[head] = False
+    head, length = head[n_long:], length[n_long:]
     longest = int(length[0]) if len(length) else 0
     active = [int(np.searchsorted(-length, -t, side="left")) for t in range(longest + 1)]  # chains longer than t
     for t in range(1, longest):
@@ -103,8 +128,6 @@ def forward_backward(emit: np.ndarray, head: np.ndarray, length: np.ndarray, a:
         after = emit[now + 1] + beta[now + 1]
         beta[now] = _soft(a[1, 0], a[1, 1] + after) - _soft(a[0, 0], a[0, 1] + after)
     marginal = 1 / (1 + np.exp(-np.clip(alpha + beta, -40, 40)))
-    inner = np.ones(len(emit), bool)
-    inner[head] = False
     at = np.flatnonzero(inner)
     pairs = np.zeros((2, 2))
     if len(at):

@@ -78,6 +78,19 @@ def test_store_round_trip(spark):
     assert sum(len(r.payload) // 2 for r in stored.collect()) < all_ids - 2 * 3000  # the shared passage is held once
 
 
+def test_ids_of_more_than_two_bytes_raise(monkeypatch):
+    import pyarrow as pa
+
+    class Wide:
+        def encode_chunk(self, texts, end=None):
+            return np.array([70_000] * len(texts), np.uint32), np.ones(len(texts), np.int64)
+
+    monkeypatch.setattr(chunk_store, "encoder", lambda path: Wide())
+    batch = pa.RecordBatch.from_pydict({"uid": [1], "doc_id": [1], "text": ["a"]})
+    with pytest.raises(ValueError, match="two bytes"):
+        list(chunk_store._stage("x")([batch]))
+
+
 def test_damage_is_seen(spark):
     store = chunk_store.write_store(frame(spark, [prose(300)]))
     bad = store.chunks(spark).selectExpr("address", "unhex(concat('0000', substr(hex(payload), 5))) as payload")
@@ -248,23 +261,27 @@ def test_keys_cover_the_distance():
 
 
 def test_containment_against_brute_force(spark):
-    items = [prose(n, lines=False) for n in (3, 5, 9, 17, 40, 60, 130) for _ in range(3)]
+    items = [prose(n, lines=False) for n in (1, 2, 3, 4, 5, 9, 17, 40, 60, 130) for _ in range(3)]
     texts = [prose(RNG.randint(5, 3000)) for _ in range(40)]
     for item in items:
         texts.append(prose(RNG.randint(0, 2000)) + item + " " + prose(300))
         texts.append(prose(500) + edited(item, 0.01) + prose(300))
     texts += [items[0], "", None]
     sets, docs = [shingle_set(i) for i in items], [shingle_set(t or "") for t in texts]
-    want = {(d, i, len(s & docs[d])) for i, s in enumerate(sets) for d in range(len(docs)) if s and 100 * len(s & docs[d]) >= 80 * len(s)}
+    want = {(d, i, len(s & docs[d])) for i, s in enumerate(sets) for d in range(len(docs)) if s and len(split_words(items[i])) >= 5 and 100 * len(s & docs[d]) >= 80 * len(s)}
+    for i, item in enumerate(items):  # fewer than five words: the sequence itself
+        w = split_words(item)
+        want |= {(d, i, 1) for d, v in enumerate(map(split_words, (t or "" for t in texts))) if len(w) < 5 and any(v[k : k + len(w)] == w for k in range(len(v)))}
     found = decontaminate.contained_items(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.n_shared) for r in found.collect()} == want
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK", 3)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
     items = [prose(20, lines=False) for _ in range(10)]
     docs = frame(spark, [prose(50) + i for i in items] + [prose(80)])
     rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert len(decontaminate.build(rows)[1]) > 2
     assert {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, rows).collect()} == {(i, i) for i in range(10)}
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, rows).collect()] == [10]
 
@@ -475,6 +492,20 @@ def test_fertility_bands_differ_by_language(spark):
     assert not kept.pop(999) and not kept.pop(1000) and sum(kept.values()) > 0.95 * len(kept)
 
 
+def test_long_chains_are_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    emit, a = rng.normal(size=900), rng.normal(size=(2, 2))
+    head, length = np.array([0, 700, 701]), np.array([700, 1, 199])
+    got = []
+    for limit in (10_000, 400, 0):
+        monkeypatch.setattr(toxicity, "LONG", limit)
+        marginal, pairs, _ = toxicity.forward_backward(emit, head, length, a)
+        got.append((marginal, pairs))
+    assert all(np.allclose(m, got[0][0]) and np.allclose(p, got[0][1]) for m, p in got)
+    tagged = toxicity.Tagged([("word " * 5000).encode(), b"One two. Three four"])
+    assert tagged.length.tolist() == [5000, 2, 2]
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     emit, a = rng.normal(size=9), rng.normal(size=(2, 2))
