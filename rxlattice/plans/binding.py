@@ -41,6 +41,10 @@ MEDICINES = [
     ("Naproxen sodium 550mg", "M01AE02", ["naproxen"]),
     ("Insulin glargine", "A10AE04", ["insulin glargine"]),
     ("Atenolol 50mg", "C07AB03", ["atenolol"]),
+    ("Verapamil hydrochloride 80mg", "C08DA01", ["verapamil"]),
+    ("Tramadol hydrochloride 50mg", "N02AX02", ["tramadol"]),
+    ("Lorazepam 1mg", "N05BA06", ["lorazepam"]),
+    ("Cetirizine hydrochloride 10mg", "R06AE07", ["cetirizine"]),
 ]
 
 
