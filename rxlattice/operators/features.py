@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.normalize import atc_level
 
@@ -94,18 +95,21 @@ def distinct_class_duplicates(rx: DataFrame, keys: list[str], cls: str = "class_
 
 
 def temporal_features(rx: DataFrame, split_day: int = 44) -> DataFrame:
-    """Shape of a patient's time: early and late drugs, new drugs, institutions' entropy, durations."""
-    firsts = rx.groupBy("patient_id").agg(F.min("start_date").alias("t0"))
-    dated = rx.join(firsts, "patient_id").withColumn("late", F.datediff("start_date", "t0") > split_day)
-    drugs = dated.groupBy("patient_id", "drug_id").agg(F.bool_or(~F.col("late")).alias("in_early"), F.bool_or("late").alias("in_late"))
-    counts = drugs.groupBy("patient_id").agg(F.count_if("in_early").alias("early_drugs"), F.count_if("in_late").alias("late_drugs"), F.count_if(F.col("in_late") & ~F.col("in_early")).alias("new_drugs"))
-    places = rx.where("institution_id is not null").groupBy("patient_id", "institution_id").agg(F.count(F.lit(1)).alias("n"))
-    total = places.groupBy("patient_id").agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    entropy = places.join(total, "patient_id").groupBy("patient_id").agg(F.sum(-share * F.log2(share)).alias("institution_entropy"), F.max(share).alias("max_share"))
-    spans = rx.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_lines"), F.avg("total_days").alias("mean_days"), F.count_if(F.col("total_days") >= 30).alias("long_lines"))
-    got = counts.join(entropy, "patient_id", "left").join(spans, "patient_id")
-    return got.select("patient_id", "early_drugs", "late_drugs", (F.col("late_drugs") - F.col("early_drugs")).alias("drug_trend"), "new_drugs", F.coalesce("institution_entropy", F.lit(0.0)).alias("institution_entropy"), F.coalesce("max_share", F.lit(0.0)).alias("max_share"), "n_lines", "mean_days", "long_lines", (F.col("long_lines") / F.col("n_lines")).alias("long_ratio"))
+    """Shape of a patient's time: early and late drugs, new drugs, institutions' entropy, durations.
+
+    The lines are shuffled once, by patient; the windows and the one aggregate work where they then are.
+    """
+    person, drug, place = (Window.partitionBy("patient_id", *more) for more in ((), ("drug_id",), ("institution_id",)))
+    here = F.col("institution_id").isNotNull()
+    rows = rx.select("patient_id", "drug_id", "institution_id", "start_date", "total_days").withColumn("_late", F.datediff("start_date", F.min("start_date").over(person)) > split_day).withColumn("_all", F.count_if(here).over(person))
+    rows = rows.withColumns({"_in_late": F.bool_or("_late").over(drug), "_in_early": F.bool_or(~F.col("_late")).over(drug), "_drug": F.row_number().over(drug.orderBy("start_date")) == 1})
+    rows = rows.withColumns({"_share": F.count(F.lit(1)).over(place) / F.col("_all"), "_place": (F.row_number().over(place.orderBy("start_date")) == 1) & here})
+    got = rows.groupBy("patient_id").agg(
+        F.count_if(F.col("_drug") & F.col("_in_early")).alias("early_drugs"), F.count_if(F.col("_drug") & F.col("_in_late")).alias("late_drugs"), F.count_if(F.col("_drug") & F.col("_in_late") & ~F.col("_in_early")).alias("new_drugs"),
+        F.coalesce(F.sum(F.when(F.col("_place"), -F.col("_share") * F.log2("_share"))), F.lit(0.0)).alias("institution_entropy"), F.coalesce(F.max(F.when(F.col("_place"), F.col("_share"))), F.lit(0.0)).alias("max_share"),
+        F.count(F.lit(1)).alias("n_lines"), F.avg("total_days").alias("mean_days"), F.count_if(F.col("total_days") >= 30).alias("long_lines"),
+    )
+    return got.withColumn("drug_trend", F.col("late_drugs") - F.col("early_drugs")).withColumn("long_ratio", F.col("long_lines") / F.col("n_lines"))
 
 
 def coprescription_edges(rx: DataFrame) -> DataFrame:
@@ -172,3 +176,15 @@ def select_features(df: DataFrame, columns: list[str], protected: tuple[str, ...
         elif (facts[c, c] or 0) > 0 and all(abs(facts.get((k, c)) or 0) <= limit for k in kept):
             kept.append(c)
     return kept
+
+
+def numeric_columns(df: DataFrame, leave: tuple[str, ...] = ()) -> list[str]:
+    """Columns that a scaler or selector works on: the numeric ones but for ids and labels."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in leave]
+
+
+def apply_selection(df: DataFrame, kept: list[str], metadata: tuple[str, ...] = ("patient_id",)) -> DataFrame:
+    """Metadata columns that exist, then the selected features; a feature that is missing raises."""
+    if gone := [c for c in kept if c not in df.columns]:
+        raise ValueError(f"missing features: {', '.join(gone)}")
+    return df.select(*(c for c in metadata if c in df.columns), *kept)

@@ -70,6 +70,25 @@ def name_index(names: DataFrame) -> DataFrame:
     return names.groupBy(F.lower("name").alias("name")).agg(F.min_by("id", F.struct("place", "id")).alias("id"))
 
 
+def code_map(rows: DataFrame) -> DataFrame:
+    """Code to id from rows with several codes in one cell, cut at | (columns codes, id, place): the last one wins."""
+    each = rows.select(F.explode(F.split("codes", r"\|")).alias("atc"), "id", "place").where("atc <> ''")
+    return each.groupBy("atc").agg(F.max_by("id", F.struct("place", "id")).alias("id"))
+
+
+def names_within(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Each text with each known name (column name) that stands in it as whole words; texts without one once, with null.
+
+    A name is looked up by its first word, so texts and names meet by an equi join and no pair is made that
+    shares no word.
+    """
+    first = names.select("name", F.split_part("name", F.lit(" "), F.lit(1)).alias("_w"))
+    words = texts.select(column, F.explode(F.array_distinct(F.split(F.lower(column), " "))).alias("_w"))
+    whole = F.concat(F.lit(" "), F.lower(column), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
+    hits = words.join(first, "_w").where(whole).select(column, "name").distinct()
+    return texts.join(hits, column, "left")
+
+
 def cyp_matrix(actions: DataFrame) -> DataFrame:
     """Drug x enzyme counts of actions (columns drug, enzyme, action, strength, known); known 'no' is dropped."""
     rows = actions.where("known is null or lower(known) <> 'no'")

@@ -15,6 +15,27 @@ ADR = {
 }
 
 
+# Disease categories of the Charlson index by ICD-10 prefix, with their weights.
+CHARLSON = {
+    "myocardial_infarction": (["I21", "I22"], 1),
+    "heart_failure": (["I50"], 1),
+    "peripheral_vascular": (["I70", "I71"], 1),
+    "cerebrovascular": (["I60", "I61", "I62", "I63", "I64", "I65", "I66", "I67", "I68", "I69", "G45", "G46"], 1),
+    "dementia": (["F00", "F01", "F02", "F03", "G30"], 1),
+    "pulmonary": (["J40", "J41", "J42", "J43", "J44", "J45", "J46", "J47"], 1),
+    "rheumatic": (["M05", "M06", "M32", "M33", "M34"], 1),
+    "peptic_ulcer": (["K25", "K26", "K27", "K28"], 1),
+    "mild_liver": (["K70", "K73", "K74", "B18"], 1),
+    "diabetes": (["E10", "E11", "E12", "E13", "E14"], 1),
+    "hemiplegia": (["G81", "G82"], 2),
+    "renal": (["N03", "N05", "N18", "N19", "N25"], 2),
+    "cancer": (["C0", "C1", "C2", "C3", "C4", "C5", "C6", "C81", "C82", "C83", "C84", "C85", "C88", "C9"], 2),
+    "severe_liver": (["K72", "K76"], 3),
+    "metastatic": (["C77", "C78", "C79", "C80"], 6),
+    "hiv": (["B20", "B21", "B22", "B24"], 6),
+}
+
+
 def adr_patterns(spark: SparkSession, patterns: dict = ADR) -> DataFrame:
     return spark.createDataFrame([(k, p, w) for k, (ps, w, _) in patterns.items() for p in ps], "adr string, pattern string, weight double")
 

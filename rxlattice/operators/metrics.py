@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
 
 def confusion(df: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts and rates at a threshold (columns y 0/1, score)."""
@@ -22,14 +24,22 @@ def rates() -> dict[str, Column]:
     return {"recall": _ratio(tp, tp + fn), "precision": _ratio(tp, tp + fp), "accuracy": _ratio(tp + tn, tp + fp + tn + fn), "f1": _ratio(2 * tp, 2 * tp + fp + fn)}
 
 
-def curve(df: DataFrame, parts: int = 64) -> DataFrame:
+def _range(score: Column) -> Column:
+    """A number that rises with the score: its binary exponent and the eight bits after it, for any scale of scores."""
+    size = F.abs(score)
+    exponent = F.floor(F.log2(size))
+    place = F.when(size == 0, -600_000).otherwise(exponent * 512 + F.floor(size / F.pow(F.lit(2.0), exponent) * 256)) + 600_001
+    return F.when(score < 0, -place).otherwise(place).cast("int")
+
+
+def curve(df: DataFrame) -> DataFrame:
     """Cumulated tp and fp for each distinct score, descending: score, n_pos, n_neg, tp, fp, pos, neg.
 
-    Distinct scores are cut into score ranges; running sums inside a range run beside each other, and the
-    ranges' totals (a few rows) are summed before them.
+    Distinct scores are cut into ranges, some hundreds for each power of two; running sums inside a range run
+    beside each other, and the ranges' totals are summed before them.
     """
     by = df.groupBy("score").agg(F.sum("y").cast("long").alias("n_pos"), F.sum(1 - F.col("y")).cast("long").alias("n_neg"))
-    by = by.withColumn("part", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(0.999999)) * parts).cast("int"))
+    by = by.withColumn("part", _range(F.col("score")))
     totals = by.groupBy("part").agg(F.sum("n_pos").alias("pp"), F.sum("n_neg").alias("nn"))
     above = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
@@ -94,16 +104,23 @@ def tau_sweep(df: DataFrame, floors: list[float]) -> DataFrame:
 def top_share(df: DataFrame, shares: list[float], id_: str = "id") -> DataFrame:
     """Precision and recall in the top ceil(n * share) rows by score; ties by id.
 
-    Rows at or above the cut score are few: only they are ranked, the rest is counted.
+    Rows above the cut score are counted by the curve. Only ties at the cut score are ranked, in ranges of ids
+    that lie beside each other.
     """
     spark = df.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(s,) for s in shares], "share double"))
-    c = curve(df).crossJoin(wanted)
-    k = F.ceil((F.col("pos") + F.col("neg")) * F.col("share"))
-    cut = c.withColumn("k", k).where("tp + fp >= k").groupBy("share", "k", "pos").agg(F.max("score").alias("cut"))
-    rows = df.select("score", F.col(id_).alias("_id"), "y").join(F.broadcast(cut), F.col("score") >= F.col("cut"))
-    place = F.row_number().over(Window.partitionBy("share").orderBy(F.col("score").desc(), "_id"))
-    return rows.withColumn("_n", place).where("_n <= k").groupBy("share", "k", "pos").agg(F.sum("y").cast("long").alias("hits")).select("share", "k", "hits", (F.col("hits") / F.col("k")).alias("precision"), _ratio(F.col("hits"), F.col("pos")).alias("recall"))
+    c = curve(df).crossJoin(wanted).withColumn("k", F.ceil((F.col("pos") + F.col("neg")) * F.col("share")))
+    at_cut = c.where("tp + fp >= k").groupBy("share", "k", "pos").agg(F.max_by(F.struct("score", "tp", "fp", "n_pos", "n_neg"), "score").alias("c"))
+    # Of the rows that tie at the cut score, `room` are still to be taken.
+    cut = saved(at_cut.select("share", "k", "pos", F.col("c.score").alias("cut"), (F.col("c.tp") - F.col("c.n_pos")).alias("above"), F.expr("k - (c.tp - c.n_pos + c.fp - c.n_neg)").alias("room")), "cuts")
+    ties = df.select("score", F.col(id_).alias("_id"), "y").join(F.broadcast(cut), F.col("score") == F.col("cut")).select("share", "room", "_id", "y")
+    ties = saved(ties.repartitionByRange("share", "_id").withColumn("_part", F.spark_partition_id()), "ties")
+    sizes = ties.groupBy("share", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("share").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ties.withColumn("_in", F.row_number().over(Window.partitionBy("share", "_part").orderBy("_id"))).join(F.broadcast(sizes.select("share", "_part", before.alias("_before"))), ["share", "_part"])
+    taken = placed.where(F.col("_in") + F.col("_before") <= F.col("room")).groupBy("share").agg(F.sum("y").cast("long").alias("tied"))
+    hits = F.col("above") + F.coalesce("tied", F.lit(0))
+    return cut.join(F.broadcast(taken), "share", "left").select("share", "k", hits.alias("hits"), (hits / F.col("k")).alias("precision"), _ratio(hits, F.col("pos")).alias("recall"))
 
 
 def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -124,6 +141,19 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return seen.crossJoin(chance).select("n", po.alias("agreement"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 
+def confusion_matrix(df: DataFrame, truth: str, predicted: str, classes: list[str]) -> DataFrame:
+    """All pairs of classes with their counts, zeros included, and the macro F1 over the classes.
+
+    The grid of classes is a fixed small table.
+    """
+    spark = df.sparkSession
+    grid = spark.createDataFrame([(a, b) for a in classes for b in classes], "truth string, predicted string")
+    n = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    each = class_metrics(df, truth, predicted).where(F.col("cls").isin(*classes))
+    macro = each.agg((F.coalesce(F.sum("f1"), F.lit(0.0)) / len(classes)).alias("macro_f1"))
+    return grid.join(F.broadcast(n), ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(macro)
+
+
 def brier(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(F.pow(F.col("score") - F.col("y"), 2)).alias("brier"), F.count(F.lit(1)).alias("n"))
 

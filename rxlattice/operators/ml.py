@@ -17,8 +17,8 @@ def code_lists(events: DataFrame, code: str, id_: str = "patient_id") -> DataFra
     return events.select(id_, F.col(code).cast("string").alias("c")).distinct().groupBy(id_).agg(F.collect_list("c").alias("codes"))
 
 
-def linear_model(max_vocab: int = 1 << 15, reg: float = 0.01, weight: str | None = None) -> Pipeline:
-    """Logistic regression on the multi-hot sparse vector of `codes`."""
+def linear_model(max_vocab: int = (1 << 31) - 1, reg: float = 0.01, weight: str | None = None) -> Pipeline:
+    """Logistic regression on the multi-hot sparse vector of `codes`; every code has a place unless `max_vocab` is less."""
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=20)
     if weight:
         lr = lr.setWeightCol(weight)
@@ -54,7 +54,7 @@ def importances(model: PipelineModel, df: DataFrame, columns: list[str]) -> Data
     return df.sparkSession.createDataFrame(list(zip(columns, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def calibrated(scored: DataFrame) -> DataFrame:
-    """Scores through a one-feature logistic regression on held-out rows."""
+def calibrated(held_out: DataFrame, scored: DataFrame) -> DataFrame:
+    """`scored` with its scores put through a one-feature logistic regression that is fitted on other, held-out rows."""
     p = Pipeline(stages=[VectorAssembler(inputCols=["score"], outputCol="features"), LogisticRegression(labelCol="label")])
-    return p.fit(scored).transform(scored).select("*", vector_to_array("probability")[1].alias("calibrated")).drop("features", "rawPrediction", "probability", "prediction")
+    return p.fit(held_out).transform(scored).select("*", vector_to_array("probability")[1].alias("calibrated")).drop("features", "rawPrediction", "probability", "prediction")

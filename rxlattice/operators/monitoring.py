@@ -71,7 +71,7 @@ def degradation(current: DataFrame, baseline: DataFrame, metrics: list[str], war
 
 
 def declines(snapshots: DataFrame, value: str, order: str, keys: list[str]) -> DataFrame:
-    """Snapshots whose value fell strictly three times in a row up to them."""
+    """Snapshots whose value is the last of three that fell strictly."""
     w = Window.partitionBy(*keys).orderBy(order)
     return snapshots.withColumn("v1", F.lag(value, 1).over(w)).withColumn("v2", F.lag(value, 2).over(w)).where((F.col(value) < F.col("v1")) & (F.col("v1") < F.col("v2"))).drop("v1", "v2")
 

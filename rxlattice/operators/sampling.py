@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
 
 def hash_key(id_: str, seed: int) -> Column:
     return F.sha2(F.concat_ws("|", F.col(id_).cast("string"), F.lit(str(seed))), 256)
@@ -53,6 +55,20 @@ def stratified(df: DataFrame, keys: list[str], total: int, id_: str, seed: int =
     return quota_sample(df, largest_remainder(sizes, keys, total), keys, id_, seed)
 
 
+def golden(df: DataFrame, level: str, positive: str, shares: dict[str, float], total: int, least: float, id_: str, seed: int = 42) -> DataFrame:
+    """`total` rows in fixed shares by level; of each level at least the share `least` has `positive` = 1.
+
+    A level with too few rows gives all of them; too few of one kind are made up by the other.
+    """
+    if abs(sum(shares.values()) - 1) > 1e-6:
+        raise ValueError("the shares must add up to 1")
+    target = F.create_map(*(F.lit(x) for k, v in shares.items() for x in (k, int(total * v))))[F.col(level)]
+    n = df.groupBy(level).agg(F.count_if(F.col(positive) == 1).alias("_np"), F.count_if(F.col(positive) == 0).alias("_nn")).withColumn("_t", target).where("_t is not null")
+    want = F.least(F.col("_np"), F.col("_t").cast("long"), F.greatest(F.floor(F.col("_t") * least), F.col("_t") - F.col("_nn")))
+    quotas = n.withColumn("_w", want).select(level, F.inline(F.array(F.struct(F.lit(1).alias(positive), F.col("_w").alias("quota")), F.struct(F.lit(0).alias(positive), (F.col("_t") - F.col("_w")).alias("quota")))))
+    return quota_sample(df, quotas, [level, positive], id_, seed)
+
+
 def split(df: DataFrame, label: str, id_: str, shares: tuple[float, ...] = (0.7, 0.15, 0.15), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42) -> DataFrame:
     """Split within each class by hash rank; cut points are floors, the last part takes the rest."""
     ranked = hash_place(df, [label], id_, seed).join(F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_all"))), label)
@@ -85,12 +101,15 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def dense_index(counts: DataFrame, code: str, reserved: int = 1) -> DataFrame:
     """Index of codes by (count descending, code), from `reserved` on, without one task for all.
 
-    Codes of one count are ranked beside each other; counts are few and carry the offsets.
+    Rows are dealt by ranges of (count, code), so that the many codes of one small count lie in many tasks; each
+    range ranks its own, and the ranges' sizes, a row a partition, say how many come before.
     """
-    per = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy(code))
-    return counts.withColumn("_in", inside).join(F.broadcast(per.withColumn("_before", before)), "n").select(code, "n", (F.col("_before") + F.col("_in") - 1 + reserved).cast("long").alias("idx"))
+    # Written once: ranges that are drawn anew for each use wouldn't be the same.
+    rows = saved(counts.select(code, "n").repartitionByRange(F.col("n").desc(), F.col(code)).withColumn("_part", F.spark_partition_id()), "vocabulary")
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(F.col("n").desc(), code)))
+    ends = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(ends.select("_part", before.alias("_before"))), "_part").select(code, "n", (F.col("_before") + F.col("_in") - 1 + reserved).cast("long").alias("idx"))
 
 
 def negative_pairs(pos: DataFrame, known: DataFrame, per: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -135,6 +154,7 @@ def multihot(events: DataFrame, vocab: DataFrame, code: str, id_: str = "patient
     return events.join(vocab.select(code, "idx"), code, "left").select(id_, F.coalesce("idx", F.lit(0)).cast("long").alias("idx")).distinct()
 
 
-def dataset_stats(coo: DataFrame, n_columns: int, id_: str = "patient_id") -> DataFrame:
+def dataset_stats(coo: DataFrame, size: DataFrame, id_: str = "patient_id") -> DataFrame:
+    """Rows, non-zeros, density, share of rows with an unknown code; `size` is one row with n_columns."""
     per = coo.groupBy(id_).agg(F.count(F.lit(1)).alias("nnz"), F.count_if(F.col("idx") == 0).alias("oov"))
-    return per.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("nnz").alias("nnz"), (F.sum("nnz") / (F.count(F.lit(1)) * F.lit(n_columns))).alias("density"), F.avg((F.col("oov") > 0).cast("double")).alias("oov_rate"))
+    return per.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("nnz").alias("nnz"), F.avg((F.col("oov") > 0).cast("double")).alias("oov_rate")).crossJoin(F.broadcast(size)).select("n_rows", "nnz", F.try_divide(F.col("nnz"), F.col("n_rows") * F.col("n_columns")).alias("density"), "oov_rate")

@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import age_band
+from ..functions.normalize import age_band, sex_value
 from ..operators import knowledge as kn
 from ..operators import labels as lb
 from ..operators import sampling as sp
-from .binding import DEMO, RX, SCORED, demographics, rx, scored, table
+from .binding import DEMO, MEDS, RX, SCORED, demographics, rx, rx_meds, scored, table
+from .claims import _FEATURES, _LEVEL, graded
 from .registry import query
 
 WITH = f"WITH {RX}"
-_ADR = {"e": (["E1", "E2"], 1.0, ["E"]), "k": (["K0"], 0.9, ["P", "S"]), "n": (["N5"], 0.8, ["L"])}
+_ADR_ROWS = ", ".join(f"('{k}', '{p}', {w})" for k, (ps, w, _) in lb.ADR.items() for p in ps)
+_ADR_DRUGS = ", ".join(f"('{k}', '{p}')" for k, (_, _, ps) in lb.ADR.items() for p in ps)
 
 
-@query("adr_label", f"""{WITH}, g AS (SELECT *, date_diff('day', min(start_date) OVER (PARTITION BY patient_id), start_date) AS days FROM rx), p(adr, pattern, weight) AS (VALUES ('e', 'E1', 1.0), ('e', 'E2', 1.0), ('k', 'K0', 0.9), ('n', 'N5', 0.8)), r(adr, prefix) AS (VALUES ('e', 'E'), ('k', 'P'), ('k', 'S'), ('n', 'L')),
-  f AS (SELECT patient_id, adr, max(weight) AS w, min(days) AS d FROM g JOIN p ON starts_with(diag_code, pattern) WHERE days BETWEEN 0 AND 90 GROUP BY 1, 2), h AS (SELECT DISTINCT patient_id, adr FROM rx JOIN r ON starts_with(atc_code, prefix))
+@query("adr_label", f"""WITH {RX}, {MEDS}, g AS (SELECT *, date_diff('day', min(start_date) OVER (PARTITION BY patient_id), start_date) AS days FROM rx), p(adr, pattern, weight) AS (VALUES {_ADR_ROWS}), r(adr, prefix) AS (VALUES {_ADR_DRUGS}),
+  f AS (SELECT patient_id, adr, max(weight) AS w, min(days) AS d FROM g JOIN p ON starts_with(diag_code, pattern) WHERE days BETWEEN 0 AND 90 GROUP BY 1, 2), h AS (SELECT DISTINCT patient_id, adr FROM rxm JOIN r ON starts_with(med_atc, prefix))
   SELECT patient_id, CAST(count(*) AS BIGINT) AS n_reactions, CAST(sum(w) AS DOUBLE) AS adr_score, CAST(min(d) AS INT) AS first_days, CASE WHEN bool_and(h.adr IS NOT NULL) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, string_agg(f.adr, ',' ORDER BY f.adr) AS reactions FROM f LEFT JOIN h USING (patient_id, adr) GROUP BY 1""")
 def _(spark, sf):
-    r = rx(spark, sf)
+    r = rx_meds(spark, sf)
     firsts = r.groupBy("patient_id").agg(F.min("start_date").alias("t0"))
     diagnoses = r.join(firsts, "patient_id").select("patient_id", F.col("diag_code").alias("code"), F.datediff("start_date", "t0").alias("days"))
-    got = lb.adr_labels(diagnoses, r.select("patient_id", "atc_code"), _ADR)
+    got = lb.adr_labels(diagnoses, r.select("patient_id", F.col("med_atc").alias("atc_code")))
     return got.select("patient_id", "n_reactions", "adr_score", "first_days", "confidence", F.concat_ws(",", "reactions").alias("reactions"))
 
 
@@ -124,15 +126,18 @@ def _(spark, sf):
     return rx(spark, sf).where(F.col("diag_code").startswith("K1") | F.col("diag_code").startswith("R5")).select("patient_id").distinct()
 
 
-@query("comorbidity", f"{WITH}, v(c, p, w) AS (VALUES ('a', 'E1', 1), ('a', 'E2', 1), ('b', 'K0', 2), ('c', 'N', 1), ('d', 'R9', 3)), f AS (SELECT DISTINCT patient_id, c, w FROM rx JOIN v ON starts_with(diag_code, p)) SELECT patient_id, CAST(sum(w) AS BIGINT) AS index, CAST(count(*) AS BIGINT) AS n_categories FROM f GROUP BY 1")
+_CHARLSON = ", ".join(f"('{c}', '{p}', {w})" for c, (ps, w) in lb.CHARLSON.items() for p in ps)
+
+
+@query("comorbidity", f"{WITH}, v(c, p, w) AS (VALUES {_CHARLSON}), f AS (SELECT DISTINCT patient_id, c, w FROM rx JOIN v ON starts_with(diag_code, p)) SELECT patient_id, CAST(sum(w) AS BIGINT) AS index, CAST(count(*) AS BIGINT) AS n_categories FROM f GROUP BY 1")
 def _(spark, sf):
-    return lb.comorbidity(rx(spark, sf).select("patient_id", F.col("diag_code").alias("code")), {"a": (["E1", "E2"], 1), "b": (["K0"], 2), "c": (["N"], 1), "d": (["R9"], 3)})
+    return lb.comorbidity(rx(spark, sf).select("patient_id", F.col("diag_code").alias("code")), lb.CHARLSON)
 
 
-@query("patient_drug_list", f"{WITH} SELECT patient_id, string_agg(DISTINCT CAST(drug_id AS VARCHAR), ',' ORDER BY CAST(drug_id AS VARCHAR)) AS drugs FROM rx WHERE start_date >= DATE '2001-01-01' GROUP BY 1")
+@query("patient_drug_list", f"{WITH} SELECT patient_id, string_agg(DISTINCT CAST(drug_id AS VARCHAR), ',' ORDER BY CAST(drug_id AS VARCHAR)) AS drugs FROM rx GROUP BY 1")
 def _(spark, sf):
-    recent = rx(spark, sf).where("start_date >= date '2001-01-01'").select("patient_id", F.col("drug_id").cast("string").alias("drug")).distinct()
-    return recent.groupBy("patient_id").agg(F.concat_ws(",", F.array_sort(F.collect_list("drug"))).alias("drugs"))
+    taken = rx(spark, sf).select("patient_id", F.col("drug_id").cast("string").alias("drug")).distinct()
+    return taken.groupBy("patient_id").agg(F.concat_ws(",", F.array_sort(F.collect_list("drug"))).alias("drugs"))
 
 
 @query("history_window", f"{WITH} SELECT patient_id, drug_id, start_date, CAST(count(*) AS BIGINT) AS n FROM rx WHERE start_date BETWEEN DATE '1999-03-31' - 90 AND DATE '1999-03-31' AND patient_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1, 2, 3", dates=("start_date",))
@@ -219,10 +224,19 @@ def _(spark, sf):
     return sp.split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
-@query("golden_sample", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY {_IDHASH}, doc_id) AS n FROM labels) SELECT doc_id, toxic FROM r WHERE n <= CASE toxic WHEN 1 THEN 20 ELSE 60 END")
+#: Share of each level in a golden sample, its size, and the least share of positives within a level.
+_GOLDEN = {"Red": 0.30, "Yellow": 0.30, "Green": 0.25, "Normal": 0.15}
+_GOLDEN_SIZE, _LEAST_POSITIVE = 200, 0.20
+_ADR_HIT = "bucket % 5 = 0 AND patient_id % 3 = 0"
+
+
+@query("golden_sample", _FEATURES + _LEVEL + f""", p AS (SELECT patient_id || '-' || bucket AS id, risk_level, CAST({_ADR_HIT} AS INT) AS positive FROM typed), q(risk_level, target) AS (VALUES {", ".join(f"('{k}', {int(_GOLDEN_SIZE * v)})" for k, v in _GOLDEN.items())}),
+  n AS (SELECT risk_level, count(*) FILTER (positive = 1) AS np, count(*) FILTER (positive = 0) AS nn FROM p GROUP BY 1), k AS (SELECT risk_level, target, least(np, target, greatest(CAST(floor(target * {_LEAST_POSITIVE}) AS BIGINT), target - nn)) AS want1 FROM n JOIN q USING (risk_level)),
+  ranked AS (SELECT p.*, row_number() OVER (PARTITION BY p.risk_level, positive ORDER BY sha256(id || '|42'), id) AS place FROM p) SELECT id, risk_level, positive FROM ranked JOIN k USING (risk_level) WHERE place <= CASE positive WHEN 1 THEN want1 ELSE target - want1 END""")
 def _(spark, sf):
-    quotas = spark.createDataFrame([(0, 60), (1, 20)], "toxic int, quota int")
-    return sp.quota_sample(table(spark, sf, "labels"), quotas, ["toxic"], "doc_id").select("doc_id", "toxic")
+    """Levels in fixed shares, in each level at least a fifth with a reaction where there are so many."""
+    p = graded(spark, sf).select(F.concat_ws("-", "patient_id", "bucket").alias("id"), "risk_level", F.expr(_ADR_HIT).cast("int").alias("positive"))
+    return sp.golden(p, "risk_level", "positive", _GOLDEN, _GOLDEN_SIZE, _LEAST_POSITIVE, "id")
 
 
 @query("patient_disjoint", f"{WITH} SELECT DISTINCT patient_id FROM rx WHERE start_date >= DATE '2001-06-01' AND patient_id NOT IN (SELECT patient_id FROM rx WHERE start_date < DATE '1995-06-01')")
@@ -266,28 +280,47 @@ def _(spark, sf):
     return classes.select("class_no", (F.row_number().over(Window.orderBy("class_no")) + 1).cast("long").alias("idx"))
 
 
-@query("multihot", _VOCAB + " SELECT DISTINCT patient_id, CASE WHEN idx <= 1000 THEN idx ELSE 0 END AS idx FROM rx LEFT JOIN v USING (drug_id) WHERE start_date >= DATE '2001-01-01'")
+@query("multihot", _VOCAB + " SELECT DISTINCT patient_id, coalesce(idx, 0) AS idx FROM rx LEFT JOIN v USING (drug_id)")
 def _(spark, sf):
-    return sp.multihot(rx(spark, sf).where("start_date >= date '2001-01-01'"), _vocab(spark, sf).where("idx <= 1000"), "drug_id")
+    return sp.multihot(rx(spark, sf), _vocab(spark, sf), "drug_id")
+
+
+#: A vocabulary of the lines before a day: codes that come up later are unknown to it.
+_OLD = _VOCAB.replace("FROM rx GROUP BY 1)", "FROM rx WHERE start_date < DATE '1997-01-01' GROUP BY 1)")
+
+
+@query("multihot_temporal", _OLD + " SELECT DISTINCT patient_id, coalesce(idx, 0) AS idx FROM rx LEFT JOIN v USING (drug_id) WHERE start_date >= DATE '1997-01-01'")
+def _(spark, sf):
+    r = rx(spark, sf)
+    old = r.where("start_date < date '1997-01-01'").groupBy("drug_id").agg(F.count(F.lit(1)).alias("n"))
+    return sp.multihot(r.where("start_date >= date '1997-01-01'"), sp.dense_index(old, "drug_id"), "drug_id")
 
 
-@query("dataset_stats", _VOCAB + ", m AS (SELECT DISTINCT patient_id, CASE WHEN idx <= 1000 THEN idx ELSE 0 END AS idx FROM rx LEFT JOIN v USING (drug_id)), p AS (SELECT patient_id, count(*) AS nnz, count(*) FILTER (idx = 0) AS oov FROM m GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(nnz) AS BIGINT) AS nnz, sum(nnz)::DOUBLE / (count(*) * 1001) AS density, avg(CAST(oov > 0 AS DOUBLE)) AS oov_rate FROM p")
+@query("dataset_stats", _VOCAB + ", m AS (SELECT DISTINCT patient_id, coalesce(idx, 0) AS idx FROM rx LEFT JOIN v USING (drug_id)), p AS (SELECT patient_id, count(*) AS nnz, count(*) FILTER (idx = 0) AS oov FROM m GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(nnz) AS BIGINT) AS nnz, sum(nnz)::DOUBLE / (count(*) * (SELECT 1 + count(*) FROM v)) AS density, avg(CAST(oov > 0 AS DOUBLE)) AS oov_rate FROM p")
 def _(spark, sf):
-    return sp.dataset_stats(sp.multihot(rx(spark, sf), _vocab(spark, sf).where("idx <= 1000"), "drug_id"), 1001)
+    vocab = _vocab(spark, sf)
+    size = vocab.agg((F.count(F.lit(1)) + 1).alias("n_columns"))
+    return sp.dataset_stats(sp.multihot(rx(spark, sf), vocab, "drug_id"), size)
 
 
-@query("future_dataset", _VOCAB + """, k AS (SELECT class_no, row_number() OVER (ORDER BY class_no) + 1 AS idx FROM (SELECT DISTINCT class_no FROM rx)), w AS (SELECT * FROM rx WHERE start_date BETWEEN DATE '1998-01-02' AND DATE '1998-06-30'), i AS (SELECT patient_id, count(DISTINCT institution_id) AS n FROM w GROUP BY 1)
-  SELECT DISTINCT patient_id, CASE WHEN idx <= 1000 THEN idx ELSE 0 END AS col, 1.0::DOUBLE AS value FROM w LEFT JOIN v USING (drug_id) UNION ALL SELECT patient_id, 1001, n::DOUBLE / max(n) OVER () FROM i UNION ALL SELECT DISTINCT patient_id, 1002 + idx, 1.0::DOUBLE FROM w LEFT JOIN k USING (class_no)""")
+@query("future_dataset", _VOCAB + f""", {DEMO}, z AS (SELECT count(*) AS n_drugs FROM v), k AS (SELECT class_no, row_number() OVER (ORDER BY class_no) + 1 AS idx FROM (SELECT DISTINCT class_no FROM rx)), w AS (SELECT * FROM rx WHERE start_date BETWEEN DATE '1998-01-02' AND DATE '1998-06-30'), i AS (SELECT patient_id, count(DISTINCT institution_id) AS n FROM w GROUP BY 1)
+  SELECT DISTINCT patient_id, coalesce(idx, 0) AS col, 1.0::DOUBLE AS value FROM w LEFT JOIN v USING (drug_id) UNION ALL SELECT patient_id, n_drugs + 1, n::DOUBLE / max(n) OVER () FROM i, z UNION ALL SELECT patient_id, n_drugs + 2, age / 100.0::DOUBLE FROM i JOIN demo USING (patient_id), z
+  UNION ALL SELECT patient_id, n_drugs + 3, CASE sex_type WHEN '1' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM i JOIN demo USING (patient_id), z UNION ALL SELECT DISTINCT patient_id, n_drugs + 4 + idx, 1.0::DOUBLE FROM w LEFT JOIN k USING (class_no), z""")
 def _(spark, sf):
+    """Drugs, scaled institution count, age, sex and classes, one block of columns after the other."""
     r = rx(spark, sf)
     w = r.where("start_date between date '1998-01-02' and date '1998-06-30'")
-    drugs = sp.multihot(w, _vocab(spark, sf).where("idx <= 1000"), "drug_id").select("patient_id", F.col("idx").alias("col"), F.lit(1.0).alias("value"))
+    vocab = _vocab(spark, sf)
+    drugs = sp.multihot(w, vocab, "drug_id").select("patient_id", F.col("idx").alias("col"), F.lit(1.0).alias("value"))
     places = w.groupBy("patient_id").agg(F.countDistinct("institution_id").alias("n"))
     most = places.agg(F.max("n").alias("m"))
-    scaled = places.crossJoin(F.broadcast(most)).select("patient_id", F.lit(1001).cast("long").alias("col"), (F.col("n") / F.col("m")).alias("value"))
+    people = places.crossJoin(F.broadcast(most)).join(demographics(spark, sf).select("patient_id", "age", sex_value(F.col("sex_type")).alias("sex")), "patient_id")
+    facts = F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("place"), v.cast("double").alias("value")) for k, v in ((1, F.col("n") / F.col("m")), (2, F.col("age") / 100), (3, F.col("sex"))))))
     classes = r.select("class_no").distinct().select("class_no", (F.row_number().over(Window.orderBy("class_no")) + 1).alias("idx"))
-    cls = sp.multihot(w, classes, "class_no").select("patient_id", (F.col("idx") + 1002).alias("col"), F.lit(1.0).alias("value"))
-    return drugs.unionByName(scaled).unionByName(cls)
+    cls = sp.multihot(w, classes, "class_no").select("patient_id", (F.col("idx") + 4).alias("place"), F.lit(1.0).alias("value"))
+    size = F.broadcast(vocab.agg(F.count(F.lit(1)).alias("n_drugs")))
+    later = people.select("patient_id", facts).unionByName(cls).crossJoin(size).select("patient_id", (F.col("n_drugs") + F.col("place")).alias("col"), "value")
+    return drugs.unionByName(later)
 
 
 @query("vocab_audit", f"{WITH} SELECT drug_id, CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT patient_id) AS n_patients, CAST(count(*) FILTER (source = 'T30') AS BIGINT) AS n_t30, CAST(count(*) FILTER (source = 'T60') AS BIGINT) AS n_t60 FROM rx GROUP BY 1")

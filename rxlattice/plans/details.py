@@ -10,13 +10,16 @@ from ..operators import features as ft
 from ..operators import intervals as iv
 from ..operators import knowledge as kn
 from ..operators import metrics as me
+from ..operators import rules as ru
 from ..operators import sampling as sp
 from ..sources.files import table_kind
-from .binding import DEMO, RX, SCORED, demographics, rx, scored, table
-from .claims import _FEATURES, _LEVEL, graded
+from .binding import DEMO, MEDS, OCC, RX, SCORED, demographics, rx, rx_meds, scored, table
+from .claims import _FEATURES, _LEVEL, _is, graded
+from .evaluation import _CURVE
 from .registry import query
 
 WITH = f"WITH {RX}"
+OCC_ALL = f"{RX}, {OCC}"
 
 
 @query("adr_match", f"{WITH}, p(pattern, adr) AS (VALUES ('E1', 'a'), ('K', 'b'), ('N5', 'c'), ('N', 'd')) SELECT adr, CAST(count(*) AS BIGINT) AS n, count(DISTINCT patient_id) AS n_patients FROM rx JOIN p ON starts_with(diag_code, pattern) GROUP BY 1")
@@ -118,16 +121,17 @@ def _(spark, sf):
 
 @query("stage2_sample", _FEATURES + _LEVEL + ", s AS (SELECT patient_id, bucket, CASE WHEN risk_level = 'Yellow' THEN yellow_subtype ELSE risk_level END AS cls, patient_id || '-' || bucket AS id FROM typed WHERE risk_level <> 'Red' AND coalesce(yellow_subtype, '') <> 'Y_OTHER'), n AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY sha256(id || '|42'), id) AS n FROM s) SELECT id, cls FROM n WHERE n <= 20")
 def _(spark, sf):
-    s = graded(spark, sf).where("risk_level <> 'Red' and coalesce(yellow_subtype, '') <> 'Y_OTHER'").select(F.concat_ws("-", "patient_id", "bucket").alias("id"), F.when(F.col("risk_level") == "Yellow", F.col("yellow_subtype")).otherwise(F.col("risk_level")).alias("cls"))
+    s = graded(spark, sf).where("risk_level <> 'Red' and coalesce(yellow_subtype, '') <> 'Y_OTHER'").select(F.concat_ws("-", "patient_id", "bucket").alias("id"), ru.stage2_label(F.col("risk_level"), F.col("yellow_subtype")).alias("cls"))
     quotas = spark.createDataFrame([(c, 20) for c in ("Y_DDI_MAJOR", "Y_TRIPLE", "Y_DOUBLE", "Y_DDI_MOD", "Y_DUP", "Y_FRAG", "Green", "Normal")], "cls string, quota int")
     return sp.quota_sample(s, quotas, ["cls"], "id").select("id", "cls")
 
 
-@query("class_pairs", f"{WITH}, c AS (SELECT class_no, row_number() OVER (ORDER BY class_no) + 1 AS idx FROM (SELECT DISTINCT class_no FROM rx WHERE class_no < 'Brand#3')) SELECT DISTINCT patient_id, CASE WHEN drug_id % 11 = 0 THEN 1 ELSE coalesce(idx, 0) END AS idx FROM rx LEFT JOIN c USING (class_no) WHERE start_date >= DATE '2001-01-01'")
+@query("class_pairs", f"{WITH}, c AS (SELECT class_no, row_number() OVER (ORDER BY class_no) + 1 AS idx FROM (SELECT DISTINCT class_no FROM rx WHERE start_date < DATE '1995-03-01')) SELECT DISTINCT patient_id, CASE WHEN drug_id % 11 = 0 THEN 1 ELSE coalesce(idx, 0) END AS idx FROM rx LEFT JOIN c USING (class_no)")
 def _(spark, sf):
+    """Classes as indexes: 1 where a line has none, 0 for one that the vocabulary of the first weeks doesn't know."""
     r = rx(spark, sf)
-    known = r.where("class_no < 'Brand#3'").select("class_no").distinct().select("class_no", (F.row_number().over(Window.orderBy("class_no")) + 1).alias("idx"))
-    lines = r.where("start_date >= date '2001-01-01'").join(F.broadcast(known), "class_no", "left")
+    known = r.where("start_date < date '1995-03-01'").select("class_no").distinct().select("class_no", (F.row_number().over(Window.orderBy("class_no")) + 1).alias("idx"))
+    lines = r.join(known, "class_no", "left")
     return lines.select("patient_id", F.when(F.col("drug_id") % 11 == 0, 1).otherwise(F.coalesce("idx", F.lit(0))).cast("long").alias("idx")).distinct()
 
 
@@ -146,9 +150,12 @@ def _(spark, sf):
     return share.join(F.broadcast(target), "toxic").withColumn("ok", F.abs(F.col("share") - F.col("target")) <= 0.08)
 
 
-@query("deploy_gate", f"{WITH.replace(RX, SCORED)}, c AS (SELECT count(*) FILTER (y = 1 AND score >= 0.5) AS tp, count(*) FILTER (y = 1) AS p FROM scored) SELECT tp::DOUBLE / p AS recall, tp::DOUBLE / p >= 0.9 AS passed FROM c")
+@query("deploy_gate", _CURVE + ", c AS (SELECT count(*) FILTER (y = 1 AND score >= 0.5) AS tp, count(*) FILTER (y = 1) AS p FROM scored), a AS (SELECT sum(n_pos * (neg - fp + n_neg / 2.0))::DOUBLE / (max(pos) * max(neg)) AS roc_auc FROM curve) SELECT tp::DOUBLE / p AS recall, roc_auc, tp::DOUBLE / p >= 0.9 AND roc_auc >= 0.85 AS passed FROM c, a")
 def _(spark, sf):
-    return me.confusion(scored(spark, sf)).select("recall", (F.col("recall") >= 0.9).alias("passed"))
+    """A model is let through with a recall of 0.9 and an AUC of 0.85."""
+    s = scored(spark, sf)
+    both = me.confusion(s).select("recall").crossJoin(me.roc_auc(s))
+    return both.withColumn("passed", (F.col("recall") >= 0.9) & (F.col("roc_auc") >= 0.85))
 
 
 @query("table_kinds", "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'line' WHEN c_custkey % 3 = 1 THEN 'header' ELSE 'unknown' END AS kind, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1")
@@ -163,12 +170,15 @@ def _(spark, sf):
     return l.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("n_codes").alias("mean_codes"))
 
 
-@query("feature_drugs", f"{WITH} SELECT patient_id, count(DISTINCT atc_code) AS n_codes FROM rx GROUP BY 1")
+@query("request_risk_flags", f"WITH {RX}, {MEDS} SELECT patient_id, count(DISTINCT drug_id) AS n_drugs, CAST(count(*) FILTER ({_is(ft.HIGH_RISK)}) AS BIGINT) AS n_high, CAST(count(*) FILTER ({_is(ft.RENAL_RISK)}) AS BIGINT) AS n_renal, CAST(count(*) FILTER ({_is(ft.HEPATIC_RISK)}) AS BIGINT) AS n_hepatic FROM rxm GROUP BY 1")
 def _(spark, sf):
-    return rx(spark, sf).select("patient_id", "atc_code").distinct().groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_codes"))
+    flags = (F.count_if(f"{k}_risk").alias(f"n_{k}") for k in ("high", "renal", "hepatic"))
+    return rx_meds(spark, sf).groupBy("patient_id").agg(F.countDistinct("drug_id").alias("n_drugs"), *flags)
 
 
-@query("request_risk_flags", f"{WITH} SELECT patient_id, count(DISTINCT drug_id) AS n_drugs, CAST(count(*) FILTER (atc_code LIKE 'L0%' OR atc_code LIKE 'P1%') AS BIGINT) AS n_flagged FROM rx WHERE start_date >= DATE '2001-01-01' GROUP BY 1")
+@query("feature_drugs", f"WITH {OCC_ALL} SELECT patient_id, count(DISTINCT c) AS n_codes FROM (SELECT patient_id, atc_a AS c FROM occ UNION ALL SELECT patient_id, atc_b FROM occ) GROUP BY 1")
 def _(spark, sf):
-    flagged = ft.in_group(F.lit(""), F.col("atc_code"), ([], ["L0", "P1"]))
-    return rx(spark, sf).where("start_date >= date '2001-01-01'").groupBy("patient_id").agg(F.countDistinct("drug_id").alias("n_drugs"), F.count_if(flagged).alias("n_flagged"))
+    """ATC codes of the drugs that a patient takes together with another one."""
+    pairs = iv.overlaps(rx(spark, sf), carry=("atc_code",))
+    codes = pairs.select("patient_id", F.explode(F.array("atc_code_a", "atc_code_b")).alias("c")).distinct()
+    return codes.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_codes"))

@@ -102,11 +102,33 @@ def _(spark, sf):
     return c.groupBy(nz.age_band(F.col("a")).alias("band"), nz.review_group(F.col("a")).alias("review_group"), nz.sex_value(F.col("s")).alias("sex_value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("synonym_map", "WITH n AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'paracetamol' WHEN 1 THEN 'valproate' ELSE lower(p_name) END AS name FROM part), k AS (SELECT lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1) SELECT n.name, id FROM n LEFT JOIN k ON k.name = n.name")
+_SYNONYMS = ", ".join(f"('{a}', '{b}')" for a, b in kn.SYNONYMS.items())
+#: Names that drugs are registered under, and names that they are looked up by: some are synonyms, some unknown.
+_KNOWN = sorted(set(kn.SYNONYMS.values()))
+_ASKED = sorted(kn.SYNONYMS) + ["no such drug"]
+
+
+def _pick(words: list[str], at: str) -> str:
+    return f"element_at(array({', '.join(repr(w) for w in words)}), cast(1 + {at} % {len(words)} as int))"
+
+
+def _pick_sql(words: list[str], at: str) -> str:
+    return f"([{', '.join(repr(w) for w in words)}])[CAST(1 + {at} % {len(words)} AS INT)]"
+
+
+@query("synonym_map", f"WITH n AS (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN lower(p_name) ELSE {_pick_sql(_ASKED, 'p_partkey')} END AS name FROM part), k AS (SELECT name, min(id) AS id FROM (SELECT lower(p_name) AS name, p_partkey AS id FROM part UNION ALL SELECT {_pick_sql(_KNOWN, 'p_partkey')}, 100000000 + p_partkey % {len(_KNOWN)} FROM part) GROUP BY 1), s(name, other) AS (VALUES {_SYNONYMS}) SELECT n.name, coalesce(k.id, o.id) AS id FROM n LEFT JOIN k ON k.name = n.name LEFT JOIN s ON s.name = n.name LEFT JOIN k o ON o.name = s.other")
 def _(spark, sf):
     p = table(spark, sf, "part")
-    names = p.select(F.when(F.col("p_partkey") % 3 == 0, "paracetamol").when(F.col("p_partkey") % 3 == 1, "valproate").otherwise(F.lower("p_name")).alias("name")).distinct()
-    return kn.with_synonyms(names, p.groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("id")))
+    names = p.select(F.expr(f"case p_partkey % 2 when 0 then lower(p_name) else {_pick(_ASKED, 'p_partkey')} end").alias("name")).distinct()
+    known = p.select(F.lower("p_name").alias("name"), F.col("p_partkey").alias("id")).unionByName(p.select(F.expr(_pick(_KNOWN, "p_partkey")).alias("name"), (F.lit(100000000) + F.col("p_partkey") % len(_KNOWN)).alias("id")))
+    return kn.with_synonyms(names, known.groupBy("name").agg(F.min("id").alias("id")))
+
+
+@query("atc_map", "WITH m AS (SELECT unnest(string_split(p_brand || '|' || split_part(p_type, ' ', 1), '|')) AS atc, p_partkey AS id, p_size AS place FROM part) SELECT atc, arg_max(id, (place, id)) AS id FROM m WHERE atc <> '' GROUP BY 1")
+def _(spark, sf):
+    """ATC code to drug id; of drugs with one code the one registered last wins."""
+    rows = table(spark, sf, "part").select(F.concat_ws("|", "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1))).alias("codes"), F.col("p_partkey").alias("id"), F.col("p_size").alias("place"))
+    return kn.code_map(rows)
 
 
 @query("code_bridge", "SELECT l_orderkey, l_linenumber, l_partkey, p_brand AS class_no, p_type AS kind FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) ON l_partkey = p_partkey")
@@ -164,12 +186,12 @@ def _cyp_sql() -> str:
     sums = ", ".join(f"CAST(count(*) FILTER ({e}_{k}_count > 0) AS BIGINT) AS {e}_{s}" for e in kn.ENZYMES for k, s in (("substrate", "sub"), ("inhibitor_strong", "strong"), ("inhibitor", "inh")))
     risk = {e: f"(({e}_strong * 3.0 + {e}_inh + {e}_strong * {e}_sub * 2.0) * {w})::DOUBLE" for e, w in kn.ENZYME_WEIGHTS.items()}
     out = ", ".join([*(f"{e}_sub AS {e}_substrates, {e}_strong AS {e}_strong_inhibitors, {e}_strong * {e}_sub AS {e}_pairs" for e in kn.ENZYMES), f"{' + '.join(risk.values())} AS cyp_risk_score", f"greatest({', '.join(risk.values())}) AS cyp_max_enzyme_risk", f"{' + '.join(f'{e}_strong * {e}_sub' for e in kn.ENZYMES)} AS cyp_high_risk_pairs"])
-    return f"WITH {RX}, {_MATRIX}, t AS (SELECT DISTINCT patient_id, drug_id AS drug FROM rx WHERE start_date >= DATE '2001-01-01'), s AS (SELECT patient_id, {sums} FROM t LEFT JOIN matrix USING (drug) GROUP BY 1) SELECT patient_id, {out} FROM s"
+    return f"WITH {RX}, {_MATRIX}, t AS (SELECT DISTINCT patient_id, drug_id AS drug FROM rx), s AS (SELECT patient_id, {sums} FROM t LEFT JOIN matrix USING (drug) GROUP BY 1) SELECT patient_id, {out} FROM s"
 
 
 @query("cyp_features", _cyp_sql())
 def _(spark, sf):
-    taken = rx(spark, sf).where("start_date >= date '2001-01-01'").select("patient_id", F.col("drug_id").alias("drug")).distinct()
+    taken = rx(spark, sf).select("patient_id", F.col("drug_id").alias("drug")).distinct()
     return kn.cyp_features(taken, kn.cyp_matrix(actions(spark, sf)))
 
 
@@ -180,11 +202,11 @@ def _(spark, sf):
     return kept.join(out.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(out.withColumnRenamed("id", "b_id"), "b_id", "left_anti")
 
 
-@query("ddi_name_match", f"""{WITH}, d AS (SELECT DISTINCT product_name FROM rx), w AS (SELECT DISTINCT split_part(lower(p_type), ' ', 1) AS w FROM part) SELECT product_name, CAST(count(w) AS BIGINT) AS n_matches FROM d LEFT JOIN w ON contains(product_name, w) GROUP BY 1""")
+@query("ddi_name_match", f"""{WITH}, d AS (SELECT DISTINCT product_name FROM rx), w AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS w FROM part WHERE p_partkey % 3 = 0) SELECT product_name, CAST(count(w) AS BIGINT) AS n_matches FROM d LEFT JOIN w ON contains(' ' || lower(product_name) || ' ', ' ' || w || ' ') GROUP BY 1""")
 def _(spark, sf):
     names = rx(spark, sf).select("product_name").distinct()
-    words = table(spark, sf, "part").select(F.split_part(F.lower("p_type"), F.lit(" "), F.lit(1)).alias("w")).distinct()
-    return names.join(kn.small(words, 10_000), F.col("product_name").contains(F.col("w")), "left").groupBy("product_name").agg(F.count("w").alias("n_matches"))
+    known = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)).alias("name")).distinct()
+    return kn.names_within(names, "product_name", known).groupBy("product_name").agg(F.count("name").alias("n_matches"))
 
 
 @query("map_coverage", f"""WITH {RX}, {PAIRS}, p AS (SELECT DISTINCT a.patient_id, least(a.drug_id % 300, b.drug_id % 300) AS lo, greatest(a.drug_id % 300, b.drug_id % 300) AS hi, a.drug_id % 9 <> 0 AND b.drug_id % 9 <> 0 AS mapped FROM rx a JOIN rx b ON a.patient_id = b.patient_id AND a.drug_id < b.drug_id AND date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1 >= 7),

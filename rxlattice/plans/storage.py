@@ -8,6 +8,7 @@ from ..operators import ml
 from ..operators import sampling as sp
 from ..sources import files
 from ..streaming import jobs
+from ..tables import folder, saved
 from .binding import RX, demographics, rx, table
 from .registry import query
 
@@ -31,7 +32,7 @@ def _(spark, sf):
 
 @query("dated_scan", "SELECT event_id, user_id, event_type, CAST(ts::DATE AS VARCHAR) AS dt FROM events WHERE ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'")
 def _(spark, sf):
-    path = jobs.folder(spark, "dated")
+    path = folder(spark, "dated")
     files.write_dated(table(spark, sf, "events"), path, "ts")
     pruned = spark.read.parquet(path).where("dt between date '2024-01-10' and date '2024-01-16'")
     return pruned.select("event_id", "user_id", "event_type", F.col("dt").cast("string").alias("dt"))
@@ -74,7 +75,21 @@ def _(spark, sf):
 @query("stream_active", "WITH l AS (SELECT user_id, max(ts) AS m FROM events GROUP BY 1) SELECT user_id, CAST(count(*) AS BIGINT) AS n_seen, CAST(count(*) FILTER (floor(epoch(ts)) + 86400 * (1 + event_id % 5) > epoch(m)) AS BIGINT) AS n_active FROM events JOIN l USING (user_id) GROUP BY 1")
 def _(spark, sf):
     log = event_stream(spark, sf).select("user_id", "ts", (F.unix_timestamp("ts") + 86400 * (1 + F.col("event_id") % 5)).alias("ends_at"))
-    return jobs.run(jobs.active_state(log), "active", "update").select("user_id", "n_seen", "n_active")
+    return jobs.run(jobs.active_state(log), "active", "update", ("user_id",)).select("user_id", "n_seen", "n_active")
+
+
+@query("stream_prefer", "SELECT user_id, CAST(ts::DATE AS VARCHAR) AS day, min(event_type) AS source FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    log = event_stream(spark, sf).select("user_id", F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("source"))
+    return jobs.run(jobs.preferred(log, ["user_id", "day"], "source"), "prefer", "update", ("user_id", "day"))
+
+
+@query("stream_decline", "WITH d AS (SELECT event_type, CAST(ts::DATE AS VARCHAR) AS day, avg(value) AS v FROM events GROUP BY 1, 2), l AS (SELECT *, lag(v, 1) OVER w AS v1, lag(v, 2) OVER w AS v2 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)) SELECT event_type, day, v FROM l WHERE v < v1 AND v1 < v2")
+def _(spark, sf):
+    from ..operators.monitoring import declines
+
+    days = jobs.run(jobs.means(event_stream(spark, sf), ["event_type"], "value"), "means", "complete")
+    return declines(days.select("event_type", F.col("start").cast("date").cast("string").alias("day"), "v"), "v", "day", ["event_type"])
 
 
 # ---- models
@@ -85,13 +100,13 @@ def _patients(spark, sf):
     counts = r.groupBy("patient_id").agg(F.countDistinct("institution_id").alias("places"), F.countDistinct("drug_id").alias("drugs"), F.avg("total_days").alias("days"), F.count(F.lit(1)).alias("lines"))
     middle = counts.agg(F.avg("places").alias("middle"))
     label = counts.crossJoin(F.broadcast(middle)).select("patient_id", (F.col("places") > F.col("middle")).cast("int").alias("label"), "drugs", "days", "lines")
-    return sp.split(label, "label", "patient_id"), ml.code_lists(r.select("patient_id", "class_no"), "class_no")
+    return sp.split(label, "label", "patient_id"), ml.code_lists(r.select("patient_id", "drug_id"), "drug_id")
 
 
 @query("train_linear")
 def _(spark, sf):
     label, codes = _patients(spark, sf)
-    data = label.join(codes, "patient_id").cache()
+    data = saved(label.join(codes, "patient_id"), "training")
     model = ml.linear_model().fit(data.where("split = 'train'"))
     scored = ml.score(model, data.where("split <> 'train'"))
     from ..operators.metrics import pr_auc, roc_auc
@@ -110,9 +125,27 @@ def _(spark, sf):
 
 @query("batch_score")
 def _(spark, sf):
+    """Rows outside the training split, scored and calibrated on the validation split."""
+    label, codes = _patients(spark, sf)
+    data = saved(label.join(codes, "patient_id"), "training")
+    model = ml.linear_model().fit(data.where("split = 'train'"))
+    return ml.calibrated(ml.score(model, data.where("split = 'val'")), ml.score(model, data.where("split = 'test'")))
+
+
+@query("model_comparison")
+def _(spark, sf):
+    """Linear and tree model side by side on the same held-out patients: AUC, PR AUC, best F1 of each."""
+    from ..operators.metrics import pr_auc, roc_auc
+
     label, codes = _patients(spark, sf)
-    data = label.join(codes, "patient_id")
-    return ml.score(ml.linear_model().fit(data.where("split = 'train'")), data)
+    data = saved(label.join(codes, "patient_id"), "training")
+    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    rows = None
+    for name, model in (("linear", ml.linear_model()), ("trees", ml.tree_model(["drugs", "days", "lines"]))):
+        s = ml.score(model.fit(train), test).select("patient_id", F.col("label").alias("y"), "score")
+        part = roc_auc(s).crossJoin(pr_auc(s)).select(F.lit(name).alias("model"), "roc_auc", "pr_auc", "best_f1")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 @query("pair_dataset")
@@ -122,9 +155,7 @@ def _(spark, sf):
     from .knowledge import full_pairs
 
     def save(df):
-        path = jobs.folder(spark, "pairs")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return saved(df, "pairs")
 
     rated = save(pair_dedup(full_pairs(spark, sf)).where("id_lo <> id_hi").select("id_lo", "id_hi", "rank"))
     pos = rated.where("rank >= 3").select("id_lo", "id_hi")

@@ -5,26 +5,25 @@ Every job takes a streaming DataFrame; `run` drains what is there and returns wh
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import struct
+from ..tables import folder
 
 
-def folder(spark: SparkSession, kind: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rxlattice-")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def run(stream: DataFrame, kind: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Process all that is available and return the rows written.
 
-
-def run(stream: DataFrame, kind: str, mode: str = "append") -> DataFrame:
-    """Process all that is available and return the rows written. Complete mode keeps the last state only."""
+    Complete mode keeps the last state only. In update mode a key is written by each batch that touches it; its
+    last row is returned.
+    """
     spark = stream.sparkSession
     out, state = folder(spark, kind), folder(spark, f"{kind}-state")
 
@@ -34,12 +33,16 @@ def run(stream: DataFrame, kind: str, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(target)
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    last = F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*").select(*stream.columns)
 
 
-def recent(log: DataFrame, level: str, delay: str = "1 hour") -> DataFrame:
-    """Rows of a level, with late ones dropped by the watermark of later operators."""
-    return log.withWatermark("ts", delay).where(F.col("event_type") == level)
+def recent(log: DataFrame, level: str) -> DataFrame:
+    """Rows of a level, as they come."""
+    return log.where(F.col("event_type") == level)
 
 
 def windows(log: DataFrame, length: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -53,29 +56,49 @@ def without_repeats(log: DataFrame, keys: list[str], delay: str = "2 days") -> D
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def preferred(log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows that repeat a key the one of least `order`, whenever it comes (update mode)."""
+    return log.groupBy(*keys).agg(F.min(order).alias(order))
+
+
+def means(log: DataFrame, keys: list[str], column: str, length: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Mean of a column per window and key: the snapshots that trends are found in."""
+    by = log.withWatermark("ts", delay).groupBy(F.window("ts", length), *keys).agg(F.avg(column).alias("v"))
+    return by.select(F.col("window.start").alias("start"), *keys, "v")
+
+
 _ACTIVE = struct("user_id long, last_ts timestamp, n_seen long, n_active long")
-_STATE = T.StructType([T.StructField("n_seen", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+_STATE = T.StructType([T.StructField("n_seen", T.LongType()), T.StructField("last", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+#: Users for whom nothing comes for so long leave the state.
+KEEP_MS = 400 * 86_400_000
 
 
 def _active(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Intervals still open at the latest event of a user; ended ones leave the state."""
-    seen, ends = state.get if state.exists else (0, [])
-    last = pd.Timestamp(0)
-    ends = list(ends)
+    """Intervals still open at the latest event of a user, of this batch or an earlier one; ended ones leave the state."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    seen, last, ends = state.get if state.exists else (0, 0, [])
+    found = [np.asarray(ends, np.int64)]
     for rows in batches:
         seen += len(rows)
-        ends += [int(x) for x in rows["ends_at"]]
-        last = max(last, rows["ts"].max())
-    ends = sorted(e for e in ends if e > last.timestamp())
-    state.update((seen, ends))
-    yield pd.DataFrame({"user_id": [key[0]], "last_ts": [last], "n_seen": [seen], "n_active": [len(ends)]})
+        found.append(rows["ends_at"].to_numpy(np.int64))
+        last = max(last, int(rows["ts"].max().timestamp() * 1_000_000))
+    open_ = np.concatenate(found)
+    open_ = np.sort(open_[open_ * 1_000_000 > last])
+    state.update((seen, last, open_.tolist()))
+    state.setTimeoutDuration(KEEP_MS)
+    yield pd.DataFrame({"user_id": [key[0]], "last_ts": [pd.Timestamp(last, unit="us")], "n_seen": [seen], "n_active": [len(open_)]})
 
 
 def active_state(log: DataFrame) -> DataFrame:
-    """Per user how many intervals [ts, ends_at] are open at its latest event (ends_at: epoch seconds)."""
-    return log.groupBy("user_id").applyInPandasWithState(_active, _ACTIVE, _STATE, "update", "NoTimeout")
+    """Per user how many intervals [ts, ends_at] are open at its latest event (ends_at: epoch seconds).
+
+    Late rows count as seen and, if still open, as active; they don't turn the latest event back.
+    """
+    return log.groupBy("user_id").applyInPandasWithState(_active, _ACTIVE, _STATE, "update", "ProcessingTimeTimeout")
 
 
 def upsert_features(log: DataFrame, kind: str = "features") -> DataFrame:
-    """Counts per user, refreshed batch by batch for the users that a batch touches."""
-    return run(log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")), kind, "complete")
+    """Counts per user, refreshed batch by batch: a batch writes only the users that it touches."""
+    return run(log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")), kind, "update", ("user_id",))
