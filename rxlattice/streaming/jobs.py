@@ -69,8 +69,8 @@ def means(log: DataFrame, keys: list[str], column: str, length: str = "1 day", d
 
 _ACTIVE = struct("user_id long, last_ts timestamp, n_seen long, n_active long")
 _STATE = T.StructType([T.StructField("n_seen", T.LongType()), T.StructField("last", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
-#: Users for whom nothing comes for so long leave the state.
-KEEP_MS = 400 * 86_400_000
+#: Users whose latest event is so long ago leave the state; rows that come later than that are dropped.
+KEEP = "400 days"
 
 
 def _active(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
@@ -87,7 +87,7 @@ def _active(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator
     open_ = np.concatenate(found)
     open_ = np.sort(open_[open_ * 1_000_000 > last])
     state.update((seen, last, open_.tolist()))
-    state.setTimeoutDuration(KEEP_MS)
+    state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 1)
     yield pd.DataFrame({"user_id": [key[0]], "last_ts": [pd.Timestamp(last, unit="us")], "n_seen": [seen], "n_active": [len(open_)]})
 
 
@@ -96,7 +96,7 @@ def active_state(log: DataFrame) -> DataFrame:
 
     Late rows count as seen and, if still open, as active; they don't turn the latest event back.
     """
-    return log.groupBy("user_id").applyInPandasWithState(_active, _ACTIVE, _STATE, "update", "ProcessingTimeTimeout")
+    return log.withWatermark("ts", KEEP).groupBy("user_id").applyInPandasWithState(_active, _ACTIVE, _STATE, "update", "EventTimeTimeout")
 
 
 def upsert_features(log: DataFrame, kind: str = "features") -> DataFrame:
