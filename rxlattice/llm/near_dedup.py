@@ -12,8 +12,9 @@ Texts with equal sets form a class; only its smallest doc_id is looked up. Class
 are first compared with one leader each, and what is linked is put into components. Only keys that still
 hold more than one component go on. Shingles that lie in one component only bound what a class can share
 with another one, which settles most classes without a comparison; the rest meets a leader of another
-component, then all classes of other components that the bounds allow. So a large group of near copies
-costs a pass over its members, not over its pairs.
+component, then all classes of other components that the bounds allow, compared where they meet. So a large
+group of near copies costs a pass over its members; only copies that a key joins but no link does are held
+against each other, and no pair of them is written.
 
 Defined cases: texts that are null, empty or blank have an empty set and stay alone; a null doc_id is
 dropped from linking and keeps a null component; rows with one doc_id count as one document, whose text for comparing is that of least hash; an empty table
@@ -125,15 +126,21 @@ def _possible(percent: int) -> F.Column:
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
+def _linked(percent: int) -> F.Column:
+    """Whether two sets are linked, exactly: shingles outside others_a or others_b aren't in both."""
+    shared = F.size(F.array_intersect("others_a", "others_b"))
+    return (100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))
+
+
 def _close() -> F.Column:
     """Whether two signatures lie within the distance."""
     return F.size(F.filter(F.arrays_zip("symbols_a", "symbols_b"), lambda x: x["symbols_a"] != x["symbols_b"])) <= DISTANCE
 
 
 def _limits(still: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(class_id, n, common) of open classes that some other component could be linked with.
+    """(class_id, n, common, others) of open classes that some other component could be linked with.
 
-    A shingle that no other component has can't be shared across components. `common` counts the others;
+    A shingle that no other component has can't be shared across components. `others` holds the rest, `common` of them;
     a class of too few drops out: at most it equals a set of just those. This is exact, and it settles
     heavily edited copies without comparing them with anything.
     """
@@ -141,7 +148,7 @@ def _limits(still: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rows = materialize(texts.join(members, "doc_id").select("doc_id", "component", "text").mapInArrow(_explode, "class_id long, component long, shingle long"), "shingles")
     wide = rows.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("shingle", F.lit(1).alias("wide"))
     seen = rows.join(wide, "shingle", "left")
-    counts = seen.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.count("wide").alias("common"))
+    counts = seen.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.count("wide").alias("common"), F.collect_list(F.when(F.col("wide") == 1, F.col("shingle"))).alias("others"))
     found = materialize(counts.where(100 * F.col("common") >= percent * F.col("n")), "limits")
     drop(rows)
     return found
@@ -190,23 +197,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     still = _open(shared, comps)
     drop(comps)
     limits = _limits(still, texts, percent)
-    sig = materialize(symbols.join(limits, "class_id").select("class_id", "symbols", "n", "common"), "bounded")
+    sig = materialize(symbols.join(limits, "class_id").select("class_id", "symbols", "n", "common", "others"), "bounded")
 
     # Each class meets the hub of each of its keys: the class with the greatest share of common shingles.
-    rated = materialize(still.join(limits, "class_id"), "rated")
+    rated = materialize(still.join(limits.drop("others"), "class_id"), "rated")
     hub = F.max_by(F.struct("class_id", "component"), F.struct(F.col("common") / F.col("n"), -F.col("class_id")))
     hubs = materialize(rated.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n_key")), "hubs")
     met = join_hot(rated, hubs, "key", "n_key").where("component <> hub.component").select("class_id", F.col("hub.class_id").alias("other")).distinct()
     pairs = met.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
-    left, right = sig.select(*(F.col(c).alias(f"{c}_a") for c in sig.columns)), sig.select(*(F.col(c).alias(f"{c}_b") for c in sig.columns))
+    left, right = (sig.select(*(F.col(c).alias(f"{c}_{s}") for c in sig.columns if c != "others")) for s in "ab")
     pairs = pairs.join(left, F.col("a") == F.col("class_id_a")).join(right, F.col("b") == F.col("class_id_b")).where(_possible(percent) & _close())
     new = materialize(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
     more = materialize(confirm(new, texts, percent), "edges")
     linked = edges.unionByName(more)
     drop(still, limits, rated, hubs)
 
-    # What is still open meets all classes of other components that it could be linked with, each pair
-    # under the first key that it shares.
+    # What is still open meets all classes of other components, each pair under the first key that it shares. The
+    # sets are compared inside the join, so that only linked pairs leave it.
     comps = components(linked)
     still = _open(shared, comps)
     drop(comps)
@@ -214,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "ab")
     apart = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("component_a") != F.col("component_b"))
     earlier = F.exists(F.arrays_zip(F.slice("keys_a", F.lit(1), F.col("slot_a")), F.slice("keys_b", F.lit(1), F.col("slot_a"))), lambda x: x["0"] == x["1"])
-    met = left.join(right, (left.key == right.key) & apart & _possible(percent) & _close() & ~earlier)
+    met = left.join(right, (left.key == right.key) & apart & _possible(percent) & _close() & ~earlier & _linked(percent))
     last = materialize(met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).join(tried.unionByName(new), ["a", "b"], "left_anti"), "pairs")
     most = materialize(confirm(last, texts, percent), "edges")
     comps = components(linked.unionByName(most))
