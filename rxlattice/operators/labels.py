@@ -69,6 +69,23 @@ def distinct_count_label(events: DataFrame, column: str, threshold: int, id_: st
     return n.withColumn("label", (F.col("n") >= threshold).cast("int"))
 
 
+LABEL_SOURCES = ("institutions", "diagnosis", "duplication")
+
+
+def training_labels(rx: DataFrame, source: str) -> DataFrame:
+    """patient_id, label by a chosen source: many institutions, a diagnosis, or classes with several drugs."""
+    if source == "institutions":
+        return distinct_count_label(rx, "institution_id", 30).select("patient_id", "label")
+    if source == "diagnosis":
+        hit = F.col("diag_code").startswith("K9") | F.col("diag_code").startswith("N1")
+        return rx.groupBy("patient_id").agg(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("label"))
+    if source == "duplication":
+        from .features import distinct_class_duplicates
+
+        return distinct_class_duplicates(rx, ["patient_id"]).select("patient_id", (F.col("dup_classes") >= 12).cast("int").alias("label"))
+    raise ValueError(f"{source!r} is not one of {', '.join(LABEL_SOURCES)}")
+
+
 def future_onset(events: DataFrame, cut: str, feature_days: int, outcome_days: int, threshold: int = 3, column: str = "institution_id") -> DataFrame:
     """Onset of many-institution use: feature window up to `cut`, outcome window after it.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 EPS = 1e-6
 
@@ -50,6 +51,43 @@ def drift_report(reference: DataFrame, current: DataFrame, continuous: list[str]
     return rows.withColumn("retrain", F.sum((F.col("status") == "drift").cast("int")).over(Window.partitionBy()) >= 2)
 
 
+def column_kinds(reference: DataFrame, columns: list[str], most: int = 20) -> tuple[list[str], list[str]]:
+    """(continuous, categorical) columns: numeric ones with more than `most` distinct values are continuous.
+
+    One row with a number for each column comes to the driver.
+    """
+    numeric = [f.name for f in reference.schema.fields if f.name in columns and isinstance(f.dataType, NumericType)]
+    row = reference.agg(*(F.countDistinct(c).alias(c) for c in numeric)).first() if numeric else {}
+    continuous = [c for c in columns if c in numeric and row[c] > most]
+    return continuous, [c for c in columns if c not in continuous]
+
+
+def auto_drift(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+    """`drift_report` with the kind of each column found from the reference."""
+    return drift_report(reference, current, *column_kinds(reference, columns))
+
+
+def rule_alerts(drift: DataFrame, declining: DataFrame, disagreeing: DataFrame, n_new_rules: DataFrame) -> DataFrame:
+    """kind, severity, subject, n of all four rules, unioned.
+
+    drift: a drift report; two drifted features are critical, else a watched one is a warning. declining: subject
+    and n of falling series, critical. disagreeing: subject, n, rate; 0.15 is a warning, 0.30 critical.
+    n_new_rules: one row with n, information if above 0.
+    """
+    d = drift.agg(F.count_if(F.col("status") == "drift").alias("bad"), F.count_if(F.col("status") == "watch").alias("watched"))
+    severity = F.when(F.col("bad") >= 2, "critical").when((F.col("bad") < 2) & (F.col("watched") > 0), "warning")
+    parts = [
+        d.select(F.lit("drift").alias("kind"), severity.alias("severity"), F.lit("features").alias("subject"), F.when(F.col("bad") >= 2, F.col("bad")).otherwise(F.col("watched")).alias("n")),
+        declining.select(F.lit("decline").alias("kind"), F.lit("critical").alias("severity"), "subject", "n"),
+        disagreeing.select(F.lit("disagreement").alias("kind"), F.when(F.col("rate") >= 0.30, "critical").when(F.col("rate") >= 0.15, "warning").alias("severity"), "subject", "n"),
+        n_new_rules.select(F.lit("knowledge").alias("kind"), F.when(F.col("n") > 0, "info").alias("severity"), F.lit("rules").alias("subject"), "n"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.where("severity is not null")
+
+
 def subgroups(df: DataFrame, groups: dict[str, Column]) -> DataFrame:
     """Each row once for every subgroup that it is in."""
     tags = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in groups.items())))

@@ -26,6 +26,36 @@ def line_rules(code: str, second: str, days: str, amount: str) -> dict[str, Colu
     return {"no_code": F.col(code).isNull() & F.col(second).isNull(), "days_not_positive": F.col(days) <= 0, "amount_negative": F.col(amount) < 0, "days_too_long": F.col(days) > 365}
 
 
+def _outside(column: str, allowed: list[str]) -> Column:
+    return ~F.coalesce(F.col(column), F.lit("")).isin(*allowed)
+
+
+def _bad_day(column: str) -> Column:
+    return ~F.coalesce(F.col(column), F.lit("")).rlike(r"^(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$")
+
+
+def diagnosis_rules(code: str, sex: str, day: str) -> dict[str, Column]:
+    return {"bad_sex": _outside(sex, ["1", "2"]), "bad_date": _bad_day(day), "bad_code": ~F.coalesce(F.col(code), F.lit("A00")).rlike(r"^[A-Z]\d{2}")}
+
+
+def outpatient_rules(days: str, day: str, sex: str, payment: str, payments: list[str]) -> dict[str, Column]:
+    return {"days_not_positive": F.coalesce(F.col(days), F.lit(0)) <= 0, "bad_date": _bad_day(day), "bad_sex": _outside(sex, ["1", "2"]), "bad_payment": _outside(payment, payments)}
+
+
+def institution_rules(kind: str, year: str, kinds: list[str]) -> dict[str, Column]:
+    return {"bad_kind": _outside(kind, kinds), "bad_year": ~F.coalesce(F.col(year), F.lit("0000")).rlike(r"^\d{4}$")}
+
+
+def null_violations(df: DataFrame, required: list[str], most: float = 0.05) -> DataFrame:
+    """Required columns with a larger share of nulls than `most`."""
+    return null_rates(df, required).where(F.col("null_rate") > most)
+
+
+def cohort_size(df: DataFrame, id_: str, requested: int) -> DataFrame:
+    """Whether a sample has as many distinct ids as were asked for."""
+    return df.agg(F.countDistinct(id_).alias("n_ids"), F.lit(requested).alias("requested")).withColumn("enough", F.col("n_ids") >= F.col("requested"))
+
+
 def validity(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Violations (a row may count twice) and rows with any, with the pass rule of 0.95."""
     bad = F.lit(0)

@@ -91,6 +91,14 @@ def id_overlap(a: DataFrame, b: DataFrame, id_: str = "patient_id") -> DataFrame
     return j.agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("n_both"), F.count_if(F.col("in_b").isNull()).alias("n_only_a"), F.count_if(F.col("in_a").isNull()).alias("n_only_b"))
 
 
+def compatibility(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
+    """Whether two vocabularies (code, idx) give equal columns: their sizes, codes in one only, codes that moved."""
+    x, y = a.select(code, F.col("idx").alias("_a")), b.select(code, F.col("idx").alias("_b"))
+    lost, moved = F.col("_a").isNull() | F.col("_b").isNull(), F.col("_a") != F.col("_b")
+    got = x.join(y, code, "full").agg(F.count("_a").alias("n_first"), F.count("_b").alias("n_second"), F.count_if(lost).alias("n_missing"), F.count_if(moved).alias("n_moved"))
+    return got.withColumn("compatible", (F.col("n_missing") == 0) & (F.col("n_moved") == 0))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight n / (k * n_c) of each class, and the share of others to it."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))

@@ -124,6 +124,58 @@ def _(spark, sf):
     return fall.unionByName(dis)
 
 
+_PSI_OF = f"(SELECT {_PSI} FROM (SELECT a / sum(a) OVER ()::DOUBLE AS r, b / sum(b) OVER ()::DOUBLE AS c FROM (SELECT {{bin}} AS bin, count(*) FILTER (l_linestatus = 'F') AS a, count(*) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY 1)))"
+
+
+def _bins(column: str) -> str:
+    edges = f"(SELECT list_distinct(quantile_cont({column}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) FROM lineitem WHERE l_linestatus = 'F')"
+    return f"len(list_filter({edges}, lambda x: x <= {column}))"
+
+
+_DRIFT = "dr AS (SELECT *, CASE WHEN psi >= 0.2 THEN 'drift' WHEN psi >= 0.1 THEN 'watch' ELSE 'stable' END AS status FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {_PSI_OF.format(bin=_bins(c) if c in ('l_extendedprice', 'l_quantity') else c)} AS psi" for c in ("l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
+) + "))"
+_COLUMNS = ["l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"]
+
+
+@query("drift_auto", f"WITH {_DRIFT} SELECT *, (SELECT count(*) FILTER (status = 'drift') >= 2 FROM dr) AS retrain FROM dr")
+def _(spark, sf):
+    return mo.auto_drift(*_two(spark, sf), _COLUMNS)
+
+
+_RULES = _DAILY + f""", {_DRIFT}, n AS (SELECT count(*) FILTER (status = 'drift') AS bad, count(*) FILTER (status = 'watch') AS watched FROM dr), ru AS (
+  SELECT 'drift' AS kind, CASE WHEN bad >= 2 THEN 'critical' WHEN watched > 0 THEN 'warning' END AS severity, 'features' AS subject, CAST(CASE WHEN bad >= 2 THEN bad ELSE watched END AS BIGINT) AS n FROM n
+  UNION ALL SELECT 'decline', 'critical', event_type, count(*) FROM l WHERE v < v1 AND v1 < v2 GROUP BY event_type
+  UNION ALL SELECT 'disagreement', CASE WHEN avg(CAST(disagree AS DOUBLE)) >= 0.30 THEN 'critical' WHEN avg(CAST(disagree AS DOUBLE)) >= 0.15 THEN 'warning' END, event_type, count(*) FILTER (disagree) FROM log GROUP BY event_type
+  UNION ALL SELECT 'knowledge', 'info', 'rules', count(*) FROM part WHERE p_size = 50 HAVING count(*) > 0)"""
+
+
+def _rule_alerts(spark, sf):
+    log = _log(spark, sf)
+    fall = mo.declines(_daily(spark, sf), "v", "day", ["event_type"]).groupBy(F.col("event_type").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    apart = log.groupBy(F.col("event_type").alias("subject")).agg(F.count_if("disagree").alias("n"), F.avg(F.col("disagree").cast("double")).alias("rate"))
+    new = table(spark, sf, "part").where("p_size = 50").agg(F.count(F.lit(1)).alias("n"))
+    return mo.rule_alerts(mo.auto_drift(*_two(spark, sf), _COLUMNS), fall, apart, new)
+
+
+@query("alert_rules", _RULES + " SELECT kind, severity, subject, n FROM ru WHERE severity IS NOT NULL")
+def _(spark, sf):
+    return _rule_alerts(spark, sf)
+
+
+@query("alert_log", f"WITH {_LOG}, a AS (SELECT CAST(ts::DATE AS VARCHAR) AS day, CASE WHEN avg(CAST(disagree AS DOUBLE)) >= 0.30 THEN 'critical' ELSE 'warning' END AS severity, event_type AS subject, count(*) FILTER (disagree) AS n FROM log GROUP BY 1, event_type HAVING avg(CAST(disagree AS DOUBLE)) >= 0.15), r AS (SELECT DISTINCT day FROM a ORDER BY day DESC LIMIT 7) SELECT severity, CAST(count(*) AS BIGINT) AS n_alerts, CAST(sum(n) AS BIGINT) AS n FROM a WHERE day IN (SELECT day FROM r) GROUP BY 1")
+def _(spark, sf):
+    """Alerts of every day are kept as files; the last seven days are read back and counted by severity."""
+    from ..sources import files
+    from ..tables import folder
+
+    by = _log(spark, sf).groupBy(F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("subject")).agg(F.count_if("disagree").alias("n"), F.avg(F.col("disagree").cast("double")).alias("rate"))
+    alerts = by.where("rate >= 0.15").select("day", F.when(F.col("rate") >= 0.30, "critical").otherwise("warning").alias("severity"), F.lit("disagreement").alias("kind"), "subject", "n")
+    path = folder(spark, "alerts")
+    files.append_alerts(alerts, path)
+    return files.recent_alerts(spark, path, 7).groupBy("severity").agg(F.count(F.lit(1)).alias("n_alerts"), F.sum("n").alias("n"))
+
+
 @query("latest_result", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts)::DATE::VARCHAR AS day FROM events GROUP BY 1")
 def _(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").cast("date").cast("string").alias("day"))

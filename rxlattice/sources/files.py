@@ -107,6 +107,29 @@ def write_if_any(df: DataFrame, path: str) -> bool:
     return True
 
 
+def write_dataset(coo: DataFrame, labels: DataFrame, path: str, id_: str = "patient_id") -> None:
+    """A sparse set, one row an id: its label, ascending columns (idx) and their values. Ids without a label drop."""
+    cells = F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("cells")
+    rows = coo.groupBy(id_).agg(cells).join(labels.select(id_, "label"), id_)
+    rows.select(id_, "label", F.col("cells.idx").alias("columns"), F.col("cells.value").alias("values")).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Alerts (day, severity, kind, subject, n) as JSON, one folder a day; a day that is written again is replaced."""
+    alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(path)
+
+
+def recent_alerts(spark: SparkSession, path: str, days: int) -> DataFrame:
+    """The alerts of the last `days` days that have any; other folders aren't read."""
+    rows = spark.read.schema("severity string, kind string, subject string, n long, day string").json(path)
+    last = rows.select("day").distinct().orderBy(F.desc("day")).limit(days)
+    return rows.join(F.broadcast(last), "day", "left_semi")
+
+
 def read_features(spark: SparkSession, path: str, partition: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("partition") == partition).drop("partition")
 
