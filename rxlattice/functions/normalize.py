@@ -97,7 +97,7 @@ def severity_of(c: Column) -> Column:
 
 
 def age_at(ref_year: int, byear: Column, fallback: Column) -> Column:
-    return F.coalesce(F.least(F.lit(120), F.greatest(F.lit(0), F.lit(ref_year) - byear)), fallback)
+    return F.when(byear.isNotNull(), F.least(F.lit(120), F.greatest(F.lit(0), F.lit(ref_year) - byear))).otherwise(fallback)
 
 
 def age_band(age: Column) -> Column:

@@ -99,11 +99,14 @@ def compatibility(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
     return got.withColumn("compatible", (F.col("n_missing") == 0) & (F.col("n_moved") == 0))
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight n / (k * n_c) of each class, and the share of others to it."""
+def class_weights(df: DataFrame, label: str, costs: dict[int, float] | None = None) -> DataFrame:
+    """Balanced weight n / (k * n_c) of each class, the same times its cost (1 if not given), and the share of others to it."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
     total = per.agg(F.sum("n_class").alias("n_all"), F.count(F.lit(1)).alias("k"))
-    return per.crossJoin(F.broadcast(total)).select(label, "n_class", (F.col("n_all") / (F.col("k") * F.col("n_class"))).alias("balanced"), ((F.col("n_all") - F.col("n_class")) / F.col("n_class")).alias("others_per_one"))
+    balanced, cost = F.col("n_all") / (F.col("k") * F.col("n_class")), F.lit(1.0)
+    for value, factor in (costs or {}).items():
+        cost = F.when(F.col(label) == value, F.lit(float(factor))).otherwise(cost)
+    return per.crossJoin(F.broadcast(total)).select(label, "n_class", balanced.alias("balanced"), (balanced * cost).alias("costed"), ((F.col("n_all") - F.col("n_class")) / F.col("n_class")).alias("others_per_one"))
 
 
 def dense_index(counts: DataFrame, code: str, reserved: int = 1) -> DataFrame:

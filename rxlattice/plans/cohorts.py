@@ -257,9 +257,9 @@ def _(spark, sf):
     return sp.id_overlap(r.where("start_date < date '1995-04-01'"), r.where("start_date >= date '2001-09-01'"))
 
 
-@query("class_weights", "WITH p AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT sum(n) AS a, count(*) AS k FROM p) SELECT toxic, CAST(n AS BIGINT) AS n_class, a::DOUBLE / (k * n) AS balanced, (a - n)::DOUBLE / n AS others_per_one FROM p, t")
+@query("class_weights", "WITH p AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT sum(n) AS a, count(*) AS k FROM p) SELECT toxic, CAST(n AS BIGINT) AS n_class, a::DOUBLE / (k * n) AS balanced, a::DOUBLE / (k * n) * CASE toxic WHEN 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS costed, (a - n)::DOUBLE / n AS others_per_one FROM p, t")
 def _(spark, sf):
-    return sp.class_weights(table(spark, sf, "labels"), "toxic")
+    return sp.class_weights(table(spark, sf, "labels"), "toxic", {1: 3.0})
 
 
 _VOCAB = f"{WITH}, c AS (SELECT drug_id, count(*) AS n FROM rx GROUP BY 1), v AS (SELECT drug_id, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY n DESC, drug_id) AS idx FROM c)"

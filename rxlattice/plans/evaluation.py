@@ -76,6 +76,20 @@ def _(spark, sf):
     return me.class_metrics(_classes(spark, sf), "truth", "predicted")
 
 
+#: Seven classes of the second stage, and of what was predicted, from the score and the id.
+_SEVEN = ["Y_DDI_MAJOR", "Y_TRIPLE", "Y_DOUBLE", "Y_DDI_MOD", "Y_DUP", "Y_FRAG", "Green"]
+_SEVEN_SQL = "[" + ", ".join(f"'{c}'" for c in _SEVEN) + "]"
+
+
+@query("confusion_matrix", f"""{WITH}, m AS (SELECT {_SEVEN_SQL}[CAST(1 + id % 7 AS INT)] AS t, {_SEVEN_SQL}[CAST(1 + CASE WHEN score < 0.6 THEN id % 7 ELSE (id + y) % 5 END AS INT)] AS p FROM scored), c AS (SELECT unnest({_SEVEN_SQL}) AS cls), n AS (SELECT a.cls AS truth, b.cls AS predicted, (SELECT count(*) FROM m WHERE t = a.cls AND p = b.cls) AS n FROM c a, c b),
+  f AS (SELECT avg(coalesce(2.0::DOUBLE * tp / nullif(called + actual, 0), 0)) AS macro_f1 FROM (SELECT cls, (SELECT count(*) FROM m WHERE t = cls AND p = cls) AS tp, (SELECT count(*) FROM m WHERE p = cls) AS called, (SELECT count(*) FROM m WHERE t = cls) AS actual FROM c)) SELECT truth, predicted, n, macro_f1 FROM n, f""")
+def _(spark, sf):
+    classes = F.array(*(F.lit(c) for c in _SEVEN))
+    called = F.when(F.col("score") < 0.6, F.col("id") % 7).otherwise((F.col("id") + F.col("y")) % 5)
+    s = scored(spark, sf).select(F.element_at(classes, (F.col("id") % 7 + 1).cast("int")).alias("t"), F.element_at(classes, (called + 1).cast("int")).alias("p"))
+    return me.confusion_matrix(s, "t", "p", _SEVEN)
+
+
 @query("misclassified", f"{WITH}, m AS (SELECT {_TRUTH} AS truth, {_CLASS} AS predicted FROM scored), k AS (SELECT *, CASE predicted WHEN 'Red' THEN 3 WHEN 'Yellow' THEN 2 WHEN 'Green' THEN 1 ELSE 0 END - CASE truth WHEN 'Red' THEN 3 WHEN 'Yellow' THEN 2 WHEN 'Green' THEN 1 ELSE 0 END AS d FROM m WHERE truth <> predicted) SELECT truth, predicted, CASE WHEN d > 0 THEN 'over' ELSE 'under' END AS kind, abs(d) AS distance, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1, 2, 3, 4")
 def _(spark, sf):
     from ..operators.rules import level_code
