@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @query("stream_prefer", "SELECT user_id, CAST(ts::DATE AS VARCHAR) AS day, min(event_type) AS source FROM events GROUP BY 1, 2")
 def _(spark, sf):
-    log = event_stream(spark, sf).select("user_id", F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("source"))
+    log = event_stream(spark, sf).select("user_id", F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("source"), "ts")
     return jobs.run(jobs.preferred(log, ["user_id", "day"], "source"), "prefer", "update", ("user_id", "day"))
 
 

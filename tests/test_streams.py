@@ -32,10 +32,57 @@ def test_one_row_a_user_and_late_rows(spark, tmp_path):
 
 
 def test_preferred_and_features_over_batches(spark, tmp_path):
-    batches = [[(1, DAY, "T60"), (2, DAY, "T30")], [(1, DAY, "T30"), (2, DAY, "T60")]]
+    batches = [[(1, DAY, "T60"), (2, DAY, "T30"), (3, DAY, None)], [(1, DAY, "T30"), (2, DAY, "T60")], [(3, DAY, "T60")]]
     log = stream(spark, tmp_path, batches, "user_id long, ts timestamp, source string")
-    assert {(r.user_id, r.source) for r in jobs.run(jobs.preferred(log, ["user_id"], "source"), "p", "update", ("user_id",)).collect()} == {(1, "T30"), (2, "T30")}
-    assert {(r.user_id, r.n) for r in jobs.upsert_features(log).collect()} == {(1, 2), (2, 2)}
+    assert {(r.user_id, r.source) for r in jobs.run(jobs.preferred(log, ["user_id"], "source"), "p", "update", ("user_id",)).collect()} == {(1, "T30"), (2, "T30"), (3, "T60")}
+    assert {(r.user_id, r.n) for r in jobs.upsert_features(log).collect()} == {(1, 2), (2, 2), (3, 2)}
+
+
+def state_rows(progress):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+
+
+def replay(weeks=9, users=40):
+    """A batch a week; each user has rows in two weeks, three weeks apart, and some in both sources."""
+    out = []
+    for w in range(weeks):
+        rows = []
+        for u in range(users):
+            if u % weeks in (w, w - 3):
+                ts = DAY + dt.timedelta(days=7 * w + u % 5)
+                rows += [(u, ts, "T60"), (u, ts + dt.timedelta(hours=1), "T30" if u % 2 else "T60")]
+        out.append(rows)
+    return out
+
+
+def test_state_ends_in_a_two_month_replay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT", 4)
+    batches = replay()
+    every = [r for b in batches for r in b]
+    static = spark.createDataFrame(every, "user_id long, ts timestamp, source string")
+    log = stream(spark, tmp_path, batches, "user_id long, ts timestamp, source string")
+    progress: list = []
+    got = jobs.upsert_features(log, "replay", idle="5 days", delay="2 days", progress=progress)
+    want = static.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    rows = state_rows(progress)
+    assert max(rows) <= 4 * 40 and rows[-1] < max(rows)  # value and timer of each user that is there, not of all
+
+    days = static.withColumn("day", F.to_date("ts").cast("string"))
+    progress = []
+    best = jobs.drain(jobs.preferred(log.withColumn("day", F.to_date("ts").cast("string")), ["user_id", "day"], "source"), "replay-p", "update", ("user_id", "day"), progress)
+    want = days.groupBy("user_id", "day").agg(F.min("source").alias("source"))
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect()))
+    rows, keys = state_rows(progress), want.count()
+    assert max(rows) < keys and rows[-1] < max(rows)
+
+
+def test_rows_later_than_the_delay_are_dropped(spark, tmp_path):
+    late = DAY - dt.timedelta(days=30)
+    batches = [[(1, DAY, "T60")], [(2, DAY + dt.timedelta(days=9), "T60")], [(1, late, "T30"), (3, DAY + dt.timedelta(days=9), "T30")], [(4, DAY + dt.timedelta(days=9), "T30")]]
+    log = stream(spark, tmp_path, batches, "user_id long, ts timestamp, source string")
+    got = jobs.run(jobs.preferred(log, ["user_id"], "source"), "late", "update", ("user_id",))
+    assert {(r.user_id, r.source) for r in got.collect()} == {(1, "T60"), (2, "T60"), (3, "T30"), (4, "T30")}
 
 
 def test_a_cluster_needs_a_shared_folder(spark):
