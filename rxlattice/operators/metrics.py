@@ -101,6 +101,66 @@ def tau_sweep(df: DataFrame, floors: list[float]) -> DataFrame:
     return best.select("floor", F.col("b.score").alias("tau"), F.col("b.recall").alias("recall"), (F.col("b.tp") + F.col("b.fp")).alias("traffic"), (F.col("b.pos") - F.col("b.tp")).alias("leaked"))
 
 
+def threshold_pairs(df: DataFrame, floors: list[float], target: float = 0.98) -> DataFrame:
+    """Cut-offs of confirmed and of suspected positives for each recall floor, and what they let through.
+
+    tau_red has the greatest precision among the thresholds that keep recall at the floor (the least of equals);
+    tau_review is the highest one that keeps recall at `target`. Where it isn't below tau_red it is put 1e-6 under
+    it and the band counts as collapsed. `red_missed` positives lie below tau_red, `red_lost` even below tau_review:
+    they leak. A floor outside (0, 1] or not below the target, and rows of one class, give a row with an error.
+    """
+    spark = df.sparkSession
+    bad = {f: f"recall floor {f} lies outside (0, 1]" if not 0 < f <= 1 else f"target {target} isn't above the floor {f}" if target <= f else None for f in floors}
+    wanted = F.broadcast(spark.createDataFrame(sorted(bad.items()), "floor double, error string"))
+    c = saved(curve(df), "curve")
+    recall, precision = _ratio(F.col("tp"), F.col("pos")), F.col("tp") / (F.col("tp") + F.col("fp"))
+    at = c.select("score", "n_pos", "n_neg", "pos", "neg", recall.alias("recall"), precision.alias("precision")).crossJoin(wanted)
+    valid = (F.col("error").isNull()) & (F.col("pos") > 0) & (F.col("neg") > 0)
+    chosen = at.where(valid).groupBy("floor").agg(
+        F.max_by("score", F.when(F.col("recall") >= F.col("floor"), F.struct("precision", (-F.col("score")).alias("low")))).alias("tau_red"),
+        F.max(F.when(F.col("recall") >= target, F.col("score"))).alias("review"),
+    )
+    collapsed = F.col("review") >= F.col("tau_red")
+    chosen = chosen.select("floor", "tau_red", F.when(collapsed, F.greatest(F.lit(0.0), F.col("tau_red") - 1e-6)).otherwise(F.col("review")).alias("tau_review"), collapsed.alias("collapsed"))
+    # The floors are few, so the counts of all of them come from one pass over the curve.
+    red, kept = F.col("score") >= F.col("tau_red"), F.col("score") >= F.col("tau_review")
+    n = F.col("n_pos") + F.col("n_neg")
+
+    def total(value: Column, where: Column) -> Column:
+        return F.sum(F.when(where, value).otherwise(0))
+
+    counts = c.crossJoin(F.broadcast(chosen)).groupBy("floor", "tau_red", "tau_review", "collapsed").agg(
+        total(F.col("n_pos"), red).alias("tp"), total(n, red).alias("n_red"), total(n, kept & ~red).alias("n_review"), total(n, ~kept).alias("n_clean"), total(F.col("n_pos"), ~kept).alias("red_lost"), F.sum("n_pos").alias("pos"), F.sum(n).alias("n"),
+    )
+    report = counts.select(
+        "floor", "tau_red", "tau_review", "collapsed", _ratio(F.col("tp"), F.col("pos")).alias("recall"), _ratio(F.col("tp"), F.col("n_red")).alias("precision"), "n_red", "n_review", "n_clean",
+        (100 * (F.col("n_review") + F.col("n_clean")) / F.col("n")).alias("second_stage_pct"), (F.col("pos") - F.col("tp")).alias("red_missed"), "red_lost", (100 * F.col("red_lost") / F.col("pos")).alias("leakage_pct"),
+    )
+    return wanted.join(report, "floor", "left").withColumn("error", F.coalesce("error", F.when(F.col("tau_red").isNull(), "both classes are needed")))
+
+
+def best_pair(df: DataFrame, alarm: float = 1.0, review: float = 0.2, leak: float = 20.0, target: float = 0.0) -> DataFrame:
+    """The pair of cut-offs tau_review < tau_red of least cost, over all pairs of distinct scores.
+
+    A pair costs `alarm` for each negative at tau_red or above, `review` for each row between the two and `leak` for
+    each positive below tau_review, whose recall must be `target` or more. With counts cumulated on the curve the
+    cost is a sum of one term for each cut-off, so the best partner of a tau_red is a running minimum over lower
+    scores: inside score ranges beside each other, with the ranges' minima before them. No pair is formed. Of equal
+    costs the lowest tau_red, then the lowest tau_review is taken; one distinct score gives no row.
+    """
+    c = curve(df)
+    n = F.col("tp") + F.col("fp")
+    lower = F.when(_ratio(F.col("tp"), F.col("pos")) >= target, F.struct((review * n + leak * (F.col("pos") - F.col("tp"))).alias("cost"), F.col("score").alias("tau")))
+    c = c.select("score", "tp", "fp", "pos", (alarm * F.col("fp") - review * n).alias("upper"), lower.alias("lower"), _range(F.col("score")).alias("part"))
+    least = c.groupBy("part").agg(F.min("lower").alias("least"))
+    least = least.select("part", F.min("least").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inside = F.min("lower").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
+    met = c.withColumn("inside", inside).join(F.broadcast(least), "part").withColumn("partner", F.least("inside", "before")).where("partner is not null")
+    cost = F.round(F.col("upper") + F.col("partner.cost"), 6)
+    best = met.agg(F.min(F.struct(cost.alias("cost"), F.col("score").alias("tau_red"), F.col("partner.tau").alias("tau_review"), "tp", "fp", "pos")).alias("b")).where("b is not null")
+    return best.select("b.cost", "b.tau_red", "b.tau_review", F.col("b.tp").alias("red_tp"), F.col("b.fp").alias("red_fp"))
+
+
 def top_share(df: DataFrame, shares: list[float], id_: str = "id") -> DataFrame:
     """Precision and recall in the top ceil(n * share) rows by score; ties by id.
 

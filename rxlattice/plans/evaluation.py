@@ -55,6 +55,25 @@ def _(spark, sf):
     return me.tau_sweep(scored(spark, sf), [0.8, 0.9, 0.95])
 
 
+_FLOORS = [0.5, 0.8, 0.9, 0.95, 0.99, 1.5]
+_PAIRS = _CURVE + f""", f(floor) AS (SELECT unnest([{', '.join(f'{f}::DOUBLE' for f in _FLOORS)}])), e AS (SELECT floor, CASE WHEN floor > 1 THEN 'recall floor ' || floor || ' lies outside (0, 1]' WHEN floor >= 0.98 THEN 'target 0.98 isn''t above the floor ' || floor END AS error FROM f),
+  r AS (SELECT floor, score, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / pos AS recall FROM curve, e WHERE error IS NULL),
+  red AS (SELECT floor, score AS tau_red FROM r WHERE recall >= floor QUALIFY row_number() OVER (PARTITION BY floor ORDER BY precision DESC, score) = 1),
+  rev AS (SELECT floor, max(score) AS review FROM r WHERE recall >= 0.98 GROUP BY 1),
+  t AS (SELECT floor, tau_red, CASE WHEN review >= tau_red THEN greatest(0, tau_red - 1e-6) ELSE review END AS tau_review, review >= tau_red AS collapsed FROM red JOIN rev USING (floor)),
+  k AS (SELECT t.*, count(*) FILTER (score >= tau_red AND y = 1) AS tp, count(*) FILTER (score >= tau_red) AS n_red, count(*) FILTER (score >= tau_review AND score < tau_red) AS n_review, count(*) FILTER (score < tau_review) AS n_clean, count(*) FILTER (score < tau_review AND y = 1) AS red_lost, count(*) FILTER (y = 1) AS pos, count(*) AS n FROM scored, t GROUP BY ALL)"""
+
+
+@query("threshold_pairs", _PAIRS + " SELECT floor, error, tau_red, tau_review, collapsed, tp::DOUBLE / pos AS recall, tp::DOUBLE / n_red AS precision, n_red, n_review, n_clean, 100.0::DOUBLE * (n_review + n_clean) / n AS second_stage_pct, pos - tp AS red_missed, red_lost, 100.0::DOUBLE * red_lost / pos AS leakage_pct FROM e LEFT JOIN k USING (floor)")
+def _(spark, sf):
+    return me.threshold_pairs(scored(spark, sf), _FLOORS)
+
+
+@query("best_pair", _CURVE + " SELECT round(a.fp + 0.2 * (b.tp + b.fp - a.tp - a.fp) + 20.0 * (b.pos - b.tp), 6)::DOUBLE AS cost, a.score AS tau_red, b.score AS tau_review, a.tp AS red_tp, a.fp AS red_fp FROM curve a JOIN curve b ON b.score < a.score WHERE b.tp::DOUBLE / b.pos >= 0.5 ORDER BY 1, 2, 3 LIMIT 1")
+def _(spark, sf):
+    return me.best_pair(scored(spark, sf), target=0.5)
+
+
 @query("topk_metrics", f"{WITH}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n, count(*) OVER () AS a, sum(y) OVER () AS p FROM scored), s(share) AS (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) SELECT share, CAST(ceil(a * share) AS BIGINT) AS k, CAST(sum(y) AS BIGINT) AS hits, sum(y)::DOUBLE / ceil(a * share) AS precision, sum(y)::DOUBLE / p AS recall FROM r, s WHERE n <= ceil(a * share) GROUP BY share, a, p")
 def _(spark, sf):
     return me.top_share(scored(spark, sf), [0.01, 0.05])

@@ -89,3 +89,37 @@ def test_validation(spark):
 def test_declines(spark):
     df = spark.createDataFrame([("m", i, v) for i, v in enumerate([0.9, 0.8, 0.7, 0.7, 0.6, 0.5])], "k string, t int, v double")
     assert [r.t for r in mo.declines(df, "v", "t", ["k"]).orderBy("t").collect()] == [2, 5]
+
+
+def test_threshold_pairs_by_hand(spark):
+    rows = [(i, y, x) for i, (y, x) in enumerate([(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.5), (1, 0.3), (0, 0.3), (0, 0.1)])]
+    got = {r.floor: r for r in me.threshold_pairs(spark.createDataFrame(rows, "id int, y int, score double"), [0.3, 0.6, 0.98, 0.0]).collect()}
+    assert (got[0.3].tau_red, got[0.3].tau_review, got[0.3].n_red, got[0.3].n_review, got[0.3].n_clean, got[0.3].red_missed, got[0.3].red_lost) == (0.9, 0.3, 1, 5, 1, 2, 0)
+    assert (got[0.6].tau_red, got[0.6].recall, got[0.6].precision) == (0.8, 2 / 3, 2 / 3)
+    assert "above the floor" in got[0.98].error and "outside" in got[0.0].error and got[0.98].tau_red is None
+    flat = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5)], "id int, y int, score double")
+    row = me.threshold_pairs(flat, [0.9]).first()
+    assert row.collapsed and row.tau_red == 0.5 and abs(row.tau_review - (0.5 - 1e-6)) < 1e-12 and row.n_review == 0
+    one = me.threshold_pairs(spark.createDataFrame([(0, 1, 0.5)], "id int, y int, score double"), [0.9]).first()
+    assert one.error == "both classes are needed"
+    assert me.best_pair(flat).collect() == []
+
+
+def test_best_pair_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    for scale in (1.0, 1e-3, 50.0):
+        rows = [(i, int(rng.random() < 0.3), round(rng.random(), 2) * scale) for i in range(300)]
+        df = spark.createDataFrame(rows, "id int, y int, score double")
+        scores = sorted({x for _, _, x in rows})
+        pos = sum(y for _, y, _ in rows)
+
+        def cost(red, review):
+            fp = sum(y == 0 and x >= red for _, y, x in rows)
+            lost = sum(y == 1 and x < review for _, y, x in rows)
+            return round(fp + 0.2 * sum(review <= x < red for _, _, x in rows) + 3 * lost, 6), lost
+
+        want = min((cost(a, b)[0], a, b) for i, a in enumerate(scores) for b in scores[:i] if 1 - cost(a, b)[1] / pos >= 0.4)
+        r = me.best_pair(df, leak=3.0, target=0.4).first()
+        assert (r.cost, r.tau_red, r.tau_review) == want
