@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, tune
+from .common import materialize, tune
 
 #: Plain bytes of a frame.
 FRAME = 1 << 16
@@ -210,8 +210,8 @@ def _by_rows(one, schema: pa.Schema):
 
 
 def transform(texts: DataFrame, rate: int = RATE, suffix_first: int = SUFFIX_FIRST, seed: int = SEED, size: int = FRAME) -> DataFrame:
-    """A written table of outputs as frames (see OUTPUT) from one of `write_texts`."""
-    return materialize(texts.mapInArrow(_transform(rate, suffix_first, seed, size), OUTPUT), "outputs")
+    """Outputs as frames (see OUTPUT) from a table of `write_texts`."""
+    return texts.mapInArrow(_transform(rate, suffix_first, seed, size), OUTPUT)
 
 
 def restored(output: Frames, form: str) -> Iterator[bytes]:
@@ -264,8 +264,5 @@ def output_texts(outputs: DataFrame) -> DataFrame:
 
 
 def fill_in_middle(docs: DataFrame) -> DataFrame:
-    """Digests of the outputs of all `docs`, by way of both stores."""
-    texts = write_texts(docs)
-    outputs = transform(texts)
-    drop(texts)
-    return read_back(outputs)
+    """Digests of the outputs of all `docs`, from the store of their texts."""
+    return read_back(transform(write_texts(docs)))
