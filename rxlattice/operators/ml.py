@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,8 +34,13 @@ def tree_model(columns: list[str], kind: str = "gbt", seed: int = 42) -> Pipelin
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), trees])
 
 
+def positive(column: str) -> Column:
+    """The probability of the positive class."""
+    return vector_to_array(column)[1]
+
+
 def score(model: PipelineModel, df: DataFrame, id_: str = "patient_id") -> DataFrame:
-    return model.transform(df).select(id_, "label", vector_to_array("probability")[1].alias("score"))
+    return model.transform(df).select(id_, "label", positive("probability").alias("score"))
 
 
 def auc(scored: DataFrame) -> float:

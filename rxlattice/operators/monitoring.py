@@ -9,7 +9,7 @@ from pyspark.sql.types import NumericType
 EPS = 1e-6
 
 
-def _psi(j: DataFrame, keys: list[str]) -> DataFrame:
+def psi_of(j: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of (c - r) * ln(c / r) over shares r and c, both at least EPS."""
     r, c = F.greatest(F.col("r"), F.lit(EPS)), F.greatest(F.col("c"), F.lit(EPS))
     return j.groupBy(*keys).agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
@@ -26,14 +26,14 @@ def psi_continuous(reference: DataFrame, current: DataFrame, column: str, bins:
     both = reference.select(column, F.lit(1).alias("is_ref")).unionByName(current.select(column, F.lit(0).alias("is_ref"))).where(F.col(column).isNotNull())
     counts = both.crossJoin(edges).groupBy(place.alias("bin")).agg(F.sum("is_ref").alias("a"), F.sum(1 - F.col("is_ref")).alias("b"))
     whole = Window.partitionBy()
-    return _psi(counts.select((F.col("a") / F.sum("a").over(whole)).alias("r"), (F.col("b") / F.sum("b").over(whole)).alias("c")), [])
+    return psi_of(counts.select((F.col("a") / F.sum("a").over(whole)).alias("r"), (F.col("b") / F.sum("b").over(whole)).alias("c")), [])
 
 
 def psi_categorical(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     both = reference.select(column, F.lit(1).alias("is_ref")).unionByName(current.select(column, F.lit(0).alias("is_ref")))
     counts = both.groupBy(column).agg(F.sum("is_ref").alias("a"), F.sum(1 - F.col("is_ref")).alias("b"))
     whole = Window.partitionBy()
-    return _psi(counts.select((F.col("a") / F.sum("a").over(whole)).alias("r"), (F.col("b") / F.sum("b").over(whole)).alias("c")), [])
+    return psi_of(counts.select((F.col("a") / F.sum("a").over(whole)).alias("r"), (F.col("b") / F.sum("b").over(whole)).alias("c")), [])
 
 
 def psi_status(psi: Column) -> Column:

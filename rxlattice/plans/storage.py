@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ml
+from ..operators import retrain as retraining
 from ..operators import sampling as sp
 from ..sources import files
 from ..streaming import jobs
@@ -148,6 +149,58 @@ def _(spark, sf):
     return rows
 
 
+_SHAPE = ["places", "drugs", "days", "lines"]
+_LATER = "DATE '1998-01-01'"
+
+
+def _shapes(lines):
+    """One row of numbers per patient from the lines given."""
+    return lines.groupBy("patient_id").agg(F.countDistinct("institution_id").alias("places"), F.countDistinct("drug_id").alias("drugs"), F.avg("total_days").alias("days"), F.count(F.lit(1)).alias("lines"))
+
+
+def _shape_periods(spark, sf):
+    r = rx(spark, sf).select("patient_id", "institution_id", "drug_id", "total_days", "start_date")
+    return _shapes(r.where("start_date < date '1998-01-01'")), _shapes(r.where("start_date >= date '1998-01-01'"))
+
+
+def _saved_reference(spark, sf):
+    """Reference distribution of the earlier period, saved and read back."""
+    train, later = _shape_periods(spark, sf)
+    path = folder(spark, "reference")
+    retraining.reference(train, _SHAPE).write.parquet(path)
+    return spark.read.parquet(path), later
+
+
+_SHAPES_SQL = f"""{WITH}, shapes AS (SELECT patient_id, start_date >= {_LATER} AS later, count(DISTINCT institution_id)::DOUBLE AS places, count(DISTINCT drug_id)::DOUBLE AS drugs, avg(total_days) AS days, count(*)::DOUBLE AS lines FROM rx GROUP BY 1, 2),
+  cells AS (SELECT later, unnest(['places', 'drugs', 'days', 'lines']) AS feature, unnest([places, drugs, days, lines]) AS v FROM shapes),
+  edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM cells WHERE NOT later GROUP BY 1),
+  binned AS (SELECT later, feature, len(list_filter(edges, lambda e: e <= v)) AS bin FROM cells JOIN edges USING (feature)),
+  shares AS (SELECT feature, bin, later, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY feature, later) AS share FROM binned GROUP BY 1, 2, 3),
+  grid AS (SELECT feature, unnest(range(0, len(edges) + 1)) AS bin, edges FROM edges)"""
+
+
+@query("drift_reference", _SHAPES_SQL + " SELECT feature, CAST(bin AS INT) AS bin, edges[bin + 1] AS upper, coalesce(share, 0) AS share FROM grid LEFT JOIN (SELECT * FROM shares WHERE NOT later) USING (feature, bin)")
+def _(spark, sf):
+    saved_reference, _ = _saved_reference(spark, sf)
+    return saved_reference.select("feature", "edges", F.posexplode("shares").alias("bin", "share")).select("feature", "bin", F.get("edges", "bin").alias("upper"), "share")
+
+
+@query("drift_saved", _SHAPES_SQL + """, p AS (SELECT feature, greatest(coalesce(a.share, 0), 1e-6) AS r, greatest(coalesce(b.share, 0), 1e-6) AS c FROM grid LEFT JOIN (SELECT * FROM shares WHERE NOT later) a USING (feature, bin) LEFT JOIN (SELECT * FROM shares WHERE later) b USING (feature, bin)),
+  s AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM p GROUP BY 1) SELECT feature, psi, CASE WHEN psi >= 0.2 THEN 'drift' WHEN psi >= 0.1 THEN 'watch' ELSE 'stable' END AS status FROM s""")
+def _(spark, sf):
+    return retraining.drift(*_saved_reference(spark, sf))
+
+
+@query("retrain_report")
+def _(spark, sf):
+    """Raw days to features to a saved model, then the later period scored by what was saved."""
+    early, late = _shape_periods(spark, sf)
+    middle = F.broadcast(saved(early.agg(F.avg("places").alias("middle")), "middle"))
+    train, later = (saved(part.crossJoin(middle).withColumn("label", (F.col("places") > F.col("middle")).cast("int")), "shapes") for part in (early, late))
+    product = retraining.retrain(train, _SHAPE[1:], folder(spark, "product"))
+    return retraining.report(retraining.load(spark, product.path), later)
+
+
 @query("pair_dataset")
 def _(spark, sf):
     """Positives (severe pairs) and five negatives each, by hash order, with an 80/10/10 split."""
