@@ -10,6 +10,7 @@ from ..operators import knowledge as kn
 from ..operators import quality as qu
 from ..operators import sampling as sp
 from ..sources import files
+from ..sources.extract import partition_values
 from ..tables import folder
 from .binding import RX, rx, table
 from .registry import query
@@ -80,10 +81,10 @@ def _(spark, sf):
 
 @query("latest_day", "SELECT CAST(max(ts)::DATE AS VARCHAR) AS day FROM events")
 def _(spark, sf):
-    """The latest day of a table that is partitioned by day: only names of partitions are read."""
+    """The latest day of a table that is partitioned by day, by the names of its folders."""
     path = folder(spark, "dated")
     files.write_dated(table(spark, sf, "events"), path, "ts")
-    return spark.read.parquet(path).agg(F.max("dt").cast("string").alias("day"))
+    return spark.createDataFrame([(partition_values(spark, path, "dt")[-1],)], "day string")
 
 
 @query("ordered_history", f"{WITH} SELECT patient_id, bill_no, line_no, drug_id, institution_id, total_days, row_number() OVER (PARTITION BY patient_id ORDER BY start_date, drug_id, bill_no, line_no, institution_id, total_days) AS place FROM rx")
@@ -151,7 +152,7 @@ def _(spark, sf):
     return rows.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SET = f"{WITH}, v AS (SELECT drug_id, row_number() OVER (ORDER BY n DESC, drug_id) AS idx FROM (SELECT drug_id, count(*) AS n FROM rx GROUP BY 1)), y AS (SELECT patient_id, CAST(count(DISTINCT institution_id) >= 30 AS INT) AS label FROM rx GROUP BY 1), m AS (SELECT DISTINCT patient_id, idx FROM rx JOIN v USING (drug_id) WHERE start_date < DATE '1996-01-01')"
+_SET = f"{WITH}, v AS (SELECT drug_id, row_number() OVER (ORDER BY n DESC, drug_id) AS idx FROM (SELECT drug_id, count(*) AS n FROM rx GROUP BY 1)), y AS (SELECT patient_id, CAST(count(DISTINCT institution_id) >= 30 AS INT) AS label FROM rx GROUP BY 1), m AS (SELECT DISTINCT patient_id, idx FROM rx JOIN v USING (drug_id))"
 
 
 @query("sparse_dataset", _SET + " SELECT patient_id, label, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS columns, CAST(count(*) AS BIGINT) AS nnz FROM m JOIN y USING (patient_id) GROUP BY 1, 2")
@@ -159,7 +160,7 @@ def _(spark, sf):
     """The set as it is written, one row a patient with ascending columns, read back from its files."""
     r = rx(spark, sf)
     vocab = sp.dense_index(r.groupBy("drug_id").agg(F.count(F.lit(1)).alias("n")), "drug_id")
-    coo = sp.multihot(r.where("start_date < date '1996-01-01'"), vocab, "drug_id")
+    coo = sp.multihot(r, vocab, "drug_id")
     from ..operators.labels import distinct_count_label
 
     path = folder(spark, "dataset")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import monitoring as mo
 from ..operators import quality as qu
+from ..sources.extract import read_recent
 from .binding import table
 from .registry import query
 
@@ -173,7 +174,7 @@ def _(spark, sf):
     alerts = by.where("rate >= 0.15").select("day", F.when(F.col("rate") >= 0.30, "critical").otherwise("warning").alias("severity"), F.lit("disagreement").alias("kind"), "subject", "n")
     path = folder(spark, "alerts")
     files.append_alerts(alerts, path)
-    return files.recent_alerts(spark, path, 7).groupBy("severity").agg(F.count(F.lit(1)).alias("n_alerts"), F.sum("n").alias("n"))
+    return read_recent(spark, path, "day", "severity string, kind string, subject string, n long", 7).groupBy("severity").agg(F.count(F.lit(1)).alias("n_alerts"), F.sum("n").alias("n"))
 
 
 @query("latest_result", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts)::DATE::VARCHAR AS day FROM events GROUP BY 1")

@@ -123,13 +123,6 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(path)
 
 
-def recent_alerts(spark: SparkSession, path: str, days: int) -> DataFrame:
-    """The alerts of the last `days` days that have any; other folders aren't read."""
-    rows = spark.read.schema("severity string, kind string, subject string, n long, day string").json(path)
-    last = rows.select("day").distinct().orderBy(F.desc("day")).limit(days)
-    return rows.join(F.broadcast(last), "day", "left_semi")
-
-
 def read_features(spark: SparkSession, path: str, partition: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("partition") == partition).drop("partition")
 
@@ -170,7 +163,3 @@ def table_kind(name: F.Column) -> F.Column:
     """Kind of table by words in its file name."""
     n = F.lower(name)
     return F.when(n.contains("t20"), "header").when(n.contains("t30"), "line").when(n.contains("t40"), "diagnosis").when(n.contains("t60"), "outpatient").when(n.contains("yoyang") | n.contains("inst"), "institution").otherwise("unknown")
-
-
-def catalog_columns(spark: SparkSession, database: str) -> list[tuple[str, str, str]]:
-    return [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name, database)]
