@@ -86,6 +86,29 @@ def max_concurrent(rx: DataFrame) -> DataFrame:
     return daily.withColumn("n", running).groupBy("patient_id").agg(F.max("n").alias("max_concurrent"))
 
 
+def concurrency(rx: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+    """max_concurrent, avg_concurrent and days of each patient: lines active on a day, weighted by time.
+
+    Lines are clipped to the window since..until (closed), and its days without a line count as 0. Without a window
+    it is the patient's own, from the first start to the last end. A sweep over starts and the days after ends gives
+    the number of lines between two events; each counts with the days that it lasts. Patients without a line in the
+    window have no row; a missing end is an open one in a window and else ends with its start.
+    """
+    low, high = (F.lit(d).cast("date") if d else None for d in (since, until))
+    end = F.coalesce("end_date", high if high is not None else F.col("start_date"))
+    start = F.greatest("start_date", low) if low is not None else F.col("start_date")
+    end = F.least(end, high) if high is not None else end
+    clipped = rx.select("patient_id", start.alias("s"), end.alias("e")).where("s <= e")
+    events = clipped.select("patient_id", F.explode(F.array(F.struct(F.col("s").alias("day"), F.lit(1).alias("d")), F.struct(F.date_add("e", 1).alias("day"), F.lit(-1).alias("d")))).alias("v"))
+    daily = events.groupBy("patient_id", F.col("v.day").alias("day")).agg(F.sum("v.d").alias("d"))
+    w = Window.partitionBy("patient_id").orderBy("day")
+    steps = daily.select("patient_id", "day", F.sum("d").over(w).alias("n"), F.lead("day").over(w).alias("next"))
+    got = steps.groupBy("patient_id").agg(F.max("n").alias("max_concurrent"), F.sum(F.col("n") * F.coalesce(F.datediff("next", "day"), F.lit(0))).alias("line_days"), F.min("day").alias("first"), F.max("day").alias("after"))
+    first, after = low if low is not None else F.col("first"), F.date_add(high, 1) if high is not None else F.col("after")
+    days = F.datediff(after, first).cast("long")
+    return got.select("patient_id", "max_concurrent", (F.col("line_days") / days).alias("avg_concurrent"), days.alias("days"))
+
+
 def observation_window(rx: DataFrame, days: int = 90) -> DataFrame:
     """First start and last end of a patient, the end no later than `days` after the start."""
     got = rx.groupBy("patient_id").agg(F.min("start_date").alias("window_start"), F.max("end_date").alias("last_end"))

@@ -143,3 +143,88 @@ def comorbidity(diagnoses: DataFrame, weights: dict[str, tuple[list[str], int]])
     rows = spark.createDataFrame([(k, p, w) for k, (ps, w) in weights.items() for p in ps], "category string, prefix string, weight int")
     found = diagnoses.select("patient_id", "code").distinct().join(F.broadcast(rows), F.col("code").startswith(F.col("prefix"))).select("patient_id", "category", "weight").distinct()
     return found.groupBy("patient_id").agg(F.sum("weight").alias("index"), F.count(F.lit(1)).alias("n_categories"))
+
+
+#: Column names that a table of contraindicated pairs may have.
+PAIR_COLUMNS = (("drug_a_code", "drug_b_code"), ("INGR_CODE", "MIXTURE_INGR_CODE"))
+
+
+def contraindicated_pairs(table: DataFrame) -> DataFrame:
+    """id_lo, id_hi: distinct pairs of different ids, trimmed, from either schema; any other raises."""
+    for a, b in PAIR_COLUMNS:
+        if a in table.columns and b in table.columns:
+            ids = table.select(F.trim(F.col(a).cast("string")).alias("a"), F.trim(F.col(b).cast("string")).alias("b")).where("a <> '' and b <> '' and a <> b")
+            return ids.select(F.least("a", "b").alias("id_lo"), F.greatest("a", "b").alias("id_hi")).distinct()
+    raise ValueError(f"no pair columns among {', '.join(table.columns)}")
+
+
+#: Days of a time bucket in which partners meet.
+PAIR_BUCKET = 90
+
+
+def contraindicated_label(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per patient the known pairs among all its drugs and among those taken at once, with both labels.
+
+    lines: patient_id, id, start_date, end_date; pairs: id_lo, id_hi. The joins go from a drug to its known partners
+    and from there to the patient's lines, so a pair that isn't known is never formed. Partners meet in the 90-day
+    buckets that both touch and count where the later one starts. Patients without a hit have zeros.
+    """
+    known = lines.where(F.col("id").isNotNull())
+    drugs = known.select("patient_id", "id").distinct()
+    ids = drugs.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_ids"))
+    partners = drugs.join(pairs, drugs.id == pairs.id_lo).select("patient_id", "id_lo", F.col("id_hi").alias("id"))
+    ever = partners.join(drugs, ["patient_id", "id"]).select("patient_id", "id_lo", F.col("id").alias("id_hi"))
+    day = F.lit("1970-01-01").cast("date")
+
+    def bucket(c: Column) -> Column:
+        return F.floor(F.datediff(c, day) / PAIR_BUCKET).cast("int")
+
+    spans = known.where("start_date <= end_date").select("patient_id", "id", "start_date", "end_date").distinct()
+    touched = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_date")), bucket(F.col("end_date")))))
+    # Only drugs of pairs that the patient has at all go on.
+    first = touched.join(ever.withColumnRenamed("id_lo", "id"), ["patient_id", "id"]).select("patient_id", "bucket", F.col("id").alias("id_lo"), "id_hi", F.col("start_date").alias("s1"), F.col("end_date").alias("e1"))
+    second = touched.select("patient_id", "bucket", F.col("id").alias("id_hi"), F.col("start_date").alias("s2"), F.col("end_date").alias("e2"))
+    met = first.join(second, ["patient_id", "bucket", "id_hi"]).where("s1 <= e2 and s2 <= e1").where(bucket(F.greatest("s1", "s2")) == F.col("bucket"))
+    at_once = met.groupBy("patient_id").agg(F.countDistinct("id_lo", "id_hi").alias("overlap_hits"), F.count(F.lit(1)).alias("n_occurrences"))
+    hits = ever.groupBy("patient_id").agg(F.count(F.lit(1)).alias("hits"))
+    people = lines.select("patient_id").distinct().join(ids, "patient_id", "left").join(hits, "patient_id", "left").join(at_once, "patient_id", "left").na.fill(0)
+    return people.select("patient_id", "n_ids", "hits", "overlap_hits", "n_occurrences", (F.col("hits") > 0).cast("int").alias("label"), (F.col("overlap_hits") > 0).cast("int").alias("overlap_label"))
+
+
+def rule_labels(features: DataFrame) -> DataFrame:
+    """Stage 1: the rule's level as label, and whether it is high (Red); a frame without levels raises."""
+    if "risk_level" not in features.columns:
+        raise ValueError("the features have no risk_level")
+    return features.withColumn("rule_label", F.col("risk_level")).withColumn("is_high_risk_rule", F.coalesce((F.col("risk_level") == "Red"), F.lit(False)).cast("int"))
+
+
+def reaction_labels(labelled: DataFrame, diagnoses: DataFrame | None, drugs: DataFrame | None, id_: str = "patient_id") -> DataFrame:
+    """Stage 2: proxy labels of adverse reactions beside the rules' and the final label.
+
+    Without diagnoses every reaction is 0, with LOW confidence, and the rule decides.
+    """
+    if diagnoses is None or drugs is None:
+        found = labelled.withColumns({"adr_label": F.lit(0), "adr_score": F.lit(0.0), "adr_confidence": F.lit("LOW")})
+    else:
+        adr = adr_labels(diagnoses, drugs).select(id_, F.lit(1).alias("adr_label"), "adr_score", F.col("confidence").alias("adr_confidence"))
+        found = labelled.join(adr, id_, "left").na.fill({"adr_label": 0, "adr_score": 0.0, "adr_confidence": "LOW"})
+    return found.withColumn("final_label", merged_label(F.col("adr_label") == 1, F.col("rule_label")))
+
+
+def review_sample(labelled: DataFrame, shares: dict[str, float], total: int, least: float, id_: str = "patient_id") -> DataFrame:
+    """Stage 3: a golden sample by rule level with columns for the experts, whose label starts as the rule's."""
+    from .sampling import golden
+
+    sample = golden(labelled, "rule_label", "adr_label", shares, total, least, id_)
+    return sample.withColumns({"expert_label": F.col("rule_label"), "expert_comment": F.lit(""), "review_status": F.lit("pending")})
+
+
+def review_report(sample: DataFrame, labelled: DataFrame) -> DataFrame:
+    """name, value: size, share of each level, share of reactions, filled labels, agreement of experts and rules."""
+    n = labelled.agg(F.count(F.lit(1)).cast("double").alias("n_all"))
+    s = sample.agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("adr_label").cast("double")).alias("reactions"), F.avg(F.col("expert_label").isNotNull().cast("double")).alias("completeness"),
+        F.avg((F.col("expert_label") == F.col("rule_label")).cast("double")).alias("agreement"), *(F.avg((F.col("rule_label") == k).cast("double")).alias(f"share_{k}") for k in ("Red", "Yellow", "Green", "Normal")),
+    )
+    both = s.crossJoin(n)
+    return both.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in both.columns))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .features import in_group
@@ -298,6 +298,47 @@ def two_stage(p_red: Column, subtype: Column, tau_red: float, tau_review: float)
     return decision, action
 
 
+# Classes of the second stage, in their order.
+STAGE2 = ["Y_TRIPLE", "Y_DOUBLE", "Y_DDI_MAJOR", "Y_DDI_MOD", "Y_DUP", "Y_FRAG", "No_Alert"]
+
+
+def global_probabilities(local: Column, present: list[str], classes: list[str] | None = None) -> Column:
+    """A model's probabilities, which come in the order of the classes it was trained on, in the order of all classes.
+
+    Classes that the model doesn't know have 0. Unknown or repeated names raise here, an array of another length
+    raises in its row; a null array stays null.
+    """
+    classes = STAGE2 if classes is None else classes
+    if len(set(present)) < len(present) or not set(present) <= set(classes):
+        raise ValueError(f"classes {present} repeat or aren't all among {classes}")
+    place = {c: k for k, c in enumerate(present)}
+    whole = F.array(*(local[place[c]].cast("double") if c in place else F.lit(0.0) for c in classes))
+    wrong = F.raise_error(F.concat(F.lit(f"{len(present)} probabilities are wanted, there are "), F.size(local).cast("string"))).cast("array<double>")
+    return F.when(local.isNull(), F.lit(None).cast("array<double>")).when(F.size(local) == len(present), whole).otherwise(wrong)
+
+
+def likeliest(probabilities: Column, classes: list[str] | None = None) -> Column:
+    """The class of greatest probability, the first of equals."""
+    names = F.array(*(F.lit(c) for c in (STAGE2 if classes is None else classes)))
+    return F.get(names, (F.array_position(probabilities, F.array_max(probabilities)) - 1).cast("int"))
+
+
+def higher_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's unordered pairs of names (a_name, b_name, severity) once, with the highest severity, and counts.
+
+    Names compare in lower case without outer blanks; pairs of one name drop. `n_contraindicated` to `n_minor` count a
+    key's pairs by their severity after merging.
+    """
+    from .knowledge import SEVERITIES, rank, severity
+
+    a, b = (F.lower(F.trim(c)) for c in ("a_name", "b_name"))
+    named = pairs.select(*keys, F.least(a, b).alias("name_lo"), F.greatest(a, b).alias("name_hi"), rank(F.col("severity")).alias("r")).where("name_lo <> name_hi")
+    best = named.groupBy(*keys, "name_lo", "name_hi").agg(F.max("r").alias("r"))
+    w = Window.partitionBy(*keys)
+    counts = {f"n_{s.lower()}": F.count_if(F.col("r") == k).over(w) for k, s in reversed(list(enumerate(SEVERITIES, 1)))}
+    return best.withColumns(counts).select(*keys, "name_lo", "name_hi", severity(F.col("r")).alias("severity"), *counts)
+
+
 def switch_or_duplicate(days: Column, same_class: Column) -> Column:
     """1 to 6 days together is a switch, 30 or more in one class a duplicate."""
     return F.when(days.between(1, 6), "switch").when((days >= 30) & same_class, "duplicate").otherwise("overlap")

@@ -169,3 +169,18 @@ def dataset_stats(coo: DataFrame, size: DataFrame, id_: str = "patient_id") -> D
     """Rows, non-zeros, density, share of rows with an unknown code; `size` is one row with n_columns."""
     per = coo.groupBy(id_).agg(F.count(F.lit(1)).alias("nnz"), F.count_if(F.col("idx") == 0).alias("oov"))
     return per.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("nnz").alias("nnz"), F.avg((F.col("oov") > 0).cast("double")).alias("oov_rate")).crossJoin(F.broadcast(size)).select("n_rows", "nnz", F.try_divide(F.col("nnz"), F.col("n_rows") * F.col("n_columns")).alias("density"), "oov_rate")
+
+
+def encode_history(events: DataFrame, vocab: DataFrame, code: str, place: str, most: float, id_: str = "patient_id") -> DataFrame:
+    """One row per id for scoring: columns (ascending), known and unknown codes, and a scaled count of places.
+
+    Codes outside the vocabulary share column 0; `most` is the greatest count of places in training, so a scaled count
+    may lie above 1. An id without a known code has column 0 alone. Events without a code count for places only.
+    """
+    coded = events.select(id_, code, place).join(vocab.select(code, "idx"), code, "left")
+    known = F.col(code).isNotNull()
+    got = coded.groupBy(id_).agg(
+        F.array_sort(F.collect_set(F.when(known, F.coalesce("idx", F.lit(0)).cast("long")))).alias("columns"), F.countDistinct(F.when(F.col("idx").isNotNull(), F.col(code))).alias("n_known"),
+        F.countDistinct(F.when(known & F.col("idx").isNull(), F.col(code))).alias("n_unknown"), F.countDistinct(place).alias("n_places"),
+    )
+    return got.select(id_, "columns", "n_known", "n_unknown", (F.col("n_places") / float(most)).alias("places"))

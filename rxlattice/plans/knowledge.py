@@ -12,25 +12,19 @@ from .registry import query
 WITH = f"WITH {RX}"
 
 #: Interaction rows bound to order lines: two ids, two names, a severity, a source.
-PAIRS = """pairs AS (SELECT l_partkey % 300 AS a_id, l_suppkey % 300 AS b_id, 'Drug ' || CAST(l_partkey % 300 AS VARCHAR) AS a_name, 'DRUG ' || CAST(l_suppkey % 300 AS VARCHAR) AS b_name,
+PAIRS = """pairs AS (SELECT l_partkey AS a_id, l_suppkey AS b_id, 'Drug ' || CAST(l_partkey AS VARCHAR) AS a_name, 'DRUG ' || CAST(l_suppkey AS VARCHAR) AS b_name,
   CASE l_linenumber % 6 WHEN 0 THEN 'Contraindicated' WHEN 1 THEN 'Major' WHEN 2 THEN 'Moderate' WHEN 3 THEN 'Minor' WHEN 4 THEN 'odd' END AS severity, l_linestatus AS src FROM lineitem)"""
 _RANK = "CASE severity WHEN 'Contraindicated' THEN 4 WHEN 'Major' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Minor' THEN 1 ELSE 0 END"
 _NAME = "CASE r WHEN 4 THEN 'Contraindicated' WHEN 3 THEN 'Major' WHEN 2 THEN 'Moderate' WHEN 1 THEN 'Minor' END"
 
 
-def pairs(spark, sf, n_ids=300):
-    a, b = (f"{c} % {n_ids}" if n_ids else c for c in ("l_partkey", "l_suppkey"))
+def pairs(spark, sf):
     return table(spark, sf, "lineitem").selectExpr(
-        f"{a} as a_id", f"{b} as b_id", f"concat('Drug ', {a}) as a_name", f"concat('DRUG ', {b}) as b_name",
+        "l_partkey as a_id", "l_suppkey as b_id", "concat('Drug ', l_partkey) as a_name", "concat('DRUG ', l_suppkey) as b_name",
         "case l_linenumber % 6 when 0 then 'Contraindicated' when 1 then 'Major' when 2 then 'Moderate' when 3 then 'Minor' when 4 then 'odd' end as severity", "l_linestatus as src",
     )
 
 
-def full_pairs(spark, sf):
-    """The pairs with all ids, not reduced to 300, so that they don't fill up as the input grows."""
-    return pairs(spark, sf, None)
-
-
 @query("pair_dedup", f"WITH {PAIRS}, m AS (SELECT least(a_id, b_id) AS id_lo, greatest(a_id, b_id) AS id_hi, max({_RANK}) AS r FROM pairs GROUP BY 1, 2) SELECT id_lo, id_hi, r AS rank, {_NAME} AS severity FROM m")
 def _(spark, sf):
     return kn.pair_dedup(pairs(spark, sf))
@@ -195,9 +189,9 @@ def _(spark, sf):
     return kn.cyp_features(taken, kn.cyp_matrix(actions(spark, sf)))
 
 
-@query("pair_exclude", f"WITH {PAIRS}, x AS (SELECT s_suppkey % 300 AS id FROM supplier WHERE s_suppkey % 11 = 0) SELECT a_id, b_id, CAST(count(*) AS BIGINT) AS n FROM pairs WHERE a_id NOT IN (SELECT id FROM x) AND b_id NOT IN (SELECT id FROM x) GROUP BY 1, 2")
+@query("pair_exclude", f"WITH {PAIRS}, x AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 11 = 0) SELECT a_id, b_id, CAST(count(*) AS BIGINT) AS n FROM pairs WHERE a_id NOT IN (SELECT id FROM x) AND b_id NOT IN (SELECT id FROM x) GROUP BY 1, 2")
 def _(spark, sf):
-    out = table(spark, sf, "supplier").where("s_suppkey % 11 = 0").select((F.col("s_suppkey") % 300).alias("id")).distinct()
+    out = table(spark, sf, "supplier").where("s_suppkey % 11 = 0").select(F.col("s_suppkey").alias("id")).distinct()
     kept = pairs(spark, sf).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("n"))
     return kept.join(out.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(out.withColumnRenamed("id", "b_id"), "b_id", "left_anti")
 
@@ -209,21 +203,21 @@ def _(spark, sf):
     return kn.names_within(names, "product_name", known).groupBy("product_name").agg(F.count("name").alias("n_matches"))
 
 
-@query("map_coverage", f"""WITH {RX}, {PAIRS}, p AS (SELECT DISTINCT a.patient_id, least(a.drug_id % 300, b.drug_id % 300) AS lo, greatest(a.drug_id % 300, b.drug_id % 300) AS hi, a.drug_id % 9 <> 0 AND b.drug_id % 9 <> 0 AS mapped FROM rx a JOIN rx b ON a.patient_id = b.patient_id AND a.drug_id < b.drug_id AND date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1 >= 7),
+@query("map_coverage", f"""WITH {RX}, {PAIRS}, p AS (SELECT DISTINCT a.patient_id, least(a.drug_id, b.drug_id) AS lo, greatest(a.drug_id, b.drug_id) AS hi, a.drug_id % 9 <> 0 AND b.drug_id % 9 <> 0 AS mapped FROM rx a JOIN rx b ON a.patient_id = b.patient_id AND a.drug_id < b.drug_id AND date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1 >= 7),
   k AS (SELECT least(a_id, b_id) AS lo, greatest(a_id, b_id) AS hi FROM pairs GROUP BY 1, 2 HAVING max({_RANK}) >= 3) SELECT CAST(count(*) AS BIGINT) AS n_full, CAST(count(*) FILTER (mapped) AS BIGINT) AS n_mapped, CAST(count(*) FILTER (NOT mapped) AS BIGINT) AS n_missed FROM p JOIN k USING (lo, hi)""")
 def _(spark, sf):
     from ..operators.intervals import overlaps
 
-    o = overlaps(rx(spark, sf)).select("patient_id", F.least(F.col("drug_a") % 300, F.col("drug_b") % 300).alias("id_lo"), F.greatest(F.col("drug_a") % 300, F.col("drug_b") % 300).alias("id_hi"), ((F.col("drug_a") % 9 != 0) & (F.col("drug_b") % 9 != 0)).alias("mapped")).distinct()
+    o = overlaps(rx(spark, sf)).select("patient_id", F.least("drug_a", "drug_b").alias("id_lo"), F.greatest("drug_a", "drug_b").alias("id_hi"), ((F.col("drug_a") % 9 != 0) & (F.col("drug_b") % 9 != 0)).alias("mapped")).distinct()
     hits = o.join(kn.pair_dedup(pairs(spark, sf)).where("rank >= 3"), ["id_lo", "id_hi"])
     return hits.agg(F.count(F.lit(1)).alias("n_full"), F.count_if("mapped").alias("n_mapped"), F.count_if(~F.col("mapped")).alias("n_missed"))
 
 
-@query("contra_audit", f"""WITH {RX}, {PAIRS}, k AS (SELECT least(a_id, b_id) AS lo, greatest(a_id, b_id) AS hi FROM pairs WHERE severity = 'Contraindicated' GROUP BY 1, 2), d AS (SELECT DISTINCT patient_id, drug_id % 300 AS id FROM rx), n AS (SELECT patient_id, count(*) AS n FROM d GROUP BY 1),
+@query("contra_audit", f"""WITH {RX}, {PAIRS}, k AS (SELECT least(a_id, b_id) AS lo, greatest(a_id, b_id) AS hi FROM pairs WHERE severity = 'Contraindicated' GROUP BY 1, 2), d AS (SELECT DISTINCT patient_id, drug_id AS id FROM rx), n AS (SELECT patient_id, count(*) AS n FROM d GROUP BY 1),
   h AS (SELECT a.patient_id, count(*) AS hits FROM d a JOIN d b ON a.patient_id = b.patient_id AND a.id < b.id JOIN k ON lo = a.id AND hi = b.id GROUP BY 1) SELECT patient_id, CAST(n * (n - 1) // 2 AS BIGINT) AS candidates, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM n LEFT JOIN h USING (patient_id)""")
 def _(spark, sf):
     k = kn.canonical_pairs(pairs(spark, sf).where("severity = 'Contraindicated' and a_id <> b_id"))
-    d = rx(spark, sf).select("patient_id", (F.col("drug_id") % 300).alias("id")).distinct()
+    d = rx(spark, sf).select("patient_id", F.col("drug_id").alias("id")).distinct()
     n = d.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))
     # From the drugs that a patient has to their partners, then back to the patient's drugs: no pair is made that isn't known.
     partner = d.join(k, d.id == k.id_lo).select("patient_id", F.col("id_hi").alias("id"))

@@ -205,12 +205,12 @@ def _(spark, sf):
 def _(spark, sf):
     """Positives (severe pairs) and five negatives each, by hash order, with an 80/10/10 split."""
     from ..operators.knowledge import pair_dedup
-    from .knowledge import full_pairs
+    from .knowledge import pairs
 
     def save(df):
         return saved(df, "pairs")
 
-    rated = save(pair_dedup(full_pairs(spark, sf)).where("id_lo <> id_hi").select("id_lo", "id_hi", "rank"))
+    rated = save(pair_dedup(pairs(spark, sf)).where("id_lo <> id_hi").select("id_lo", "id_hi", "rank"))
     pos = rated.where("rank >= 3").select("id_lo", "id_hi")
     neg = sp.negative_pairs(pos, rated, 5, save)
     share = F.pmod(F.xxhash64("id_lo", "id_hi"), F.lit(10))

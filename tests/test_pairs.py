@@ -4,7 +4,7 @@ import pytest
 
 from rxlattice.operators import sampling as sp
 from rxlattice.plans import registry
-from rxlattice.plans.knowledge import full_pairs
+from rxlattice.plans.knowledge import pairs
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_five_negatives_for_each_positive(spark):
     rows = registry.queries()["pair_dataset"](spark, SF).collect()
-    known = {tuple(sorted((r.a_id, r.b_id))) for r in full_pairs(spark, SF).collect()}
+    known = {tuple(sorted((r.a_id, r.b_id))) for r in pairs(spark, SF).collect()}
     pos, neg = ([(r.id_lo, r.id_hi) for r in rows if r.label == k] for k in (1, 0))
     assert pos and len(neg) == 5 * len(pos) and len(set(neg)) == len(neg)
     assert not set(neg) & known and all(a < b for a, b in neg) and {i for p in neg for i in p} <= {i for p in known for i in p}
