@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -29,17 +31,12 @@ NSAID = [
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
+    """Whether a text holds one of the words; one pattern, so that long lists stay one expression."""
+    return c.rlike("|".join(map(re.escape, words))) if words else F.lit(False)
 
 
 def starts_any(c: Column, prefixes: list[str]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | c.startswith(p)
-    return out
+    return c.rlike(f"^(?:{'|'.join(map(re.escape, prefixes))})") if prefixes else F.lit(False)
 
 
 def in_group(name: Column, atc: Column, group: tuple[list[str], list[str]]) -> Column:

@@ -112,11 +112,12 @@ def cyp_features(taken: DataFrame, matrix: DataFrame) -> DataFrame:
     for e in ENZYMES:
         aggs += [F.count_if(F.col(f"{e}_{kind}_count") > 0).alias(f"{e}_{short}") for kind, short in (("substrate", "sub"), ("inhibitor_strong", "strong"), ("inhibitor", "inh"))]
     got = taken.join(small(matrix), "drug", "left").groupBy("patient_id").agg(*aggs)
+    from .safety import enzyme_scores
+
     pairs = {e: F.col(f"{e}_strong") * F.col(f"{e}_sub") for e in ENZYMES}
-    risk = {e: (F.col(f"{e}_strong") * 3.0 + F.col(f"{e}_inh") + pairs[e] * 2.0) * ENZYME_WEIGHTS[e] for e in ENZYMES}
     return got.select(
         "patient_id", *(F.col(f"{e}_sub").alias(f"{e}_substrates") for e in ENZYMES), *(F.col(f"{e}_strong").alias(f"{e}_strong_inhibitors") for e in ENZYMES),
-        *(pairs[e].alias(f"{e}_pairs") for e in ENZYMES), sum(risk.values(), F.lit(0.0)).alias("cyp_risk_score"), F.greatest(*risk.values()).alias("cyp_max_enzyme_risk"), sum(pairs.values(), F.lit(0)).alias("cyp_high_risk_pairs"),
+        *(pairs[e].alias(f"{e}_pairs") for e in ENZYMES), *(v.alias(n) for n, v in enzyme_scores().items()),
     )
 
 

@@ -5,12 +5,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import components
 from ..operators import features as ft
+from ..operators import knowledge as kn
 from ..operators import rules as ru
+from ..operators import safety as sy
 
 #: Drugs share interaction ids: drug_id modulo this; every seventh drug is a combination with a second id.
 N_IDS = 50
@@ -48,6 +52,16 @@ MEDICINES = [
 ]
 
 
+#: Enzyme roles of some of their components: component, enzyme, action, whether strong.
+ENZYME_ROLES = [
+    ("warfarin", "cyp2c9", "substrate", False), ("warfarin", "cyp3a4", "substrate", False), ("ibuprofen", "cyp2c9", "substrate", False), ("clopidogrel", "cyp2c19", "substrate", False),
+    ("omeprazole", "cyp2c19", "substrate", False), ("omeprazole", "cyp2c19", "inhibitor", True), ("losartan", "cyp2c9", "substrate", False), ("amiodarone", "cyp2d6", "inhibitor", False),
+    ("amiodarone", "cyp2c9", "inhibitor", True), ("sertraline", "cyp2d6", "inhibitor", True), ("simvastatin", "cyp3a4", "substrate", False), ("clarithromycin", "cyp3a4", "inhibitor", True),
+    ("amlodipine", "cyp3a4", "substrate", False), ("haloperidol", "cyp2d6", "substrate", False), ("verapamil", "cyp3a4", "inhibitor", False), ("tramadol", "cyp2d6", "substrate", False),
+    ("sulfamethoxazole", "cyp2c9", "inhibitor", False), ("levofloxacin", "cyp1a2", "inhibitor", False),
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,27 +99,45 @@ def medicines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, name, atc) for k, (name, atc, _) in enumerate(MEDICINES)], "med long, med_name string, med_atc string")
 
 
+#: Risk groups that a medicine is in by its name or code.
+_GROUPS = {"high_risk": ft.HIGH_RISK, "renal_risk": ft.RENAL_RISK, "hepatic_risk": ft.HEPATIC_RISK, "qt": ru.GROUPS["qt_prolonging"]}
+
+
 def with_kinds(meds: DataFrame) -> DataFrame:
-    """Adds what a medicine is by its name and code: parts (components), risk flags, QT group, whammy classes."""
+    """Adds what a medicine is by its name and code: parts (components), risk flags, QT group, and all of it as bits."""
     name, atc = F.col("med_name"), F.col("med_atc")
-    groups = {"high_risk": ft.HIGH_RISK, "renal_risk": ft.RENAL_RISK, "hepatic_risk": ft.HEPATIC_RISK, "qt": ru.GROUPS["qt_prolonging"]}
-    kinds = meds.withColumns({"parts": F.array_distinct(components(name)), **{n: ft.in_group(name, atc, g) for n, g in groups.items()}})
+    kinds = meds.withColumns({"parts": F.array_distinct(components(name)), **{n: ft.in_group(name, atc, g) for n, g in _GROUPS.items()}})
+    return kinds.withColumn("flags", sy.medicine_flags(name, atc, F.col("parts"), _GROUPS, ENZYME_ROLES))
 
-    def some(k: int) -> Column:
-        return F.exists("parts", lambda part: ft.whammy_classes(part)[k])
 
-    return kinds.withColumns({n: some(k) for k, n in enumerate(("acei_arb", "k_sparing", "nsaid"))})
+@lru_cache(maxsize=4)
+def _kinds(spark: SparkSession) -> DataFrame:
+    """The fixed list with its kinds; its plan is built once a session."""
+    return with_kinds(medicines(spark))
 
 
 def rx_meds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`rx` with the medicine of each line and its kinds. The list is a literal, so its broadcast is bounded."""
-    return rx(spark, sf_dir).join(F.broadcast(with_kinds(medicines(spark))), F.col("drug_id") % len(MEDICINES) == F.col("med"))
+    return rx(spark, sf_dir).join(F.broadcast(_kinds(spark)), F.col("drug_id") % len(MEDICINES) == F.col("med"))
 
 
 def _text(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+def enzymes_sql(lines: str) -> str:
+    """CTEs `enz` and `cyp`: distinct medicines per (patient, bucket) in each enzyme role, and the scores from them."""
+    rows = [(k, e, r, s) for k, (_, _, parts) in enumerate(MEDICINES) for c, e, r, s in ENZYME_ROLES if c in parts]
+    counts = ", ".join(
+        f"count(DISTINCT med) FILTER (e = '{e}' AND {w}) AS {e}_{n}" for e in kn.ENZYMES for n, w in (("sub", "r = 'substrate'"), ("strong", "r = 'inhibitor' AND s"), ("inh", "r = 'inhibitor'"))
+    )
+    risk = [f"({e}_strong * 3.0 + {e}_inh + {e}_strong * {e}_sub * 2.0) * {w}" for e, w in kn.ENZYME_WEIGHTS.items()]
+    return (
+        f"roles(med, e, r, s) AS (VALUES {', '.join(f"({k}, '{e}', '{r}', {s})" for k, e, r, s in rows)}), enz AS (SELECT patient_id, bucket, {counts} FROM {lines} JOIN roles ON med = drug_id % {len(MEDICINES)} GROUP BY 1, 2), "
+        f"cyp AS (SELECT patient_id, bucket, ({' + '.join(risk)})::DOUBLE AS cyp_risk_score, greatest({', '.join(risk)})::DOUBLE AS cyp_max_enzyme_risk, {' + '.join(f'{e}_strong * {e}_sub' for e in kn.ENZYMES)} AS cyp_high_risk_pairs FROM enz)"
+    )
+
+
 #: `rx` with med_name, med_atc and the components that the medicine is known to have.
 MEDS = (
     "meds(med, med_name, med_atc, comps) AS (VALUES " + ", ".join(f"({k}, '{n}', '{a}', {_text(c)})" for k, (n, a, c) in enumerate(MEDICINES)) + "), "

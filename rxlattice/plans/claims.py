@@ -10,7 +10,8 @@ from ..operators import features as ft
 from ..operators import intervals as iv
 from ..operators import knowledge as kn
 from ..operators import rules as ru
-from .binding import BUCKET, DEMO, KB, MEDICINES, MEDS, N_IDS, OCC, RX, demographics, interaction_ids, interactions, medicines, rated_sql, rx, rx_meds, table
+from ..operators import safety as sy
+from .binding import BUCKET, DEMO, KB, MEDICINES, MEDS, N_IDS, OCC, RX, demographics, enzymes_sql, interaction_ids, interactions, medicines, rated_sql, rx, rx_meds, table
 from .registry import query
 
 WITH = f"WITH {RX}"
@@ -219,73 +220,19 @@ def _(spark, sf):
 
 #: Days that two drugs must be taken together.
 LEAST_OVERLAP = 7
-_LINE = ["drug_id", "institution_id", "start_date", "end_date", "class_no", "med_atc", "parts", "high_risk", "renal_risk", "hepatic_risk", "qt", "acei_arb", "k_sparing", "nsaid"]
-
-
-def _pairs_of(lines: str) -> Column:
-    """Distinct pairs of drugs in an array of lines that overlap long enough, the later start in the row's bucket."""
-
-    def partners(a: Column) -> Column:
-        def meets(b: Column) -> Column:
-            later = F.greatest(a["start_date"], b["start_date"])
-            days = F.datediff(F.least(a["end_date"], b["end_date"]), later) + 1
-            return (a["drug_id"] < b["drug_id"]) & (days >= LEAST_OVERLAP) & (bucket(later) == F.col("bucket"))
-
-        return F.transform(F.filter(lines, meets), lambda b: F.struct(a["drug_id"].alias("drug_a"), b["drug_id"].alias("drug_b")))
-
-    return F.array_distinct(F.flatten(F.transform(lines, partners)))
-
-
-def _repeated(values: Column) -> Column:
-    """How many values of an array stand in it twice or more."""
-    return F.size(F.filter(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda w: w == v)) >= 2)).cast("long")
-
-
-def _prefixes(codes: Column, width: int) -> Column:
-    """The first characters of the codes that have so many."""
-    return F.transform(F.filter(codes, lambda c: F.length(c) >= width), lambda c: F.substring(c, 1, width))
-
-
-def _field(name: str) -> Column:
-    return F.transform("own", lambda line: line[name])
-
-
 def safety_features(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per patient and 90-day bucket: counts, duplicates, rated pairs, flags, age and sex.
+    """One row per patient and 90-day bucket: counts, duplicates, rated pairs, flags, enzyme scores, age and sex.
 
-    One exchange gathers the lines that touch a bucket; everything but the severities is then worked out inside
-    the row, and rating keeps the rows where they are. A group is what one person gets in three months. Each pair
-    counts in the bucket of its later start, so lines on both sides of an edge meet.
+    Lines count in the bucket of their start, pairs in that of their later start, so lines on both sides of an edge
+    meet. Pairs are formed by a join and rated where they then are, by (patient, bucket), as are all counts.
     """
-    touched = F.explode(F.sequence(bucket("start_date"), bucket("end_date")))
-    each = rx_meds(spark, sf).select("patient_id", touched.alias("bucket"), F.struct(*_LINE).alias("line"))
-    rows = each.groupBy(*KEYS).agg(F.collect_list("line").alias("lines"))
-    rows = rows.withColumn("own", F.filter("lines", lambda line: bucket(line["start_date"]) == F.col("bucket"))).where(F.size("own") > 0)
-    # A line whose medicine has no known component counts by its drug id.
-    rows = rows.withColumn("named", F.flatten(F.transform("own", lambda line: F.when(F.size(line["parts"]) > 0, line["parts"]).otherwise(F.array(line["drug_id"].cast("string"))))))
-    rows = rows.withColumn("window_start", F.array_min(_field("start_date"))).withColumn("window_end", F.least(F.array_max(_field("end_date")), F.date_add("window_start", 89)))
-    classes = F.filter(_field("class_no"), lambda c: c.isNotNull())
-    atcs = F.filter(_field("med_atc"), lambda c: c.isNotNull())
-    facts = [
-        F.size(F.array_distinct("named")).cast("long").alias("drug_count"),
-        F.size(F.array_distinct(F.filter(_field("institution_id"), lambda i: i.isNotNull()))).cast("long").alias("institution_count"),
-        F.size("own").cast("long").alias("n_lines"),
-        "window_start", "window_end",
-        F.size(F.filter("own", lambda line: (line["start_date"] <= F.col("window_end")) & (F.col("window_end") <= line["end_date"]))).cast("long").alias("drug_count_7d"),
-        *(F.array_max(_field(n)).alias(n) for n in ("high_risk", "renal_risk", "hepatic_risk")),
-        F.size(F.array_distinct(F.transform(F.filter("own", lambda line: line["qt"]), lambda line: line["drug_id"]))).cast("long").alias("qt_drugs"),
-        _repeated(F.col("named")).alias("dup_same_ingredient"),
-        _repeated(classes).alias("dup_class"),
-        *(_repeated(_prefixes(atcs, w)).alias(f"dup_atc{k}") for k, w in ((5, 7), (4, 5), (3, 4))),
-        (F.array_max(_field("acei_arb")) & F.array_max(_field("k_sparing")) & F.array_max(_field("nsaid"))).alias("triple_whammy"),
-    ]
-    rows = rows.select(*KEYS, *facts, _pairs_of("lines").alias("pairs"))
-    names = [c for c in rows.columns if c not in (*KEYS, "pairs")]
-    pairs = rows.select(*KEYS, F.struct(*names).alias("facts"), F.explode_outer("pairs").alias("pair")).select(*KEYS, "facts", "pair.*")
+    lines = rx_meds(spark, sf)
+    facts = sy.group_features(lines.withColumn("bucket", bucket()).withColumn("atc", F.col("med_atc")), KEYS)
+    pairs = sy.group_pairs(lines, LEAST_OVERLAP, "1995-01-01", 90)
     rated = kn.pairs_with_severity(pairs, interaction_ids("drug_a"), interaction_ids("drug_b"), kn.severity_lookup(interactions(spark)))
-    counts = severity_counts(rated, [*KEYS, "facts"]).select(*KEYS, "facts.*", *(f"ddi_{s.lower()}" for s in kn.SEVERITIES))
+    counts = [f"ddi_{s.lower()}" for s in kn.SEVERITIES]
     people = demographics(spark, sf).select("patient_id", "age", sex_value(F.col("sex_type")).alias("sex"))
-    return counts.join(people, "patient_id", "left")
+    return facts.join(severity_counts(rated, KEYS), KEYS, "left").na.fill(0, counts).join(people, "patient_id", "left")
 
 
 def patient_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,7 +254,10 @@ def _flag(name: str, group: tuple[list[str], list[str]]) -> str:
 _WHAMMY = f"""bool_or(regexp_matches(c, 'pril(\\s|$)') OR c LIKE '%sartan%') AS acei_arb, bool_or({_in("c", ft.K_SPARING, "has")}) AS k_sparing, bool_or({_in("c", ft.NSAID, "has")}) AS nsaid"""
 
 
-_FEATURES = f"""WITH {RX}, {MEDS}, {KB}, {DEMO}, r AS (SELECT *, {BUCKET} AS bucket FROM rxm),
+_CODES = ", ".join(f"bool_or({_in('med_atc', prefixes, 'starts')}) AS {n}" for n, prefixes in zip(("ca", "ck", "cn"), sy.WHAMMY_CODES))
+
+_FEATURES = f"""WITH {RX}, {MEDS}, {KB}, {DEMO}, r AS (SELECT *, {BUCKET} AS bucket FROM rxm), {enzymes_sql("r")},
+codes AS (SELECT patient_id, bucket, ca AND ck AND cn AS triple_whammy_codes FROM (SELECT patient_id, bucket, {_CODES} FROM r GROUP BY 1, 2)),
 base AS (SELECT patient_id, bucket, count(DISTINCT institution_id) AS institution_count, CAST(count(*) AS BIGINT) AS n_lines, min(start_date) AS window_start, least(max(end_date), min(start_date) + 89) AS window_end,
   {_flag("high_risk", ft.HIGH_RISK)}, {_flag("renal_risk", ft.RENAL_RISK)}, {_flag("hepatic_risk", ft.HEPATIC_RISK)}, count(DISTINCT CASE WHEN {_is(ru.GROUPS["qt_prolonging"])} THEN drug_id END) AS qt_drugs FROM r GROUP BY 1, 2),
 at_end AS (SELECT patient_id, bucket, CAST(count(*) FILTER (start_date <= window_end AND window_end <= end_date) AS BIGINT) AS drug_count_7d FROM r JOIN base USING (patient_id, bucket) GROUP BY 1, 2),
@@ -320,8 +270,8 @@ pairs AS (SELECT DISTINCT a.patient_id, CAST(floor(date_diff('day', DATE '1995-0
   AND date_diff('day', greatest(a.start_date, b.start_date), least(a.end_date, b.end_date)) + 1 >= {LEAST_OVERLAP}),
 rated AS ({rated_sql("pairs", "patient_id, bucket")}), counts AS (SELECT patient_id, bucket, {_COUNTS} FROM rated GROUP BY 1, 2),
 feats AS (SELECT base.*, drug_count_7d, drug_count, dup_same_ingredient, dup_class, dup_atc5, dup_atc4, dup_atc3, coalesce(ddi_contraindicated, 0) AS ddi_contraindicated, coalesce(ddi_major, 0) AS ddi_major, coalesce(ddi_moderate, 0) AS ddi_moderate, coalesce(ddi_minor, 0) AS ddi_minor,
-  acei_arb AND k_sparing AND nsaid AS triple_whammy, age, CASE sex_type WHEN '1' THEN 1.0::DOUBLE WHEN '2' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS sex
-  FROM base JOIN at_end USING (patient_id, bucket) JOIN comp USING (patient_id, bucket) JOIN whammy USING (patient_id, bucket) JOIN dup USING (patient_id, bucket) LEFT JOIN counts USING (patient_id, bucket) LEFT JOIN demo USING (patient_id))"""
+  acei_arb AND k_sparing AND nsaid AS triple_whammy, triple_whammy_codes, coalesce(cyp_risk_score, 0) AS cyp_risk_score, coalesce(cyp_max_enzyme_risk, 0) AS cyp_max_enzyme_risk, coalesce(cyp_high_risk_pairs, 0) AS cyp_high_risk_pairs, age, CASE sex_type WHEN '1' THEN 1.0::DOUBLE WHEN '2' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS sex
+  FROM base JOIN at_end USING (patient_id, bucket) JOIN comp USING (patient_id, bucket) JOIN whammy USING (patient_id, bucket) JOIN dup USING (patient_id, bucket) JOIN codes USING (patient_id, bucket) LEFT JOIN cyp USING (patient_id, bucket) LEFT JOIN counts USING (patient_id, bucket) LEFT JOIN demo USING (patient_id))"""
 
 _LEVEL = """, g AS (SELECT *, triple_whammy OR (drug_count >= 10 AND high_risk) OR (coalesce(age, -1) >= 75 AND drug_count >= 5 AND (renal_risk OR hepatic_risk)) AS severe,
   CAST(ddi_moderate >= 2 AS INT) + CAST(dup_same_ingredient >= 1 AS INT) + CAST(institution_count >= 3 AS INT) AS dims FROM feats),
