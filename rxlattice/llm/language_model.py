@@ -153,10 +153,10 @@ class Model:
         """The numbers of ascending word hashes; -1 for a word that isn't known."""
         out = np.full(len(words), -1, np.int64)
         cut = np.searchsorted(_by_hash(words, self.shards), np.arange(self.shards + 1))
-        for s in range(self.shards):
+        for s in np.flatnonzero(np.diff(cut)).tolist():  # a shard is opened only for a word that lies in it
             part = words[cut[s] : cut[s + 1]]
             known = self.array("words", s, "<u8")
-            if len(part) and len(known):
+            if len(known):
                 at = np.minimum(np.searchsorted(known, part), len(known) - 1)
                 out[cut[s] : cut[s + 1]] = np.where(known[at] == part, at + self.starts[s], -1)
         return out

@@ -444,6 +444,14 @@ def test_counts_beyond_32_bits():
     assert language_model._unpacked(rows, 2)[1].tolist() == [[5, 0], [2**33, 0], [1, 0]]
 
 
+def test_shards_are_opened_on_demand():
+    """Looking up one known and one unknown word opens no shard but those that they would lie in."""
+    model = language_model.Model("nowhere", 64, np.zeros(64, np.int64), 10, 5)
+    model._open = {("words", s): np.array([(s << 58) + 1], np.uint64) for s in (3, 40)}
+    got = model.numbers(np.array([(3 << 58) + 1, (40 << 58) + 2], np.uint64))
+    assert got.tolist() == [0, -1] and {s for _, s in model._open} == {3, 40}
+
+
 def test_shards_follow_the_size_of_the_corpus(spark, monkeypatch):
     docs = frame(spark, [prose(50) for _ in range(40)])
     few = language_model.train(docs)
