@@ -468,11 +468,14 @@ def _(spark, sf):
     return rx_meds(spark, sf).groupBy("patient_id", bucket().alias("bucket")).agg(F.bool_or(warned[0] | warned[1]).alias("otc_warning"))
 
 
-@query("temporal_features", f"""{WITH}, t AS (SELECT *, date_diff('day', min(start_date) OVER (PARTITION BY patient_id), start_date) > 44 AS late FROM rx), d AS (SELECT patient_id, drug_id, bool_or(NOT late) AS e, bool_or(late) AS l FROM t GROUP BY 1, 2),
+TEMPORAL = f"""{WITH}, t AS (SELECT *, date_diff('day', min(start_date) OVER (PARTITION BY patient_id), start_date) > 44 AS late FROM rx), d AS (SELECT patient_id, drug_id, bool_or(NOT late) AS e, bool_or(late) AS l FROM t GROUP BY 1, 2),
   c AS (SELECT patient_id, CAST(count(*) FILTER (e) AS BIGINT) AS early_drugs, CAST(count(*) FILTER (l) AS BIGINT) AS late_drugs, CAST(count(*) FILTER (l AND NOT e) AS BIGINT) AS new_drugs FROM d GROUP BY 1),
   i AS (SELECT patient_id, institution_id, count(*)::DOUBLE AS n FROM rx GROUP BY 1, 2), s AS (SELECT patient_id, n / sum(n) OVER (PARTITION BY patient_id) AS p FROM i), h AS (SELECT patient_id, sum(-p * log2(p)) AS institution_entropy, max(p) AS max_share FROM s GROUP BY 1),
   m AS (SELECT patient_id, CAST(count(*) AS BIGINT) AS n_lines, avg(total_days) AS mean_days, CAST(count(*) FILTER (total_days >= 30) AS BIGINT) AS long_lines FROM rx GROUP BY 1)
-  SELECT patient_id, early_drugs, late_drugs, late_drugs - early_drugs AS drug_trend, new_drugs, institution_entropy, max_share, n_lines, mean_days, long_lines, long_lines::DOUBLE / n_lines AS long_ratio FROM c JOIN h USING (patient_id) JOIN m USING (patient_id)""")
+  SELECT patient_id, early_drugs, late_drugs, late_drugs - early_drugs AS drug_trend, new_drugs, institution_entropy, max_share, n_lines, mean_days, long_lines, long_lines::DOUBLE / n_lines AS long_ratio FROM c JOIN h USING (patient_id) JOIN m USING (patient_id)"""
+
+
+@query("temporal_features", TEMPORAL)
 def _(spark, sf):
     return ft.temporal_features(rx(spark, sf))
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as ft
+from ..operators import knowledge as kn
 from ..sources import extract as ex
+from ..sources import stages as sg
 from ..tables import folder
 from .binding import RX, rx, table
+from .claims import TEMPORAL
+from .knowledge import _cyp_sql, actions
 from .registry import query
 
 WITH = f"WITH {RX}"
@@ -79,3 +84,35 @@ def _(spark, sf):
 def _(spark, sf):
     rows = ex.run_catalogue(spark, _runs(spark, sf)).select("run_id", F.explode("facts").alias("name", "value"))
     return ex.baseline_report(rows.select("run_id", F.lit("status").alias("track"), "name", F.col("value").cast("long").alias("value")))
+
+
+def feature_stages(spark, sf) -> list[sg.Stage]:
+    """Counts, enzyme features, temporal features and labels of all patients, one stage after the other."""
+    lines = rx(spark, sf)
+
+    def counts(_):
+        return lines.groupBy("patient_id").agg(F.countDistinct("drug_id").alias("n_drugs"))
+
+    def enzymes(t):
+        taken = lines.select("patient_id", F.col("drug_id").alias("drug")).distinct()
+        return t["counts"].join(kn.cyp_features(taken, kn.cyp_matrix(actions(spark, sf))).select("patient_id", "cyp_risk_score"), "patient_id", "left")
+
+    def temporal(t):
+        return t["enzymes"].join(ft.temporal_features(lines).select("patient_id", "early_drugs", "new_drugs", "long_ratio"), "patient_id", "left")
+
+    def labelled(t):
+        return t["temporal"].withColumn("label", (F.col("cyp_risk_score") >= 500).cast("int"))
+
+    return [sg.Stage("counts", 1, counts), sg.Stage("enzymes", 1, enzymes, ("counts",)), sg.Stage("temporal", 1, temporal, ("enzymes",)), sg.Stage("labelled", 1, labelled, ("temporal",))]
+
+
+@query("feature_stages", f"{WITH}, c AS (SELECT patient_id, count(DISTINCT drug_id) AS n_drugs FROM rx GROUP BY 1) SELECT patient_id, n_drugs, cyp_risk_score, early_drugs, new_drugs, long_ratio, CAST(cyp_risk_score >= 500 AS INT) AS label FROM c LEFT JOIN ({_cyp_sql()}) e USING (patient_id) LEFT JOIN ({TEMPORAL}) t USING (patient_id)")
+def _(spark, sf):
+    """All stages, then again with one of them lost, which is redone alone."""
+    path, stages = folder(spark, "stages"), feature_stages(spark, sf)
+    sg.run_stages(spark, path, stages, sf)
+    sg.forget(spark, path, stages, sf, "enzymes")
+    tables, made = sg.run_stages(spark, path, stages, sf)
+    if made != ["enzymes"]:
+        raise RuntimeError(f"made again: {', '.join(made)}")
+    return tables["labelled"]

@@ -83,13 +83,48 @@ def standard_fields(items: DataFrame, fields: dict[str, str]) -> DataFrame:
     return items.select(*(F.col("item")[k].alias(v) for k, v in fields.items()))
 
 
-def read_drug_xml(spark: SparkSession, path: str, row_tag: str = "drug") -> tuple[DataFrame, DataFrame]:
-    """(drugs, interactions) of a drug XML file by the built-in XML source."""
-    schema = "`drugbank-id` string, name string, `drug-interactions` struct<`drug-interaction`:array<struct<`drugbank-id`:string,name:string,description:string>>>"
+_SECTIONS = ("enzyme", "transporter", "carrier")
+
+
+def read_drug_xml(spark: SparkSession, path: str, row_tag: str = "drug", save: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(drugs, interactions, enzymes) of a drug XML file by the built-in XML source.
+
+    With `save` the nested rows are read once and written there, and all three tables come from them. A drug's id is
+    its primary one, else it drops; codes and groups are joined by |; an interaction without a partner id drops. Of the
+    enzymes those with CYP in their name count, and all transporters; each action is a row, a missing known-action is
+    `unknown`, and one without an action gives no row. Texts keep 500 characters.
+    """
+    parts = "struct<{0}:array<struct<name:string,`known-action`:string,actions:struct<action:array<string>>>>>"
+    schema = (
+        "`drugbank-id` array<struct<_VALUE:string,_primary:boolean>>, name string, description string, indication string, groups struct<group:array<string>>, `atc-codes` struct<`atc-code`:array<struct<_code:string>>>, "
+        "`drug-interactions` struct<`drug-interaction`:array<struct<`drugbank-id`:string,name:string,description:string>>>, " + ", ".join(f"{s}s {parts.format(s)}" for s in _SECTIONS)
+    )
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
-    drugs = rows.select(F.col("drugbank-id").alias("drug_id"), "name")
-    pairs = rows.select(F.col("drugbank-id").alias("a_id"), F.col("name").alias("a_name"), F.explode(F.col("drug-interactions")["drug-interaction"]).alias("x"))
-    return drugs, pairs.select("a_id", "a_name", F.col("x")["drugbank-id"].alias("b_id"), F.col("x")["name"].alias("b_name"), F.col("x")["description"].alias("description"))
+    ids = F.col("drugbank-id")
+    primary = F.coalesce(F.get(F.filter(ids, lambda x: x["_primary"]), F.lit(0))["_VALUE"], F.get(ids, F.lit(0))["_VALUE"])
+    rows = rows.withColumn("drug_id", F.trim(primary)).where("drug_id <> ''")
+    if save:
+        rows.write.mode("overwrite").parquet(save)
+        rows = spark.read.parquet(save)
+
+    def short(c: F.Column) -> F.Column:
+        return F.substring(F.trim(c), 1, 500)
+
+    codes = F.transform(F.col("atc-codes")["atc-code"], lambda x: F.trim(x["_code"]))
+    drugs = rows.select("drug_id", F.trim("name").alias("name"), F.array_join(F.transform(F.col("groups")["group"], F.trim), "|").alias("groups"), F.array_join(F.filter(codes, lambda x: x != ""), "|").alias("atc_codes"), short(F.col("description")).alias("description"), short(F.col("indication")).alias("indication"))
+    pairs = rows.select(F.col("drug_id").alias("a_id"), F.trim("name").alias("a_name"), F.explode(F.col("drug-interactions")["drug-interaction"]).alias("x"))
+    pairs = pairs.select("a_id", "a_name", F.trim(F.col("x")["drugbank-id"]).alias("b_id"), F.trim(F.col("x")["name"]).alias("b_name"), short(F.col("x")["description"]).alias("description")).where("b_id <> ''")
+    items = F.array(*(F.struct(F.lit(f"{s}s").alias("section"), F.col(f"{s}s")[s].alias("found")) for s in _SECTIONS))
+    each = rows.select("drug_id", F.col("name").alias("drug"), F.inline(items)).select("drug_id", "drug", "section", F.explode("found").alias("x"))
+    kept = (F.upper(F.col("x")["name"]).contains("CYP")) | ((F.col("section") == "transporters") & (F.trim(F.col("x")["name"]) != ""))
+    known = F.coalesce(F.nullif(F.trim(F.col("x")["known-action"]), F.lit("")), F.lit("unknown"))
+    enzymes = each.where(kept).select("drug_id", "drug", F.trim(F.col("x")["name"]).alias("enzyme"), known.alias("known_action"), "section", F.explode(F.col("x")["actions"]["action"]).alias("action"))
+    return drugs, pairs, enzymes.select("drug_id", "drug", "enzyme", F.trim("action").alias("action"), "known_action", "section").where("action <> ''")
+
+
+def enzyme_key(name: F.Column) -> F.Column:
+    """cyp3a4 and the like from an enzyme's name in free form; null if it has none."""
+    return F.lower(F.nullif(F.regexp_extract(F.regexp_replace(F.upper(name), "CYTOCHROME P450 ", "CYP"), "(CYP[0-9]+[A-Z]+[0-9]+)", 1), F.lit("")))
 
 
 def write_features(df: DataFrame, path: str, partition: str, overwrite: bool = False) -> str:

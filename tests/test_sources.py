@@ -60,13 +60,27 @@ def test_landed_json(spark, tmp_path):
     assert sorted(r.code for r in got.collect()) == ["1", "2", "3"]
 
 
-def test_drug_xml(spark, tmp_path):
-    drug = "<drug><drugbank-id>{}</drugbank-id><name>{}</name><drug-interactions>{}</drug-interactions></drug>"
-    pair = "<drug-interaction><drugbank-id>D2</drugbank-id><name>b</name><description>fatal</description></drug-interaction>"
-    (tmp_path / "d.xml").write_text("<drugs>" + drug.format("D1", "a", pair) + drug.format("D2", "b", "") + "</drugs>")
-    drugs, pairs = files.read_drug_xml(spark, f"{tmp_path}/d.xml")
-    assert sorted(r.drug_id for r in drugs.collect()) == ["D1", "D2"]
+XML = """<drugs>
+<drug><drugbank-id primary="true">D1</drugbank-id><drugbank-id>OLD1</drugbank-id><name> Alpha </name><groups><group>approved</group><group> withdrawn</group></groups>
+ <atc-codes><atc-code code="B01AA03"/><atc-code code=" "/><atc-code code="C01"/></atc-codes>
+ <drug-interactions><drug-interaction><drugbank-id>D2</drugbank-id><name>b</name><description>fatal</description></drug-interaction><drug-interaction><drugbank-id></drugbank-id><name>x</name></drug-interaction></drug-interactions>
+ <enzymes><enzyme><name>Cytochrome P450 3A4</name><actions><action>substrate</action></actions></enzyme>
+  <enzyme><name>CYP2C9 (liver)</name><known-action>yes</known-action><actions><action>substrate</action><action>inhibitor</action></actions></enzyme><enzyme><name>CYP1A2</name><actions/></enzyme></enzymes>
+ <transporters><transporter><name>P-glycoprotein 1</name><known-action>no</known-action><actions><action>inhibitor</action></actions></transporter></transporters>
+ <carriers><carrier><name>Albumin</name><actions><action>binder</action></actions></carrier></carriers></drug>
+<drug><drugbank-id>D2</drugbank-id><name>b</name></drug><drug><name>no id</name></drug></drugs>"""
+
+
+@pytest.mark.parametrize("save", [False, True])
+def test_drug_xml(spark, tmp_path, save):
+    (tmp_path / "d.xml").write_text(XML)
+    drugs, pairs, enzymes = files.read_drug_xml(spark, f"{tmp_path}/d.xml", save=f"{tmp_path}/rows" if save else None)
+    assert {(r.drug_id, r["name"], r.groups, r.atc_codes) for r in drugs.collect()} == {("D1", "Alpha", "approved|withdrawn", "B01AA03|C01"), ("D2", "b", None, None)}
     assert [(r.a_id, r.b_id, r.description) for r in pairs.collect()] == [("D1", "D2", "fatal")]
+    got = {(r.drug_id, r.enzyme, r.action, r.known_action, r.section) for r in enzymes.collect()}
+    assert got == {("D1", "CYP2C9 (liver)", "substrate", "yes", "enzymes"), ("D1", "CYP2C9 (liver)", "inhibitor", "yes", "enzymes"), ("D1", "P-glycoprotein 1", "inhibitor", "no", "transporters")}
+    keys = spark.createDataFrame([("CYP2C9 (liver)",), ("Cytochrome P450 3A4",), ("Albumin",)], "n string").select(files.enzyme_key(F.col("n")).alias("k"))
+    assert [r.k for r in keys.collect()] == ["cyp2c9", "cyp3a4", None]
 
 
 def test_review_csv_and_kinds(spark, tmp_path):
