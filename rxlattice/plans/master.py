@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import knowledge as kn
 from ..operators import master as ma
+from ..sources import files
 from ..tables import folder
 from .binding import table
+from .knowledge import _CYP, actions
 from .registry import query
 
 # ---- the drug master: part is the product list, order lines are the interaction matrix
@@ -71,3 +72,31 @@ def _(spark, sf):
     old.write.parquet(path)
     fixed = ma.repair(spark.read.parquet(path), name_matrix(spark, sf))
     return fixed.select("code", F.concat_ws("|", "components").alias("components"), "repaired")
+
+
+# ---- drug XML: the tables written as nested elements, read back into three tables
+
+
+def _drug_xml(spark, sf):
+    """The XML of all parts: suppliers are partners, actions are grouped by enzyme and whether they are known."""
+    acts = actions(spark, sf).groupBy("drug", "enzyme", "known").agg(F.array_sort(F.collect_set("action")).alias("acts"))
+    item = F.struct(F.upper("enzyme").alias("name"), F.col("known").alias("known-action"), F.struct(F.col("acts").alias("action")).alias("actions"))
+    enzymes = acts.groupBy("drug").agg(F.struct(F.collect_list(item).alias("enzyme")).alias("enzymes"))
+    partner = F.struct(F.concat(F.lit("S"), "l_suppkey").alias("drugbank-id"), F.concat(F.lit("Supplier "), "l_suppkey").alias("name"), F.lit("may be used together").alias("description"))
+    pairs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("drug")).agg(F.struct(F.collect_list(partner).alias("drug-interaction")).alias("drug-interactions"))
+    ids = F.array(F.struct(F.concat(F.lit("old"), "p_partkey").alias("_VALUE"), F.lit(False).alias("_primary")), F.struct(F.concat(F.lit("P"), "p_partkey").alias("_VALUE"), F.lit(True).alias("_primary")))
+    drugs = table(spark, sf, "part").select(F.col("p_partkey").alias("drug"), ids.alias("drugbank-id"), F.col("p_name").alias("name"), F.struct(F.array(F.struct(F.col("p_brand").alias("_code"))).alias("atc-code")).alias("atc-codes"))
+    path = folder(spark, "xml")
+    drugs.join(pairs, "drug", "left").join(enzymes, "drug", "left").drop("drug").write.format("xml").option("rootTag", "drugbank").option("rowTag", "drug").save(path)
+    return files.read_drug_xml(spark, path, save=folder(spark, "xml-rows"))
+
+
+@query("drug_xml", f"""WITH {_CYP}, e AS (SELECT 'P' || drug AS drug_id, enzyme, action, known FROM acts JOIN part ON p_partkey = drug GROUP BY ALL), p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey)
+  SELECT 'enzyme' AS kind, enzyme || ' ' || action || ' ' || known AS what, count(*) AS n, count(DISTINCT drug_id) AS n_drugs FROM e GROUP BY 2 UNION ALL SELECT 'pair', 'S' || l_suppkey, count(*), count(DISTINCT l_partkey) FROM p GROUP BY 2 UNION ALL SELECT 'drug', p_brand, count(*), count(DISTINCT p_partkey) FROM part GROUP BY 2""")
+def _(spark, sf):
+    """What the three tables of the XML hold: drugs by code, pairs by partner, enzyme rows by enzyme, action and known-action."""
+    drugs, pairs, enzymes = _drug_xml(spark, sf)
+    what = F.concat_ws(" ", files.enzyme_key(F.col("enzyme")), "action", "known_action")
+    rows = enzymes.select(F.lit("enzyme").alias("kind"), what.alias("what"), "drug_id").unionByName(pairs.select(F.lit("pair").alias("kind"), F.col("b_id").alias("what"), F.col("a_id").alias("drug_id")))
+    rows = rows.unionByName(drugs.select(F.lit("drug").alias("kind"), F.col("atc_codes").alias("what"), "drug_id"))
+    return rows.groupBy("kind", "what").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("drug_id").alias("n_drugs"))
