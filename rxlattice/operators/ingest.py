@@ -89,3 +89,14 @@ def check_lookback(days: int, fitted: int | None = None) -> int:
     if fitted is not None and fitted != days:
         raise ValueError(f"the model was fitted with a lookback of {fitted} days, not {days}")
     return days
+
+
+def event_projection(text: DataFrame, id_: str, codes: tuple[str, ...], day: str) -> DataFrame:
+    """patient_id, drug_code, prescription_date from texts: trimmed, the first code that isn't blank, yyyyMMdd dates.
+
+    Rows with a blank id, no code or a date that can't be read drop; `history_contract` counts them.
+    """
+    code = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in codes))
+    date = F.to_date(F.try_to_timestamp(F.trim(day), F.lit("yyyyMMdd")))
+    got = text.select(F.nullif(F.trim(F.col(id_).cast("string")), F.lit("")).alias("patient_id"), code.alias("drug_code"), date.alias("prescription_date"))
+    return got.where("patient_id is not null and drug_code is not null and prescription_date is not null")

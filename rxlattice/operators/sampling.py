@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import saved
+from .knowledge import small
 
 
 def hash_key(id_: str, seed: int) -> Column:
@@ -46,7 +47,7 @@ def largest_remainder(sizes: DataFrame, keys: list[str], total: int) -> DataFram
 
 def quota_sample(df: DataFrame, quotas: DataFrame, keys: list[str], id_: str, seed: int = 42) -> DataFrame:
     """The `quota` rows of least hash of each stratum."""
-    wanted = df.join(F.broadcast(quotas.select(*keys, "quota")), keys)
+    wanted = df.join(small(quotas.select(*keys, "quota")), keys)
     return hash_place(wanted, keys, id_, seed).where("_n <= quota").drop("_n", "quota")
 
 
@@ -71,7 +72,7 @@ def golden(df: DataFrame, level: str, positive: str, shares: dict[str, float], t
 
 def split(df: DataFrame, label: str, id_: str, shares: tuple[float, ...] = (0.7, 0.15, 0.15), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42) -> DataFrame:
     """Split within each class by hash rank; cut points are floors, the last part takes the rest."""
-    ranked = hash_place(df, [label], id_, seed).join(F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_all"))), label)
+    ranked = hash_place(df, [label], id_, seed).join(small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_all"))), label)
     out, at = None, 0.0
     for share, name in zip(shares[:-1], names):
         at += share

@@ -173,7 +173,7 @@ def _(spark, sf):
 
 @query("institution_join", f"{WITH} SELECT r_name AS region, n_name AS nation, CAST(count(*) AS BIGINT) AS n_lines, count(DISTINCT institution_id) AS n_institutions FROM rx LEFT JOIN supplier ON s_suppkey = institution_id LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2")
 def _(spark, sf):
-    places = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    places = table(spark, sf, "supplier").join(kn.small(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(kn.small(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     lines = rx(spark, sf).groupBy("institution_id").agg(F.count(F.lit(1)).alias("n"))
     return lines.join(places, F.col("s_suppkey") == F.col("institution_id"), "left").groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.sum("n").alias("n_lines"), F.countDistinct("institution_id").alias("n_institutions"))
 

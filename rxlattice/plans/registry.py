@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries on import.
-_MODULES = ("claims", "knowledge", "cohorts", "evaluation", "monitoring", "storage", "details", "ingest", "master", "extraction", "labelling")
+_MODULES = ("claims", "knowledge", "cohorts", "evaluation", "monitoring", "storage", "details", "ingest", "master", "extraction", "labelling", "reads")
 
 
 def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:

@@ -184,6 +184,23 @@ def table_profile(df: DataFrame, day: str, key: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(day).cast("date").cast("string").alias("first_day"), F.max(day).cast("date").cast("string").alias("last_day"), F.countDistinct(key).alias("n_keys"))
 
 
+def history(df: DataFrame, until: str, days: int, ids: DataFrame | None = None, id_: str = "patient_id") -> DataFrame:
+    """Lines that start in the `days` days up to `until`, of the listed ids or of all."""
+    last = F.lit(until).cast("date")
+    out = df.where(F.col("start_date").between(F.date_sub(last, days - 1), last))
+    return out if ids is None else out.join(ids.select(id_).distinct(), id_, "left_semi")
+
+
+def preview(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """A page of a table in a total order."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def distinct_values(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The least `most` values of a column, ascending."""
+    return df.select(F.col(column).alias("value")).distinct().orderBy("value").limit(most)
+
+
 def read_log(spark: SparkSession, path: str, schema: T.StructType, hours: int | None = None, now: str | None = None, column: str = "timestamp") -> DataFrame:
     """JSON lines; lines that don't parse are skipped, naive times count as UTC (the session's zone)."""
     raw = spark.read.text(path)
