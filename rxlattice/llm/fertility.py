@@ -6,9 +6,11 @@ outside a band is rejected. The base rules (words, repeated words) come first.
 
 The bands come from the corpus: one aggregate takes the quartiles of all texts that pass the base rules, per
 script, language and size (entropy grows with a text's length), per script and language, and per script. A
-text is held against the finest of these groups that has `LEAST_TEXTS` texts. A band reaches from the median
-`BELOW` and `ABOVE` deviations, each side by its own quartile; the share of byte tokens is bounded above only,
-as fewer of them are never worse. The fixed limits per script hold always, and alone where groups are small.
+group's band reaches from the median `BELOW` and `ABOVE` deviations, each side by its own quartile; the share of byte
+tokens is bounded above only, as fewer of them are never worse. Every group counts, with the weight of its texts: its
+edges are drawn towards those of the group around it as if that held `WEIGHT` texts more, the script's towards the
+fixed limits. So a band grows out of the corpus by degrees and no text is judged by another rule because its group is
+small. The fixed limits per script hold besides, always.
 
 Defined cases: a null, empty or blank text has no word, fails the base rule and has 0 for all measures;
 the script of a text without letters is `other`; a null or missing lang is the language ''; repeated rows are measured alike; an empty table gives
@@ -39,8 +41,12 @@ BANDS = {
     "other": (0.3, 7.0, 0.90, 3.0),
 }
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A band's reach in deviations below and above the median; texts that a group needs for bands of its own.
-BELOW, ABOVE, LEAST_TEXTS = 3.5, 4.5, 50
+#: A band's reach in deviations below and above the median; texts that the group around a group counts as.
+BELOW, ABOVE, WEIGHT = 3.5, 4.5, 10
+#: Entropy that no text has more of: the bits of a vocabulary of 65,536 tokens.
+MOST_ENTROPY = 16.0
+#: Groups up to which the bands are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 #: Least deviation of each measure, so that texts of one kind don't reject each other for a trifle.
 LEAST_DEVIATION = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.05}
 #: Quartile to standard deviation of a normal distribution.
@@ -165,34 +171,45 @@ def measure(texts: list[bytes], pieces: Pieces) -> dict[str, np.ndarray | list]:
 
 
 def corpus_bands(measured: DataFrame) -> DataFrame:
-    """level, script, lang, size and per measure its least and greatest value, of groups of LEAST_TEXTS texts.
+    """level, script, lang, size, n and per measure its least and greatest value, of every group of texts.
 
     Values are rounded, so the exact quartiles are taken of counts of few values and don't depend on partitions.
     """
     of = [F.struct(F.lit(i).alias("level"), *(F.col(c) if c in level else F.lit(None).alias(c) for c in _LEVELS[0])) for i, level in enumerate(_LEVELS)]
     rows = measured.where("not base_failed").select(F.explode(F.array(*of)).alias("of"), *LEAST_DEVIATION)
     quartiles = [F.percentile(F.round(m, 3), [0.25, 0.5, 0.75]).alias(m) for m in LEAST_DEVIATION]
-    groups = rows.groupBy("of").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= LEAST_TEXTS)
+    groups = rows.groupBy("of").agg(F.count(F.lit(1)).alias("n"), *quartiles)
 
     def edge(m: str, reach: float, quarter: int) -> F.Column:
         deviation = F.greatest(F.abs(F.col(m)[quarter] - F.col(m)[1]) / _NORMAL, F.lit(LEAST_DEVIATION[m]))
         return F.col(m)[1] + reach * deviation
 
     edges = [e for m in LEAST_DEVIATION for e in (edge(m, -BELOW, 0).alias(f"low_{m}"), edge(m, ABOVE, 2).alias(f"high_{m}"))]
-    return groups.select("of.*", *edges)
+    return groups.select("of.*", "n", *edges)
+
+
+def _fixed(place: int, otherwise: float | None = None) -> F.Column:
+    """A script's fixed limit."""
+    if otherwise is not None:
+        return F.lit(otherwise)
+    found = F.lit(None).cast("double")
+    for script, limits in BANDS.items():
+        found = F.when(F.col("script") == script, F.lit(float(limits[place]))).otherwise(found)
+    return found
 
 
 def keep_inside(measured: DataFrame, bands: DataFrame) -> DataFrame:
-    """`kept` also asks for the measures to lie in the bands of the finest group known of each text."""
-    limits = [f"{side}_{m}" for m in LEAST_DEVIATION for side in ("low", "high")]
-    for i, level in enumerate(_LEVELS):
-        near = bands.where(F.col("level") == i).select(*level, F.struct(*limits).alias(f"band{i}"))
-        measured = measured.join(F.broadcast(near), list(level), "left")
-    band = F.coalesce(*(f"band{i}" for i in range(len(_LEVELS))))
-    inside = F.col("byte_share") <= band["high_byte_share"]
-    for m in ("chars_per_token", "entropy"):
-        inside &= F.col(m).between(band[f"low_{m}"], band[f"high_{m}"])
-    return measured.withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True)))
+    """`kept` also asks for the measures to lie in the band of the text's finest group, as drawn towards its parents'."""
+    edges = {"low_chars_per_token": _fixed(0), "high_chars_per_token": _fixed(1), "high_byte_share": _fixed(2), "low_entropy": _fixed(3), "high_entropy": _fixed(3, MOST_ENTROPY)}
+    bands = materialize(bands, "bands")
+    few = bands.count() <= BROADCAST_GROUPS
+    for i, level in reversed(list(enumerate(_LEVELS))):
+        near = bands.where(F.col("level") == i).select(*level, F.struct("n", *edges).alias(f"band{i}"))
+        measured = measured.join(F.broadcast(near) if few else near, list(level), "left")
+        n = F.coalesce(F.col(f"band{i}.n"), F.lit(0))
+        edges = {c: (n * F.coalesce(F.col(f"band{i}.{c}"), F.lit(0.0)) + WEIGHT * parent) / (n + WEIGHT) for c, parent in edges.items()}
+    inside = (F.col("byte_share") <= edges["high_byte_share"]) & F.col("chars_per_token").between(edges["low_chars_per_token"], edges["high_chars_per_token"]) & F.col("entropy").between(edges["low_entropy"], edges["high_entropy"])
+    return measured.withColumn("kept", F.col("kept") & inside)
 
 
 def apply_rules(docs: DataFrame, vocab: str | None = None) -> DataFrame:

@@ -63,12 +63,15 @@ def test_fertility_measures_and_bands(spark):
         low, high, most_bytes, least = fertility.BANDS[got[i].script]
         c, b, e = want[i]
         keep = not got[i].base_failed and low <= c <= high and b <= most_bytes and e >= least
-        near = next((groups[k] for k in keyed[i] if len(groups[k]) >= fertility.LEAST_TEXTS), None)
-        if keep and near:
-            for m, v, values in zip(fertility.LEAST_DEVIATION, want[i], zip(*near)):
+        edges = {"c": [low, high], "b": [None, most_bytes], "e": [least, fertility.MOST_ENTROPY]}
+        for k in reversed(keyed[i]):  # from the script to the finest group
+            n = len(groups[k])
+            for m, values, slack in zip("cbe", zip(*groups[k]), fertility.LEAST_DEVIATION.values()):
                 q = np.quantile(values, [0.25, 0.5, 0.75])
-                under, over = (max(abs(x - q[1]) / 0.6745, fertility.LEAST_DEVIATION[m]) for x in (q[0], q[2]))
-                keep = keep and v <= q[1] + fertility.ABOVE * over and (m == "byte_share" or v >= q[1] - fertility.BELOW * under)
+                under, over = (max(abs(x - q[1]) / 0.6745, slack) for x in (q[0], q[2]))
+                own = (q[1] - fertility.BELOW * under, q[1] + fertility.ABOVE * over)
+                edges[m] = [None if e is None else (n * o + fertility.WEIGHT * e) / (n + fertility.WEIGHT) for o, e in zip(own, edges[m])]
+        keep = keep and edges["c"][0] <= c <= edges["c"][1] and b <= edges["b"][1] and edges["e"][0] <= e <= edges["e"][1]
         assert got[i].kept == keep, i
     assert any(not got[3000 + i].kept for i in range(3)) and not got[2000].kept
     for i in (9000, 9001, 9002):  # null, empty and blank
