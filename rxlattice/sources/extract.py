@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import path_exists
@@ -50,7 +50,7 @@ def chunks(first: str, last: str, size: int = 1, unit: str = "month", before: in
     return out
 
 
-def _stats(df: DataFrame, day: str, source: str, sources: tuple[str, ...]) -> list[Column]:
+def _stats(day: str, source: str, sources: tuple[str, ...]) -> list[Column]:
     counted = [F.count(F.when(F.col(source) == s, 1)).alias(f"n_{s.lower()}") for s in sources]
     return [F.count(F.lit(1)).alias("n_records"), *counted, F.min(F.col(day).cast("string")).alias("first_day"), F.max(F.col(day).cast("string")).alias("last_day")]
 
@@ -58,20 +58,23 @@ def _stats(df: DataFrame, day: str, source: str, sources: tuple[str, ...]) -> li
 def extract(spark: SparkSession, path: str, plan: list[Chunk], records: Callable[[Chunk], DataFrame], day: str = "start_date", source: str = "source", sources: tuple[str, ...] = ("T30", "T60")) -> list[str]:
     """Write the records of each chunk of `plan` below `path`; returns the labels that this run wrote.
 
-    A chunk's statistics are observed while it is written, in the last stage of its one job, so each row counts once
+    A chunk's statistics are taken from the two columns that they need of what was written, so each row counts once
     however often a task is run again. They are logged after the chunk is whole: a run that was broken off leaves the
     chunk at hand without a log, and the next run writes just that one and those after it. `records` gives a chunk's
     rows, usually a condition that the source evaluates. A chunk without rows is logged with null days.
+
+    Observed metrics would spare the second look, but a session that has used an `Observation` can't fit a logistic
+    regression any more in Spark 4.1: its observation manager goes into the fit's closure and isn't serializable.
     """
     done = []
     for chunk in plan:
-        log = f"{path}/_log/{chunk.label}"
+        log, at = f"{path}/_log/{chunk.label}", f"{path}/records_{chunk.label}"
         if path_exists(spark, f"{log}/_SUCCESS"):
             continue
-        seen = Observation(f"chunk-{chunk.label}")
         rows = records(chunk)
-        rows.observe(seen, *_stats(rows, day, source, sources)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/records_{chunk.label}")
-        entry = {"label": chunk.label, "since": chunk.since.isoformat(), "until": chunk.until.isoformat(), **seen.get}
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        seen = spark.read.schema(rows.schema).parquet(at).agg(*_stats(day, source, sources)).first().asDict()
+        entry = {"label": chunk.label, "since": chunk.since.isoformat(), "until": chunk.until.isoformat(), **seen}
         spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("overwrite").text(log)
         done.append(chunk.label)
     return done
