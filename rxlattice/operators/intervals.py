@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 #: Days of a time bucket; a line lies in every bucket that it touches.
 BUCKET_DAYS = 90
 _EPOCH = "1970-01-01"
@@ -117,6 +119,7 @@ def observation_window(rx: DataFrame, days: int = 90) -> DataFrame:
 
 def covered_days(rx: DataFrame, keys: tuple[str, ...] = ("patient_id",)) -> DataFrame:
     """Adherence: supplied days, covered days (merged intervals), span, MPR and PDC."""
+    rx = spread(rx.select(*keys, "start_date", "end_date", "total_days"), *keys)
     w = Window.partitionBy(*keys).orderBy("start_date", "end_date")
     before = F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col("start_date") > before), F.datediff("end_date", "start_date") + 1).otherwise(F.greatest(F.lit(0), F.datediff("end_date", before)))
