@@ -9,7 +9,7 @@ from ..operators import retrain as retraining
 from ..operators import sampling as sp
 from ..sources import files
 from ..streaming import jobs
-from ..tables import folder, saved
+from ..tables import folder, saved, spread
 from .binding import RX, demographics, rx, table
 from .registry import query
 
@@ -97,11 +97,13 @@ def _(spark, sf):
 
 
 def _patients(spark, sf):
-    r = rx(spark, sf)
-    counts = r.groupBy("patient_id").agg(F.countDistinct("institution_id").alias("places"), F.countDistinct("drug_id").alias("drugs"), F.avg("total_days").alias("days"), F.count(F.lit(1)).alias("lines"))
+    """(label, numbers and split of each patient; codes of each patient), from lines shuffled once by patient."""
+    r = spread(rx(spark, sf).select("patient_id", "institution_id", "drug_id", "total_days"), "patient_id")
+    # Written once, as each step of the split reads it; a row a patient is small beside its lines.
+    counts = saved(_shapes(r), "patients")
     middle = counts.agg(F.avg("places").alias("middle"))
     label = counts.crossJoin(F.broadcast(middle)).select("patient_id", (F.col("places") > F.col("middle")).cast("int").alias("label"), "drugs", "days", "lines")
-    return sp.split(label, "label", "patient_id"), ml.code_lists(r.select("patient_id", "drug_id"), "drug_id")
+    return saved(sp.split(label, "label", "patient_id"), "labels"), ml.code_lists(r.select("patient_id", "drug_id"), "drug_id")
 
 
 @query("train_linear")
