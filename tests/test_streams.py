@@ -85,6 +85,26 @@ def test_rows_later_than_the_delay_are_dropped(spark, tmp_path):
     assert {(r.user_id, r.source) for r in got.collect()} == {(1, "T60"), (2, "T60"), (3, "T30"), (4, "T30")}
 
 
+def test_least_of_a_key_that_comes_back(spark, tmp_path, monkeypatch):
+    """The state of a key's first days has ended when it comes back; two of its windows may also meet in one batch."""
+    monkeypatch.setattr(jobs, "COMPACT", 2)
+
+    def row(user, days, source):
+        return (user, DAY + dt.timedelta(days), source)
+
+    batches = [[row(1, 0, "T30"), row(2, 0, "T60"), row(2, 3, "T30"), row(3, 3, None)], [row(4, 20, "T60")], [row(1, 20, "T60"), row(2, 21, "T60"), row(3, 20, None)], [row(4, 19, "T30")]]
+    log = stream(spark, tmp_path, batches, "user_id long, ts timestamp, source string")
+    got = jobs.run(jobs.preferred(log, ["user_id"], "source"), "back", "update", ("user_id",)).collect()
+    assert sorted(map(tuple, got)) == [(1, "T30"), (2, "T30"), (3, None), (4, "T30")]
+
+
+def test_state_is_kept_without_python(spark, tmp_path):
+    """A key costs no call into Python: several such calls a key took some milliseconds."""
+    log = stream(spark, tmp_path, [[(1, DAY, "T60")]], "user_id long, ts timestamp, source string")
+    for frame in (jobs.preferred(log, ["user_id"], "source"), jobs.feature_counts(log)):
+        assert "Python" not in (plan := frame._jdf.queryExecution().analyzed().toString()) and "TransformWithState" not in plan
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Context:
         master = "spark://host:7077"
