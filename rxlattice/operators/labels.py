@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
 # Diagnosis prefixes, weight and related drug classes of each adverse reaction.
 ADR = {
     "bleeding": (["K92", "D68", "I60", "I61", "I62"], 1.0, ["B01AA", "B01AE", "B01AF", "M01A"]),
@@ -166,28 +168,33 @@ def contraindicated_label(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per patient the known pairs among all its drugs and among those taken at once, with both labels.
 
     lines: patient_id, id, start_date, end_date; pairs: id_lo, id_hi. The joins go from a drug to its known partners
-    and from there to the patient's lines, so a pair that isn't known is never formed. Partners meet in the 90-day
-    buckets that both touch and count where the later one starts. Patients without a hit have zeros.
+    and from there to the patient's drugs, so a pair that isn't known is never formed. The lines are written once, as
+    are the known pairs of each patient, small beside them; only lines of drugs in such a pair are shuffled with their
+    days. Partners meet in the 90-day buckets that both touch and count where the later one starts. Patients without
+    a hit have zeros.
     """
+    lines = saved(lines.select("patient_id", "id", "start_date", "end_date"), "contra-lines")
     known = lines.where(F.col("id").isNotNull())
     drugs = known.select("patient_id", "id").distinct()
-    ids = drugs.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_ids"))
     partners = drugs.join(pairs, drugs.id == pairs.id_lo).select("patient_id", "id_lo", F.col("id_hi").alias("id"))
-    ever = partners.join(drugs, ["patient_id", "id"]).select("patient_id", "id_lo", F.col("id").alias("id_hi"))
+    ever = saved(partners.join(drugs, ["patient_id", "id"]).select("patient_id", "id_lo", F.col("id").alias("id_hi")), "contra-ever")
     day = F.lit("1970-01-01").cast("date")
 
     def bucket(c: Column) -> Column:
         return F.floor(F.datediff(c, day) / PAIR_BUCKET).cast("int")
 
-    spans = known.where("start_date <= end_date").select("patient_id", "id", "start_date", "end_date").distinct()
-    touched = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_date")), bucket(F.col("end_date")))))
-    # Only drugs of pairs that the patient has at all go on.
-    first = touched.join(ever.withColumnRenamed("id_lo", "id"), ["patient_id", "id"]).select("patient_id", "bucket", F.col("id").alias("id_lo"), "id_hi", F.col("start_date").alias("s1"), F.col("end_date").alias("e1"))
-    second = touched.select("patient_id", "bucket", F.col("id").alias("id_hi"), F.col("start_date").alias("s2"), F.col("end_date").alias("e2"))
-    met = first.join(second, ["patient_id", "bucket", "id_hi"]).where("s1 <= e2 and s2 <= e1").where(bucket(F.greatest("s1", "s2")) == F.col("bucket"))
+    def taken(side: str, s: str, e: str) -> DataFrame:
+        """Distinct spans of the drugs on a side of `ever`, in each bucket that they touch."""
+        ids = ever.select("patient_id", F.col(side).alias("id")).distinct()
+        spans = known.where("start_date <= end_date").join(ids, ["patient_id", "id"], "left_semi").distinct()
+        buckets = F.explode(F.sequence(bucket(F.col("start_date")), bucket(F.col("end_date"))))
+        return spans.select("patient_id", F.col("id").alias(side), F.col("start_date").alias(s), F.col("end_date").alias(e), buckets.alias("bucket"))
+
+    first = ever.join(taken("id_lo", "s1", "e1"), ["patient_id", "id_lo"])
+    met = first.join(taken("id_hi", "s2", "e2"), ["patient_id", "bucket", "id_hi"]).where("s1 <= e2 and s2 <= e1").where(bucket(F.greatest("s1", "s2")) == F.col("bucket"))
     at_once = met.groupBy("patient_id").agg(F.countDistinct("id_lo", "id_hi").alias("overlap_hits"), F.count(F.lit(1)).alias("n_occurrences"))
     hits = ever.groupBy("patient_id").agg(F.count(F.lit(1)).alias("hits"))
-    people = lines.select("patient_id").distinct().join(ids, "patient_id", "left").join(hits, "patient_id", "left").join(at_once, "patient_id", "left").na.fill(0)
+    people = lines.groupBy("patient_id").agg(F.countDistinct("id").alias("n_ids")).join(hits, "patient_id", "left").join(at_once, "patient_id", "left").na.fill(0)
     return people.select("patient_id", "n_ids", "hits", "overlap_hits", "n_occurrences", (F.col("hits") > 0).cast("int").alias("label"), (F.col("overlap_hits") > 0).cast("int").alias("overlap_label"))
 
 

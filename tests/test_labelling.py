@@ -100,3 +100,18 @@ def test_labelling_job(spark):
     assert {r.review_status for r in sample.collect()} == {"pending"}
     with pytest.raises(ValueError, match="risk_level"):
         lb.rule_labels(levels.drop("risk_level"))
+
+
+def test_lines_are_computed_once_for_contraindicated_labels(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(i):
+        read.add(1)
+        return i
+
+    day = dt.date(2024, 1, 1)
+    lines = spark.createDataFrame([(p, i, day, day) for p in range(10) for i in "abc"], "patient_id long, id string, start_date date, end_date date").withColumn("id", seen("id"))
+    known = spark.createDataFrame([("a", "b"), ("a", "x")], "id_lo string, id_hi string")
+    got = lb.contraindicated_label(lines, known).collect()
+    assert {tuple(r)[1:] for r in got} == {(3, 1, 1, 1, 1, 1)} and len(got) == 10 and read.value == 30
