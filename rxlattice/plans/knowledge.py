@@ -154,7 +154,12 @@ _CYP = """acts AS (SELECT DISTINCT l_partkey AS drug, ['cyp3a4', 'cyp2d6', 'cyp2
 
 
 def actions(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr(
+    return actions_of(table(spark, sf, "lineitem"))
+
+
+def actions_of(lines):
+    """drug, enzyme, action, strength, known: distinct enzyme actions bound to order lines."""
+    return lines.selectExpr(
         "l_partkey as drug", "element_at(array('cyp3a4', 'cyp2d6', 'cyp2c9', 'cyp2c19', 'cyp1a2'), cast(1 + l_suppkey % 5 as int)) as enzyme", "element_at(array('substrate', 'inhibitor', 'inducer'), cast(1 + l_linenumber % 3 as int)) as action",
         "case when l_quantity > 25 then 'strong' else 'weak' end as strength", "case when l_returnflag = 'R' then 'no' else 'yes' end as known",
     ).distinct()

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import master as ma
 from ..sources import files
-from ..tables import folder
+from ..tables import folder, spread
 from .binding import table
-from .knowledge import _CYP, actions
+from .knowledge import _CYP, actions_of
 from .registry import query
 
 # ---- the drug master: part is the product list, order lines are the interaction matrix
@@ -78,16 +78,21 @@ def _(spark, sf):
 
 
 def _drug_xml(spark, sf):
-    """The XML of all parts: suppliers are partners, actions are grouped by enzyme and whether they are known."""
-    acts = actions(spark, sf).groupBy("drug", "enzyme", "known").agg(F.array_sort(F.collect_set("action")).alias("acts"))
+    """The XML of all parts: suppliers are partners, actions are grouped by enzyme and whether they are known.
+
+    A file is read whole by one task, so lines are dealt by part over as many files as the tables' size asks for. All
+    aggregates and joins below work where the lines are.
+    """
+    lines = spread(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_partkey")
+    acts = actions_of(lines).groupBy("drug", "enzyme", "known").agg(F.array_sort(F.collect_set("action")).alias("acts"))
     item = F.struct(F.upper("enzyme").alias("name"), F.col("known").alias("known-action"), F.struct(F.col("acts").alias("action")).alias("actions"))
     enzymes = acts.groupBy("drug").agg(F.struct(F.collect_list(item).alias("enzyme")).alias("enzymes"))
     partner = F.struct(F.concat(F.lit("S"), "l_suppkey").alias("drugbank-id"), F.concat(F.lit("Supplier "), "l_suppkey").alias("name"), F.lit("may be used together").alias("description"))
-    pairs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("drug")).agg(F.struct(F.collect_list(partner).alias("drug-interaction")).alias("drug-interactions"))
+    pairs = lines.select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("drug")).agg(F.struct(F.collect_list(partner).alias("drug-interaction")).alias("drug-interactions"))
     ids = F.array(F.struct(F.concat(F.lit("old"), "p_partkey").alias("_VALUE"), F.lit(False).alias("_primary")), F.struct(F.concat(F.lit("P"), "p_partkey").alias("_VALUE"), F.lit(True).alias("_primary")))
     drugs = table(spark, sf, "part").select(F.col("p_partkey").alias("drug"), ids.alias("drugbank-id"), F.col("p_name").alias("name"), F.struct(F.array(F.struct(F.col("p_brand").alias("_code"))).alias("atc-code")).alias("atc-codes"))
     path = folder(spark, "xml")
-    drugs.join(pairs, "drug", "left").join(enzymes, "drug", "left").drop("drug").write.format("xml").option("rootTag", "drugbank").option("rowTag", "drug").save(path)
+    drugs.join(pairs, "drug", "left").join(enzymes, "drug", "left").drop("drug").write.format("xml").options(rootTag="drugbank", rowTag="drug", compression="gzip").save(path)
     return files.read_drug_xml(spark, path, save=folder(spark, "xml-rows"))
 
 

@@ -1,6 +1,7 @@
 """Work that must not grow faster than the tables: partitions by size, inputs that are computed once."""
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,21 @@ def test_numbers_of_patients_are_read_back(spark):
 
     label, _ = storage._patients(spark, SF)
     assert not any("lineitem" in f for f in label.inputFiles())
+
+
+def test_drug_xml_has_more_files_for_larger_tables(spark, monkeypatch):
+    """A file of XML is read whole by one task."""
+    from rxlattice.plans import master
+
+    paths = []
+
+    def folder(session, kind):
+        paths.append(tables.folder(session, kind))
+        return paths[-1]
+
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 10_000)
+    monkeypatch.setattr(master, "folder", folder)
+    drugs, _, _ = master._drug_xml(spark, SF)
+    assert drugs.count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    files = list(Path(paths[0].removeprefix("file://")).glob("part-*"))
+    assert len(files) > 8 and all(f.name.endswith(".gz") for f in files)
