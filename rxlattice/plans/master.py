@@ -92,7 +92,9 @@ def _drug_xml(spark, sf):
     ids = F.array(F.struct(F.concat(F.lit("old"), "p_partkey").alias("_VALUE"), F.lit(False).alias("_primary")), F.struct(F.concat(F.lit("P"), "p_partkey").alias("_VALUE"), F.lit(True).alias("_primary")))
     drugs = table(spark, sf, "part").select(F.col("p_partkey").alias("drug"), ids.alias("drugbank-id"), F.col("p_name").alias("name"), F.struct(F.array(F.struct(F.col("p_brand").alias("_code"))).alias("atc-code")).alias("atc-codes"))
     path = folder(spark, "xml")
-    drugs.join(pairs, "drug", "left").join(enzymes, "drug", "left").drop("drug").write.format("xml").options(rootTag="drugbank", rowTag="drug", compression="gzip").save(path)
+    # By merge joins, as a broadcast would leave the parts in the files that they came in.
+    nested = drugs.join(pairs.hint("merge"), "drug", "left").join(enzymes.hint("merge"), "drug", "left").drop("drug")
+    nested.write.format("xml").options(rootTag="drugbank", rowTag="drug", compression="gzip").save(path)
     return files.read_drug_xml(spark, path, save=folder(spark, "xml-rows"))
 
 
