@@ -92,7 +92,7 @@ def test_least_of_a_key_that_comes_back(spark, tmp_path, monkeypatch):
     def row(user, days, source):
         return (user, DAY + dt.timedelta(days), source)
 
-    batches = [[row(1, 0, "T30"), row(2, 0, "T60"), row(2, 3, "T30"), row(3, 3, None)], [row(4, 20, "T60")], [row(1, 20, "T60"), row(2, 21, "T60"), row(3, 20, None)], [row(4, 19, "T30")]]
+    batches = [[row(1, 0, "T30"), row(2, 0, "T60"), row(2, 3, "T30"), row(3, 3, None)], [row(4, 20, "T60")], [row(4, 20, "T60")], [row(1, 20, "T60"), row(2, 21, "T60"), row(3, 20, None)], [row(4, 19, "T30")]]
     log = stream(spark, tmp_path, batches, "user_id long, ts timestamp, source string")
     got = jobs.run(jobs.preferred(log, ["user_id"], "source"), "back", "update", ("user_id",)).collect()
     assert sorted(map(tuple, got)) == [(1, "T30"), (2, "T30"), (3, None), (4, "T30")]
