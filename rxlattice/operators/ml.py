@@ -18,7 +18,10 @@ def code_lists(events: DataFrame, code: str, id_: str = "patient_id") -> DataFra
 
 
 def linear_model(max_vocab: int = (1 << 31) - 1, reg: float = 0.01, weight: str | None = None) -> Pipeline:
-    """Logistic regression on the multi-hot sparse vector of `codes`; every code has a place unless `max_vocab` is less."""
+    """Logistic regression on the multi-hot sparse vector of `codes`; every code has a place unless `max_vocab` is less.
+
+    Vocabulary and weights lie in the driver; `linear.fit` fits the same model with both spread over the cluster.
+    """
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=20)
     if weight:
         lr = lr.setWeightCol(weight)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ml
+from ..operators import linear, ml
 from ..operators import retrain as retraining
 from ..operators import sampling as sp
 from ..sources import files
@@ -110,11 +110,10 @@ def _patients(spark, sf):
 def _(spark, sf):
     label, codes = _patients(spark, sf)
     data = saved(label.join(codes, "patient_id"), "training")
-    model = ml.linear_model().fit(data.where("split = 'train'"))
-    scored = ml.score(model, data.where("split <> 'train'"))
+    scored = linear.fit(data.where("split = 'train'")).score(data.where("split <> 'train'"))
     from ..operators.metrics import pr_auc, roc_auc
 
-    s = scored.withColumnRenamed("label", "y").select("patient_id", "y", "score")
+    s = saved(scored.select("patient_id", F.col("label").alias("y"), "score"), "scored")
     return roc_auc(s).crossJoin(pr_auc(s)).select("roc_auc", "pr_auc", "best_f1", "best_threshold")
 
 
