@@ -130,8 +130,8 @@ def _(spark, sf):
     """Rows outside the training split, scored and calibrated on the validation split."""
     label, codes = _patients(spark, sf)
     data = saved(label.join(codes, "patient_id"), "training")
-    model = ml.linear_model().fit(data.where("split = 'train'"))
-    return ml.calibrated(ml.score(model, data.where("split = 'val'")), ml.score(model, data.where("split = 'test'")))
+    model = linear.fit(data.where("split = 'train'"))
+    return ml.calibrated(saved(model.score(data.where("split = 'val'")), "scored"), model.score(data.where("split = 'test'")))
 
 
 @query("model_comparison")
