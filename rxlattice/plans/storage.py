@@ -143,8 +143,9 @@ def _(spark, sf):
     data = saved(label.join(codes, "patient_id"), "training")
     train, test = data.where("split = 'train'"), data.where("split = 'test'")
     rows = None
-    for name, model in (("linear", ml.linear_model()), ("trees", ml.tree_model(["drugs", "days", "lines"]))):
-        s = ml.score(model.fit(train), test).select("patient_id", F.col("label").alias("y"), "score")
+    trees = ml.tree_model(["drugs", "days", "lines"]).fit(train)
+    for name, scored in (("linear", linear.fit(train).score(test)), ("trees", ml.score(trees, test))):
+        s = saved(scored.select("patient_id", F.col("label").alias("y"), "score"), "scored")
         part = roc_auc(s).crossJoin(pr_auc(s)).select(F.lit(name).alias("model"), "roc_auc", "pr_auc", "best_f1")
         rows = part if rows is None else rows.unionByName(part)
     return rows

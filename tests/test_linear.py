@@ -46,7 +46,7 @@ def test_rows_of_one_class_or_without_codes(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["train_linear", "batch_score"])
+@pytest.mark.parametrize("name", ["train_linear", "batch_score", "model_comparison"])
 def test_queries_hold_no_vocabulary_in_the_driver(spark, monkeypatch, name):
     def local(*_, **__):
         raise AssertionError("vocabulary and weights in the driver")
